@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
 
 from telemetra.frame import IDX, LOG, T
-from telemetra.operators.layout import CHUNK_ROWS, log_sizes
+from telemetra.operators.layout import CHUNK_ROWS, log_sizes, task_count
 from telemetra.operators.series import normalise
 
 CHART_POINTS = 2000
@@ -43,28 +43,28 @@ def _corners(t: np.ndarray, v: np.ndarray, i: np.ndarray) -> np.ndarray:
     if len(t) <= 3:
         return np.arange(len(t))
     order = np.lexsort((i, v, t))
+    # Equal points count once, as their earliest record.
+    ts, vs = t[order], v[order]
+    fresh = np.r_[True, (ts[1:] != ts[:-1]) | (vs[1:] != vs[:-1])]
+    order = order[fresh]
+    ts, vs = ts[fresh].tolist(), vs[fresh].tolist()
     keep: set[int] = set()
-    for sign in (1.0, -1.0):
+    for walk in (range(len(ts)), range(len(ts) - 1, -1, -1)):
         chain: list[int] = []
-        for p in order if sign > 0 else order[::-1]:
+        for p in walk:
             while len(chain) >= 2:
                 a, b = chain[-2], chain[-1]
-                turn = (t[b] - t[a]) * (v[p] - v[a]) - (v[b] - v[a]) * (t[p] - t[a])
-                if turn > 0:
+                if (ts[b] - ts[a]) * (vs[p] - vs[a]) > (vs[b] - vs[a]) * (ts[p] - ts[a]):
                     break
                 chain.pop()
             chain.append(p)
         keep.update(chain)
-    # Equal points and equal end times: the earliest record wins a tie.
-    for end in (t.min(), t.max()):
+    kept = {int(order[p]) for p in keep}
+    # Where several records share an end time, the earliest one may win a tie.
+    for end in (ts[0], ts[-1]):
         same = np.flatnonzero(t == end)
-        keep.add(same[np.argmin(i[same])])
-    first: dict[tuple[float, float], int] = {}
-    points = {(t[p], v[p]) for p in keep}
-    for p in order:
-        if (t[p], v[p]) in points:
-            first.setdefault((t[p], v[p]), p)
-    return np.array(sorted(keep | set(first.values())))
+        kept.add(int(same[np.argmin(i[same])]))
+    return np.array(sorted(kept))
 
 
 def lttb(
@@ -101,6 +101,7 @@ def lttb(
         .withColumn("_slot", _slot_of(F.col(IDX), F.col("_w")).cast("long"))
     )
     first_slot = 0 if canonical else 1
+    tasks = task_count(records.sparkSession)
     means = (
         slotted.filter(F.col(IDX) > 0)
         .groupBy(*keys, "_slot")
@@ -133,9 +134,11 @@ def lttb(
     ).select(*keys, "_slot", IDX, T, "v")
     corners = (
         candidates.withColumn("_block", F.floor(F.col(IDX) / rows))
+        .repartition(tasks, *keys, "_block")
         .groupBy(*keys, "_block")
         .applyInPandas(reduce_slots, corner_schema)
         .withColumn("_block", F.floor(F.col("_slot") / _SLOTS_PER_TASK))
+        .repartition(tasks, *keys, "_block")
         .groupBy(*keys, "_block")
         .applyInPandas(reduce_slots, corner_schema)
     )
@@ -177,6 +180,7 @@ def lttb(
 
     picked = (
         corners.unionByName(ends)
+        .repartition(tasks, *keys)
         .groupBy(*keys)
         .cogroup(means.groupBy(*keys))
         .applyInPandas(chain, out_schema)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG
@@ -29,6 +29,15 @@ CHUNK_ROWS = 1 << 18
 _FINE = 1 << 31  # room for the second bucketing round inside one long
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for Python stages.
+
+    Their cost is CPU, not bytes, so they keep the session's full shuffle width
+    instead of being merged by size.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass(frozen=True)
 class Buckets:
     """Order-preserving bucket edges of a frame, reusable for other frames."""

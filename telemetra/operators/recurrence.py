@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
 
 from telemetra.frame import IDX, LOG, finite_or_zero
-from telemetra.operators.layout import CHUNK_ROWS, log_sizes
+from telemetra.operators.layout import CHUNK_ROWS, log_sizes, task_count
 from telemetra.operators.stats import baseline
 
 MAPS_PER_BLOCK = 1024
@@ -33,10 +33,9 @@ MAPS_PER_BLOCK = 1024
 class Scan:
     """What a chunked scan needs to know about one recurrence.
 
-    ``run(first, values, state) -> (outputs, state)`` with ``state`` None in the
-    first chunk of a log; ``summarise(first, values, fresh)`` gives a chunk's
-    map as a flat list; ``compose(a, b)`` is "a, then b"; ``apply(map, state)``
-    moves a state.  ``first`` holds the side columns of the chunk's first row.
+    ``run(chunk, state) -> (positions, outputs, state)`` with ``state`` None in
+    the first chunk of a log; ``summarise(chunk)`` gives a chunk's map as a flat
+    list; ``compose(a, b)`` is "a, then b"; ``apply(map, state)`` moves a state.
     """
 
     run: Callable
@@ -45,6 +44,30 @@ class Scan:
     apply: Callable
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """Rows of one chunk in order, and where the chunk lies in its log."""
+
+    idx: np.ndarray
+    values: np.ndarray
+    size: int  # records in the log
+    side: dict  # side columns of the first row
+
+    @property
+    def is_first(self) -> bool:
+        return self.idx[0] == 0
+
+    @property
+    def is_last(self) -> bool:
+        return self.idx[-1] == self.size - 1
+
+
+def _chunk_of(size: Column, rows: int) -> Column:
+    """Chunk number; a short remainder belongs to the chunk before it."""
+    count = F.greatest(F.floor(size / rows), F.lit(1).cast("long"))
+    return F.least(F.floor(F.col(IDX) / rows), count - 1)
+
+
 def chunk_scan(
     records: DataFrame,
     scan: Scan,
@@ -55,7 +78,7 @@ def chunk_scan(
     rows: int = CHUNK_ROWS,
     size: str = "n",
 ) -> DataFrame:
-    """Run ``scan`` over ``value`` by ``idx``; returns keys, idx, ``out``.
+    """Run ``scan`` over ``value`` by ``idx``; returns keys, idx, n, ``out``.
 
     ``size`` is the column with the number of records of the log.
     """
@@ -72,26 +95,37 @@ def chunk_scan(
         [
             *key_fields,
             TYPES.StructField(IDX, TYPES.LongType()),
+            TYPES.StructField("n", TYPES.LongType()),
             TYPES.StructField(out, TYPES.DoubleType()),
         ]
     )
+    # One shuffle serves both passes: the plan below it is the same in each.
     chunked = records.select(
-        *keys, F.col(IDX).cast("long").alias(IDX), F.col(value).alias("_x"), *side,
-        F.col(size).alias("_size"), F.floor(F.col(IDX) / rows).alias("_chunk"),
-    )
-    nk = len(keys)
-
-    def first_row(pdf: pd.DataFrame) -> dict:
-        return {c: pdf[c].iloc[0] for c in side}
+        *keys,
+        F.col(IDX).cast("long").alias(IDX),
+        F.col(value).alias("_x"),
+        *side,
+        F.col(size).cast("long").alias("_size"),
+        _chunk_of(F.col(size), rows).alias("_chunk"),
+    ).repartition(task_count(records.sparkSession), *keys, "_chunk")
+
+    def chunk_from(pdf: pd.DataFrame) -> Chunk:
+        pdf = pdf.sort_values(IDX)
+        return Chunk(
+            pdf[IDX].to_numpy(),
+            pdf["_x"].to_numpy(),
+            int(pdf["_size"].iloc[0]),
+            {c: pdf[c].iloc[0] for c in side},
+        )
 
     def to_map(key, pdf):
-        pdf = pdf.sort_values(IDX)
-        m = scan.summarise(first_row(pdf), pdf["_x"].to_numpy(), key[nk] == 0)
+        m = scan.summarise(chunk_from(pdf))
         return pd.DataFrame([[*key, list(m)]], columns=[*keys, "_chunk", "_map"])
 
+    more = (F.col("_chunk") + 2) * rows <= F.col("_size")  # another chunk follows
     maps = (
-        chunked.filter((F.col("_chunk") + 1) * rows < F.col("_size"))
-        .drop("_size")
+        # The rand() keeps the condition above the shared shuffle.
+        chunked.filter(F.when(F.rand(0) >= 0, more))
         .groupBy(*keys, "_chunk")
         .applyInPandas(to_map, maps_schema)
         .withColumn("_block", F.floor(F.col("_chunk") / MAPS_PER_BLOCK))
@@ -100,17 +134,17 @@ def chunk_scan(
 
     def emit(key, pdf, start):
         if pdf.empty:
-            return pd.DataFrame(columns=[*keys, IDX, out])
-        pdf = pdf.sort_values(IDX)
+            return pd.DataFrame(columns=[f.name for f in out_schema])
+        chunk = chunk_from(pdf)
         state = None if start.empty else np.array(start["_state"].iloc[0], dtype=float)
-        y, _ = scan.run(first_row(pdf), pdf["_x"].to_numpy(), state)
-        done = pdf[[*keys, IDX]].copy()
-        done[out] = y
-        return done
+        at, y, _ = scan.run(chunk, state)
+        done = pd.DataFrame({IDX: at, "n": chunk.size, out: y})
+        for name, k in zip(keys, key):
+            done[name] = k
+        return done[[f.name for f in out_schema]]
 
     return (
-        chunked.drop("_size")
-        .groupBy(*keys, "_chunk")
+        chunked.groupBy(*keys, "_chunk")
         .cogroup(states.groupBy(*keys, "_chunk"))
         .applyInPandas(emit, out_schema)
     )
@@ -168,18 +202,18 @@ def _start_states(maps: DataFrame, scan: Scan, keys: list[str], key_fields: list
 # ---------------------------------------------------------------- affine maps
 
 
-def _affine(run: Callable, order: int, step: Callable) -> Scan:
+def _affine(run: Callable, matrix: np.ndarray) -> Scan:
     """A scan whose state moves as s -> A s + b; a map is [A row by row, b]."""
+    order = len(matrix)
 
     def split(m):
         return m[: order * order].reshape(order, order), m[order * order :]
 
-    def summarise(first, values, fresh):
-        if fresh:
-            _, end = run(first, values, None)
-            return [*np.zeros(order * order), *end]
-        _, end = run(first, values, np.zeros(order))
-        return [*np.linalg.matrix_power(step(first), len(values)).ravel(), *end]
+    def summarise(chunk):
+        if chunk.is_first:
+            return [*np.zeros(order * order), *run(chunk, None)[2]]
+        end = run(chunk, np.zeros(order))[2]
+        return [*np.linalg.matrix_power(matrix, len(chunk.values)).ravel(), *end]
 
     def compose(a, b):
         (a1, b1), (a2, b2) = split(a), split(b)
@@ -193,19 +227,15 @@ def _affine(run: Callable, order: int, step: Callable) -> Scan:
 
 
 def _ema_scan(alpha: float) -> Scan:
-    def run(first, values, state):
-        y = np.empty(len(values))
-        level = values[0] if state is None else state[0]
-        for i, x in enumerate(values.tolist()):
+    def run(chunk, state):
+        level = chunk.values[0] if state is None else state[0]
+        y = np.empty(len(chunk.values))
+        for i, x in enumerate(chunk.values.tolist()):
             level = alpha * x + (1.0 - alpha) * level
             y[i] = level
-        return y, np.array([level])
-
-    return _affine(run, 1, lambda first: np.array([[1.0 - alpha]]))
+        return chunk.idx, y, np.array([level])
 
-
-def _attach(records: DataFrame, derived: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return records.join(derived, [*keys, IDX])
+    return _affine(run, np.array([[1.0 - alpha]]))
 
 
 def _sized(records: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -227,7 +257,7 @@ def exponential_moving_average(
         raise ValueError("alpha must be above 0 and at most 1")
     return chunk_scan(
         _sized(records, keys), _ema_scan(alpha), value, out, keys=keys, rows=rows
-    )
+    ).drop("n")
 
 
 # ---------------------------------------------------------------- Butterworth
@@ -250,8 +280,9 @@ def butterworth_sections(
         sections.append((gain, -gain if high else gain, 0.0, (wc - 1.0) / (wc + 1.0), 0.0))
     for k in range(order // 2):
         angle = math.pi * (2 * k + 1 + odd) / (2 * order)
-        damping = math.cos(angle) if textbook and odd else math.sin(angle)
-        spread = 2.0 * damping * wc
+        if textbook and odd:
+            angle = math.pi / 2 - math.pi * (k + 1) / order
+        spread = 2.0 * math.sin(angle) * wc
         square = wc * wc
         scale = 1.0 + spread + square
         b = (1.0 if high else square) / scale
@@ -262,18 +293,16 @@ def butterworth_sections(
     return sections
 
 
-def _cascade_scan(sections: list[tuple]) -> Scan:
-    """All sections of a filter as one linear system with two states each."""
-    order = 2 * len(sections)
-    rest = []
-    for b0, b1, b2, a1, a2 in sections:
-        tail = b2 - a2
-        rest += [b1 - a1 + tail, tail]
-    rest = np.array(rest)
+def _cascade(sections: list[tuple]) -> tuple[Callable, np.ndarray, np.ndarray]:
+    """All sections of a filter as one linear system with two states each.
 
-    def run(first, values, state):
-        s = (rest * values[0] if state is None else np.array(state, dtype=float)).tolist()
-        y = values.tolist()
+    Returns the stepping function, the state matrix, and the state that is at
+    rest for an input of one.
+    """
+    rest = np.array([x for _, b1, b2, a1, a2 in sections for x in (b1 - a1 + b2 - a2, b2 - a2)])
+
+    def step(values, state):
+        y, s = list(values), list(state)
         for j, (b0, b1, b2, a1, a2) in enumerate(sections):
             z1, z2 = s[2 * j], s[2 * j + 1]
             for i, x in enumerate(y):
@@ -284,12 +313,33 @@ def _cascade_scan(sections: list[tuple]) -> Scan:
             s[2 * j], s[2 * j + 1] = z1, z2
         return np.array(y), np.array(s)
 
-    columns = []
-    for unit in np.eye(order):
-        _, moved = run({}, np.zeros(1), unit)
-        columns.append(moved)
-    matrix = np.array(columns).T
-    return _affine(run, order, lambda first: matrix)
+    moved = [step([0.0], unit)[1] for unit in np.eye(2 * len(sections))]
+    return step, np.array(moved).T, rest
+
+
+def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
+    """One direction of a zero-phase filter.
+
+    With ``reflect`` the first chunk is led in, and the last chunk followed, by
+    the odd reflection of its end; the lead-in only settles the state, the
+    followers become records past the end of the log.
+    """
+    step, matrix, rest = _cascade(sections)
+
+    def run(chunk, state):
+        x, at = chunk.values.tolist(), chunk.idx
+        pad = min(6 * len(sections), chunk.size - 1) if reflect else 0
+        if state is None:
+            lead = [2.0 * x[0] - v for v in x[pad:0:-1]]
+            head = lead[0] if lead else x[0]
+            _, state = step(lead, rest * head)
+        if pad and chunk.is_last:
+            x += [2.0 * x[-1] - v for v in x[-2 : -2 - pad : -1]]
+            at = np.concatenate([at, chunk.size + np.arange(pad)])
+        y, state = step(x, state)
+        return at, y, state
+
+    return _affine(run, matrix)
 
 
 def butterworth_filtfilt(
@@ -305,8 +355,8 @@ def butterworth_filtfilt(
 ) -> DataFrame:
     """Zero-phase Butterworth filter: keys, idx and the filtered value.
 
-    The series is extended at both ends by odd reflection, scanned forward and
-    then backward from settled start states, and trimmed.  Non-finite input
+    The series, extended at both ends by odd reflection, is scanned forward and
+    then backward, each time from a settled start state.  Non-finite input
     counts as 0.
     """
     if not 1 <= order <= 8:
@@ -315,43 +365,30 @@ def butterworth_filtfilt(
         raise ValueError("cutoff must lie between 0 and 0.5")
     keys = list(keys)
     sections = butterworth_sections(min(max(cutoff, 0.001), 0.499), order, high, textbook)
-    scan = _cascade_scan(sections)
+    depth = 6 * len(sections)
+    rows = max(rows, depth + 1)  # an end and its reflection lie in one chunk
     clean = _sized(records, keys).select(
         *keys, IDX, "n", finite_or_zero(F.col(value)).alias("_v")
     )
-    # Reflection depth; a one-record log is too short to reflect.
-    depth = F.when(
-        F.col("n") > 1, F.least(F.lit(6 * len(sections)).cast("long"), F.col("n") - 1)
-    ).otherwise(F.lit(0).cast("long"))
-    clean = clean.withColumn("_pad", depth)
-    ends = clean.groupBy(*keys).agg(
-        F.min_by("_v", IDX).alias("_head"), F.max_by("_v", IDX).alias("_tail")
-    )
-    edged = clean.filter(
-        (F.col(IDX) <= F.col("_pad")) | (F.col(IDX) >= F.col("n") - 1 - F.col("_pad"))
-    ).join(ends, keys)
-    last = F.col("n") - 1
-    left = edged.filter(F.col(IDX).between(F.lit(1), F.col("_pad"))).select(
-        *keys, (F.col("_pad") - F.col(IDX)).alias(IDX), "n", "_pad",
-        (2.0 * F.col("_head") - F.col("_v")).alias("_v"),
+    forward = chunk_scan(clean, _filter_scan(sections, True), "_v", "_f", keys=keys, rows=rows)
+    extended = F.col("n") + F.least(F.lit(depth).cast("long"), F.col("n") - 1)
+    turned = forward.withColumn("_length", extended).withColumn(
+        IDX, F.col("_length") - 1 - F.col(IDX)
     )
-    right = edged.filter(F.col(IDX).between(last - F.col("_pad"), last - 1)).select(
-        *keys, (F.col("_pad") + 2 * last - F.col(IDX)).alias(IDX), "n", "_pad",
-        (2.0 * F.col("_tail") - F.col("_v")).alias("_v"),
+    backward = chunk_scan(
+        turned.select(*keys, IDX, "_length", "_f"),
+        _filter_scan(sections, False), "_f", out, keys=keys, rows=rows, size="_length",
     )
-    body = clean.select(*keys, (F.col(IDX) + F.col("_pad")).alias(IDX), "n", "_pad", "_v")
-    padded = body.unionByName(left).unionByName(right).withColumn(
-        "_length", F.col("n") + 2 * F.col("_pad")
+    # Position p of the reversed, extended series is record length - 1 - p; the
+    # records past the end come first and are left out.
+    length = F.col("n")
+    records_in_log = F.when(length > 2 * depth, length - depth).otherwise(
+        ((length + 1) / 2).cast("long")
     )
-    shape = clean.groupBy(*keys).agg(F.max("n").alias("n"), F.max("_pad").alias("_pad"))
-    forward = chunk_scan(padded, scan, "_v", "_f", keys=keys, rows=rows, size="_length")
-    turned = forward.join(shape, keys).withColumn("_length", F.col("n") + 2 * F.col("_pad"))
-    turned = turned.withColumn(IDX, F.col("_length") - 1 - F.col(IDX))
-    backward = chunk_scan(turned, scan, "_f", out, keys=keys, rows=rows, size="_length")
-    restored = backward.join(shape, keys).withColumn(
-        IDX, F.col("n") + 2 * F.col("_pad") - 1 - F.col(IDX) - F.col("_pad")
+    position = length - 1 - F.col(IDX)
+    return backward.filter(position < records_in_log).select(
+        *keys, position.alias(IDX), out
     )
-    return restored.filter((F.col(IDX) >= 0) & (F.col(IDX) < F.col("n"))).select(*keys, IDX, out)
 
 
 # ---------------------------------------------------------------- drift
@@ -404,11 +441,11 @@ def _drift_scan(k: float, h: float) -> Scan:
     function: [count, pieces of the upper sum..., pieces of the lower sum...].
     """
 
-    def run(first, values, state):
+    def run(chunk, state):
         up, down = (0.0, 0.0) if state is None else (float(state[0]), float(state[1]))
-        mean = float(first["baseline_mean"])
-        flags = np.zeros(len(values))
-        for i, x in enumerate(values.tolist()):
+        mean = float(chunk.side["baseline_mean"])
+        flags = np.zeros(len(chunk.values))
+        for i, x in enumerate(chunk.values.tolist()):
             up = max(up + (x - mean) - k, 0.0)
             down = max(down + (mean - x) - k, 0.0)
             if up > h:
@@ -419,7 +456,7 @@ def _drift_scan(k: float, h: float) -> Scan:
             elif down > h:
                 flags[i] = -1.0
                 down = 0.0
-        return flags, np.array([up, down])
+        return chunk.idx, flags, np.array([up, down])
 
     def pack(up, down):
         return np.array([float(len(up)), *(x for p in up + down for x in p)])
@@ -429,10 +466,10 @@ def _drift_scan(k: float, h: float) -> Scan:
         n = int(m[0])
         return [tuple(p) for p in body[:n]], [tuple(p) for p in body[n:]]
 
-    def summarise(first, values, fresh):
-        mean = float(first["baseline_mean"])
-        top = 0.0 if fresh else h
-        xs = values.tolist()
+    def summarise(chunk):
+        mean = float(chunk.side["baseline_mean"])
+        top = 0.0 if chunk.is_first else h
+        xs = chunk.values.tolist()
         up = _drift_side(((x - mean) - k for x in xs), 0.0, top, h)
         down = _drift_side(((mean - x) - k for x in xs), 0.0, top, h)
         return pack(up, down)
@@ -491,4 +528,4 @@ def drift_flags(
         side=["baseline_mean"],
         keys=keys,
         rows=rows,
-    )
+    ).drop("n")

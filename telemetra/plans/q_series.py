@@ -148,10 +148,10 @@ def _nearest_sql(cte, src, question, tie):
     """Reference answer by brute force: the closest record of the log, per question."""
     side = "r.idx" if tie == "earlier" else "-r.idx"
     return f"""WITH {cte}, q AS ({question}),
-c AS (SELECT q.log_id, q.qid, q.at, r.idx, r.t, r.v,
+c AS (SELECT q.log_id, q.qid, q.ask, r.idx, r.t, r.v,
    row_number() OVER (PARTITION BY q.log_id, q.qid
-     ORDER BY abs(r.t - q.at), CASE WHEN r.t < q.at THEN {0 if tie == 'earlier' else 1} ELSE {1 if tie == 'earlier' else 0} END,
-     CASE WHEN r.t < q.at THEN -r.idx ELSE r.idx END) AS pick
+     ORDER BY abs(r.t - q.ask), CASE WHEN r.t < q.ask THEN {0 if tie == 'earlier' else 1} ELSE {1 if tie == 'earlier' else 0} END,
+     CASE WHEN r.t < q.ask THEN -r.idx ELSE r.idx END) AS pick
    FROM q JOIN {src} r ON r.log_id = q.log_id)"""
 
 
@@ -159,7 +159,7 @@ c AS (SELECT q.log_id, q.qid, q.at, r.idx, r.t, r.v,
     "time_shift",
     _nearest_sql(
         EVENTS_CTE + ", s AS (SELECT log_id, idx, t, value AS v FROM e)", "s",
-        "SELECT log_id, idx AS qid, t + -7200.0 AS at FROM s", "earlier",
+        "SELECT log_id, idx AS qid, t + -7200.0 AS ask FROM s", "earlier",
     )
     + " SELECT log_id, qid AS idx, v AS shifted FROM c WHERE pick = 1",
 )
@@ -170,11 +170,11 @@ def time_shift(spark, sf):
 
 
 _STREAM_ASOF = f"""WITH {STREAM_CTE},
-q AS (SELECT idx, t + 600.0 AS at FROM e),
-p AS (SELECT q.idx, q.at, r.t AS pt, r.value AS pv FROM q ASOF LEFT JOIN e r ON q.at > r.t),
-x AS (SELECT p.*, r.t AS nt, r.value AS nv FROM p ASOF LEFT JOIN e r ON p.at <= r.t)
+q AS (SELECT idx, t + 600.0 AS ask FROM e),
+p AS (SELECT q.idx, q.ask, r.t AS pt, r.value AS pv FROM q ASOF LEFT JOIN e r ON q.ask > r.t),
+x AS (SELECT p.*, r.t AS nt, r.value AS nv FROM p ASOF LEFT JOIN e r ON p.ask <= r.t)
 SELECT CAST(0 AS BIGINT) AS log_id, idx,
-  CASE WHEN nt IS NULL OR (pt IS NOT NULL AND abs(at - pt) <= abs(nt - at)) THEN pv ELSE nv END AS shifted FROM x"""
+  CASE WHEN nt IS NULL OR (pt IS NOT NULL AND abs(ask - pt) <= abs(nt - ask)) THEN pv ELSE nv END AS shifted FROM x"""
 
 
 @query("time_shift_long_log", _STREAM_ASOF)
@@ -188,20 +188,20 @@ def time_shift_long_log(spark, sf):
     "nearest_record_cursor",
     _nearest_sql(
         ORDERS_CTE + ", s AS (SELECT log_id, idx, t, totalprice AS v FROM o)", "s",
-        "SELECT c_custkey AS log_id, qid, 694224000.0 + qid * 15552000.0 AS at "
+        "SELECT c_custkey AS log_id, qid, CAST(694224000 + qid * 15552000 AS DOUBLE) AS ask "
         "FROM customer, range(0, 17) t(qid)", "later",
     )
-    + " SELECT log_id, qid, at, idx AS near_idx, t AS near_t, v AS near_totalprice FROM c WHERE pick = 1",
+    + " SELECT log_id, qid, ask, idx AS near_idx, t AS near_t, v AS near_totalprice FROM c WHERE pick = 1",
 )
 def nearest_record_cursor(spark, sf):
     """Cursor lookup with tied times: half-yearly questions to every customer's log."""
     asked = (
         tables.read_table(spark, sf, "customer")
         .select(F.col("c_custkey").alias(LOG), F.explode(F.sequence(F.lit(0), F.lit(16))).alias("qid"))
-        .withColumn("at", F.lit(694224000.0) + F.col("qid") * F.lit(15552000.0))
+        .withColumn("ask", F.lit(694224000.0) + F.col("qid") * F.lit(15552000.0))
     )
     rec = tables.order_records(spark, sf)
-    out = nearest.nearest_record(asked, rec, "at", ["totalprice"], tie="later")
+    out = nearest.nearest_record(asked, rec, "ask", ["totalprice"], tie="later")
     # Customers without orders have no record to be near to.
     return out.filter(F.col("near_idx").isNotNull())
 

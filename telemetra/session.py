@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "telemetra", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +41,31 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="telemetra-")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+_INGESTED: dict[tuple, str] = {}
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Ordered operators read their input several times (edges, counts, rows);
+    doing so from a written table costs scans instead of repeated sorts, and a
+    lost executor does not reach behind the table.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def ingest_once(
+    spark: SparkSession, source: str, label: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """The records table of a source, written at first use in this application."""
+    key = (spark.sparkContext.applicationId, source, label)
+    if key not in _INGESTED:
+        path = scratch_dir(spark, label)
+        build().write.parquet(path)
+        _INGESTED[key] = path
+    return spark.read.parquet(_INGESTED[key])
