@@ -6,7 +6,7 @@ import importlib
 
 from telemetra.plans.catalog import ENTRIES, Entry
 
-MODULES = ("q_stats", "q_series")
+MODULES = ("q_stats", "q_series", "q_formula", "q_names", "q_ingest", "q_lookup")
 
 
 def entries() -> dict[str, Entry]:
