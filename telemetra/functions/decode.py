@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T, finite_or_zero
 from telemetra.operators.layout import CHUNK_ROWS, with_record_index
+from telemetra.session import constant_table
 
 # Key-value log types as (type, unit, divisor, offset after dividing).
 KEYVALUE_TYPES = (
@@ -205,14 +207,16 @@ def path_name(path: Column) -> Column:
 
 
 def keyvalue_type_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(KEYVALUE_TYPES), "type string, unit string, divisor double, addend double"
+    return constant_table(
+        spark, KEYVALUE_TYPES, type=pa.string(), unit=pa.string(), divisor=pa.float64(),
+        addend=pa.float64(),
     )
 
 
 def slot_channel_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(SLOT_CHANNELS), "channel_id int, slot_name string, unit string, scale double"
+    return constant_table(
+        spark, SLOT_CHANNELS, channel_id=pa.int32(), slot_name=pa.string(), unit=pa.string(),
+        scale=pa.float64(),
     )
 
 

@@ -286,7 +286,7 @@ def evaluate(
     if by_index:
         work = index_shift(work, by_index, keys, rows)
     for seconds, wanted in by_time.items():
-        work = time_shift(work, wanted, seconds, keys, rows)
+        work = time_shift(records, wanted, seconds, keys, rows, onto=work)
     if formula.statistics:
         work = work.join(_statistics(records, formula, available, keys), list(keys))
     shifted = [*by_index, *(m for wanted in by_time.values() for m in wanted)]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemetra.session import constant_table
+
 # Source unit, family, chosen unit, and the value as
 # "linear": v * factor / divisor + offset after adding pre, or "inverse": factor / v for v > 0.
 CONVERSIONS = (
@@ -41,7 +44,6 @@ DEFAULT_UNITS = {
     "flow": "cc/min",
     "acceleration": "m/s²",
 }
-_FIELDS = "source string, family string, target string, kind string, pre double, factor double, divisor double, offset double"
 
 
 def conversion_table(spark: SparkSession, choice: Mapping[str, str] | None = None) -> DataFrame:
@@ -51,7 +53,11 @@ def conversion_table(spark: SparkSession, choice: Mapping[str, str] | None = Non
     missing = set(wanted) - {r[1] for r in rows}
     if missing:
         raise ValueError(f"unknown unit for {', '.join(sorted(missing))}")
-    return spark.createDataFrame(rows, _FIELDS)
+    text, number = pa.string(), pa.float64()
+    return constant_table(
+        spark, rows, source=text, family=text, target=text, kind=text, pre=number,
+        factor=number, divisor=number, offset=number,
+    )
 
 
 def convert(

@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
 
-from telemetra.frame import IDX, LOG, T
-from telemetra.operators.layout import CHUNK_ROWS, log_sizes, task_count
-from telemetra.operators.series import normalise
+from telemetra.frame import IDX, LOG, T, not_nan
+from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
+from telemetra.operators.series import scale_to_unit
 
 CHART_POINTS = 2000
 _SLOTS_PER_TASK = 64
+_SMALL_SLOT = 64  # points that are cheaper to compare than to hull
 
 
 def _start(slot: Column, width: Column) -> Column:
@@ -82,8 +83,8 @@ def lttb(
     so the last bucket is usually empty and the last record appears twice;
     ``canonical`` uses the published bucketing.
 
-    Spark finds the bucket means and cuts every bucket down to hull corners;
-    only the short chain over those corners runs once per series.
+    Spark finds the bucket means and cuts every long bucket down to its hull
+    corners; only the chain over those corners runs once per series.
     """
     keys = list(keys)
     if "n" not in records.columns:
@@ -101,7 +102,7 @@ def lttb(
         .withColumn("_slot", _slot_of(F.col(IDX), F.col("_w")).cast("long"))
     )
     first_slot = 0 if canonical else 1
-    tasks = task_count(records.sparkSession)
+    tasks = python_tasks(records.sparkSession)
     means = (
         slotted.filter(F.col(IDX) > 0)
         .groupBy(*keys, "_slot")
@@ -120,20 +121,31 @@ def lttb(
     names = [f.name for f in corner_schema]
 
     def reduce_slots(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for _, part in pdf.sort_values(IDX).groupby("_slot", sort=False):
-            at = _corners(part[T].to_numpy(), part["v"].to_numpy(), part[IDX].to_numpy())
-            kept.append(part.iloc[at])
-        return pd.concat(kept)[names]
+        pdf = pdf.sort_values(["_slot", IDX])
+        slots = pdf["_slot"].to_numpy()
+        begin = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        end = np.r_[begin[1:], len(slots)]
+        if (end - begin).max() <= _SMALL_SLOT:
+            return pdf[names]
+        t, v, i = (pdf[c].to_numpy() for c in (T, "v", IDX))
+        kept = [
+            np.arange(a, b) if b - a <= _SMALL_SLOT else a + _corners(t[a:b], v[a:b], i[a:b])
+            for a, b in zip(begin, end)
+        ]
+        return pdf.iloc[np.concatenate(kept)][names]
 
     candidates = slotted.filter(
         (F.col("_slot") >= first_slot)
         & (F.col("_slot") <= first_slot + target - 3)
         & (F.col(IDX) < F.col("n") - 1)
         & (F.col(IDX) > 0)
-    ).select(*keys, "_slot", IDX, T, "v")
+    )
+    # Short buckets go to the chain whole; long ones are cut to corners first.
+    short = F.col("_w") <= _SMALL_SLOT
     corners = (
-        candidates.withColumn("_block", F.floor(F.col(IDX) / rows))
+        candidates.filter(~short)
+        .select(*keys, "_slot", IDX, T, "v")
+        .withColumn("_block", F.floor(F.col(IDX) / rows))
         .repartition(tasks, *keys, "_block")
         .groupBy(*keys, "_block")
         .applyInPandas(reduce_slots, corner_schema)
@@ -179,7 +191,8 @@ def lttb(
         return out[[f.name for f in out_schema]]
 
     picked = (
-        corners.unionByName(ends)
+        corners.unionByName(candidates.filter(short).select(*keys, "_slot", IDX, T, "v"))
+        .unionByName(ends)
         .repartition(tasks, *keys)
         .groupBy(*keys)
         .cogroup(means.groupBy(*keys))
@@ -195,8 +208,18 @@ def chart_series(
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Overlay data of one channel: downsampled, then scaled to 0..1."""
-    return normalise(lttb(records, value, target, keys, rows), value, "normal", keys)
+    """Overlay data of one channel: downsampled, then scaled to 0..1.
+
+    At most ``target`` points per series are left, so a whole-series window is
+    small.
+    """
+    points = lttb(records, value, target, keys, rows)
+    w = Window.partitionBy(*keys)
+    v = not_nan(F.col(value))
+    low, high = F.min(v).over(w), F.max(v).over(w)
+    return scale_to_unit(
+        points.withColumns({"_lo": low, "_hi": high}), value, "normal"
+    )
 
 
 def chart_series_raw(records: DataFrame, value: str, keys: Sequence[str] = (LOG,)) -> DataFrame:

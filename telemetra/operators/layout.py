@@ -24,17 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG
+from telemetra.session import ship_package
 
 CHUNK_ROWS = 1 << 18
 _FINE = 1 << 31  # room for the second bucketing round inside one long
 
 
-def task_count(spark: SparkSession) -> int:
-    """Partitions for Python stages.
+def python_tasks(spark: SparkSession) -> int:
+    """Partitions for Python stages, with this package sent to the workers.
 
     Their cost is CPU, not bytes, so they keep the session's full shuffle width
     instead of being merged by size.
     """
+    ship_package(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -61,6 +63,20 @@ class Buckets:
             "_by", "_c", "_lo", "_hi", "_parts", "_flo", "_fhi", "_fparts"
         )
 
+    def every(self, name: str = "bucket") -> DataFrame:
+        """All buckets of each key, also those no row fell into: about n / rows."""
+        keys = list(self.keys)
+        slots = self.coarse.select(
+            *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_c")
+        )
+        last = F.greatest(F.coalesce("_fparts", F.lit(1)), F.lit(1)) - 1
+        fine = F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
+        return (
+            slots.join(self.fine.select(*keys, "_c", "_fparts"), [*keys, "_c"], "left")
+            .withColumn("_f", fine)
+            .select(*keys, (F.col("_c") * F.lit(_FINE) + F.col("_f")).alias(name))
+        )
+
 
 def _slot(lo: str, hi: str, parts: str) -> Column:
     lo_c, hi_c, parts_c = F.col(lo), F.col(hi), F.col(parts)
@@ -104,27 +120,43 @@ def index_in_buckets(
     keys: Sequence[str] = (LOG,),
     name: str = IDX,
     total: str | None = None,
+    hold: Sequence[str] = (),
 ) -> DataFrame:
     """Dense 0-based position per key: position in bucket + rows of earlier buckets.
 
-    ``total`` also attaches the number of rows of the key.
+    ``total`` also attaches the number of rows of the key.  ``hold`` fills the
+    NULLs of columns with their last earlier value in the same pass.  Reads
+    ``df`` twice: once for a row per bucket, once for the rows.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_rows"))
+    rank = F.struct(*order)
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for c in hold:
+        aggs.append(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_tail_{c}"))
+    counts = df.groupBy(*keys, bucket).agg(*aggs)
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1
     )
     cols = [*keys, bucket, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base")]
     if total:
         cols.append(F.sum("_rows").over(Window.partitionBy(*keys)).alias(total))
+    for c in hold:
+        cols.append(F.last(f"_tail_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}"))
     base = counts.select(*cols)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    ranked = df.withColumn("_pos", F.row_number().over(inside))
-    return (
-        ranked.join(base, [*keys, bucket])
-        .withColumn(name, (F.col("_base") + F.col("_pos") - 1).cast("long"))
-        .drop("_base", "_pos")
-    )
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = df.withColumns(
+        {
+            "_pos": F.row_number().over(inside),
+            **{f"_held_{c}": F.last(c, ignorenulls=True).over(so_far) for c in hold},
+        }
+    ).join(base, [*keys, bucket])
+    return ranked.withColumns(
+        {
+            name: (F.col("_base") + F.col("_pos") - 1).cast("long"),
+            **{c: F.coalesce(f"_held_{c}", f"_carry_{c}") for c in hold},
+        }
+    ).drop("_base", "_pos", *[f"_{k}_{c}" for k in ("held", "carry") for c in hold])
 
 
 def with_record_index(
@@ -133,15 +165,18 @@ def with_record_index(
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
     total: str | None = None,
+    hold: Sequence[str] = (),
 ) -> DataFrame:
     """Add the dense record number ``idx`` per log.
 
     ``order[0]`` must be numeric (a time or a counter); the rest break ties.
+    Reads ``df`` four times, three of them for a column or two, so ``df``
+    should be a table scan or a materialised frame.
     """
     edges = order_buckets(df, F.col(order[0]), keys, rows)
     bucketed = edges.assign(df, F.col(order[0]), "_bucket")
     out = index_in_buckets(
-        bucketed, "_bucket", [F.col(c) for c in order], keys, IDX, total
+        bucketed, "_bucket", [F.col(c) for c in order], keys, IDX, total, hold
     )
     return out.drop("_bucket")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import EPSILON, LOG
 from telemetra.operators.binning import axis_bounds, hist2d
+from telemetra.session import ship_package
 
 TABLE = "table_id"
 OPERATIONS = ("add", "subtract", "multiply", "divide")
@@ -115,6 +116,7 @@ def grid_lines(
     y_breaks) replaces the centres of an axis whose length it matches.
     """
     keys = list(keys)
+    ship_package(cells.sparkSession)
 
     def centres(axis: str, bins: int) -> Column:
         low, step = F.col(f"{axis}_min"), F.col(f"{axis}_range") / F.lit(float(bins))

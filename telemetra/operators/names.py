@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemetra.frame import CHANNEL, LOG
+from telemetra.session import constant_table
 
 # Standard names and the names loggers use for them.  "Speed" is
 # listed under RPM and Vehicle Speed; the later entry, Vehicle Speed, wins.
@@ -73,13 +75,13 @@ STANDARD_NAMES = {
 def standard_table(spark: SparkSession) -> DataFrame:
     """The built-in dictionary as (key, target); about 150 rows."""
     known = {s.lower(): target for target, sources in STANDARD_NAMES.items() for s in sources}
-    return spark.createDataFrame(sorted(known.items()), "key string, target string")
+    return constant_table(spark, sorted(known.items()), key=pa.string(), target=pa.string())
 
 
 def custom_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
     """A caller's name map as (key, target), keys lower-cased as they are added."""
     rows = [(k.lower(), v) for k, v in mapping.items()]
-    return spark.createDataFrame(rows, "key string, target string")
+    return constant_table(spark, rows, key=pa.string(), target=pa.string())
 
 
 def spec_names(dictionary: DataFrame) -> DataFrame:

@@ -8,12 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
-from telemetra.operators.layout import (
-    CHUNK_ROWS,
-    hold_last,
-    order_buckets,
-    with_record_index,
-)
+from telemetra.operators.layout import CHUNK_ROWS, order_buckets, with_record_index
+from telemetra.session import materialise
 
 
 def nearest_record(
@@ -55,7 +51,7 @@ def nearest_record(
     ).withColumn("_kind", F.lit(0))
 
     ends = facts.groupBy(*keys, "_b").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-    places = asked.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
+    places = edges.every("_b").join(ends, [*keys, "_b"], "left")
     over = Window.partitionBy(*keys)
     before = over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     after = over.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +72,7 @@ def nearest_record(
         mixed.withColumn("_p", F.last("_d", ignorenulls=True).over(up.rowsBetween(*so_far)))
         .withColumn("_n", F.last("_d", ignorenulls=True).over(down.rowsBetween(*so_far)))
         .filter(F.col("_kind") == 0)
-        .join(carried, [*keys, "_b"])
+        .join(carried, [*keys, "_b"], "left")
     )
     prev = F.coalesce("_p", "_from_left")
     nxt = F.coalesce("_n", "_from_right")
@@ -98,10 +94,15 @@ def time_shift(
     seconds: float,
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
+    onto: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``{new: channel}``: the channel at the record nearest to t + seconds."""
+    """Add ``{new: channel}``: the channel at the record nearest to t + seconds.
+
+    ``onto`` is a frame derived from the records that gets the columns instead.
+    """
     source = list(dict.fromkeys(columns.values()))
-    asked = records.withColumn("_at", F.col(T) + F.lit(float(seconds)))
+    target = records if onto is None else onto
+    asked = target.withColumn("_at", F.col(T) + F.lit(float(seconds)))
     out = nearest_record(asked, records, "_at", source, "earlier", keys, rows, "_near_")
     out = out.withColumns({new: F.col(f"_near_{c}") for new, c in columns.items()})
     return out.drop("_at", "_near_idx", "_near_t", *[f"_near_{c}" for c in source])
@@ -129,15 +130,15 @@ def merge_rates(
             for c in channels
         ]
     )
-    timeline = with_record_index(wide, [T], keys, rows)
+    wide = materialise(wide, "timeline")  # read four times from here on
+    held = with_record_index(wide, [T], keys, rows, hold=channels)
     if max_records is not None:
-        timeline = timeline.filter(F.col(IDX) < max_records)
-    held = hold_last(timeline, channels, keys, rows)
-    # The first sample overall, so that it also stands in for earlier times.
-    first = points.groupBy(*keys).agg(
+        held = held.filter(F.col(IDX) < max_records)
+    # The first sample overall also stands in for earlier times.
+    first = wide.groupBy(*keys).agg(
         F.min(T).alias("_t0"),
         *[
-            F.min_by("value", F.when(F.col("channel") == c, F.struct(T, tie))).alias(f"_first_{c}")
+            F.min_by(c, F.when(F.col(c).isNotNull(), F.col(T))).alias(f"_first_{c}")
             for c in channels
         ],
     )

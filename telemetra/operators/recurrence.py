@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
 
 from telemetra.frame import IDX, LOG, finite_or_zero
-from telemetra.operators.layout import CHUNK_ROWS, log_sizes, task_count
+from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
 from telemetra.operators.stats import baseline
 
 MAPS_PER_BLOCK = 1024
@@ -107,7 +107,7 @@ def chunk_scan(
         *side,
         F.col(size).cast("long").alias("_size"),
         _chunk_of(F.col(size), rows).alias("_chunk"),
-    ).repartition(task_count(records.sparkSession), *keys, "_chunk")
+    ).repartition(python_tasks(records.sparkSession), *keys, "_chunk")
 
     def chunk_from(pdf: pd.DataFrame) -> Chunk:
         pdf = pdf.sort_values(IDX)

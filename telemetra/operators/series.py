@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import EPSILON, IDX, LOG, T, not_nan
 from telemetra.operators import stats
-from telemetra.operators.layout import CHUNK_ROWS, halo_windows, log_sizes
+from telemetra.operators.layout import CHUNK_ROWS, halo_windows, log_sizes, running_sum
 
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -182,11 +182,16 @@ def normalise(
     """Scale each series to 0..1; a constant series becomes 0.5."""
     v = not_nan(F.col(value))
     limits = points.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    return scale_to_unit(points.join(limits, list(keys)), value, out)
+
+
+def scale_to_unit(points: DataFrame, value: str, out: str) -> DataFrame:
+    """(value - _lo) / (_hi - _lo), or 0.5 without a spread; drops the limits."""
     spread = F.col("_hi") - F.col("_lo")
     scaled = F.when(F.abs(spread) < EPSILON, F.lit(0.5)).otherwise(
         F.try_divide(F.col(value) - F.col("_lo"), spread)
     )
-    return points.join(limits, list(keys)).withColumn(out, scaled).drop("_lo", "_hi")
+    return points.withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def unwrap_clock(
@@ -202,8 +207,6 @@ def unwrap_clock(
     A drop of more than ``threshold`` counts is one turn.  Every block, of any
     type, moves the clock, so pass all of them and keep the data blocks after.
     """
-    from telemetra.operators.layout import running_sum
-
     drop = F.coalesce(F.col("_prev"), F.lit(0)) - F.col(raw)
     turned = halo_windows(
         blocks, {"_prev": lambda w: F.lag(raw).over(w)}, before=1, keys=keys, rows=rows

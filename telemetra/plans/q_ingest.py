@@ -11,6 +11,7 @@ from telemetra.frame import CHANNEL, IDX, LOG, T, VALUE, rounded
 from telemetra.functions import decode
 from telemetra.operators import quality
 from telemetra.plans.catalog import EVENTS_CTE, LINES_CTE, ORDERS_CTE, query, r6
+from telemetra.session import ingest_once, ship_package
 from telemetra.sources import files, tables, text
 
 LINE_NO = "line_no"
@@ -53,6 +54,11 @@ def _clock(us):
 
 
 def keyvalue_lines(spark, sf):
+    """The rendered files, written once like any folder of logger exports."""
+    return ingest_once(spark, sf, "keyvalue-lines", lambda: _keyvalue_lines(spark, sf))
+
+
+def _keyvalue_lines(spark, sf):
     rec = _stamped(spark, sf)
     first = F.when(F.col("k") % 10 == 0, F.lit("---")).otherwise(
         F.col("k").cast("int").cast("string")
@@ -130,6 +136,11 @@ def _seconds_text(us):
 
 
 def holdfill_lines(spark, sf):
+    """The rendered files, written once like any folder of logger exports."""
+    return ingest_once(spark, sf, "holdfill-lines", lambda: _holdfill_lines(spark, sf))
+
+
+def _holdfill_lines(spark, sf):
     rec = tables.event_records(spark, sf)
     us = F.round(F.col(T) * 1e6).cast("long")
     odd = F.col("k") % 2 == 1
@@ -157,6 +168,11 @@ def ingest_holdfill(spark, sf):
 
 
 def msclock_lines(spark, sf):
+    """The rendered files, written once like any folder of logger exports."""
+    return ingest_once(spark, sf, "msclock-lines", lambda: _msclock_lines(spark, sf))
+
+
+def _msclock_lines(spark, sf):
     rec = tables.event_records(spark, sf)
     even = F.col(LOG) % 2 == 0
     ms = F.floor(F.round(F.col(T) * 1e6).cast("long") / 1000) + 500
@@ -195,6 +211,11 @@ CALENDAR_HEADER = [
 
 
 def calendar_lines(spark, sf):
+    """The rendered files, written once like any folder of logger exports."""
+    return ingest_once(spark, sf, "calendar-lines", lambda: _calendar_lines(spark, sf))
+
+
+def _calendar_lines(spark, sf):
     rec = _stamped(spark, sf)
     stamp = F.date_format(F.timestamp_micros("us"), "EEE MMM dd HH:mm:ss yyyy")
     notch = F.when(F.col("k") % 9 == 0, F.lit("bad")).otherwise(F.col("k").cast("int").cast("string"))
@@ -238,6 +259,8 @@ def fixed_record_files(spark, sf):
     """Binary record files of at most FILE_RECORDS events, and their slot texts."""
     rec = tables.event_records(spark, sf).withColumn("part", F.floor(F.col(IDX) / FILE_RECORDS))
 
+    ship_package(spark)
+
     def pack(key, pdf):
         pdf = pdf.sort_values(IDX)
         out = np.zeros(len(pdf), dtype=[("ole", "<f8"), ("raw", "<u2", (8,))])

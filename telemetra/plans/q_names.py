@@ -38,7 +38,7 @@ def _custom(spark):
 
 
 def _spec(spark):
-    return spark.createDataFrame([("red widget", "ECONOMY"), ("tps1", "not used")], "key string, target string")
+    return names.custom_table(spark, {"red widget": "ECONOMY", "tps1": "not used"})
 
 
 @query(

@@ -220,15 +220,15 @@ m AS (SELECT h.log_id, h.t, h.channel, coalesce(h.value, f.fv, 0) AS v
       FROM h LEFT JOIN f ON f.log_id = h.log_id AND f.channel = h.channel)
 SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY t) - 1 AS idx, round(t, 6) + 0.0 AS t,
   max(v) FILTER (channel = 'click') AS click, max(v) FILTER (channel = 'error') AS error,
-  max(v) FILTER (channel = 'purchase') AS purchase, max(v) FILTER (channel = 'view') AS view
+  max(v) FILTER (channel = 'purchase') AS purchase, max(v) FILTER (channel = 'view') AS view, max(v) FILTER (channel = 'signup') AS signup
 FROM m GROUP BY log_id, t""",
 )
 def merge_rates(spark, sf):
     points = nearest.plausible_points(
         tables.event_rate_points(spark, sf).withColumn(T, F.col(T) / F.lit(1000.0))
     ).withColumn(T, F.col(T) * F.lit(1000.0))
-    out = nearest.merge_rates(points, ["click", "error", "purchase", "view"], rows=SMALL_CHUNK)
-    return _r(out.select(LOG, IDX, T, "click", "error", "purchase", "view"), T)
+    out = nearest.merge_rates(points, ["click", "error", "purchase", "view", "signup"], rows=SMALL_CHUNK)
+    return _r(out.select(LOG, IDX, T, "click", "error", "purchase", "view", "signup"), T)
 
 
 @query(

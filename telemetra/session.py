@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +34,30 @@ def build_session(app: str = "telemetra", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Operators with Python tasks call it, so a cluster needs no installed copy.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="telemetra-package-")  # the driver serves it from here
+    archive = os.path.join(folder, "telemetra.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for base, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
@@ -69,3 +95,11 @@ def ingest_once(
         build().write.parquet(path)
         _INGESTED[key] = path
     return spark.read.parquet(_INGESTED[key])
+
+
+def constant_table(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType) -> DataFrame:
+    """A fixed table as a local relation, so that its small size is known to the planner."""
+    arrays = [
+        pa.array([r[i] for r in rows], type=t) for i, t in enumerate(columns.values())
+    ]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))

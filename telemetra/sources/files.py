@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
 from telemetra.functions.decode import slot_channel_table
+from telemetra.session import ship_package
 from telemetra.sources.text import PARSERS, Ingest, number, read_lines
 
 HEAD_BYTES = 256
@@ -195,6 +196,7 @@ def unpack_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def decode_fixed_records(contents: DataFrame, slots: DataFrame) -> Ingest:
     """Records with scaled cells from (log_id, content) and the slot lists."""
+    ship_package(contents.sparkSession)
     id_type = contents.schema[LOG].dataType.simpleString()
     raw = contents.select(LOG, "content").mapInPandas(
         unpack_records, f"{LOG} {id_type}, {IDX} long, {T} double, raw array<int>"
@@ -210,7 +212,8 @@ def decode_fixed_records(contents: DataFrame, slots: DataFrame) -> Ingest:
         F.transform("_scales", lambda s, i: F.get("raw", i) * s).alias("cells"),
     )
     logs = contents.select(LOG, F.lit("fixedrecord").alias("format"))
-    return Ingest(logs.withColumn("meta", F.create_map().cast("map<string,string>")), channels, records)
+    no_meta = F.create_map().cast("map<string,string>")
+    return Ingest(logs.withColumn("meta", no_meta), channels, lambda: records)
 
 
 def parse_fixed_records(spark: SparkSession, path: str) -> Ingest:
@@ -294,6 +297,7 @@ def read_specs(spark: SparkSession, path: str, schema: str = SPEC_SCHEMA) -> Dat
             batch["text"] = [json.dumps(yaml.safe_load(t), default=str) for t in batch["text"]]
             yield batch
 
+    ship_package(spark)
     docs = raw.filter(_extension(F.col("path")).isin("yaml", "yml")).mapInPandas(
         to_json, raw.schema
     ).unionByName(raw.filter(_extension(F.col("path")) == "json"))

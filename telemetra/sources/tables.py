@@ -26,9 +26,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rebase(df: DataFrame, raw: str, unit: float = 1.0, keys: tuple[str, ...] = (LOG,)) -> DataFrame:
-    """``t`` = (raw - raw of the first record) / unit, first in record order."""
-    first = df.groupBy(*keys).agg(F.min_by(raw, IDX).alias("_first"))
+def rebase(
+    df: DataFrame,
+    raw: str,
+    unit: float = 1.0,
+    keys: tuple[str, ...] = (LOG,),
+    order: tuple[str, ...] = (IDX,),
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """``t`` = (raw - raw of the first record) / unit, first by ``order``.
+
+    The firsts come from ``source``, which may be a plain table scan below df.
+    """
+    base = df if source is None else source
+    first = base.groupBy(*keys).agg(F.min_by(raw, F.struct(*order)).alias("_first"))
     return (
         df.join(first, list(keys))
         .withColumn(T, (F.col(raw) - F.col("_first")) / F.lit(unit))
@@ -46,14 +57,14 @@ def _build_event_records(spark: SparkSession, folder: str, rows: int) -> DataFra
     events = _event_channels(read_table(spark, folder, "events"))
     raw = events.select(F.col("user_id").alias(LOG), "us", "event_id", "value", "k")
     indexed = with_record_index(raw, ["us", "event_id"], rows=rows, total="n")
-    return rebase(indexed, "us", 1e6).select(LOG, IDX, T, "value", "k", "n")
+    return rebase(indexed, "us", 1e6, order=("us", "event_id"), source=raw).select(LOG, IDX, T, "value", "k", "n")
 
 
 def _build_event_stream_record(spark: SparkSession, folder: str, rows: int) -> DataFrame:
     events = _event_channels(read_table(spark, folder, "events"))
     raw = events.select(F.lit(0).cast("long").alias(LOG), "us", "event_id", "value", "k")
     indexed = with_record_index(raw, ["us", "event_id"], rows=rows, total="n")
-    return rebase(indexed, "us", 1e6).select(LOG, IDX, T, "value", "k", "n")
+    return rebase(indexed, "us", 1e6, order=("us", "event_id"), source=raw).select(LOG, IDX, T, "value", "k", "n")
 
 
 def event_rate_points(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,8 @@ per file.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,19 +25,28 @@ WEEKDAY_ROW = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) "
 CALENDAR = r"^\w{3} (\w{3}) +(\d{1,2}) (\d{1,2}):(\d{2}):(\d{2}) (\d{4})$"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 META_LINES = 5
-_NUMBER = (
-    r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
-)
+BLANKS = " \t\r\n\f\v"
+# What Spark reads as a number but a logger does not write: hex, type suffixes.
+_ODD_NUMBER = r"[xXdD]|(?<![nN])[fF]$"
 
 
-@dataclass(frozen=True)
 class Ingest:
     """``logs`` (log_id, format, meta), ``channels`` (log_id, channel_idx, name,
-    unit, ...), ``records`` (log_id, idx, t, cells array)."""
+    unit, ...), ``records`` (log_id, idx, t, cells array).
+
+    The records are parsed when they are first asked for.
+    """
+
+    def __init__(
+        self, logs: DataFrame, channels: DataFrame, records: Callable[[], DataFrame]
+    ) -> None:
+        self.logs = logs
+        self.channels = channels
+        self._records = records
 
-    logs: DataFrame
-    channels: DataFrame
-    records: DataFrame
+    @cached_property
+    def records(self) -> DataFrame:
+        return self._records()
 
     def samples(self) -> DataFrame:
         """Long form with channel names; the channel table is small."""
@@ -79,14 +89,18 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def number(text: Column) -> Column:
-    """Strict number or NULL: no type suffixes, no inner blanks."""
-    return F.when(F.rlike(text, F.lit(_NUMBER)), text.try_cast("double"))
+    """Strict number or NULL: no type suffixes, no hex."""
+    return F.when(~F.rlike(text, F.lit(_ODD_NUMBER)), text.try_cast("double"))
 
 
 def regional_number(text: Column, semicolons: Column) -> Column:
     """In semicolon files the comma is the decimal point."""
-    plain = F.trim(text)
+    plain = trimmed(text)
     return number(F.when(semicolons, F.replace(plain, F.lit(","), F.lit("."))).otherwise(plain))
 
 
@@ -127,22 +141,19 @@ def stamp_seconds(column: str) -> Column:
 
 
 def _trimmed(lines: DataFrame) -> DataFrame:
-    out = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    out = lines.withColumn("line", trimmed(F.col("line")))
     return out.filter(F.col("line") != "")
 
 
-def _cells(line: Column, delimiter: str = ",") -> Column:
-    return F.split(line, delimiter)
-
-
-def _trim_cell(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def _tail(cells: Column) -> Column:
     return F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
 
 
+def _small(header: DataFrame) -> DataFrame:
+    """Header facts, written once so the text is not scanned again for each use."""
+    return materialise(header, "header")
+
+
 def _logs(lines: DataFrame, kind: str, meta: DataFrame | None = None) -> DataFrame:
     logs = lines.select(LOG).distinct().withColumn("format", F.lit(kind))
     if meta is None:
@@ -161,26 +172,29 @@ def _meta_map(pairs: DataFrame) -> DataFrame:
 LINES_PER_BUCKET = 22  # bits of line_no inside one bucket
 
 
-def _finish(parsed: DataFrame, rebase: bool, width: Column | None = None) -> DataFrame:
-    """Parsed rows (log_id, line_no, _t, cells) to records.
+def _finish(parsed: DataFrame, rebase: bool, ragged: bool) -> DataFrame:
+    """Parsed rows (log_id, line_no, _t, cells, _width) to records.
 
-    The parsed rows are written once, so the text is not parsed again for the
-    counts behind ``idx``.  Time counts from the first parsed row; rows under
-    ``width`` cells are dropped after that.
+    The rows are written before anything is filtered on: a condition on a
+    parsed column would make Spark parse the text once more to test it.  Time
+    counts from the first row with a time and a cell; after that ``ragged``
+    formats drop rows with fewer cells than channels.
     """
-    keep = F.lit(True) if width is None else F.size("cells") >= width
     staged = materialise(
         parsed.select(
-            LOG, "line_no", "_t", "cells", keep.alias("_keep"),
+            LOG, "line_no", "_t", "cells", "_width",
             F.shiftright("line_no", LINES_PER_BUCKET).alias("_bucket"),
         ),
         "parsed",
     )
-    kept = staged.filter("_keep").drop("_keep")
-    out = index_in_buckets(kept, "_bucket", [F.col("line_no")])
+    readable = staged.filter(F.col("_t").isNotNull())
+    if ragged:
+        readable = readable.filter(F.exists("cells", lambda v: v.isNotNull()))
+    kept = readable.filter(F.size("cells") >= F.col("_width")) if ragged else readable
+    out = index_in_buckets(kept.drop("_width"), "_bucket", [F.col("line_no")])
     if not rebase:
         return out.select(LOG, IDX, F.col("_t").alias(T), "cells")
-    first = staged.groupBy(LOG).agg(F.min_by("_t", "line_no").alias("_t0"))
+    first = readable.groupBy(LOG).agg(F.min_by("_t", "line_no").alias("_t0"))
     return out.join(first, LOG).select(
         LOG, IDX, (F.col("_t") - F.col("_t0")).alias(T), "cells"
     )
@@ -206,7 +220,7 @@ def parse_keyvalue(lines: DataFrame, compat: bool = True) -> Ingest:
     is_data = F.rlike("line", F.lit(CLOCK_ROW))
     begins = text.filter(is_data).groupBy(LOG).agg(F.min("line_no").alias("_begin"))
     pair = r"^([^:]+?)\s*:\s*(.+)$"
-    header = (
+    header = _small(
         text.filter(~is_data & F.rlike("line", F.lit(pair)))
         .join(begins, LOG, "left")
         .filter(F.col("_begin").isNull() | (F.col("line_no") < F.col("_begin")))
@@ -225,21 +239,17 @@ def parse_keyvalue(lines: DataFrame, compat: bool = True) -> Ingest:
         return F.max_by("value", F.when(F.col("key") == key, F.col("line_no")))
 
     shown = F.split(F.col("_display"), ",")
-    channels = (
-        blocks.groupBy(LOG, "_no")
-        .agg(
-            last("Channel").alias("name"), last("ID").alias("id"),
-            last("Type").alias("type_name"), last("DisplayMaxMin").alias("_display"),
-        )
-        .select(
-            LOG, (F.col("_no") - 1).cast("int").alias("channel_idx"), "name", "id",
-            F.coalesce("type_name", F.lit("Raw")).alias("type_name"),
-            F.when(F.size(shown) >= 2, number(F.trim(F.get(shown, 1)))).alias("display_min"),
-            F.when(F.size(shown) >= 2, number(F.trim(F.get(shown, 0)))).alias("display_max"),
-        )
+    channels = blocks.groupBy(LOG, "_no").agg(
+        last("Channel").alias("name"), last("ID").alias("id"),
+        last("Type").alias("type_name"), last("DisplayMaxMin").alias("_display"),
+    ).select(
+        LOG, (F.col("_no") - 1).cast("int").alias("channel_idx"), "name", "id",
+        F.coalesce("type_name", F.lit("Raw")).alias("type_name"),
+        F.when(F.size(shown) >= 2, number(trimmed(F.get(shown, 1)))).alias("display_min"),
+        F.when(F.size(shown) >= 2, number(trimmed(F.get(shown, 0)))).alias("display_max"),
     )
     types = decode.keyvalue_type_table(spark)
-    channels = (
+    channels = _small(
         channels.join(F.broadcast(types), channels["type_name"] == types["type"], "left")
         .drop("type")
         .withColumns(
@@ -255,25 +265,21 @@ def parse_keyvalue(lines: DataFrame, compat: bool = True) -> Ingest:
     )
 
     def engineering(cell: Column, i: Column) -> Column:
-        raw = number(_trim_cell(cell))
         s = F.get("_scale", i)
-        return F.when(s.isNull(), raw).otherwise(raw / s["divisor"] + s["addend"])
+        return number(trimmed(cell)) / F.coalesce(s["divisor"], F.lit(1.0)) + F.coalesce(
+            s["addend"], F.lit(0.0)
+        )
 
-    cut = _cells(F.col("line"))
-    parsed = (
-        text.filter(is_data)
-        .withColumn("_t", clock_seconds(_trim_cell(F.get(cut, 0))))
-        .withColumn("_text", _tail(cut))
-        .filter(F.col("_t").isNotNull())
-        .join(scales, LOG, "left")
-        .withColumn("_all", F.transform("_text", engineering))
-        .withColumn("_numbers", F.filter("_all", lambda v: v.isNotNull()))
-        .filter(F.size("_numbers") > 0)
-        .withColumn("cells", F.col("_numbers") if compat else F.col("_all"))
+    cut = F.split("line", ",")
+    values = F.transform(_tail(cut), engineering)
+    parsed = text.filter(is_data).join(scales, LOG, "left").select(
+        LOG, "line_no",
+        clock_seconds(trimmed(F.get(cut, 0))).alias("_t"),
+        (F.filter(values, lambda v: v.isNotNull()) if compat else values).alias("cells"),
+        F.when(F.col("_scale").isNull(), 0).otherwise(F.size("_scale")).alias("_width"),
     )
-    wanted = F.when(F.col("_scale").isNull(), 0).otherwise(F.size("_scale"))
     meta = _meta_map(header.filter(F.col("key").isin(*KEYVALUE_META)))
-    return Ingest(_logs(lines, "keyvalue", meta), channels, _finish(parsed, True, wanted))
+    return Ingest(_logs(lines, "keyvalue", meta), channels, lambda: _finish(parsed, True, True))
 
 
 def parse_holdfill(lines: DataFrame, rows: int = CHUNK_ROWS) -> Ingest:
@@ -292,25 +298,26 @@ def parse_holdfill(lines: DataFrame, rows: int = CHUNK_ROWS) -> Ingest:
     parsed = (
         body.filter(F.col("_first") == "TIME")
         .withColumn("_cut", cut)
-        .withColumn("_t", number(_trim_cell(F.get("_cut", 0))))
-        .filter(F.col("_t").isNotNull())
+        .withColumn("_t", number(trimmed(F.get("_cut", 0))))
         .withColumn(
             "cells",
             F.transform(
                 F.sequence(F.lit(1), F.col("_width")),
-                lambda i: number(_trim_cell(F.get("_cut", i))),
+                lambda i: number(trimmed(F.get("_cut", i))),
             ),
         )
     )
-    numbered = _finish(parsed.filter(F.col("_width") > 0), False)
-    long = numbered.select(LOG, IDX, T, F.posexplode("cells").alias("channel_idx", VALUE))
-    held = hold_last(long, [VALUE], [LOG, "channel_idx"], rows, start=0.0)
-    full = held.groupBy(LOG, IDX, T).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("channel_idx", VALUE))), lambda c: c[VALUE]
-        ).alias("cells")
-    )
-    return Ingest(_logs(lines, "holdfill"), channels, full)
+
+    def records() -> DataFrame:
+        numbered = _finish(parsed.filter(F.col("_width") > 0), False, False)
+        long = numbered.select(LOG, IDX, T, F.posexplode("cells").alias("channel_idx", VALUE))
+        held = hold_last(long, [VALUE], [LOG, "channel_idx"], rows, start=0.0)
+        cells = F.sort_array(F.collect_list(F.struct("channel_idx", VALUE)))
+        return held.groupBy(LOG, IDX, T).agg(
+            F.transform(cells, lambda c: c[VALUE]).alias("cells")
+        )
+
+    return Ingest(_logs(lines, "holdfill"), channels, records)
 
 
 def parse_msclock(lines: DataFrame) -> Ingest:
@@ -329,7 +336,6 @@ def parse_msclock(lines: DataFrame) -> Ingest:
         body.filter(F.startswith(F.lower(F.trim("_first")), F.lit("time")))
         .withColumn("_cut", cut)
         .withColumn("_t", regional_number(F.get("_cut", 0), F.col("_semi")) / 1000.0)
-        .filter(F.col("_t").isNotNull())
         .withColumn(
             "cells",
             F.when(
@@ -343,7 +349,7 @@ def parse_msclock(lines: DataFrame) -> Ingest:
             ).otherwise(F.array().cast("array<double>")),
         )
     )
-    return Ingest(_logs(lines, "msclock"), channels, _finish(parsed, True))
+    return Ingest(_logs(lines, "msclock"), channels, lambda: _finish(parsed, True, False))
 
 
 def _headed(lines: DataFrame, semicolons: Column, other: str) -> tuple[DataFrame, DataFrame]:
@@ -352,7 +358,7 @@ def _headed(lines: DataFrame, semicolons: Column, other: str) -> tuple[DataFrame
     Body rows carry _semi (field split), _first (first title) and _width
     (number of channels).
     """
-    header = (
+    header = _small(
         lines.groupBy(LOG)
         .agg(F.min_by("line", "line_no").alias("line"), F.min("line_no").alias("_no"))
         .withColumn("_semi", semicolons)
@@ -391,6 +397,7 @@ def parse_calendar(lines: DataFrame) -> Ingest:
         .filter(F.col("_begin").isNull() | (F.col("line_no") < F.col("_begin")))
         .withColumn("_colon", F.contains(F.col("line"), F.lit(":")).cast("int"))
     )
+    head = _small(head)
     before = Window.partitionBy(LOG).orderBy("line_no").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -410,7 +417,7 @@ def parse_calendar(lines: DataFrame) -> Ingest:
         .withColumn(
             "_titles",
             F.filter(
-                F.transform(_tail(_cells(F.col("line"))), lambda c: F.trim(c)),
+                F.transform(_tail(F.split("line", ",")), lambda c: F.trim(c)),
                 lambda c: c != "",
             ),
         )
@@ -418,25 +425,25 @@ def parse_calendar(lines: DataFrame) -> Ingest:
     channels = titles.select(LOG, F.posexplode("_titles").alias("channel_idx", "name")).select(
         LOG, "channel_idx", "name", F.lit("calendar").alias("type_name"), F.lit("").alias("unit")
     )
-    cut = _cells(F.col("line"))
-    stamp = calendar_stamp(_trim_cell(F.get(cut, 0)))
+    cut = F.split("line", ",")
+    stamp = calendar_stamp(trimmed(F.get(cut, 0)))
+    width = titles.select(LOG, F.size("_titles").alias("_width"))
     parsed = (
         text.filter(is_data)
+        .join(width, LOG, "left")
         .withColumn("_stamp", stamp)
-        .withColumn("_t", stamp_seconds("_stamp"))
-        .filter(F.col("_t").isNotNull())
-        .withColumn(
-            "cells",
+        .select(
+            LOG, "line_no",
+            stamp_seconds("_stamp").alias("_t"),
             F.filter(
-                F.transform(_tail(cut), lambda c: number(_trim_cell(c))), lambda v: v.isNotNull()
-            ),
+                F.transform(_tail(cut), lambda c: number(trimmed(c))), lambda v: v.isNotNull()
+            ).alias("cells"),
+            F.coalesce("_width", F.lit(0)).alias("_width"),
         )
-        .filter(F.size("cells") > 0)
     )
-    width = titles.select(LOG, F.size("_titles").alias("_width"))
-    wide = parsed.join(width, LOG, "left")
-    records = _finish(wide, True, F.coalesce("_width", F.lit(0)))
-    return Ingest(_logs(lines, "calendar", meta), channels, records)
+    return Ingest(
+        _logs(lines, "calendar", meta), channels, lambda: _finish(parsed, True, True)
+    )
 
 
 PARSERS = {
