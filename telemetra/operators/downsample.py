@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from telemetra.frame import IDX, LOG, T, not_nan
 from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
@@ -120,19 +121,18 @@ def lttb(
     )
     names = [f.name for f in corner_schema]
 
-    def reduce_slots(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_slot", IDX])
-        slots = pdf["_slot"].to_numpy()
+    def reduce_slots(table: pa.Table) -> pa.Table:
+        slots, i = table.column("_slot").to_numpy(), table.column(IDX).to_numpy()
+        order = np.lexsort((i, slots))
+        slots, i = slots[order], i[order]
+        t, v = (table.column(c).to_numpy()[order] for c in (T, "v"))
         begin = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
         end = np.r_[begin[1:], len(slots)]
-        if (end - begin).max() <= _SMALL_SLOT:
-            return pdf[names]
-        t, v, i = (pdf[c].to_numpy() for c in (T, "v", IDX))
         kept = [
             np.arange(a, b) if b - a <= _SMALL_SLOT else a + _corners(t[a:b], v[a:b], i[a:b])
             for a, b in zip(begin, end)
         ]
-        return pdf.iloc[np.concatenate(kept)][names]
+        return table.select(names).take(pa.array(order[np.concatenate(kept)]))
 
     candidates = slotted.filter(
         (F.col("_slot") >= first_slot)
@@ -148,11 +148,11 @@ def lttb(
         .withColumn("_block", F.floor(F.col(IDX) / rows))
         .repartition(tasks, *keys, "_block")
         .groupBy(*keys, "_block")
-        .applyInPandas(reduce_slots, corner_schema)
+        .applyInArrow(reduce_slots, corner_schema)
         .withColumn("_block", F.floor(F.col("_slot") / _SLOTS_PER_TASK))
         .repartition(tasks, *keys, "_block")
         .groupBy(*keys, "_block")
-        .applyInPandas(reduce_slots, corner_schema)
+        .applyInArrow(reduce_slots, corner_schema)
     )
     ends = slotted.filter((F.col(IDX) == 0) | (F.col(IDX) == F.col("n") - 1)).select(
         *keys,
@@ -163,16 +163,22 @@ def lttb(
         [*fields, TYPES.StructField("pos", TYPES.LongType()), *corner_schema.fields[-3:]]
     )
 
-    def chain(key, pdf, mean):
-        if pdf.empty:
-            return pd.DataFrame(columns=[f.name for f in out_schema])
-        pdf = pdf.sort_values(["_slot", IDX])
-        slots, i = pdf["_slot"].to_numpy(), pdf[IDX].to_numpy()
-        t, v = pdf[T].to_numpy(), pdf["v"].to_numpy()
+    def chain(key, table, mean):
+        if not table.num_rows:
+            return pa.Table.from_pylist([], schema=to_arrow_schema(out_schema))
+        slots, i = table.column("_slot").to_numpy(), table.column(IDX).to_numpy()
+        order = np.lexsort((i, slots))
+        slots, i = slots[order], i[order]
+        t, v = (table.column(c).to_numpy()[order] for c in (T, "v"))
         begin = np.searchsorted(slots, np.arange(target + 1))
-        centre = {s: (a, b) for s, a, b in zip(mean["_slot"], mean["_mt"], mean["_mv"])}
+        centre = dict(
+            zip(
+                mean.column("_slot").to_pylist(),
+                zip(mean.column("_mt").to_pylist(), mean.column("_mv").to_pylist()),
+            )
+        )
         chosen = [0]
-        last = len(pdf) - 1
+        last = len(slots) - 1
         for s in range(first_slot, first_slot + target - 2):
             lo, hi = begin[s], begin[s + 1]
             if lo == hi:  # only the last bucket can be empty
@@ -182,13 +188,20 @@ def lttb(
             ct, cv = (t[last], v[last]) if tail else centre[s + 1]
             p = chosen[-1]
             area = np.abs((t[p] - ct) * (v[lo:hi] - v[p]) - (t[p] - t[lo:hi]) * (cv - v[p]))
-            chosen.append(lo + int(np.argmax(area)))
+            chosen.append(lo + int(area.argmax()))
         chosen.append(last)
-        out = pd.DataFrame({IDX: i[chosen], T: t[chosen], "v": v[chosen]})
-        out["pos"] = np.arange(len(chosen))
-        for name, k in zip(keys, key):
-            out[name] = k
-        return out[[f.name for f in out_schema]]
+        columns = {"pos": np.arange(len(chosen)), IDX: i[chosen], T: t[chosen], "v": v[chosen]}
+        fields = to_arrow_schema(out_schema)
+        known = dict(zip(keys, key))
+        return pa.Table.from_arrays(
+            [
+                pa.array(columns[f.name], type=f.type)
+                if f.name in columns
+                else pa.repeat(known[f.name].cast(f.type), len(chosen))
+                for f in fields
+            ],
+            schema=fields,
+        )
 
     picked = (
         corners.unionByName(candidates.filter(short).select(*keys, "_slot", IDX, T, "v"))
@@ -196,7 +209,7 @@ def lttb(
         .repartition(tasks, *keys)
         .groupBy(*keys)
         .cogroup(means.groupBy(*keys))
-        .applyInPandas(chain, out_schema)
+        .applyInArrow(chain, out_schema)
     )
     return as_is.unionByName(picked).withColumnRenamed("v", value)
 

@@ -17,10 +17,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from telemetra.frame import IDX, LOG, finite_or_zero
 from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
@@ -109,93 +110,109 @@ def chunk_scan(
         _chunk_of(F.col(size), rows).alias("_chunk"),
     ).repartition(python_tasks(records.sparkSession), *keys, "_chunk")
 
-    def chunk_from(pdf: pd.DataFrame) -> Chunk:
-        pdf = pdf.sort_values(IDX)
+    def chunk_from(table: pa.Table) -> Chunk:
+        idx = table.column(IDX).to_numpy()
+        order = np.argsort(idx, kind="stable")
         return Chunk(
-            pdf[IDX].to_numpy(),
-            pdf["_x"].to_numpy(),
-            int(pdf["_size"].iloc[0]),
-            {c: pdf[c].iloc[0] for c in side},
+            idx[order],
+            table.column("_x").to_numpy()[order],
+            table.column("_size")[0].as_py(),
+            {c: table.column(c)[0].as_py() for c in side},
         )
 
-    def to_map(key, pdf):
-        m = scan.summarise(chunk_from(pdf))
-        return pd.DataFrame([[*key, list(m)]], columns=[*keys, "_chunk", "_map"])
+    def to_map(key, table):
+        return _rows(key, {"_map": [scan.summarise(chunk_from(table))]}, maps_schema)
 
     more = (F.col("_chunk") + 2) * rows <= F.col("_size")  # another chunk follows
     maps = (
         # The rand() keeps the condition above the shared shuffle.
         chunked.filter(F.when(F.rand(0) >= 0, more))
         .groupBy(*keys, "_chunk")
-        .applyInPandas(to_map, maps_schema)
+        .applyInArrow(to_map, maps_schema)
         .withColumn("_block", F.floor(F.col("_chunk") / MAPS_PER_BLOCK))
     )
     states = _start_states(maps, scan, keys, key_fields)
 
-    def emit(key, pdf, start):
-        if pdf.empty:
-            return pd.DataFrame(columns=[f.name for f in out_schema])
-        chunk = chunk_from(pdf)
-        state = None if start.empty else np.array(start["_state"].iloc[0], dtype=float)
+    def emit(key, table, start):
+        if not table.num_rows:
+            return _rows(key, {IDX: [], "n": [], out: []}, out_schema)
+        chunk = chunk_from(table)
+        state = np.array(start.column("_state")[0].as_py()) if start.num_rows else None
         at, y, _ = scan.run(chunk, state)
-        done = pd.DataFrame({IDX: at, "n": chunk.size, out: y})
-        for name, k in zip(keys, key):
-            done[name] = k
-        return done[[f.name for f in out_schema]]
+        return _rows(key, {IDX: at, "n": np.full(len(at), chunk.size), out: y}, out_schema)
 
     return (
         chunked.groupBy(*keys, "_chunk")
         .cogroup(states.groupBy(*keys, "_chunk"))
-        .applyInPandas(emit, out_schema)
+        .applyInArrow(emit, out_schema)
     )
 
 
+def _rows(key: tuple, columns: dict, schema: TYPES.StructType) -> pa.Table:
+    """An Arrow table of ``schema``: the leading group key repeated, then columns."""
+    count = len(next(iter(columns.values())))
+    arrays, fields = [], to_arrow_schema(schema)
+    for i, f in enumerate(fields):
+        if f.name in columns:
+            arrays.append(pa.array(columns[f.name], type=f.type))
+        else:
+            arrays.append(pa.repeat(key[i].cast(f.type), count))
+    return pa.Table.from_arrays(arrays, schema=fields)
+
+
 def _start_states(maps: DataFrame, scan: Scan, keys: list[str], key_fields: list) -> DataFrame:
     """Start state of every chunk after the first: keys, _chunk, _state."""
     vector = TYPES.ArrayType(TYPES.DoubleType())
     long = TYPES.LongType()
-    block_schema = TYPES.StructType(
-        [*key_fields, TYPES.StructField("_block", long), TYPES.StructField("_map", vector)]
-    )
-    entry_schema = TYPES.StructType(
-        [*key_fields, TYPES.StructField("_block", long), TYPES.StructField("_entry", vector)]
-    )
-    state_schema = TYPES.StructType(
-        [*key_fields, TYPES.StructField("_chunk", long), TYPES.StructField("_state", vector)]
-    )
 
-    def fold(key, pdf):
-        pdf = pdf.sort_values("_chunk")
+    def schema(number: str, content: str) -> TYPES.StructType:
+        return TYPES.StructType(
+            [*key_fields, TYPES.StructField(number, long), TYPES.StructField(content, vector)]
+        )
+
+    block_schema = schema("_block", "_map")
+    entry_schema = schema("_block", "_entry")
+    state_schema = schema("_chunk", "_state")
+
+    def in_order(table: pa.Table, by: str, what: str) -> list:
+        table = table.sort_by(by)
+        return list(
+            zip(
+                table.column(by).to_pylist(),
+                (np.array(v, dtype=float) for v in table.column(what).to_pylist()),
+            )
+        )
+
+    def fold(key, table):
         total = None
-        for m in pdf["_map"]:
-            m = np.asarray(m, dtype=float)
+        for _, m in in_order(table, "_chunk", "_map"):
             total = m if total is None else scan.compose(total, m)
-        return pd.DataFrame([[*key, list(total)]], columns=[*keys, "_block", "_map"])
-
-    def entries(key, pdf):
-        pdf = pdf.sort_values("_block")
-        state, rows = None, []
-        for block, m in zip(pdf["_block"], pdf["_map"]):
-            rows.append([*key, block, None if state is None else list(state)])
-            state = scan.apply(np.asarray(m, dtype=float), state)
-        return pd.DataFrame(rows, columns=[*keys, "_block", "_entry"])
-
-    def walk(key, pdf, entry):
-        pdf = pdf.sort_values("_chunk")
-        begin = None if entry.empty else entry["_entry"].iloc[0]
-        state = None if begin is None else np.asarray(begin, dtype=float)
-        rows = []
-        for chunk, m in zip(pdf["_chunk"], pdf["_map"]):
-            state = scan.apply(np.asarray(m, dtype=float), state)
-            rows.append([*key[: len(keys)], chunk + 1, list(state)])
-        return pd.DataFrame(rows, columns=[*keys, "_chunk", "_state"])
-
-    blocks = maps.groupBy(*keys, "_block").applyInPandas(fold, block_schema)
-    entry = blocks.groupBy(*keys).applyInPandas(entries, entry_schema)
+        return _rows(key, {"_map": [total]}, block_schema)
+
+    def entries(key, table):
+        state, blocks, found = None, [], []
+        for block, m in in_order(table, "_block", "_map"):
+            blocks.append(block)
+            found.append(state)
+            state = scan.apply(m, state)
+        return _rows(key, {"_block": blocks, "_entry": found}, entry_schema)
+
+    def walk(key, table, entry):
+        begin = entry.column("_entry")[0].as_py() if entry.num_rows else None
+        state = None if begin is None else np.array(begin, dtype=float)
+        chunks, found = [], []
+        for chunk, m in in_order(table, "_chunk", "_map") if table.num_rows else ():
+            state = scan.apply(m, state)
+            chunks.append(chunk + 1)
+            found.append(state)
+        return _rows(key[: len(keys)], {"_chunk": chunks, "_state": found}, state_schema)
+
+    blocks = maps.groupBy(*keys, "_block").applyInArrow(fold, block_schema)
+    entry = blocks.groupBy(*keys).applyInArrow(entries, entry_schema)
     return (
         maps.groupBy(*keys, "_block")
         .cogroup(entry.groupBy(*keys, "_block"))
-        .applyInPandas(walk, state_schema)
+        .applyInArrow(walk, state_schema)
     )
 
 

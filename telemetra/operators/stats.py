@@ -14,14 +14,26 @@ from telemetra.operators.layout import CHUNK_ROWS, order_buckets
 def exact_median(
     df: DataFrame, value: str, keys: Sequence[str] = (LOG,), rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Mean of the one or two middle values per key, without buffering a group.
+    """Mean of the one or two middle values per key.
 
-    Values are first counted (map-side combined), the distinct values are put
-    into order-preserving buckets, and only the buckets that hold a middle rank
-    are ranked.
+    A key with at most ``rows`` values is aggregated directly.  The few larger
+    keys, whose values must not meet in one buffer, are ranked in buckets.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
+    large = (
+        df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") > rows).select(*keys)
+    )
+    small = df.join(large, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias("median"))
+    return small.unionByName(_ranked_median(df.join(large, keys, "left_semi"), value, keys, rows))
+
+
+def _ranked_median(df: DataFrame, value: str, keys: list[str], rows: int) -> DataFrame:
+    """Median by rank: values are counted (map-side combined), the distinct ones
+    put into order-preserving buckets, and only buckets with a middle rank sorted.
+    """
+    counts = (
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
+    )
     edges = order_buckets(counts, F.col(value), keys, rows)
     bucketed = edges.assign(counts, F.col(value), "_b")
     per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_m").alias("_rows"))

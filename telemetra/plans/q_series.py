@@ -446,12 +446,12 @@ def lttb(spark, sf):
 
 @query(
     "lttb_long_log",
-    _lttb_sql(STREAM_CTE, "e", "value", 200)
+    _lttb_sql(STREAM_CTE, "e", "value", 40)
     + f" SELECT log_id, pos, idx, {r6('t')} AS t, v AS value FROM o",
 )
 def lttb_long_log(spark, sf):
     rec = tables.event_stream_record(spark, sf, SMALL_CHUNK)
-    return _r(downsample.lttb(rec, "value", 200, rows=SMALL_CHUNK), T)
+    return _r(downsample.lttb(rec, "value", 40, rows=SMALL_CHUNK), T)
 
 
 @query(
