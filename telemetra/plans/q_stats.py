@@ -85,6 +85,16 @@ def channel_has_data(spark, sf):
     return stats.has_data(_line_samples(spark, sf))
 
 
+@query(
+    "median_large_logs",
+    f"WITH {_LINE_LONG} SELECT log_id, channel, {r6('median(value)')} AS median FROM s GROUP BY log_id, channel",
+)
+def median_large_logs(spark, sf):
+    """The rank path of the exact median: every log counts as too large to buffer."""
+    out = stats.exact_median(_line_samples(spark, sf), VALUE, (LOG, CHANNEL), rows=100)
+    return out.select(LOG, CHANNEL, rounded(F.col("median")).alias("median"))
+
+
 _FIT = """f AS (
   SELECT log_id, count(*) AS n, avg(extendedprice) AS my, avg(quantity) AS mx,
     covar_pop(extendedprice, quantity) * count(*) AS sxy,
