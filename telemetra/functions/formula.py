@@ -55,7 +55,11 @@ class Formula:
     statistics: dict[str, str]  # placeholder -> statistic variable
 
     def channel_names(self) -> list[str]:
-        return list(dict.fromkeys(r.name for r in self.references.values()))
+        return _names(self.references)
+
+
+def _names(references: dict[str, Reference]) -> list[str]:
+    return list(dict.fromkeys(r.name for r in references.values()))
 
 
 def _inf() -> Column:
@@ -136,40 +140,45 @@ def _statistic_of(word: str) -> tuple[str, str] | None:
     return None
 
 
-def parse(text: str) -> Formula:
-    """Split off the channel references and hand the rest to Python's own parser.
-
-    ``^`` binds tighter than a leading minus and groups to the right.
-    """
+def _scan(text: str) -> tuple[str, dict[str, Reference], dict[str, str]]:
+    """The text with its references replaced by placeholders, and both tables."""
     if not text.strip():
         raise FormulaError("Formula cannot be empty")
     references: dict[str, Reference] = {}
     statistics: dict[str, str] = {}
 
+    def keep(table: dict, letter: str, value) -> str:
+        for name, known in table.items():
+            if known == value:
+                return name
+        name = f"__{letter}{len(table)}"
+        table[name] = value
+        return name
+
     def place(m: re.Match) -> str:
         quoted, qk, qs, bare, bk, bs = m.groups()
         if bare is not None:
             if bare.lower() in RESERVED:
                 return m.group(0)
             if _statistic_of(m.group(0)):
-                return _keep(statistics, "s", m.group(0))
+                return keep(statistics, "s", m.group(0))
         k, s = (qk, qs) if quoted is not None else (bk, bs)
         ref = Reference(
             quoted if quoted is not None else bare,
             int(k) if k is not None else 0,
             float(s) if s is not None else None,
         )
-        return _keep(references, "r", ref)
+        return keep(references, "r", ref)
 
-    def _keep(table: dict, letter: str, value) -> str:
-        for name, known in table.items():
-            if known == value:
-                return name
-        name = f"__{letter}{len(table)}"
-        table[name] = value
-        return name
+    return REFERENCE.sub(place, text), references, statistics
+
+
+def parse(text: str) -> Formula:
+    """Split off the channel references and hand the rest to Python's own parser.
 
-    body = REFERENCE.sub(place, text)
+    ``^`` binds tighter than a leading minus and groups to the right.
+    """
+    body, references, statistics = _scan(text)
     if "**" in body:
         raise FormulaError("Parse error: unknown operator **")
     try:
@@ -239,10 +248,10 @@ def find_channel(name: str, available: Sequence[str]) -> str | None:
 
 def check(text: str, available: Sequence[str]) -> Formula:
     """Parse and verify all channels and statistics; raises FormulaError."""
-    formula = parse(text)
-    missing = [n for n in formula.channel_names() if find_channel(n, available) is None]
+    missing = [n for n in _names(_scan(text)[1]) if find_channel(n, available) is None]
     if missing:
         raise FormulaError(f"Unknown channels: {', '.join(missing)}")
+    formula = parse(text)
     known = {variable_name(c) for c in available}
     for word in formula.statistics.values():
         if _statistic_of(word)[1] not in known:
@@ -269,26 +278,31 @@ def evaluate(
     """
     available = list(channels or channel_columns(records))
     formula = check(text, available)
+    # Names Spark would read as paths get plain stand-ins while shifts run.
     keep = records.columns
+    plain_name = {
+        c: c if re.fullmatch(r"\w+", c) else f"__c{i}" for i, c in enumerate(keep)
+    }
+    records = records.select(*[_cell(c).alias(n) for c, n in plain_name.items()])
     work = records
 
     plain: dict[str, Column] = {}
     by_index: dict[str, tuple[str, int]] = {}
     by_time: dict[float, dict[str, str]] = {}
     for mark, ref in formula.references.items():
-        channel = find_channel(ref.name, available)
+        channel = plain_name[find_channel(ref.name, available)]
         if ref.seconds is not None:
             by_time.setdefault(ref.seconds, {})[mark] = channel
         elif ref.records:
             by_index[mark] = (channel, ref.records)
         else:
-            plain[mark] = F.coalesce(_cell(channel).cast("double"), F.lit(0.0))
+            plain[mark] = F.coalesce(F.col(channel).cast("double"), F.lit(0.0))
     if by_index:
         work = index_shift(work, by_index, keys, rows)
     for seconds, wanted in by_time.items():
         work = time_shift(records, wanted, seconds, keys, rows, onto=work)
     if formula.statistics:
-        work = work.join(_statistics(records, formula, available, keys), list(keys))
+        work = work.join(_statistics(records, formula, available, plain_name, keys), list(keys))
     shifted = [*by_index, *(m for wanted in by_time.values() for m in wanted)]
     values = {
         **plain,
@@ -296,17 +310,24 @@ def evaluate(
         **{m: F.col(m) for m in formula.statistics},
     }
     result = finite_or_zero(_column(formula.tree, values))
-    return work.withColumn(out, result).select(*keep, out)
+    done = work.withColumn("__out", result)
+    return done.select(
+        *[F.col(n).alias(c) for c, n in plain_name.items() if c != out], F.col("__out").alias(out)
+    )
 
 
 def _statistics(
-    records: DataFrame, formula: Formula, available: Sequence[str], keys: Sequence[str]
+    records: DataFrame,
+    formula: Formula,
+    available: Sequence[str],
+    plain_name: dict[str, str],
+    keys: Sequence[str],
 ) -> DataFrame:
-    by_name = {variable_name(c): c for c in reversed(available)}
+    by_name = {variable_name(c): plain_name[c] for c in reversed(available)}
     aggs = []
     for mark, word in formula.statistics.items():
         kind, name = _statistic_of(word)
-        v = _cell(by_name[name]).cast("double")
+        v = F.col(by_name[name]).cast("double")
         v = F.when(is_finite(v), v)
         value = {
             "mean": F.avg(v),

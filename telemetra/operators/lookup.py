@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from telemetra.frame import EPSILON, LOG
 from telemetra.operators.binning import axis_bounds, hist2d
@@ -81,7 +82,7 @@ def combine(
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _tab_line(label: pd.Series, numbers: pd.Series, places: pd.Series) -> pd.Series:
     """Label and numbers as one tab line.
 
@@ -96,7 +97,7 @@ def _tab_line(label: pd.Series, numbers: pd.Series, places: pd.Series) -> pd.Ser
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fixed1(numbers: pd.Series) -> pd.Series:
     return pd.Series([f"{v:.1f}" for v in numbers])
 
