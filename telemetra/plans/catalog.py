@@ -67,4 +67,4 @@ ORDERS_CTE = """o AS (
 
 def r6(expr: str, places: int = 6) -> str:
     """SQL twin of telemetra.frame.rounded."""
-    return f"(round({expr}, {places}) + 0.0)"
+    return f"(round(({expr}) + {0.003 * 10.0**-places!r}, {places}) + 0.0)"

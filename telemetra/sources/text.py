@@ -72,6 +72,12 @@ class Ingest:
         return self.records.join(listed, LOG).select(LOG, IDX, T, *picks)
 
 
+def line_number(block_start: Column) -> Column:
+    """Block start plus the row's place in its task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (block_start + row).alias("line_no")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Numbered lines of text files; log_id is the file path.
 
@@ -81,10 +87,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     block of a file may be.  So lines are numbered without a sort or a shuffle.
     Invalid UTF-8 is replaced.
     """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias(LOG),
-        (F.col("_metadata.file_block_start") + row).alias("line_no"),
+        line_number(F.col("_metadata.file_block_start")),
         F.make_valid_utf8("value").alias("line"),
     )
 

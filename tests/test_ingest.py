@@ -266,3 +266,20 @@ def test_unit_rule_order(spark):
     )
     got = [r[0] for r in df.select(decode.unit_by_rules(decode.HOLDFILL_UNITS, decode.path_name(F.col("path")), F.col("path"))).collect()]
     assert got == ["%", "%", "km/h", "RPM", ""]
+
+
+def test_intake_loads_each_file_once(spark, tmp_path):
+    from telemetra.streaming.intake import follow_folder
+
+    inbox, table, memory = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "memory")
+    inbox.mkdir()
+    write(inbox, "a.csv", "TIME;x\n0;1\n1;2\n")
+
+    def drain():
+        follow_folder(spark, str(inbox), table, "holdfill", memory).awaitTermination()
+        got = spark.read.parquet(table).collect()
+        return sorted((r.log_id.rsplit("/", 1)[1], r.idx, r.value) for r in got)
+
+    assert drain() == [("a.csv", 0, 1.0), ("a.csv", 1, 2.0)]
+    write(inbox, "b.csv", "TIME;x\n5;9\n")
+    assert drain() == [("a.csv", 0, 1.0), ("a.csv", 1, 2.0), ("b.csv", 0, 9.0)]
