@@ -4,7 +4,7 @@ Every ordered operator in this package works on *chunks* of a log, never on a
 whole log, so a log that holds a third of all rows is still many tasks:
 
 * ``order_buckets`` cuts each log into order-preserving buckets of a bounded
-  number of rows, using two rounds of min/max/count aggregates;
+  number of rows, using two or three rounds of min/max/count aggregates;
 * ``with_record_index`` turns those into the dense record number ``idx``;
 * ``halo_windows`` runs row frames on chunks that carry copies of the few
   neighbour rows their frames reach into;
@@ -27,7 +27,7 @@ from telemetra.frame import IDX, LOG
 from telemetra.session import ship_package
 
 CHUNK_ROWS = 1 << 18
-_FINE = 1 << 31  # room for the second bucketing round inside one long
+_LEVEL_BITS = 20  # bits of a bucket number per round after the first
 
 
 def python_tasks(spark: SparkSession) -> int:
@@ -42,75 +42,108 @@ def python_tasks(spark: SparkSession) -> int:
 
 @dataclass(frozen=True)
 class Buckets:
-    """Order-preserving bucket edges of a frame, reusable for other frames."""
+    """Order-preserving bucket edges of a frame, reusable for other frames.
 
-    coarse: DataFrame
-    fine: DataFrame
+    One table per round: keys, the slots of earlier rounds, and how the rows of
+    that slot are cut (_lo, _hi, _parts, _by_tie).
+    """
+
+    rounds: tuple[DataFrame, ...]
     keys: tuple[str, ...]
 
-    def assign(self, df: DataFrame, by: Column, name: str = "bucket") -> DataFrame:
+    def assign(
+        self, df: DataFrame, by: Column, name: str = "bucket", tie: Column | None = None
+    ) -> DataFrame:
         """Add the bucket of ``by``; values outside the edges go to the end buckets.
 
         Rows of keys the edges do not know get bucket 0.
         """
-        keys = list(self.keys)
-        df = df.withColumn("_by", by.cast("double"))
-        df = df.join(self.coarse, keys, "left").withColumn("_c", _slot("_lo", "_hi", "_parts"))
-        df = df.join(self.fine, [*keys, "_c"], "left")
-        fine = F.coalesce(_slot("_flo", "_fhi", "_fparts"), F.lit(0).cast("long"))
-        bucket = F.coalesce(F.col("_c") * F.lit(_FINE) + fine, F.lit(0).cast("long"))
-        return df.withColumn(name, bucket).drop(
-            "_by", "_c", "_lo", "_hi", "_parts", "_flo", "_fhi", "_fparts"
+        out = df.withColumns(
+            {"_by": by.cast("double"), "_tie": (by if tie is None else tie).cast("double")}
         )
+        slots: list[str] = []
+        for level, edges in enumerate(self.rounds):
+            out = out.join(edges, [*self.keys, *slots], "left")
+            out = out.withColumn(f"_s{level}", _slot()).drop(*_EDGE)
+            slots.append(f"_s{level}")
+        return out.withColumn(name, _bucket(slots)).drop("_by", "_tie", *slots)
 
     def every(self, name: str = "bucket") -> DataFrame:
         """All buckets of each key, also those no row fell into: about n / rows."""
-        keys = list(self.keys)
-        slots = self.coarse.select(
-            *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_c")
-        )
-        last = F.greatest(F.coalesce("_fparts", F.lit(1)), F.lit(1)) - 1
-        fine = F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
-        return (
-            slots.join(self.fine.select(*keys, "_c", "_fparts"), [*keys, "_c"], "left")
-            .withColumn("_f", fine)
-            .select(*keys, (F.col("_c") * F.lit(_FINE) + F.col("_f")).alias(name))
-        )
+        zero = F.lit(0).cast("long")
+        slots: list[str] = []
+        out = None
+        for level, edges in enumerate(self.rounds):
+            on = [*self.keys, *slots]
+            counts = edges.select(*on, "_parts")
+            out = counts if out is None else out.join(counts, on, "left")
+            last = F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1
+            out = out.withColumn(f"_s{level}", F.explode(F.sequence(zero, last))).drop("_parts")
+            slots.append(f"_s{level}")
+        return out.select(*self.keys, _bucket(slots).alias(name))
+
+
+_EDGE = ("_lo", "_hi", "_parts", "_by_tie")
+
+
+def _slot() -> Column:
+    lo, hi, parts = F.col("_lo"), F.col("_hi"), F.col("_parts")
+    at = F.when(F.col("_by_tie"), F.col("_tie")).otherwise(F.col("_by"))
+    share = F.try_divide(F.least(F.greatest(at, lo), hi) - lo, hi - lo)
+    cut = F.least(F.floor(share * parts).cast("long"), parts - 1)
+    return F.when((parts > 1) & (hi > lo), cut).otherwise(F.lit(0).cast("long"))
 
 
-def _slot(lo: str, hi: str, parts: str) -> Column:
-    lo_c, hi_c, parts_c = F.col(lo), F.col(hi), F.col(parts)
-    x = F.least(F.greatest(F.col("_by"), lo_c), hi_c)
-    share = F.try_divide(x - lo_c, hi_c - lo_c)
-    return F.when(
-        (parts_c > 1) & (hi_c > lo_c),
-        F.least(F.floor(share * parts_c).cast("long"), parts_c - 1),
-    ).when(parts_c.isNotNull(), F.lit(0).cast("long"))
+def _bucket(slots: Sequence[str]) -> Column:
+    number = F.col(slots[0])
+    for s in slots[1:]:
+        number = number * F.lit(1 << _LEVEL_BITS) + F.col(s)
+    return number
 
 
 def order_buckets(
-    df: DataFrame, by: Column, keys: Sequence[str] = (LOG,), rows: int = CHUNK_ROWS
+    df: DataFrame,
+    by: Column,
+    keys: Sequence[str] = (LOG,),
+    rows: int = CHUNK_ROWS,
+    tie: Column | None = None,
 ) -> Buckets:
     """Bucket edges that hold about ``rows`` rows each.
 
-    Round one cuts every key's range evenly; round two cuts each slot that is
+    Round one cuts every key's range evenly; the next cuts each slot that is
     still too full by the range actually seen inside it, which absorbs outlier
-    order values and uneven sampling.  Both rounds are map-side combined
-    aggregates that read only the keys and ``by``.
+    order values and uneven sampling.  With a numeric ``tie`` column a slot
+    whose order values are all equal is cut by the tie instead, and a third
+    round follows.  Rounds are map-side combined aggregates over the keys and
+    the order columns only.
     """
     keys = list(keys)
-    thin = df.select(*keys, by.cast("double").alias("_by"))
+    tied = by if tie is None else tie
+    thin = df.select(*keys, by.cast("double").alias("_by"), tied.cast("double").alias("_tie"))
     parts = F.ceil(F.count(F.lit(1)) / F.lit(float(rows))).cast("long")
-    coarse = thin.groupBy(*keys).agg(
-        F.min("_by").alias("_lo"), F.max("_by").alias("_hi"), parts.alias("_parts")
-    )
-    fine = (
-        thin.join(coarse, keys)
-        .withColumn("_c", _slot("_lo", "_hi", "_parts"))
-        .groupBy(*keys, "_c")
-        .agg(F.min("_by").alias("_flo"), F.max("_by").alias("_fhi"), parts.alias("_fparts"))
-    )
-    return Buckets(coarse, fine, tuple(keys))
+    found: list[DataFrame] = []
+    slots: list[str] = []
+    levels = 2 if tie is None else 3
+    for level in range(levels):
+        on = [*keys, *slots]
+        seen = thin.groupBy(*on).agg(
+            F.least(parts, F.lit(1 << _LEVEL_BITS).cast("long")).alias("_parts"),
+            F.min("_by").alias("_b0"), F.max("_by").alias("_b1"),
+            F.min("_tie").alias("_t0"), F.max("_tie").alias("_t1"),
+        )
+        equal = F.col("_b0") == F.col("_b1")
+        edges = seen.select(
+            *on,
+            F.when(equal, F.col("_t0")).otherwise(F.col("_b0")).alias("_lo"),
+            F.when(equal, F.col("_t1")).otherwise(F.col("_b1")).alias("_hi"),
+            "_parts",
+            equal.alias("_by_tie"),
+        )
+        found.append(edges)
+        if level < levels - 1:
+            thin = thin.join(edges, on).withColumn(f"_s{level}", _slot()).drop(*_EDGE)
+        slots.append(f"_s{level}")
+    return Buckets(tuple(found), tuple(keys))
 
 
 def index_in_buckets(
@@ -169,12 +202,16 @@ def with_record_index(
 ) -> DataFrame:
     """Add the dense record number ``idx`` per log.
 
-    ``order[0]`` must be numeric (a time or a counter); the rest break ties.
-    Reads ``df`` four times, three of them for a column or two, so ``df``
-    should be a table scan or a materialised frame.
+    ``order[0]`` must be numeric (a time or a counter); the rest break ties,
+    and a numeric ``order[1]`` also lets many equal ``order[0]`` be cut.  Reads
+    ``df`` up to five times, all but one for a column or two, so ``df`` should
+    be a table scan or a materialised frame.
     """
-    edges = order_buckets(df, F.col(order[0]), keys, rows)
-    bucketed = edges.assign(df, F.col(order[0]), "_bucket")
+    types = dict(df.dtypes)
+    numeric = len(order) > 1 and types[order[1]] in ("int", "bigint", "double", "float")
+    tie = F.col(order[1]) if numeric else None
+    edges = order_buckets(df, F.col(order[0]), keys, rows, tie)
+    bucketed = edges.assign(df, F.col(order[0]), "_bucket", tie)
     out = index_in_buckets(
         bucketed, "_bucket", [F.col(c) for c in order], keys, IDX, total, hold
     )

@@ -11,6 +11,8 @@ from telemetra.frame import IDX, LOG, T
 from telemetra.operators.layout import CHUNK_ROWS, order_buckets, with_record_index
 from telemetra.session import materialise
 
+_SPREAD = 4096
+
 
 def nearest_record(
     questions: DataFrame,
@@ -49,6 +51,13 @@ def nearest_record(
         F.col("_x"),
         "_b",
     ).withColumn("_kind", F.lit(0))
+    # Questions off the log's time range need no neighbours: they are spread
+    # over buckets of their own instead of piling up in the end buckets.
+    ranges = facts.groupBy(*keys).agg(F.min("_d").alias("_head"), F.max("_d").alias("_foot"))
+    asked = asked.join(ranges, keys, "left")
+    off = (F.col("_x") < F.col("_head.t")) | (F.col("_x") > F.col("_foot.t")) | F.col("_head").isNull()
+    spread = -1 - F.pmod(F.xxhash64("_q"), F.lit(_SPREAD))
+    asked = asked.withColumn("_b", F.when(off, spread).otherwise(F.col("_b")))
 
     ends = facts.groupBy(*keys, "_b").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
     places = edges.every("_b").join(ends, [*keys, "_b"], "left")
@@ -74,8 +83,8 @@ def nearest_record(
         .filter(F.col("_kind") == 0)
         .join(carried, [*keys, "_b"], "left")
     )
-    prev = F.coalesce("_p", "_from_left")
-    nxt = F.coalesce("_n", "_from_right")
+    prev = F.coalesce("_p", "_from_left", F.when(F.col("_x") > F.col("_foot.t"), F.col("_foot")))
+    nxt = F.coalesce("_n", "_from_right", F.when(F.col("_x") < F.col("_head.t"), F.col("_head")))
     back, ahead = F.abs(F.col("_x") - prev["t"]), F.abs(nxt["t"] - F.col("_x"))
     earlier_wins = back <= ahead if tie == "earlier" else back < ahead
     pick = F.when(nxt.isNull() | (prev.isNotNull() & earlier_wins), prev).otherwise(nxt)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemetra.operators import downsample, nearest, recurrence, series, stats
-from telemetra.operators.layout import hold_last, running_sum, with_record_index
+from telemetra.operators.layout import hold_last, order_buckets, running_sum, with_record_index
 
 
 def test_moving_average_starts_short(logs):
@@ -245,6 +245,12 @@ def test_record_index_with_outlier_times_and_ties(spark):
     assert [r.idx for r in hot] == list(range(3001))
     assert [(r.clock, r.tie) for r in hot] == sorted((r.clock, r.tie) for r in hot)
     assert {r.n for r in hot} == {3001}
+    # Equal order values: the tie column cuts them into many buckets.
+    same = spark.createDataFrame([("hot", 5.0, i) for i in range(1000)], "log_id string, clock double, tie long")
+    edges = order_buckets(same, F.col("clock"), rows=100, tie=F.col("tie"))
+    parts = edges.assign(same, F.col("clock"), "b", F.col("tie")).groupBy("b").count().collect()
+    assert len(parts) == 10 and max(r["count"] for r in parts) == 100
+    assert edges.every("b").count() >= 10
 
 
 def test_hold_and_running_sum_over_chunks(logs):
