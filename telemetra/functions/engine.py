@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import LOG
 from telemetra.operators.stats import exact_median
+from telemetra.session import settle
 
 # Stoichiometric points, default zone widths, reference conditions.
 STOICH_AFR = 14.7
@@ -23,7 +24,7 @@ REFERENCE_TEMPERATURE_K = 298.0
 def mixture_units(df: DataFrame, value: str, keys: Sequence[str] = (LOG,)) -> DataFrame:
     """Per log: ``mixture`` 'lambda' if the median is under 3, else 'afr'."""
     kind = F.when(F.col("median") < LAMBDA_BELOW_MEDIAN, "lambda").otherwise("afr")
-    return exact_median(df, value, keys).select(*keys, kind.alias("mixture"))
+    return settle(exact_median(df, value, keys).select(*keys, kind.alias("mixture")))
 
 
 def stoichiometric(mixture: Column) -> Column:

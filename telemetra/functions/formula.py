@@ -22,6 +22,7 @@ from telemetra.frame import IDX, LOG, channel_columns, finite_or_zero, is_finite
 from telemetra.operators.layout import CHUNK_ROWS
 from telemetra.operators.nearest import time_shift
 from telemetra.operators.series import index_shift
+from telemetra.session import settle
 
 # The reference syntax, the reserved words, the statistic prefixes.
 SHIFT = r"(?:\[([+-]?\d+)\]|@([+-]?\d+\.?\d*)s)?"
@@ -337,7 +338,7 @@ def _statistics(
             "range": F.max(v) - F.min(v),
         }[kind]
         aggs.append(F.coalesce(value, F.lit(0.0)).alias(mark))
-    return records.groupBy(*keys).agg(*aggs)
+    return settle(records.groupBy(*keys).agg(*aggs))
 
 
 def preview(

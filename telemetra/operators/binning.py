@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.frame import EPSILON, LOG, not_nan
+from telemetra.session import settle
 
 GRID_SIZES = (16, 32, 64)
 DENSITY_BINS = 512
@@ -126,7 +127,7 @@ def hist2d(
     map-side combined, so a hot log costs one partial row per cell and task.
     """
     keys = list(keys)
-    bounds = axis_bounds(df, x, y, x_limits, y_limits, keys)
+    bounds = settle(axis_bounds(df, x, y, x_limits, y_limits, keys))
     narrow = list(dict.fromkeys([*keys, x, y, *([z] if z else [])]))
     data = apply_filters(df, filters).select(*narrow).join(bounds, keys)
     if not clamp_outside:

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from telemetra.frame import IDX, LOG, T, not_nan
 from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
 from telemetra.operators.series import scale_to_unit
+from telemetra.session import settle
 
 CHART_POINTS = 2000
 _SLOTS_PER_TASK = 64
@@ -89,7 +90,7 @@ def lttb(
     """
     keys = list(keys)
     if "n" not in records.columns:
-        records = records.join(log_sizes(records, keys), keys)
+        records = records.join(settle(log_sizes(records, keys)), keys)
     points = records.select(*keys, IDX, T, F.col(value).alias("v"), "n")
     whole = F.lit(target < 3) | (F.col("n") <= target)
     as_is = points.filter(whole).select(*keys, F.col(IDX).alias("pos"), IDX, T, "v")

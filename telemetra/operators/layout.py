@@ -10,9 +10,10 @@ whole log, so a log that holds a third of all rows is still many tasks:
   neighbour rows their frames reach into;
 * ``hold_last`` / ``running_sum`` carry one summary row per chunk instead.
 
-The per-log and per-chunk tables are joined without a broadcast hint: Spark
-broadcasts them while they are below its size threshold and otherwise runs a
-shuffled join that adaptive execution splits on skew.
+The per-log and per-chunk tables are computed first (``settle``) and joined
+without a broadcast hint: Spark knows their size, broadcasts them while it is
+below its threshold and otherwise runs a shuffled join that adaptive execution
+splits on skew.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG
-from telemetra.session import ship_package
+from telemetra.session import settle, ship_package
 
 CHUNK_ROWS = 1 << 18
 _LEVEL_BITS = 20  # bits of a bucket number per round after the first
@@ -132,13 +133,14 @@ def order_buckets(
             F.min("_tie").alias("_t0"), F.max("_tie").alias("_t1"),
         )
         equal = F.col("_b0") == F.col("_b1")
-        edges = seen.select(
+        cuts = seen.select(
             *on,
             F.when(equal, F.col("_t0")).otherwise(F.col("_b0")).alias("_lo"),
             F.when(equal, F.col("_t1")).otherwise(F.col("_b1")).alias("_hi"),
             "_parts",
             equal.alias("_by_tie"),
         )
+        edges = settle(cuts)
         found.append(edges)
         if level < levels - 1:
             thin = thin.join(edges, on).withColumn(f"_s{level}", _slot()).drop(*_EDGE)
@@ -175,7 +177,7 @@ def index_in_buckets(
         cols.append(F.sum("_rows").over(Window.partitionBy(*keys)).alias(total))
     for c in hold:
         cols.append(F.last(f"_tail_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}"))
-    base = counts.select(*cols)
+    base = settle(counts.select(*cols))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     ranked = df.withColumns(
@@ -275,13 +277,15 @@ def hold_last(
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carry = tails.select(
-        *keys,
-        "_chunk",
-        *[
-            F.last(f"_tail_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}")
-            for c in columns
-        ],
+    carry = settle(
+        tails.select(
+            *keys,
+            "_chunk",
+            *[
+                F.last(f"_tail_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}")
+                for c in columns
+            ],
+        )
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(IDX).rowsBetween(
         Window.unboundedPreceding, 0
@@ -314,8 +318,10 @@ def running_sum(
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    base = totals.select(
-        *keys, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
+    base = settle(
+        totals.select(
+            *keys, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
+        )
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(IDX).rowsBetween(
         Window.unboundedPreceding, 0

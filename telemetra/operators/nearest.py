@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
 from telemetra.operators.layout import CHUNK_ROWS, order_buckets, with_record_index
-from telemetra.session import materialise
+from telemetra.session import materialise, settle
 
 _SPREAD = 4096
 
@@ -53,7 +53,9 @@ def nearest_record(
     ).withColumn("_kind", F.lit(0))
     # Questions off the log's time range need no neighbours: they are spread
     # over buckets of their own instead of piling up in the end buckets.
-    ranges = facts.groupBy(*keys).agg(F.min("_d").alias("_head"), F.max("_d").alias("_foot"))
+    ranges = settle(
+        facts.groupBy(*keys).agg(F.min("_d").alias("_head"), F.max("_d").alias("_foot"))
+    )
     asked = asked.join(ranges, keys, "left")
     off = (F.col("_x") < F.col("_head.t")) | (F.col("_x") > F.col("_foot.t")) | F.col("_head").isNull()
     spread = -1 - F.pmod(F.xxhash64("_q"), F.lit(_SPREAD))
@@ -64,11 +66,13 @@ def nearest_record(
     over = Window.partitionBy(*keys)
     before = over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     after = over.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = places.select(
-        *keys,
-        "_b",
-        F.last("_last", ignorenulls=True).over(before).alias("_from_left"),
-        F.last("_first", ignorenulls=True).over(after).alias("_from_right"),
+    carried = settle(
+        places.select(
+            *keys,
+            "_b",
+            F.last("_last", ignorenulls=True).over(before).alias("_from_left"),
+            F.last("_first", ignorenulls=True).over(after).alias("_from_right"),
+        )
     )
 
     mixed = facts.unionByName(asked, allowMissingColumns=True)
@@ -151,7 +155,7 @@ def merge_rates(
             for c in channels
         ],
     )
-    filled = held.join(first, keys).withColumns(
+    filled = held.join(settle(first), keys).withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_first_{c}"), F.lit(0.0)) for c in channels}
     )
     return filled.withColumn(T, (F.col(T) - F.col("_t0")).cast("double")).drop(

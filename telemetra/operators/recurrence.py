@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from telemetra.frame import IDX, LOG, finite_or_zero
 from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
 from telemetra.operators.stats import baseline
+from telemetra.session import settle
 
 MAPS_PER_BLOCK = 1024
 
@@ -258,7 +259,7 @@ def _ema_scan(alpha: float) -> Scan:
 def _sized(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     if "n" in records.columns:
         return records
-    return records.join(log_sizes(records, keys), list(keys))
+    return records.join(settle(log_sizes(records, keys)), list(keys))
 
 
 def exponential_moving_average(
@@ -536,7 +537,7 @@ def drift_flags(
 ) -> DataFrame:
     """keys, idx and +1 / -1 / 0: drift above or below the early mean of the log."""
     sized = _sized(records, keys)
-    base = baseline(sized, value, baseline_percent, keys).select(*keys, "baseline_mean")
+    base = settle(baseline(sized, value, baseline_percent, keys).select(*keys, "baseline_mean"))
     return chunk_scan(
         sized.join(base, list(keys)),
         _drift_scan(k, h),

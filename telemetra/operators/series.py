@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from telemetra.frame import EPSILON, IDX, LOG, T, not_nan
 from telemetra.operators import stats
 from telemetra.operators.layout import CHUNK_ROWS, halo_windows, log_sizes, running_sum
+from telemetra.session import settle
 
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -147,7 +148,7 @@ def index_shift(
             rows=rows,
         )
     if far:
-        sizes = log_sizes(records, keys, "_n")
+        sizes = settle(log_sizes(records, keys, "_n"))
         for new, (channel, k) in far.items():
             target = F.least(F.greatest(F.col(IDX) + F.lit(k), F.lit(0)), F.col("_n") - 1)
             cells = records.select(
@@ -170,7 +171,7 @@ def z_score(
         *keys, F.col("mean").alias("_mean"), F.greatest("stdev", F.lit(0.001)).alias("_sd")
     )
     return (
-        records.join(s, list(keys))
+        records.join(settle(s), list(keys))
         .withColumn(out, (F.col(value) - F.col("_mean")) / F.col("_sd"))
         .drop("_mean", "_sd")
     )
@@ -182,7 +183,7 @@ def normalise(
     """Scale each series to 0..1; a constant series becomes 0.5."""
     v = not_nan(F.col(value))
     limits = points.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    return scale_to_unit(points.join(limits, list(keys)), value, out)
+    return scale_to_unit(points.join(settle(limits), list(keys)), value, out)
 
 
 def scale_to_unit(points: DataFrame, value: str, out: str) -> DataFrame:
@@ -262,7 +263,7 @@ def time_slice(records: DataFrame, bounds: DataFrame, keys: Sequence[str] = (LOG
     """The records inside each log's window."""
     b = bounds.select(*keys, "t_low", "t_high")
     return (
-        records.join(b, list(keys))
+        records.join(settle(b), list(keys))
         .filter(F.col(T).between(F.col("t_low"), F.col("t_high")))
         .drop("t_low", "t_high")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import CHANNEL, EPSILON, IDX, LOG, T, VALUE, is_finite, not_nan
 from telemetra.operators.layout import CHUNK_ROWS, order_buckets
+from telemetra.session import settle
 
 
 def exact_median(
@@ -20,7 +21,7 @@ def exact_median(
     keys, whose values must not meet in one buffer, are ranked in buckets.
     """
     keys = list(keys)
-    large = (
+    large = settle(
         df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") > rows).select(*keys)
     )
     small = df.join(large, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias("median"))
@@ -188,7 +189,9 @@ def residuals(
 ) -> DataFrame:
     """y minus its regression on x, per record; logs under two records have none."""
     fit = linear_fit(df, x, y, keys).filter(F.col("n") >= 2)
-    line = fit.select(*keys, F.col("slope").alias("_slope"), F.col("intercept").alias("_icpt"))
+    line = settle(
+        fit.select(*keys, F.col("slope").alias("_slope"), F.col("intercept").alias("_icpt"))
+    )
     return (
         df.join(line, list(keys))
         .withColumn(out, F.col(y) - (F.col("_slope") * F.col(x) + F.col("_icpt")))

@@ -21,7 +21,7 @@ from telemetra.functions import engine
 from telemetra.functions.formula import find_channel
 from telemetra.operators import recurrence, series, stats
 from telemetra.operators.layout import CHUNK_ROWS, log_sizes
-from telemetra.session import constant_table
+from telemetra.session import constant_table, settle
 
 VALUE = "value"
 
@@ -423,7 +423,7 @@ class Registry:
 
         columns = [resolved[c] for c in analyzer.channels]
         present = [F.count(c).alias(f"_has_{i}") for i, c in enumerate(columns)]
-        facts = records.groupBy(LOG).agg(F.count(F.lit(1)).alias("_size"), *present)
+        facts = settle(records.groupBy(LOG).agg(F.count(F.lit(1)).alias("_size"), *present))
         least = analyzer.min_records(settings)
         early = facts.select(
             LOG,

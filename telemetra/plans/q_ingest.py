@@ -459,3 +459,22 @@ def append_derived_channel(spark, sf):
     derived = moving_average(rec, "value", 5)
     out = append_channel(to_samples(rec, ["value", "k"]), derived, "value (MA5)", "moving_average")
     return out.select(LOG, IDX, CHANNEL, rounded(F.col(VALUE)).alias(VALUE))
+
+
+@query(
+    "union_of_logs",
+    f"""WITH {EVENTS_CTE}, {LINES_CTE}
+SELECT 'events' AS source, log_id, idx, value, k, NULL::DOUBLE AS quantity FROM e
+UNION ALL SELECT 'lines', log_id, idx, NULL, NULL, quantity FROM l""",
+)
+def union_of_logs(spark, sf):
+    """Logs with different channels in one frame; absent channels are NULL."""
+    from telemetra.frame import union_logs
+
+    events = tables.event_records(spark, sf).select(
+        F.lit("events").alias("source"), LOG, IDX, "value", "k"
+    )
+    lines = tables.line_records(spark, sf).select(
+        F.lit("lines").alias("source"), LOG, IDX, "quantity"
+    )
+    return union_logs(events, lines)

@@ -380,3 +380,26 @@ def cell_at_cursor(spark, sf):
         cells, bounds, "px", "py", 16, 16,
     )
     return at.select(LOG, IDX, "x_bin", "y_bin", "hits")
+
+
+@query(
+    "scatter_cell_at_point",
+    _hist_sql(
+        LINES_CTE, "l", "quantity", "tax", 64, 64, rule="round",
+        extra="""SELECT p.log_id, p.idx, p.x_bin, p.y_bin, h.hits FROM
+ (SELECT l.log_id, l.idx, CAST(round((quantity - x_min) / x_range * 63.0) AS INTEGER) AS x_bin,
+    CAST(round((tax - y_min) / y_range * 63.0) AS INTEGER) AS y_bin FROM l JOIN r USING (log_id)) p
+ JOIN (SELECT log_id, x_bin, y_bin, count(*) AS hits FROM d GROUP BY ALL) h
+ ON h.log_id = p.log_id AND h.x_bin = p.x_bin AND h.y_bin = p.y_bin""",
+    ),
+)
+def scatter_cell_at_point(spark, sf):
+    """The scatter cell (nearest grid line) under every record."""
+    rec = tables.line_records(spark, sf)
+    cells = binning.hist2d(rec, "quantity", "tax", columns=64, rows=64, rule="round")
+    bounds = binning.axis_bounds(rec, "quantity", "tax")
+    at = binning.cells_at_points(
+        rec.select(LOG, IDX, F.col("quantity").alias("px"), F.col("tax").alias("py")),
+        cells, bounds, "px", "py", 64, 64, "round",
+    )
+    return at.select(LOG, IDX, "x_bin", "y_bin", "hits")

@@ -69,7 +69,17 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
-_INGESTED: dict[tuple, str] = {}
+def settle(small: DataFrame) -> DataFrame:
+    """Compute a per-log or per-chunk table before the rows are joined to it.
+
+    Read back from files, its size is known to the planner, which broadcasts it
+    below Spark's threshold.  Left lazy, it would have no known size, and the
+    rows would be shuffled by log before adaptive execution could tell.
+    """
+    return materialise(small, "small")
+
+
+_INGESTED: dict[tuple, tuple] = {}
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -82,7 +92,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ingest_once(
@@ -92,9 +102,11 @@ def ingest_once(
     key = (spark.sparkContext.applicationId, source, label)
     if key not in _INGESTED:
         path = scratch_dir(spark, label)
-        build().write.parquet(path)
-        _INGESTED[key] = path
-    return spark.read.parquet(_INGESTED[key])
+        built = build()
+        built.write.parquet(path)
+        _INGESTED[key] = (path, built.schema)
+    path, schema = _INGESTED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def constant_table(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType) -> DataFrame:

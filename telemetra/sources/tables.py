@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
 from telemetra.operators.layout import CHUNK_ROWS, with_record_index
-from telemetra.session import ingest_once
+from telemetra.session import ingest_once, settle
 
 _EPOCH = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})"
 
@@ -41,7 +41,7 @@ def rebase(
     base = df if source is None else source
     first = base.groupBy(*keys).agg(F.min_by(raw, F.struct(*order)).alias("_first"))
     return (
-        df.join(first, list(keys))
+        df.join(settle(first), list(keys))
         .withColumn(T, (F.col(raw) - F.col("_first")) / F.lit(unit))
         .drop("_first")
     )

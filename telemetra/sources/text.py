@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from telemetra.frame import CHANNEL, IDX, LOG, T, VALUE
 from telemetra.functions import decode
 from telemetra.operators.layout import CHUNK_ROWS, hold_last, index_in_buckets
-from telemetra.session import materialise
+from telemetra.session import materialise, settle
 
 # The shapes that mark data rows.
 CLOCK_ROW = r"^\d{1,2}:\d{2}:\d{2}"
@@ -155,8 +155,8 @@ def _tail(cells: Column) -> Column:
 
 
 def _small(header: DataFrame) -> DataFrame:
-    """Header facts, written once so the text is not scanned again for each use."""
-    return materialise(header, "header")
+    """Header facts, computed once so the text is not scanned again for each use."""
+    return settle(header)
 
 
 def _logs(lines: DataFrame, kind: str, meta: DataFrame | None = None) -> DataFrame:
@@ -199,7 +199,7 @@ def _finish(parsed: DataFrame, rebase: bool, ragged: bool) -> DataFrame:
     out = index_in_buckets(kept.drop("_width"), "_bucket", [F.col("line_no")])
     if not rebase:
         return out.select(LOG, IDX, F.col("_t").alias(T), "cells")
-    first = readable.groupBy(LOG).agg(F.min_by("_t", "line_no").alias("_t0"))
+    first = settle(readable.groupBy(LOG).agg(F.min_by("_t", "line_no").alias("_t0")))
     return out.join(first, LOG).select(
         LOG, IDX, (F.col("_t") - F.col("_t0")).alias(T), "cells"
     )
