@@ -16,7 +16,8 @@ import xxhash
 
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +121,12 @@ def gram_hashes(units: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     count = max(len(units) - n + 1, 0)
     if not count:
         return np.zeros(0, np.uint64)
-    factor = _BASE + U64(2 * seed)
+    factor = U64((_BASE + 2 * seed) & _MASK)
     out = units[:count].copy()
     for j in range(1, n):
         out *= factor
         out += units[j : j + count]
-    return mix(out + U64(n) * _BASE)
+    return mix(out + U64(n * _BASE & _MASK))
 
 
 def starts_of_windows(rows: np.ndarray, size: int, total: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from telemetra.llm import arrays
-from telemetra.llm.common import local_file, ship_file
+from telemetra.llm.common import local_file, schema_with, ship_file, with_column
 from telemetra.llm.pretoken import WordCodes
 from telemetra.session import ship_package
 
@@ -150,20 +150,6 @@ def _codes(name: str) -> WordCodes:
     return WordCodes(vocabulary.encode_words, vocabulary.special)
 
 
-def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    at = batch.schema.get_field_index(name)
-    if at >= 0:
-        return batch.set_column(at, name, column)
-    return batch.append_column(name, column)
-
-
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    fields = [f for f in df.schema.fields if f.name != name]
-    if len(fields) < len(df.columns):
-        return T.StructType([T.StructField(name, kind) if f.name == name else f for f in df.schema])
-    return T.StructType([*fields, T.StructField(name, kind)])
-
-
 def encode(
     docs: DataFrame, tokenizer: str, text: str = "text", ids_column: str = "ids"
 ) -> DataFrame:
@@ -176,9 +162,9 @@ def encode(
         for part in arrays.slices(batches, text):
             ids, at = codes.texts(*arrays.flat(part.column(text)))
             raw = ids.astype("<u4").view(np.uint8)
-            yield _with_column(part, ids_column, arrays.binary_array(raw, at * 4))
+            yield with_column(part, ids_column, arrays.binary_array(raw, at * 4))
 
-    return docs.mapInArrow(run, _schema(docs, ids_column, T.BinaryType()))
+    return docs.mapInArrow(run, schema_with(docs, ids_column, T.BinaryType()))
 
 
 def decode(
@@ -198,6 +184,6 @@ def decode(
                 whole[a:b].decode("utf-8", "replace")
                 for a, b in zip(end[:-1], end[1:], strict=True)
             ]
-            yield _with_column(part, text, pa.array(texts, pa.string()))
+            yield with_column(part, text, pa.array(texts, pa.string()))
 
-    return coded.mapInArrow(run, _schema(coded, text, T.StringType()))
+    return coded.mapInArrow(run, schema_with(coded, text, T.StringType()))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemetra.session import scratch_dir
 
@@ -49,3 +51,19 @@ def drop_staged(spark: SparkSession) -> None:
 def own_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that other names cannot clash."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    """The batch with a column added, or replaced if it has one of that name."""
+    at = batch.schema.get_field_index(name)
+    if at >= 0:
+        return batch.set_column(at, name, column)
+    return batch.append_column(name, column)
+
+
+def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of such batches."""
+    fields = [f for f in df.schema.fields if f.name != name]
+    if len(fields) < len(df.columns):
+        return T.StructType([T.StructField(name, kind) if f.name == name else f for f in df.schema])
+    return T.StructType([*fields, T.StructField(name, kind)])
