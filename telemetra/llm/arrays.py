@@ -169,3 +169,64 @@ def binary_array(parts: np.ndarray, at: np.ndarray, text: bool = False) -> pa.Ar
 def signed(h: np.ndarray) -> np.ndarray:
     """The same bits as Spark's long."""
     return h.view(np.int64)
+
+
+def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
+    """Minimum of each run of ``span`` values, by runs of doubled length."""
+    width = 1
+    while 2 * width <= span:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def anchors(
+    units: np.ndarray, rows: np.ndarray, size: int, gram: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed anchors: (first window, number of windows, hash) of each run.
+
+    The anchor of a window of ``size`` units is the leftmost of its grams of least
+    hash, so equal windows choose the same gram wherever they stand.  Windows in
+    a row with one anchor are a run; none crosses texts.
+    """
+    none = np.zeros(0, np.int64)
+    if len(units) < size:
+        return none, none, np.zeros(0, np.uint64)
+    grams = gram_hashes(units, gram)
+    low = U64((1 << len(grams).bit_length()) - 1)
+    ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    least = sliding_min(ranked, size - gram + 1)
+    spot = np.flatnonzero(starts_of_windows(rows, size, len(units))[: len(least)])
+    if not len(spot):
+        return none, none, np.zeros(0, np.uint64)
+    place = (least[spot] & low).astype(np.int64)
+    new = np.r_[True, (np.diff(place) != 0) | (np.diff(spot) != 1)]
+    begin = np.flatnonzero(new)
+    count = np.diff(np.r_[begin, len(spot)])
+    return spot[begin], count, grams[place[begin]]
+
+
+def span_hashes(units: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the runs low .. high of units, equal for equal runs."""
+    factor = 0xD1342543DE82EF95
+    inverse = U64(pow(factor, -1, 1 << 64))
+
+    def powers(base: np.uint64) -> np.ndarray:
+        out = np.full(len(units) + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    total = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(mix(units) * powers(U64(factor))[:-1], out=total[1:])
+    value = (total[high] - total[low]) * powers(inverse)[low]
+    return mix(value + (high - low).astype(np.uint64) * U64(_BASE))
+
+
+def runs(starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Consecutive starts of one owner as (index of the first, length); both sorted, distinct."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.r_[True, (np.diff(starts) != 1) | (np.diff(owner) != 0)]
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.r_[begin, len(starts)])

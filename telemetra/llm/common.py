@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,39 @@ def own_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns and a key (_doc, _tie) that tells different texts apart.
+
+    _doc is the id, NO_ID for null.  _tie is 0 unless rows share the id; then it is a
+    hash of the text, so that equal rows have equal keys and others an order.
+    """
+    rows = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    shared = rows.groupBy("_doc").agg(F.count("*").alias("_n")).filter("_n > 1")
+    shared = stage(shared.select("_doc", F.lit(True).alias("_shared")), "shared")
+    tie = F.when(F.col("_shared"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).otherwise(0)
+    return rows.join(shared, "_doc", "left").withColumn("_tie", tie.cast("long")).drop("_shared")
+
+
+def span_table(verdicts: DataFrame) -> DataFrame:
+    """Rows (_doc, _tie, pos, m) of runs of m window starts, as one list for each document."""
+    return verdicts.groupBy("_doc", "_tie").agg(
+        F.collect_list(F.struct("pos", "m")).alias("_spans")
+    )
+
+
+def span_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, m) of the lists of such a column; a null has none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    inner = pc.list_flatten(column)
+    row = np.repeat(np.arange(len(column)), size)
+    return row, inner.field("pos").to_numpy(), inner.field("m").to_numpy()
+
+
 def with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     """The batch with a column added, or replaced if it has one of that name."""
     at = batch.schema.get_field_index(name)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import bpe, chat, decontaminate, quality, sharding, token_store, toxicity
+from telemetra.llm import bpe, chat, decontaminate, quality, sharding, substrings, token_store, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id",
+        "repeats.n_words",
+        "repeats.n_removed",
+        F.sha2(F.encode("repeats.kept", "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     threads = chat.thread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return threads.drop("text")
@@ -83,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_substrings": op6_substrings,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,

@@ -35,11 +35,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from telemetra.llm import arrays
-from telemetra.llm.common import local_file, own_columns, ship_file, stage
+from telemetra.llm.common import NO_ID, local_file, own_columns, ship_file, stage
 from telemetra.llm.pretoken import WordCodes
 from telemetra.session import scratch_dir, ship_package
 
-NO_ID = -(1 << 63)
 #: Text bytes after which a block is closed.
 BLOCK_BYTES = 2 << 20
 
