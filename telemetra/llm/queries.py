@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import bpe, chat, decontaminate, quality, sharding, substrings, token_store, toxicity
+from telemetra.llm import bpe, bytedup, chat, decontaminate, quality, sharding, substrings, token_store, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,6 +88,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return bytedup.remove_repeats(docs).select(
+        "doc_id",
+        "repeats.n_bytes",
+        "repeats.n_removed",
+        "repeats.n_spans",
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_bpe": op3_bpe,
@@ -97,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_arrays": op10_suffix_arrays,
 }
 
 ORACLE_SQL: dict[str, str] = {}
