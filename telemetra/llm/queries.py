@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm import bpe, bytedup, chat, decontaminate, quality, sharding, substrings, token_store, toxicity
+from telemetra.llm import (
+    bpe,
+    bytedup,
+    chat,
+    decontaminate,
+    neardup,
+    quality,
+    sharding,
+    substrings,
+    token_store,
+    toxicity,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +35,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), words=4, percent=80)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     coded = bpe.encode(docs, TOKENIZER).select("doc_id", "ids")
@@ -101,6 +116,7 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
