@@ -4,20 +4,21 @@ A window is ``size`` bytes of one document; a byte is removed if a window that
 covers it also occurs in a document of smaller id.
 
 1. Route.  Each window has one anchor, the least of its byte grams (winnowing), so
-   equal windows share it.  Anchors are counted by the documents they occur in; a
-   window whose anchor is in one document only cannot repeat and goes no further.
-2. Shard.  Each run of windows with a repeated anchor becomes a short string, the
-   bytes its windows span, and goes to the shards of its anchor's bucket.  A shard
-   holds at most ``SHARD_BYTES`` of different strings in memory.
+   equal windows share it.  Each run of windows with one anchor spans a short
+   string.  Runs meet by anchor; equal strings (64-bit hashes of anchor and span)
+   are one, for which its smallest document stands: the runs of larger documents
+   are repeats from end to end.  Anchors left with strings of one document only
+   cannot repeat further and stay behind.
+2. Shard.  The other strings, the bytes of one run each, go to the shards of their
+   anchor.  A shard holds about ``SHARD_BYTES`` in memory.
 3. Per shard.  A suffix array by Larsson-Sadakane refinement and Kasai's common
    prefixes: neighbours that share ``size`` bytes are one window.  Each knows its
    smallest document.
 4. Across shards.  An anchor with more strings than a shard takes goes on into the
    next; the sorted windows of its earlier shards are searched by bisection.
 
-A string that many documents hold is kept once per task before the shuffle, with
-its smallest document, where more than ``HOT`` do, so a hot passage costs few rows
-per task.  Nothing is paired, and only windows with repeated anchors travel.
+Equal strings of a task are one before the shuffle, so a hot passage costs a row
+for each task.  Nothing is paired.  Anchors travel packed, as columns of a block.
 
 Order, nulls, repeated ids and rows, empty tables and columns are as in
 ``substrings``: place by doc_id (null first), for different texts with one id by a
@@ -40,12 +41,10 @@ from telemetra.llm.common import keyed, schema_with, span_arrays, span_table, wi
 from telemetra.session import ship_package
 
 GRAM = 16
-#: Different strings of a shard, in bytes.
+#: Strings of a shard, in bytes.
 SHARD_BYTES = 2 << 20
-#: Documents of one task above which an equal string is kept once.
-HOT = 16
+#: Anchors after which a task drops equal strings and hands on the rest.
 HELD = 1 << 20
-BUCKETS_PER_PARTITION = 64
 
 RESULT = T.StructType(
     [
@@ -59,13 +58,6 @@ RESULT = T.StructType(
 #: A 64-bit unit for each byte value.
 _UNITS = arrays.mix(np.arange(1, 257, dtype=np.uint64))
 
-_ANCHOR = "bucket int, hash int, _doc long, _tie long, place long, sure boolean"
-_ANCHOR_ARROW = pa.schema([
-    ("bucket", pa.int32()), ("hash", pa.int32()), ("_doc", pa.int64()), ("_tie", pa.int64()),
-    ("place", pa.int64()), ("sure", pa.bool_()),
-])
-#: place = first window * 256 + number of windows; a run has at most size - GRAM + 1
-_STEP = 256
 
 
 def _batch(schema: pa.Schema, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -75,40 +67,86 @@ def _batch(schema: pa.Schema, *columns: np.ndarray | pa.Array) -> pa.RecordBatch
     )
 
 
+#: Columns of a block of runs; ``m`` counts windows and is under 128.
+_RUN = (
+    ("hash", "<u4"), ("span", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("pos", "<u4"), ("m", "u1"),
+)
+_BLOCK = "deal int, sure boolean, n int, block binary"
+_BLOCK_ARROW = pa.schema(
+    [("deal", pa.int32()), ("sure", pa.bool_()), ("n", pa.int32()), ("block", pa.binary())]
+)
+
+
+def _packed(columns: dict[str, np.ndarray]) -> bytes:
+    """Columns one after the other, each as planes of equal bytes, which compress well."""
+    planes = []
+    for name, kind in _RUN:
+        value = np.ascontiguousarray(columns[name].astype(kind))
+        planes.append(value.view(np.uint8).reshape(len(value), -1).T.tobytes())
+    return b"".join(planes)
+
+
+def _unpacked(block: bytes, n: int) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, kind in _RUN:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(block, np.uint8, n * width, at).reshape(width, n)
+        out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+        at += n * width
+    return out
+
+
+def _firsts(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Runs in order of (hash, span, place), and which are in a larger document than an equal one."""
+    order = np.lexsort((c["pos"], c["tie"], c["doc"], c["span"], c["hash"]))
+    c = {k: v[order] for k, v in c.items()}
+    new = np.r_[True, (c["hash"][1:] != c["hash"][:-1]) | (c["span"][1:] != c["span"][:-1])]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return c, (c["doc"] != c["doc"][head]) | (c["tie"] != c["tie"][head])
+
+
 class _Anchors:
-    """Anchors of a task, without the copies of hot strings."""
+    """Runs of a task."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.parts: list[dict[str, np.ndarray]] = []
         self.size = 0
 
-    def add(self, *columns: np.ndarray) -> None:
-        """gram hash, span hash, _doc, _tie, place"""
+    def add(self, **columns: np.ndarray) -> None:
         self.parts.append(columns)
-        self.size += len(columns[0])
+        self.size += len(columns["pos"])
 
-    def flush(self, buckets: int) -> Iterator[pa.RecordBatch]:
+    def flush(self, deals: int) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        gram, span, doc, tie, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        rows = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
         self.__init__()
-        order = np.lexsort((place, tie, doc, span, gram))
-        gram, span, doc, tie, place = (c[order] for c in (gram, span, doc, tie, place))
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])]
-        begin = np.flatnonzero(new)
-        head = np.repeat(begin, np.diff(np.r_[begin, len(gram)]))
-        other = (doc != doc[head]) | (tie != tie[head])
-        own = np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])] | new
-        docs = np.add.reduceat(own.astype(np.int64), begin)
-        sure = other & (np.repeat(docs, np.diff(np.r_[begin, len(gram)])) > HOT)
-        deal = np.where(sure, arrays.mix(doc.astype(np.uint64) + place.astype(np.uint64)), gram)
-        mixed = arrays.mix(deal)
-        bucket = (mixed % np.uint64(buckets)).astype(np.int32)
-        short = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        yield _batch(_ANCHOR_ARROW, bucket, short, doc, tie, place, sure)
-
-
-def _anchors(size: int, buckets: int):  # noqa: ANN202
+        rows["hash"] = rows["gram"]  # whole here, 32 bits beside the partition from here on
+        rows, sure = _firsts(rows)
+        mixed = arrays.mix(rows["gram"])
+        deal = (mixed % np.uint64(deals)).astype(np.int64)
+        by_doc = arrays.mix(rows["doc"].astype(np.uint64)) % np.uint64(deals)
+        deal = np.where(sure, by_doc.astype(np.int64), deal)
+        rows["hash"] = mixed >> np.uint64(32)
+        order = np.lexsort((rows["pos"], rows["tie"], rows["doc"], deal, sure))
+        key = (sure * deals + deal)[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            part = order[low:high]
+            block = _packed({name: rows[name][part] for name, _ in _RUN})
+            yield _batch(
+                _BLOCK_ARROW, deal[part[:1]], sure[part[:1]], np.array([high - low]),
+                pa.array([block], pa.binary()),
+            )
+
+
+def _routes(gram: np.ndarray, deals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Partition and short hash of anchors."""
+    mixed = arrays.mix(gram)
+    return (mixed % np.uint64(deals)).astype(np.int32), (mixed >> np.uint64(32)).astype(np.uint32)
+
+
+def _anchors(size: int, deals: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Anchors()
         for part in arrays.slices(batches, "text"):
@@ -118,78 +156,104 @@ def _anchors(size: int, buckets: int):  # noqa: ANN202
             text = np.searchsorted(at, first, side="right") - 1
             span = arrays.span_hashes(units, first, first + count + size - 1)
             doc, tie = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_tie"))
-            rows.add(gram, span, doc[text], tie[text], (first - at[text]) * _STEP + count)
+            rows.add(
+                gram=gram, span=span, doc=doc[text], tie=tie[text], pos=first - at[text], m=count
+            )
             if rows.size > HELD:
-                yield from rows.flush(buckets)
-        yield from rows.flush(buckets)
+                yield from rows.flush(deals)
+        yield from rows.flush(deals)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, hash, place): those of anchors in several documents.
+_LIST = "_doc long, _tie long, pos binary, code binary"
+_LIST_ARROW = pa.schema(
+    [("_doc", pa.int64()), ("_tie", pa.int64()), ("pos", pa.binary()), ("code", pa.binary())]
+)
+
 
-    Rows of the first document of an anchor wait until a second document shows.
-    """
-    waiting: list[pa.RecordBatch] = []
-    key = first = None
-    shown = False  # the anchor that is open has a second document
+def _lists(c: dict[str, np.ndarray], sure: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs by document: places, and m * 2 + 1 for a repeat or m * 2 for a string to compare."""
+    if not len(sure):
+        return
+    order = np.lexsort((c["pos"], c["tie"], c["doc"]))
+    doc, tie, pos = (c[k][order] for k in ("doc", "tie", "pos"))
+    code = (c["m"].astype(np.uint8) * 2 + sure)[order].astype(np.uint8)
+    begin = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(tie) != 0)])
+    at = np.r_[begin, len(doc)]
+    raw = pos.astype("<u4").view(np.uint8)
+    yield _batch(
+        _LIST_ARROW, doc[begin], tie[begin], arrays.binary_array(raw, at * 4),
+        arrays.binary_array(code, at),
+    )
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a partition's anchors: repeats, and strings to compare."""
+    held = []
     for batch in batches:
-        bucket, short, doc, tie, place, sure = (
-            c.to_numpy(zero_copy_only=False) for c in batch.columns
-        )
-        n = len(bucket)
-        kind = sure.astype(np.int64)
-        new = np.r_[True, (np.diff(bucket) != 0) | (np.diff(short) != 0) | (np.diff(kind) != 0)]
-        goes_on = key == (bucket[0], short[0], kind[0])
-        begin = np.flatnonzero(new)
-        size = np.diff(np.r_[begin, n])
-        several = (doc != np.repeat(doc[begin], size)) | (tie != np.repeat(tie[begin], size))
-        several = np.logical_or.reduceat(several, begin)
-        if goes_on:
-            several[0] |= shown or first != (doc[0], tie[0])
-            if several[0]:
-                yield from waiting
-        if not goes_on or several[0] or len(begin) > 1:
-            waiting = []
-        out = np.repeat(several, size) | sure
-        last = begin[-1]
-        if not several[-1] and not sure[-1]:
-            waiting.append(batch.slice(last))
-        if len(begin) > 1 or not goes_on:
-            first = (doc[last], tie[last])
-        shown = bool(several[-1])
-        key = (bucket[last], short[last], kind[last])
-        yield batch.filter(pa.array(out))
-
-
-_STRING = "bucket int, hash int, _doc long, _tie long, pos int, m int, string binary"
+        for row in batch.to_pylist():
+            columns = _unpacked(row["block"], row["n"])
+            if row["sure"]:
+                yield from _lists(columns, np.ones(row["n"], bool))
+            else:
+                held.append(columns)
+    if not held:
+        return
+    c, sure = _firsts({k: np.concatenate([h[k] for h in held]) for k, _ in _RUN})
+    held.clear()
+    # strings of one anchor are compared if they stand for several documents
+    left = {k: v[~sure] for k, v in c.items()}
+    begin = np.flatnonzero(np.r_[True, np.diff(left["hash"].astype(np.int64)) != 0])
+    size = np.diff(np.r_[begin, len(left["hash"])])
+    other = (left["doc"] != np.repeat(left["doc"][begin], size)) | (
+        left["tie"] != np.repeat(left["tie"][begin], size)
+    )
+    open_ = np.zeros(len(sure), bool)
+    open_[~sure] = np.repeat(np.logical_or.reduceat(other, begin), size)
+    out = sure | open_
+    yield from _lists({k: v[out] for k, v in c.items()}, sure[out])
+
+
+def _runs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, code) of lists of (pos, code) blocks; a null has none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    inner = pc.list_flatten(column)
+    pos, _ = arrays.flat(inner.field("pos"))
+    code, at = arrays.flat(inner.field("code"))
+    row = np.repeat(np.repeat(np.arange(len(column)), size), np.diff(at))
+    return row, np.ascontiguousarray(pos).view("<u4").astype(np.int64), code.astype(np.int64)
+
+
+_STRING = "deal int, hash long, _doc long, _tie long, pos int, m int, string binary"
 _STRING_ARROW = pa.schema([
-    ("bucket", pa.int32()), ("hash", pa.int32()), ("_doc", pa.int64()), ("_tie", pa.int64()),
+    ("deal", pa.int32()), ("hash", pa.int64()), ("_doc", pa.int64()), ("_tie", pa.int64()),
     ("pos", pa.int32()), ("m", pa.int32()), ("string", pa.binary()),
 ])
 
 
-def _strings(size: int):  # noqa: ANN202
-    """The bytes that each routed run of windows spans."""
+def _strings(size: int, deals: int):  # noqa: ANN202
+    """The bytes of the runs to compare, to the partitions where their anchors met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", 1 << 20):
+            row, pos, code = _runs_of(part.column("_runs"))
+            open_ = code % 2 == 0
+            row, pos, m = row[open_], pos[open_], code[open_] // 2
+            if not len(row):
+                continue
             data, at = arrays.flat(part.column("text"))
-            column = part.column("_spans")
-            rows = np.repeat(
-                np.arange(part.num_rows), pc.list_value_length(column).to_numpy()
-            )
-            inner = pc.list_flatten(column)
-            bucket, short, place = (inner.field(c).to_numpy() for c in ("bucket", "hash", "place"))
-            pos, m = place // _STEP, place % _STEP
-            low = at[rows] + pos
+            first, _, gram = arrays.anchors(_UNITS[data], at, size, min(GRAM, size))
+            low = at[row] + pos
+            deal, short = _routes(gram[np.searchsorted(first, low)], deals)
             length = m + size - 1
             end = np.r_[0, np.cumsum(length)]
             source = np.repeat(low - end[:-1], length) + np.arange(end[-1])
             doc, tie = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_tie"))
             yield _batch(
-                _STRING_ARROW, bucket, short, doc[rows], tie[rows], pos, m,
+                _STRING_ARROW, deal, short.astype(np.int64), doc[row], tie[row], pos, m,
                 arrays.binary_array(data[source], end),
             )
 
@@ -197,7 +261,7 @@ def _strings(size: int):  # noqa: ANN202
 
 
 class _Shard:
-    """Strings of one or more anchors, in the order (bucket, hash, document)."""
+    """Strings of one or more anchors, in the order (deal, hash, document)."""
 
     def __init__(self, rows: pa.Table, size: int):
         self.size = size
@@ -283,7 +347,7 @@ _SPAN_ARROW = pa.schema(
 
 
 def _judge(size: int):  # noqa: ANN202
-    """Strings sorted by (bucket, hash, document) to runs of repeated windows."""
+    """Strings sorted by (deal, hash, document) to runs of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -339,50 +403,43 @@ def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield left
 
 
-def repeats(docs: DataFrame, size: int) -> DataFrame:
-    """(_doc, _tie, _spans): runs of repeated windows of keyed documents."""
-    deal = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = deal * BUCKETS_PER_PARTITION
+def repeats(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of repeated windows of keyed documents: (_doc, _tie, _runs) whose odd codes are
+    repeats, and (_doc, _tie, _spans)."""
+    deals = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("_doc", "_tie", "text")
-    met = texts.mapInArrow(_anchors(size, buckets), _ANCHOR).repartition(deal, "bucket")
-    routed = met.sortWithinPartitions("bucket", "hash", "sure", "_doc", "_tie").mapInArrow(
-        _repeated, _ANCHOR
-    )
+    blocks = texts.mapInArrow(_anchors(size, deals), _BLOCK).repartition(deals, "deal")
     # both uses read whole lists and whole rows, so each exchange is made once
-    lists = routed.groupBy("_doc", "_tie").agg(
-        F.collect_list(F.struct("bucket", "hash", "place", "sure")).alias("_runs")
-    )
-    opened = docs.join(lists, ["_doc", "_tie"]).withColumn(
-        "_spans", F.filter("_runs", lambda r: ~r["sure"])
-    )
-    strings = opened.filter(F.size("_spans") > 0).mapInArrow(_strings(size), _STRING)
-    sharded = strings.repartition(deal, "bucket").sortWithinPartitions(
-        "bucket", "hash", "_doc", "_tie", "pos"
+    lists = (
+        blocks.mapInArrow(_met, _LIST)
+        .groupBy("_doc", "_tie")
+        .agg(F.collect_list(F.struct("pos", "code")).alias("_runs"))
     )
-    found = sharded.mapInArrow(_judge(size), _SPAN)
-    sure = lists.select("_doc", "_tie", F.explode(F.filter("_runs", lambda r: r["sure"])).alias("r"))
-    known = sure.select(
-        "_doc",
-        "_tie",
-        F.floor(F.col("r.place") / _STEP).cast("int").alias("pos"),
-        (F.col("r.place") % _STEP).cast("int").alias("m"),
+    strings = docs.join(lists, ["_doc", "_tie"]).mapInArrow(_strings(size, deals), _STRING)
+    sharded = strings.repartition(deals, "deal").sortWithinPartitions(
+        "deal", "hash", "_doc", "_tie", "pos"
     )
-    return span_table(found.unionByName(known))
+    return lists, span_table(sharded.mapInArrow(_judge(size), _SPAN))
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> DataFrame:
     """Adds a struct: n_bytes, n_removed, n_spans (removed runs), kept (bytes left), text (decoded)."""
     ship_package(docs.sparkSession)
-    if size - min(GRAM, size) + 1 >= _STEP:
-        raise ValueError(f"size must be under {_STEP + GRAM - 1}")
+    if size - min(GRAM, size) + 1 >= 128:
+        raise ValueError(f"size must be under {128 + GRAM - 1}")
     rows = keyed(docs.drop(into))
-    joined = rows.join(repeats(rows, size), ["_doc", "_tie"], "left")
+    lists, compared = repeats(rows, size)
+    key = ["_doc", "_tie"]
+    joined = rows.join(lists, key, "left").join(compared, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text"):
             data, at = arrays.flat(part.column("text"))
-            row, pos, m = span_arrays(part.column("_spans"))
-            gone = arrays.covered(at[row] + pos, m + size - 1, len(data))
+            row, pos, code = _runs_of(part.column("_runs"))
+            sure = code % 2 == 1
+            row2, pos2, m2 = span_arrays(part.column("_spans"))
+            row, pos = np.r_[row[sure], row2], np.r_[pos[sure], pos2]
+            gone = arrays.covered(at[row] + pos, np.r_[code[sure] // 2, m2] + size - 1, len(data))
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             opens = at[:-1][at[1:] > at[:-1]]
@@ -399,4 +456,4 @@ def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> Da
             )
             yield with_column(part, into, column)
 
-    return joined.mapInArrow(run, schema_with(joined, into, RESULT)).drop("_doc", "_tie", "_spans")
+    return joined.mapInArrow(run, schema_with(joined, into, RESULT)).drop("_doc", "_tie", "_runs", "_spans")
