@@ -14,9 +14,9 @@ their sets' Jaccard similarity is ``percent`` or more; a group is what links con
    drops pairs six standard errors below the threshold; the others are confirmed on
    their full sets.
 4. The rest.  Buckets that still hold several components are compared across
-   components.  Where that would be over ``DENSE`` pairs a member, an exact bound comes
-   first: shingles that no other class of such buckets has cannot be shared, so sets
-   with too many of them, by the sizes of both sets, have no partner.
+   components.  Where that would be over ``DENSE`` pairs a member, classes are compared
+   only if they share one of their rarest shingles, as linked sets must (an exact
+   bound from both sizes); in a group of near copies those are the edits.
 5. Components by star contraction.
 
 A class that many are compared with is repeated over salted tasks.  What a task
@@ -36,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.llm import arrays
@@ -48,7 +48,7 @@ REGISTERS = 256
 BANDS, ROWS = 48, 5
 MANTISSA = 10
 #: Pairs a member above which a bucket is bounded first.
-DENSE = 64
+DENSE = 4
 #: Comparisons of one class in one task.
 PER_TASK = 512
 
@@ -319,43 +319,54 @@ class _Groups:
         open_ = sized.join(buckets.select("key", "main", "dense"), "key")
         sizes = self.classes.select("cid", "n")
         open_ = stage(open_.join(sizes, "cid"), "open")
-        light = open_.filter("NOT dense").withColumn("share", F.col("n"))
-        heavy = open_.filter("dense")
-        if not heavy.isEmpty():
-            heavy = heavy.join(self._shareable(heavy.select("cid").distinct()), "cid")
-            # a class must share 4 / 9 of both sizes; the partner is no smaller than the least
-            least = heavy.groupBy("key").agg(F.min("n").alias("least"))
-            heavy = heavy.join(least, "key").filter(
-                self._enough("share", "n", F.greatest("least", F.col("n") * self.percent / 100))
-            )
-            light = light.unionByName(heavy.select(light.columns))
-        a, b = light.filter("component <> main").alias("a"), light.alias("b")
+        pairs = self._across(open_.filter("NOT dense").select("key", "cid", "component", "n"))
+        dense = open_.filter("dense")
+        if dense.isEmpty():
+            return pairs
+        return pairs.unionByName(self._across(self._rare(dense))).distinct()
+
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Pairs of different components that share a key and whose sizes allow a link."""
+        counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        main = counts.groupBy("key").agg(
+            F.max_by("component", F.struct("c", "component")).alias("main")
+        )
+        b = rows.join(main, "key")  # members of the largest component meet the others only
+        a = b.filter("component <> main")
+        a, b = a.alias("a"), b.alias("b")
         cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
         once = (F.col("b.component") == F.col("b.main")) | (F.col("a.cid") < F.col("b.cid"))
-        fits = self._enough("a.share", "a.n", F.col("b.n")) & self._enough("b.share", "b.n", F.col("a.n"))
-        pairs = a.join(b, cross & once & fits)
+        low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+        pairs = a.join(b, cross & once & (100 * low >= self.percent * high))
         return pairs.select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).distinct()
 
-    def _enough(self, share: str, own: str, other):  # noqa: ANN001, ANN202
-        """J >= p / 100 needs |x & y| >= p / (100 + p) * (|x| + |y|)."""
-        return (100 + self.percent) * F.col(share) >= self.percent * (F.col(own) + other)
+    def _rare(self, dense: DataFrame) -> DataFrame:
+        """(key, cid, component, n) where the key is one of a class's rarest shingles.
 
-    def _shareable(self, classes: DataFrame) -> DataFrame:
-        """(cid, share): how many of a class's shingles another of these classes has too."""
-        words = self.words
+        With all shingles in one order, rare ones first, sets that share ``need`` of n
+        share one of their first n - need + 1.  A link needs p / (100 + p) of both sizes
+        together, and no partner is smaller than the least of the class's buckets.
+        """
+        words, percent = self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in arrays.slices(batches, "payload"):
                 value, at = shingles(part.column("payload"), words)
                 cid = np.repeat(part.column("cid").to_numpy(), np.diff(at))
-                yield pa.RecordBatch.from_pydict({"cid": cid, "shingle": arrays.signed(value)})
-
-        found = self.texts.join(classes, "cid").mapInArrow(run, "cid long, shingle long")
-        # a shingle of one class alone is counted under that class
-        alone = found.groupBy("shingle").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
-        lone = alone.filter("c = 1").groupBy("cid").agg(F.count("*").alias("lone"))
-        sized = classes.join(self.classes.select("cid", "n"), "cid").join(lone, "cid", "left")
-        return sized.select("cid", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("share"))
+                yield pa.RecordBatch.from_pydict({"cid": cid, "key": arrays.signed(value)})
+
+        floor = dense.groupBy("key").agg(F.min("n").alias("floor"))
+        classes = dense.join(floor, "key").groupBy("cid", "component", "n")
+        classes = stage(classes.agg(F.min("floor").alias("floor")), "dense")
+        found = self.texts.join(classes.select("cid"), "cid")
+        found = found.mapInArrow(run, "cid long, key long")
+        held = found.groupBy("key").agg(F.count("*").alias("held"))
+        order = Window.partitionBy("cid").orderBy("held", "key")  # one class's shingles
+        ranked = found.join(held, "key").withColumn("place", F.row_number().over(order))
+        partner = F.greatest("floor", F.ceil(F.col("n") * percent / 100))
+        need = F.ceil(percent * (F.col("n") + partner) / (100 + percent))
+        first = ranked.join(classes, "cid").filter(F.col("place") <= F.col("n") - need + 1)
+        return first.filter("held > 1").select("key", "cid", "component", "n")
 
     def result(self) -> DataFrame:
         """(_doc, a, b, n, component): the least document of each set's group."""
