@@ -220,7 +220,7 @@ def _estimated(percent: int) -> tuple[Callable, Callable]:
         own = n[low:high]
         guess = estimate(ready(low, high), host[None, :], own, np.full(len(own), host_n))
         held = np.minimum(np.minimum(own, host_n), REGISTERS)
-        margin = 6 * np.sqrt(0.25 / held)
+        margin = 6 * np.sqrt(0.16 / held)
         possible = 100 * np.minimum(own, host_n) >= percent * np.maximum(own, host_n)
         return possible & (guess >= percent / 100 - margin)
 
@@ -337,7 +337,12 @@ class _Groups:
         cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
         once = (F.col("b.component") == F.col("b.main")) | (F.col("a.cid") < F.col("b.cid"))
         low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-        pairs = a.join(b, cross & once & (100 * low >= self.percent * high))
+        fits = cross & once & (100 * low >= self.percent * high)
+        if "place" in rows.columns:
+            need = F.ceil(self.percent * (low + high) / (100 + self.percent))
+            for side in ("a", "b"):
+                fits &= F.col(f"{side}.place") <= F.col(f"{side}.n") - need + 1
+        pairs = a.join(b, fits)
         return pairs.select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).distinct()
 
     def _rare(self, dense: DataFrame) -> DataFrame:
@@ -366,7 +371,7 @@ class _Groups:
         partner = F.greatest("floor", F.ceil(F.col("n") * percent / 100))
         need = F.ceil(percent * (F.col("n") + partner) / (100 + percent))
         first = ranked.join(classes, "cid").filter(F.col("place") <= F.col("n") - need + 1)
-        return first.filter("held > 1").select("key", "cid", "component", "n")
+        return first.filter("held > 1").select("key", "cid", "component", "n", "place")
 
     def result(self) -> DataFrame:
         """(_doc, a, b, n, component): the least document of each set's group."""
