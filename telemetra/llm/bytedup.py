@@ -31,9 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.llm import arrays, suffixes
@@ -42,9 +40,9 @@ from telemetra.session import ship_package
 
 GRAM = 16
 #: Strings of a shard, in bytes.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Anchors after which a task drops equal strings and hands on the rest.
-HELD = 1 << 20
+HELD = 1 << 18
 
 RESULT = T.StructType(
     [
@@ -77,18 +75,20 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
-def _packed(columns: dict[str, np.ndarray]) -> bytes:
+def _packed(columns: dict[str, np.ndarray], kinds: tuple[tuple[str, str], ...]) -> bytes:
     """Columns one after the other, each as planes of equal bytes, which compress well."""
     planes = []
-    for name, kind in _RUN:
+    for name, kind in kinds:
         value = np.ascontiguousarray(columns[name].astype(kind))
         planes.append(value.view(np.uint8).reshape(len(value), -1).T.tobytes())
     return b"".join(planes)
 
 
-def _unpacked(block: bytes, n: int) -> dict[str, np.ndarray]:
+def _unpacked(
+    block: bytes, n: int, kinds: tuple[tuple[str, str], ...]
+) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, kind in _RUN:
+    for name, kind in kinds:
         width = np.dtype(kind).itemsize
         planes = np.frombuffer(block, np.uint8, n * width, at).reshape(width, n)
         out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
@@ -133,7 +133,7 @@ class _Anchors:
         edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             part = order[low:high]
-            block = _packed({name: rows[name][part] for name, _ in _RUN})
+            block = _packed({name: rows[name][part] for name, _ in _RUN}, _RUN)
             yield _batch(
                 _BLOCK_ARROW, deal[part[:1]], sure[part[:1]], np.array([high - low]),
                 pa.array([block], pa.binary()),
@@ -166,36 +166,58 @@ def _anchors(size: int, deals: int):  # noqa: ANN202
     return run
 
 
-_LIST = "_doc long, _tie long, pos binary, code binary"
+_TURN = "deal int, n int, block binary"
+_TURN_ARROW = pa.schema([("deal", pa.int32()), ("n", pa.int32()), ("block", pa.binary())])
+_CODED = (("doc", "<i8"), ("tie", "<i8"), ("pos", "<u4"), ("code", "u1"))
+_LIST = "_doc long, _tie long, _pos binary, _code binary"
 _LIST_ARROW = pa.schema(
-    [("_doc", pa.int64()), ("_tie", pa.int64()), ("pos", pa.binary()), ("code", pa.binary())]
+    [("_doc", pa.int64()), ("_tie", pa.int64()), ("_pos", pa.binary()), ("_code", pa.binary())]
 )
 
 
-def _lists(c: dict[str, np.ndarray], sure: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs by document: places, and m * 2 + 1 for a repeat or m * 2 for a string to compare."""
+def _to_documents(
+    c: dict[str, np.ndarray], sure: np.ndarray, deals: int
+) -> Iterator[pa.RecordBatch]:
+    """Runs dealt by document: place, and m * 2 + 1 for a repeat or m * 2 for a string to compare."""
     if not len(sure):
         return
+    c = c | {"code": c["m"].astype(np.uint8) * 2 + sure}
+    deal = (arrays.mix(c["doc"].astype(np.uint64)) % np.uint64(deals)).astype(np.int64)
+    order = np.lexsort((c["pos"], c["tie"], c["doc"], deal))
+    deal = deal[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]]), len(deal)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        block = _packed({k: c[k][order[low:high]] for k, _ in _CODED}, _CODED)
+        yield _batch(
+            _TURN_ARROW, deal[low : low + 1], np.array([high - low]), pa.array([block], pa.binary())
+        )
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of the partition, its places and codes packed."""
+    held = [_unpacked(r["block"], r["n"], _CODED) for b in batches for r in b.to_pylist()]
+    if not held:
+        return
+    c = {k: np.concatenate([h[k] for h in held]) for k, _ in _CODED}
+    held.clear()
     order = np.lexsort((c["pos"], c["tie"], c["doc"]))
-    doc, tie, pos = (c[k][order] for k in ("doc", "tie", "pos"))
-    code = (c["m"].astype(np.uint8) * 2 + sure)[order].astype(np.uint8)
-    begin = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(tie) != 0)])
-    at = np.r_[begin, len(doc)]
-    raw = pos.astype("<u4").view(np.uint8)
+    doc, tie, pos, code = (c[k][order] for k, _ in _CODED)
+    at = np.r_[np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(tie) != 0)]), len(doc)]
+    raw = np.ascontiguousarray(pos).view(np.uint8)
     yield _batch(
-        _LIST_ARROW, doc[begin], tie[begin], arrays.binary_array(raw, at * 4),
+        _LIST_ARROW, doc[at[:-1]], tie[at[:-1]], arrays.binary_array(raw, at * 4),
         arrays.binary_array(code, at),
     )
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], deals: int) -> Iterator[pa.RecordBatch]:
     """The runs of a partition's anchors: repeats, and strings to compare."""
     held = []
     for batch in batches:
         for row in batch.to_pylist():
-            columns = _unpacked(row["block"], row["n"])
+            columns = _unpacked(row["block"], row["n"], _RUN)
             if row["sure"]:
-                yield from _lists(columns, np.ones(row["n"], bool))
+                yield from _to_documents(columns, np.ones(row["n"], bool), deals)
             else:
                 held.append(columns)
     if not held:
@@ -212,18 +234,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = np.zeros(len(sure), bool)
     open_[~sure] = np.repeat(np.logical_or.reduceat(other, begin), size)
     out = sure | open_
-    yield from _lists({k: v[out] for k, v in c.items()}, sure[out])
-
-
-def _runs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pos, code) of lists of (pos, code) blocks; a null has none."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    inner = pc.list_flatten(column)
-    pos, _ = arrays.flat(inner.field("pos"))
-    code, at = arrays.flat(inner.field("code"))
-    row = np.repeat(np.repeat(np.arange(len(column)), size), np.diff(at))
+    yield from _to_documents({k: v[out] for k, v in c.items()}, sure[out], deals)
+
+
+def _met(deals: int):  # noqa: ANN202
+    return lambda batches: _meet(batches, deals)
+
+
+def _runs_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, code) of packed places and codes; a null has none."""
+    pos, _ = arrays.flat(part.column("_pos"))
+    code, at = arrays.flat(part.column("_code"))
+    row = arrays.owners(at)
     return row, np.ascontiguousarray(pos).view("<u4").astype(np.int64), code.astype(np.int64)
 
 
@@ -239,7 +261,7 @@ def _strings(size: int, deals: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", 1 << 20):
-            row, pos, code = _runs_of(part.column("_runs"))
+            row, pos, code = _runs_of(part)
             open_ = code % 2 == 0
             row, pos, m = row[open_], pos[open_], code[open_] // 2
             if not len(row):
@@ -404,17 +426,14 @@ def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def repeats(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of repeated windows of keyed documents: (_doc, _tie, _runs) whose odd codes are
-    repeats, and (_doc, _tie, _spans)."""
+    """Runs of repeated windows of keyed documents: (_doc, _tie, _pos, _code) whose odd codes
+    are repeats, and (_doc, _tie, _spans)."""
     deals = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("_doc", "_tie", "text")
     blocks = texts.mapInArrow(_anchors(size, deals), _BLOCK).repartition(deals, "deal")
     # both uses read whole lists and whole rows, so each exchange is made once
-    lists = (
-        blocks.mapInArrow(_met, _LIST)
-        .groupBy("_doc", "_tie")
-        .agg(F.collect_list(F.struct("pos", "code")).alias("_runs"))
-    )
+    turns = blocks.mapInArrow(_met(deals), _TURN).repartition(deals, "deal")
+    lists = turns.mapInArrow(_by_document, _LIST)
     strings = docs.join(lists, ["_doc", "_tie"]).mapInArrow(_strings(size, deals), _STRING)
     sharded = strings.repartition(deals, "deal").sortWithinPartitions(
         "deal", "hash", "_doc", "_tie", "pos"
@@ -435,7 +454,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text"):
             data, at = arrays.flat(part.column("text"))
-            row, pos, code = _runs_of(part.column("_runs"))
+            row, pos, code = _runs_of(part)
             sure = code % 2 == 1
             row2, pos2, m2 = span_arrays(part.column("_spans"))
             row, pos = np.r_[row[sure], row2], np.r_[pos[sure], pos2]
@@ -456,4 +475,4 @@ def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> Da
             )
             yield with_column(part, into, column)
 
-    return joined.mapInArrow(run, schema_with(joined, into, RESULT)).drop("_doc", "_tie", "_runs", "_spans")
+    return joined.mapInArrow(run, schema_with(joined, into, RESULT)).drop("_doc", "_tie", "_pos", "_code", "_spans")
