@@ -90,6 +90,7 @@ def bin_of(value: Column, low: Column, span: Column, bins: int, rule: str) -> Co
 
     ``floor``: single-precision share of the axis, clamped to the edge cells.
     ``round``: nearest of ``bins`` grid lines, halves away from zero.
+    A value that is not a number falls into cell 0; a missing one has no cell.
     """
     share = (value - low) / span
     if rule == "floor":
@@ -101,7 +102,8 @@ def bin_of(value: Column, low: Column, span: Column, bins: int, rule: str) -> Co
         cell = F.greatest(F.round(share * F.lit(float(bins - 1))), F.lit(0.0))
     else:
         raise ValueError(f"unknown bin rule {rule!r}")
-    return F.least(cell.cast("int"), F.lit(bins - 1))
+    inside = F.least(cell.cast("double"), F.lit(float(bins - 1))).cast("int")
+    return F.when(F.isnan(share), F.lit(0)).when(share.isNotNull(), inside)
 
 
 def hist2d(
@@ -123,13 +125,15 @@ def hist2d(
 
     Bounds come from all samples, before any filter.  Samples outside custom
     limits are left out unless ``clamp_outside`` puts them into the edge cells.
+    Samples that lack x or y are in no cell; ``hits`` counts samples that lack z too.
     ``value`` is the mean of z, or the hits when no z is given.  The grouping is
     map-side combined, so a hot log costs one partial row per cell and task.
     """
     keys = list(keys)
     bounds = settle(axis_bounds(df, x, y, x_limits, y_limits, keys))
     narrow = list(dict.fromkeys([*keys, x, y, *([z] if z else [])]))
-    data = apply_filters(df, filters).select(*narrow).join(bounds, keys)
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    data = apply_filters(df, filters).filter(placed).select(*narrow).join(bounds, keys)
     if not clamp_outside:
         for axis, c, limits in (("x", x, x_limits), ("y", y, y_limits)):
             if limits is not None:

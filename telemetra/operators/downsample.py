@@ -45,6 +45,11 @@ def _corners(t: np.ndarray, v: np.ndarray, i: np.ndarray) -> np.ndarray:
     """
     if len(t) <= 3:
         return np.arange(len(t))
+    usable = ~np.isnan(v)
+    if not usable.all():  # they never win, but the first record stands where no area is a number
+        inner = np.flatnonzero(usable)
+        corners = inner[_corners(t[inner], v[inner], i[inner])] if len(inner) else inner
+        return np.union1d(corners, [int(np.argmin(i))])
     order = np.lexsort((i, v, t))
     # Equal points count once, as their earliest record.
     ts, vs = t[order], v[order]
@@ -67,6 +72,7 @@ def _corners(t: np.ndarray, v: np.ndarray, i: np.ndarray) -> np.ndarray:
     for end in (ts[0], ts[-1]):
         same = np.flatnonzero(t == end)
         kept.add(int(same[np.argmin(i[same])]))
+    kept.add(int(np.argmin(i)))  # the choice where no area is a number
     return np.array(sorted(kept))
 
 
@@ -189,7 +195,7 @@ def lttb(
             ct, cv = (t[last], v[last]) if tail else centre[s + 1]
             p = chosen[-1]
             area = np.abs((t[p] - ct) * (v[lo:hi] - v[p]) - (t[p] - t[lo:hi]) * (cv - v[p]))
-            chosen.append(lo + int(area.argmax()))
+            chosen.append(lo + int(np.where(np.isnan(area), -1.0, area).argmax()))
         chosen.append(last)
         columns = {"pos": np.arange(len(chosen)), IDX: i[chosen], T: t[chosen], "v": v[chosen]}
         fields = to_arrow_schema(out_schema)

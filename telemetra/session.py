@@ -59,14 +59,45 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a session without ``spark.checkpoint.dir`` (a test) gets a local one.
+    Without that setting only a local session, whose tasks share the driver's
+    disk, gets a folder; on a cluster executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="telemetra-")
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    _SCRATCH.append((app, path))
+    return path
+
+
+_SCRATCH: list[tuple[str, str]] = []  # (application, folder)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all staged data of the application; results must have been written by now."""
+    app = spark.sparkContext.applicationId
+    for entry in [e for e in _SCRATCH if e[0] == app]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _SCRATCH.remove(entry)
+    for key in [k for k in _INGESTED if k[0] == app]:
+        del _INGESTED[key]
+
+
+def _state_of(spark: SparkSession, source: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of each file below a path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def settle(small: DataFrame) -> DataFrame:
@@ -98,8 +129,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def ingest_once(
     spark: SparkSession, source: str, label: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
-    """The records table of a source, written at first use in this application."""
-    key = (spark.sparkContext.applicationId, source, label)
+    """The records table of a source, written at first use in this application.
+
+    A source whose files have changed since is written anew.
+    """
+    key = (spark.sparkContext.applicationId, source, label, _state_of(spark, source))
     if key not in _INGESTED:
         path = scratch_dir(spark, label)
         built = build()

@@ -32,7 +32,7 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
-        "path",
+        F.col("_metadata.file_path").alias("path"),  # spelled as the text reader spells it
         "length",
         F.substring("content", 1, HEAD_BYTES).alias("head"),
         _slot_marks(F.col("content")).alias("slot_marks"),
@@ -113,7 +113,11 @@ def unseen(routed: DataFrame, manifest: DataFrame) -> DataFrame:
 def ingest_folder(
     spark: SparkSession, path: str, manifest: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(samples, rejects) of all files of a folder that are not in the manifest."""
+    """(samples, rejects) of all files below a folder that are not in the manifest.
+
+    Every file gives samples or a reject with its reason: by its format, or because
+    its records, header or slot dictionary are missing or unusable.
+    """
     routed = route(file_heads(spark, path))
     if manifest is not None:
         routed = unseen(routed, manifest)
@@ -130,7 +134,18 @@ def ingest_folder(
         _stem(F.col("path")).alias(LOG)
     ).distinct()
     samples = samples.unionByName(fixed.samples().join(stems, LOG, "left_semi"))
-    return samples, rejects(routed)
+    return samples, rejects(routed).unionByName(_fruitless(good, samples))
+
+
+def _fruitless(good: DataFrame, samples: DataFrame) -> DataFrame:
+    """Routed files without a sample; a slot dictionary counts with its records."""
+    paired = F.col("format") == "fixedrecord"
+    files = good.withColumn(LOG, F.when(paired, _stem(F.col("path"))).otherwise(F.col("path")))
+    empty = files.join(samples.select(LOG).distinct(), LOG, "left_anti")
+    why = F.when(
+        paired, F.lit("no records: the slot dictionary, the record file, its dates or spacing")
+    ).otherwise(F.concat(F.lit("no samples found as "), F.col("format")))
+    return empty.select("path", "format", why.alias("reason"))
 
 
 def _stem(path: Column) -> Column:
@@ -223,6 +238,7 @@ def parse_fixed_records(spark: SparkSession, path: str) -> Ingest:
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[lL][gG][12]")
         .load(path)
+        .select(F.col("_metadata.file_path").alias("path"), "content")
         .select(_stem(F.col("path")).alias(LOG), _extension(F.col("path")).alias("_ext"), "content")
     )
     texts = files.filter(F.col("_ext") == "lg2").select(

@@ -87,7 +87,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     block of a file may be.  So lines are numbered without a sort or a shuffle.
     Invalid UTF-8 is replaced.
     """
-    return spark.read.text(path).select(
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias(LOG),
         line_number(F.col("_metadata.file_block_start")),
         F.make_valid_utf8("value").alias("line"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemetra.frame import LOG
-from telemetra.session import scratch_dir
 from telemetra.sources.text import PARSERS, line_number
 
 
@@ -25,12 +24,14 @@ def follow_folder(
 ) -> StreamingQuery:
     """Append the samples of files that appeared since the last call.
 
-    Runs until the folder is drained.  Files must appear whole (moved in, not
-    written in place); ``kind`` names their format.
+    Runs until the folder and those below it are drained.  Files must appear whole
+    (moved in, not written in place); ``kind`` names their format.  What was read is
+    remembered in ``checkpoint``, by default beside the table's batches.
     """
     lines = (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", "true")
         .load(folder)
         .select(
             F.col("_metadata.file_path").alias(LOG),
@@ -47,7 +48,7 @@ def follow_folder(
 
     return (
         lines.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint or scratch_dir(spark, "intake"))
+        .option("checkpointLocation", checkpoint or f"{table}/_checkpoint")
         .trigger(availableNow=True)
         .start()
     )

@@ -283,3 +283,60 @@ def test_intake_loads_each_file_once(spark, tmp_path):
     assert drain() == [("a.csv", 0, 1.0), ("a.csv", 1, 2.0)]
     write(inbox, "b.csv", "TIME;x\n5;9\n")
     assert drain() == [("a.csv", 0, 1.0), ("a.csv", 1, 2.0), ("b.csv", 0, 9.0)]
+
+
+def test_every_file_gives_samples_or_a_reject(spark, tmp_path):
+    import struct
+
+    body = "Time (msec),RPM (rpm)\n0,1\n10,2\n"
+    names = ["plain.csv", "with space.csv", "50%.csv", "öl.csv", "sub/nested.csv"]
+    (tmp_path / "sub").mkdir()
+    for name in names:
+        (tmp_path / name).write_text(body)
+    record = struct.pack("<d8H", 46022.5, *range(8))
+    (tmp_path / "alone.lg1").write_bytes(record)
+    (tmp_path / "bad.lg1").write_bytes(struct.pack("<d8H", 1.0, *range(8)))
+    (tmp_path / "junk.txt").write_text("nothing here\n")
+    samples, rejects = files.ingest_folder(spark, str(tmp_path))
+    per_file = {r["log_id"]: r["count"] for r in samples.groupBy("log_id").count().collect()}
+    assert len(per_file) == len(names) and set(per_file.values()) == {2}
+    gone = {r["path"].rsplit("/", 1)[1] for r in rejects.collect()}
+    assert gone == {"alone.lg1", "bad.lg1", "junk.txt"}
+
+
+def test_folder_is_followed_without_a_checkpoint_argument(spark, tmp_path):
+    from telemetra.streaming.intake import follow_folder
+
+    inbox, table = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    for k in range(3):
+        (inbox / f"f{k}.csv").write_text("TIME;a/b\n1;2\n2;3\n")
+        follow_folder(spark, str(inbox), table, "holdfill").awaitTermination()
+    assert spark.read.parquet(table).count() == 6
+
+
+def test_changed_source_is_ingested_again(spark, tmp_path):
+    from telemetra.session import ingest_once
+
+    source = str(tmp_path / "s.parquet")
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(source)
+        read = lambda: spark.read.parquet(source)
+        assert ingest_once(spark, source, "rows", read).count() == n
+
+
+def test_staged_data_goes(spark, tmp_path):
+    import os
+
+    from telemetra import session
+
+    old, session._SCRATCH[:] = list(session._SCRATCH), []
+    kept, session._INGESTED = session._INGESTED, {}
+    try:
+        session.materialise(spark.range(3), "x")
+        path = session._SCRATCH[-1][1].removeprefix("file://")
+        assert os.path.isdir(path)
+        session.drop_scratch(spark)
+        assert not os.path.exists(path)
+    finally:
+        session._SCRATCH[:], session._INGESTED = old, kept

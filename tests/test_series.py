@@ -373,3 +373,27 @@ def test_result_does_not_depend_on_input_order(logs):
     a = recurrence.exponential_moving_average(rec.orderBy(F.rand(1)), "x", rows=30).orderBy("idx").collect()
     b = recurrence.exponential_moving_average(rec.repartition(9), "x", rows=30).orderBy("idx").collect()
     assert a == b
+
+
+def test_missing_and_nan_axis_values(spark):
+    from telemetra.operators.binning import density_grid, hist2d
+
+    nan = float("nan")
+    rows = [("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.0, 8.0, 8.0), ("a", 2, 2.0, None, 4.0),
+            ("a", 3, 3.0, 4.0, None), ("a", 4, 4.0, nan, 8.0)]
+    table = spark.createDataFrame(rows, "log_id string, idx long, t double, x double, y double")
+    got = {(r["y_bin"], r["x_bin"]): r["hits"] for r in hist2d(table, "x", "y", columns=8, rows=8).collect()}
+    assert got == {(0, 0): 1, (7, 7): 1, (7, 0): 1}
+    grid = density_grid(table, "x", "y", bins=8)
+    assert sum(r["hits"] for r in grid.collect()) == 3
+
+
+def test_nan_area_never_wins(spark, logs):
+    import numpy as np
+
+    from telemetra.operators import downsample
+
+    v = np.array([((k * 7) % 11) / 3 for k in range(30)])
+    v[[12, 20]] = np.nan
+    corners = downsample._corners(np.arange(8.0), v[9:17], np.arange(9, 17))
+    assert 3 not in corners and 0 in corners
