@@ -29,6 +29,8 @@ from telemetra.llm.pretoken import WordCodes
 from telemetra.session import ship_package
 
 NONE = np.int64(np.iinfo(np.int64).max)
+#: Bytes of text, or of ids, in a slice.
+SLICE = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -159,7 +161,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _codes(name)
-        for part in arrays.slices(batches, text):
+        for part in arrays.slices(batches, text, SLICE):
             ids, at = codes.texts(*arrays.flat(part.column(text)))
             raw = ids.astype("<u4").view(np.uint8)
             yield with_column(part, ids_column, arrays.binary_array(raw, at * 4))
@@ -176,7 +178,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(name)
-        for part in arrays.slices(batches, ids_column):
+        for part in arrays.slices(batches, ids_column, SLICE):
             raw, at = arrays.flat(part.column(ids_column))
             spelled, end = vocabulary.decode(raw.view("<u4").astype(np.int64), at // 4)
             whole = spelled.tobytes()

@@ -37,6 +37,8 @@ from telemetra.session import ship_package
 BITS = 18
 SIZES = (3, 4, 5)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text in a slice; its n-grams take some hundred times as much.
+SLICE = 1 << 20
 
 
 @functools.cache
@@ -124,7 +126,7 @@ def fit(
     sample = own_columns(docs).join(F.broadcast(known), "doc_id").select("toxic", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrays.slices(batches, "text"):
+        for part in arrays.slices(batches, "text", SLICE):
             text, feature = _features(*arrays.flat(part.column("text")))
             at = np.searchsorted(text, np.arange(part.num_rows + 1))
             raw = feature.astype("<i4").view(np.uint8)
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     held = docs.sparkSession.sparkContext.broadcast(model)  # two tables of 2^BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrays.slices(batches, text):
+        for part in arrays.slices(batches, text, SLICE):
             found = held.value.scores(*arrays.flat(part.column(text)))
             yield with_column(part, into, pa.array(found, pa.float64()))
 
