@@ -31,7 +31,7 @@ HEADLINE = (
 )
 INGEST = {
     "ingest_event_records": tables.event_records,
-    "ingest_event_stream_record": lambda s, f: tables.event_stream_record(s, f, 1000),
+    "ingest_event_stream_record": lambda s, f: tables.event_stream_record(s, f),
     "ingest_line_records": tables.line_records,
     "ingest_order_records": tables.order_records,
 }

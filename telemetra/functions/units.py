@@ -97,9 +97,17 @@ def convert_column(value: Column, source: str, target: str) -> Column:
     return value
 
 
+def fixed_text(value: Column, places: int, width: int = 1) -> Column:
+    """Fixed-point text of the exact binary value, ties to even, with ``width`` whole digits.
+
+    ``format_string`` would round the shortest decimal form instead.
+    """
+    return F.call_function("format_number", value, F.lit("0" * width + "." + "0" * places))
+
+
 def legend(df: DataFrame, name: str = "name") -> DataFrame:
     """Legend text ``name: value unit`` with two decimals, from converted rows."""
-    number = F.format_string("%.2f", "display_value")
+    number = fixed_text(F.col("display_value"), 2)
     suffix = F.when(F.col("display_unit") == "", F.lit("")).otherwise(
         F.concat(F.lit(" "), F.col("display_unit"))
     )
@@ -113,8 +121,9 @@ def format_time(seconds: Column) -> Column:
     minutes = F.floor((total % 3600.0) / 60.0)
     secs = total % 60.0
     sign = F.when(seconds < 0, F.lit("-")).otherwise(F.lit(""))
+    padded = fixed_text(secs, 3, 2)
     return (
-        F.when(hours > 0, F.format_string("%s%d:%02d:%06.3f", sign, hours, minutes, secs))
-        .when(minutes > 0, F.format_string("%s%d:%06.3f", sign, minutes, secs))
-        .otherwise(F.format_string("%s%.3fs", sign, secs))
+        F.when(hours > 0, F.format_string("%s%d:%02d:%s", sign, hours, minutes, padded))
+        .when(minutes > 0, F.format_string("%s%d:%s", sign, minutes, padded))
+        .otherwise(F.concat(sign, fixed_text(secs, 3), F.lit("s")))
     )

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from telemetra.frame import EPSILON, LOG
+from telemetra.functions.units import fixed_text
 from telemetra.operators.binning import axis_bounds, hist2d
-from telemetra.session import ship_package
 
 TABLE = "table_id"
 OPERATIONS = ("add", "subtract", "multiply", "divide")
@@ -82,24 +80,10 @@ def combine(
     )
 
 
-@F.pandas_udf(StringType())
-def _tab_line(label: pd.Series, numbers: pd.Series, places: pd.Series) -> pd.Series:
-    """Label and numbers as one tab line.
-
-    Fixed-point text rounds the exact binary value, which the JVM formatter
-    does not do.
-    """
-    return pd.Series(
-        [
-            "\t".join([head, *(f"{v:.{p}f}" for v in row)])
-            for head, row, p in zip(label, numbers, places)
-        ]
-    )
-
-
-@F.pandas_udf(StringType())
-def _fixed1(numbers: pd.Series) -> pd.Series:
-    return pd.Series([f"{v:.1f}" for v in numbers])
+def _tab_line(label: Column, numbers: Column, places: int) -> Column:
+    """Label and numbers as one tab line."""
+    shown = F.transform(numbers, lambda v: fixed_text(v, places))
+    return F.array_join(F.concat(F.array(label), shown), "\t")
 
 
 def grid_lines(
@@ -117,7 +101,6 @@ def grid_lines(
     y_breaks) replaces the centres of an axis whose length it matches.
     """
     keys = list(keys)
-    ship_package(cells.sparkSession)
 
     def centres(axis: str, bins: int) -> Column:
         low, step = F.col(f"{axis}_min"), F.col(f"{axis}_range") / F.lit(float(bins))
@@ -139,8 +122,7 @@ def grid_lines(
         )
     axes = axes.select(*keys, "_xs", "_ys")
     head = axes.select(
-        *keys, F.lit(0).alias("line_no"), F.lit("").alias("_label"), F.col("_xs").alias("_row"),
-        F.lit(1).alias("_places"),
+        *keys, F.lit(0).alias("line_no"), _tab_line(F.lit(""), F.col("_xs"), 1).alias("line")
     )
     filled = cells.groupBy(*keys, "y_bin").agg(
         F.map_from_entries(F.collect_list(F.struct("x_bin", "value"))).alias("_cells")
@@ -148,20 +130,17 @@ def grid_lines(
     body = (
         axes.select(*keys, F.posexplode("_ys").alias("y_bin", "_y"))
         .join(filled, [*keys, "y_bin"], "left")
-        .select(
-            *keys,
-            (F.lit(rows) - F.col("y_bin")).alias("line_no"),
-            _fixed1("_y").alias("_label"),
-            F.transform(
-                F.sequence(F.lit(0), F.lit(columns - 1)),
-                lambda i: F.coalesce(F.try_element_at("_cells", i), F.lit(0.0)),
-            ).alias("_row"),
-            F.lit(2).alias("_places"),
-        )
     )
-    return head.unionByName(body).select(
-        *keys, "line_no", _tab_line("_label", "_row", "_places").alias("line")
+    row = F.transform(
+        F.sequence(F.lit(0), F.lit(columns - 1)),
+        lambda i: F.coalesce(F.try_element_at("_cells", i), F.lit(0.0)),
+    )
+    body = body.select(
+        *keys,
+        (F.lit(rows) - F.col("y_bin")).alias("line_no"),
+        _tab_line(fixed_text(F.col("_y"), 1), row, 2).alias("line"),
     )
+    return head.unionByName(body)
 
 
 def histogram_lines(

@@ -101,7 +101,7 @@ def chunk_scan(
             TYPES.StructField(out, TYPES.DoubleType()),
         ]
     )
-    # One shuffle serves both passes: the plan below it is the same in each.
+    # Pass one shuffles only rows of logs with several chunks.
     chunked = records.select(
         *keys,
         F.col(IDX).cast("long").alias(IDX),
@@ -126,8 +126,7 @@ def chunk_scan(
 
     more = (F.col("_chunk") + 2) * rows <= F.col("_size")  # another chunk follows
     maps = (
-        # The rand() keeps the condition above the shared shuffle.
-        chunked.filter(F.when(F.rand(0) >= 0, more))
+        chunked.filter(more)
         .groupBy(*keys, "_chunk")
         .applyInArrow(to_map, maps_schema)
         .withColumn("_block", F.floor(F.col("_chunk") / MAPS_PER_BLOCK))
@@ -244,16 +243,49 @@ def _affine(run: Callable, matrix: np.ndarray) -> Scan:
     return Scan(run, summarise, compose, apply)
 
 
+def _blocked(step: Callable, matrix: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple:
+    """Outputs and end state of an affine recurrence, a numpy step for all blocks at once.
+
+    The values are cut into about sqrt(n) blocks.  ``step(x, s) -> (y, s)`` moves one
+    column of all blocks; a first pass from zero states gives the blocks' maps, whose
+    composition gives the true start of each for the second.
+    """
+    width = max(math.isqrt(len(x)), 1)
+    count = len(x) // width
+    column = x[: count * width].reshape(count, width).T
+    moved = np.zeros((len(state), count))
+    for values in column:
+        moved = step(values, moved)[1]
+    power = np.linalg.matrix_power(matrix, width)
+    starts = np.empty_like(moved)
+    for k in range(count):
+        starts[:, k] = state
+        state = power @ state + moved[:, k]
+    y = np.empty((width, count))
+    for j, values in enumerate(column):
+        y[j], starts = step(values, starts)
+    rest = np.empty(len(x) - count * width)
+    end = state[:, None]
+    for j, value in enumerate(x[count * width :]):
+        out, end = step(np.array([value]), end)
+        rest[j] = out[0]
+    return np.concatenate([y.T.ravel(), rest]), end[:, 0]
+
+
 def _ema_scan(alpha: float) -> Scan:
+    matrix = np.array([[1.0 - alpha]])
+
+    def step(x, s):
+        level = alpha * x + (1.0 - alpha) * s[0]
+        return level, level[None, :]
+
     def run(chunk, state):
-        level = chunk.values[0] if state is None else state[0]
-        y = np.empty(len(chunk.values))
-        for i, x in enumerate(chunk.values.tolist()):
-            level = alpha * x + (1.0 - alpha) * level
-            y[i] = level
-        return chunk.idx, y, np.array([level])
+        x = np.asarray(chunk.values, float)
+        begin = x[:1] if state is None else np.asarray(state, float)
+        y, end = _blocked(step, matrix, x, begin)
+        return chunk.idx, y, end
 
-    return _affine(run, np.array([[1.0 - alpha]]))
+    return _affine(run, matrix)
 
 
 def _sized(records: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -319,20 +351,22 @@ def _cascade(sections: list[tuple]) -> tuple[Callable, np.ndarray, np.ndarray]:
     """
     rest = np.array([x for _, b1, b2, a1, a2 in sections for x in (b1 - a1 + b2 - a2, b2 - a2)])
 
-    def step(values, state):
-        y, s = list(values), list(state)
+    def step(x, s):
+        moved = np.empty_like(s)
         for j, (b0, b1, b2, a1, a2) in enumerate(sections):
-            z1, z2 = s[2 * j], s[2 * j + 1]
-            for i, x in enumerate(y):
-                v = b0 * x + z1
-                z1 = b1 * x - a1 * v + z2
-                z2 = b2 * x - a2 * v
-                y[i] = v
-            s[2 * j], s[2 * j + 1] = z1, z2
-        return np.array(y), np.array(s)
+            v = b0 * x + s[2 * j]
+            moved[2 * j] = b1 * x - a1 * v + s[2 * j + 1]
+            moved[2 * j + 1] = b2 * x - a2 * v
+            x = v
+        return x, moved
+
+    order = 2 * len(sections)
+    matrix = step(np.zeros(order), np.eye(order))[1]  # where each unit state goes
+
+    def scan(values, state):
+        return _blocked(step, matrix, np.asarray(values, float), np.asarray(state, float))
 
-    moved = [step([0.0], unit)[1] for unit in np.eye(2 * len(sections))]
-    return step, np.array(moved).T, rest
+    return scan, matrix, rest
 
 
 def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
@@ -342,19 +376,19 @@ def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
     the odd reflection of its end; the lead-in only settles the state, the
     followers become records past the end of the log.
     """
-    step, matrix, rest = _cascade(sections)
+    scan, matrix, rest = _cascade(sections)
 
     def run(chunk, state):
-        x, at = chunk.values.tolist(), chunk.idx
+        x, at = np.asarray(chunk.values, float), chunk.idx
         pad = min(6 * len(sections), chunk.size - 1) if reflect else 0
         if state is None:
-            lead = [2.0 * x[0] - v for v in x[pad:0:-1]]
-            head = lead[0] if lead else x[0]
-            _, state = step(lead, rest * head)
+            lead = 2.0 * x[0] - x[pad:0:-1]
+            head = lead[0] if len(lead) else x[0]
+            _, state = scan(lead, rest * head)
         if pad and chunk.is_last:
-            x += [2.0 * x[-1] - v for v in x[-2 : -2 - pad : -1]]
+            x = np.concatenate([x, 2.0 * x[-1] - x[-2 : -2 - pad : -1]])
             at = np.concatenate([at, chunk.size + np.arange(pad)])
-        y, state = step(x, state)
+        y, state = scan(x, state)
         return at, y, state
 
     return _affine(run, matrix)

@@ -200,7 +200,7 @@ def unit_conversion(spark, sf):
     "legend_at_cursor",
     f"""WITH {EVENTS_CTE}, c AS (SELECT log_id, value, row_number() OVER (PARTITION BY log_id
    ORDER BY abs(t - 1000000.0), t DESC, idx) AS pick FROM e)
-SELECT log_id, 'Temp: ' || printf('%.2f', value + 0.0001 - 273.15) || ' °C' AS legend FROM c WHERE pick = 1""",
+SELECT log_id, 'Temp: ' || printf('%.2f', value - 273.15) || ' °C' AS legend FROM c WHERE pick = 1""",
 )
 def legend_at_cursor(spark, sf):
     """Each log's value at t = 1,000,000 s in display units."""
@@ -209,7 +209,7 @@ def legend_at_cursor(spark, sf):
     hit = nearest.nearest_record(asked, rec, "ask", ["value"], tie="later")
     shown = units.convert(
         hit.select(
-            LOG, F.lit("Temp").alias("name"), (F.col("near_value") + 0.0001).alias("value"),
+            LOG, F.lit("Temp").alias("name"), F.col("near_value").alias("value"),
             F.lit("K").alias("unit"),
         )
     )
@@ -218,7 +218,7 @@ def legend_at_cursor(spark, sf):
 
 @query(
     "format_time",
-    f"""WITH {EVENTS_CTE}, s AS (SELECT log_id, idx, (t - 3000.0) / 50 + 0.0001 AS x FROM e),
+    f"""WITH {EVENTS_CTE}, s AS (SELECT log_id, idx, (t - 3000.0) / 50 AS x FROM e),
 p AS (SELECT *, abs(x) AS a, CASE WHEN x < 0 THEN '-' ELSE '' END AS sg FROM s)
 SELECT log_id, idx, CASE WHEN a >= 3600 THEN sg || printf('%d:%02d:%06.3f', CAST(floor(a / 3600) AS BIGINT), CAST(floor((a % 3600) / 60) AS BIGINT), a % 60)
   WHEN (a % 3600) >= 60 THEN sg || printf('%d:%06.3f', CAST(floor((a % 3600) / 60) AS BIGINT), a % 60)
@@ -226,7 +226,7 @@ SELECT log_id, idx, CASE WHEN a >= 3600 THEN sg || printf('%d:%02d:%06.3f', CAST
 )
 def format_time(spark, sf):
     rec = tables.event_records(spark, sf)
-    x = (F.col(T) - 3000.0) / 50 + 0.0001
+    x = (F.col(T) - 3000.0) / 50
     return rec.select(LOG, IDX, units.format_time(x).alias("text"))
 
 

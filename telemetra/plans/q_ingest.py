@@ -163,7 +163,7 @@ SELECT log_id, idx, {r6('t')} AS t, v.channel, v.value FROM h, LATERAL (VALUES (
 )
 def ingest_holdfill(spark, sf):
     """Sparse cells repeat their channel's last value; chunks of 20 records."""
-    out = text.parse_holdfill(holdfill_lines(spark, sf), rows=20).samples()
+    out = text.parse_holdfill(holdfill_lines(spark, sf)).samples()
     return out.withColumn(T, rounded(F.col(T)))
 
 
@@ -388,7 +388,7 @@ def live_frames(spark, sf):
         F.when(dead, F.lit(float("nan"))).when(F.col("k") % 4 == 1, F.lit(float("inf"))).otherwise(F.col("k")),
     )
     frames = rec.select(LOG, F.col(IDX).alias("seq"), values.alias("values"))
-    out = decode.live_frames(frames, 3, rows=25)
+    out = decode.live_frames(frames, 3)
     return out.select(
         LOG, IDX, rounded(F.col(T)).alias(T), *[F.col("cells")[i].alias(f"c{i}") for i in range(3)]
     )
@@ -405,7 +405,7 @@ def hold_last_value(spark, sf):
     rec = tables.event_records(spark, sf).select(
         LOG, IDX, F.when(F.col("k") % 13 == 5, F.col("value")).alias("held")
     )
-    return hold_last(rec, ["held"], rows=10, start=0.0)
+    return hold_last(rec, ["held"], start=0.0)
 
 
 @query(

@@ -16,10 +16,6 @@ from telemetra.plans.catalog import (
 )
 from telemetra.sources import tables
 
-# The single long log is cut into chunks of this many records, so that the
-# chunk edges are part of what the comparison covers.
-SMALL_CHUNK = 1000
-
 
 def _r(df, *names, places=6):
     return df.withColumns({n: rounded(F.col(n), places) for n in names})
@@ -40,8 +36,8 @@ def moving_average(spark, sf):
 
 @query("moving_average_long_log", f"WITH {STREAM_CTE} {_avg('e', '')}")
 def moving_average_long_log(spark, sf):
-    rec = tables.event_stream_record(spark, sf, SMALL_CHUNK)
-    out = series.moving_average(rec, "value", 5, rows=SMALL_CHUNK)
+    rec = tables.event_stream_record(spark, sf)
+    out = series.moving_average(rec, "value", 5)
     return _r(out.select(LOG, IDX, "moving_average"), "moving_average")
 
 
@@ -62,8 +58,8 @@ def median_filter(spark, sf):
 
 @query("median_filter_long_log", _median(STREAM_CTE, ""))
 def median_filter_long_log(spark, sf):
-    rec = tables.event_stream_record(spark, sf, SMALL_CHUNK)
-    out = series.median_filter(rec, "value", 5, rows=SMALL_CHUNK)
+    rec = tables.event_stream_record(spark, sf)
+    out = series.median_filter(rec, "value", 5)
     return _r(out.select(LOG, IDX, "median_filter"), "median_filter")
 
 
@@ -89,8 +85,8 @@ def time_derivative(spark, sf):
     f"WITH {STREAM_CTE}, {_NEAR} SELECT log_id, idx, {r6(_TIME_D)} AS derivative FROM x",
 )
 def time_derivative_long_log(spark, sf):
-    rec = tables.event_stream_record(spark, sf, SMALL_CHUNK)
-    out = series.time_derivative(rec, "value", rows=SMALL_CHUNK)
+    rec = tables.event_stream_record(spark, sf)
+    out = series.time_derivative(rec, "value")
     return _r(out.select(LOG, IDX, "derivative"), "derivative")
 
 
@@ -139,7 +135,6 @@ def index_shift(spark, sf):
         rec,
         {"back3": ("value", -3), "ahead2": ("k", 2), "back100": ("value", -100),
          "ahead1000": ("value", 1000)},
-        rows=400,
     )
     return out.select(LOG, IDX, "back3", "ahead2", "back100", "ahead1000")
 
@@ -179,8 +174,8 @@ SELECT CAST(0 AS BIGINT) AS log_id, idx,
 
 @query("time_shift_long_log", _STREAM_ASOF)
 def time_shift_long_log(spark, sf):
-    rec = tables.event_stream_record(spark, sf, SMALL_CHUNK)
-    out = nearest.time_shift(rec, {"shifted": "value"}, 600.0, rows=SMALL_CHUNK)
+    rec = tables.event_stream_record(spark, sf)
+    out = nearest.time_shift(rec, {"shifted": "value"}, 600.0)
     return out.select(LOG, IDX, "shifted")
 
 
@@ -227,7 +222,7 @@ def merge_rates(spark, sf):
     points = nearest.plausible_points(
         tables.event_rate_points(spark, sf).withColumn(T, F.col(T) / F.lit(1000.0))
     ).withColumn(T, F.col(T) * F.lit(1000.0))
-    out = nearest.merge_rates(points, ["click", "error", "purchase", "view", "signup"], rows=SMALL_CHUNK)
+    out = nearest.merge_rates(points, ["click", "error", "purchase", "view", "signup"])
     return _r(out.select(LOG, IDX, T, "click", "error", "purchase", "view", "signup"), T)
 
 
@@ -267,7 +262,7 @@ def clock_unwrap(spark, sf):
     blocks = rec.select(
         LOG, IDX, F.pmod(F.floor(F.col(T) / 40.0), F.lit(65536)).cast("long").alias("raw_ts")
     )
-    return _r(series.unwrap_clock(blocks, rows=20), T)
+    return _r(series.unwrap_clock(blocks), T)
 
 
 @query(
@@ -286,7 +281,7 @@ def monotonic_audit(spark, sf):
         (tables.micros("l_shipdate") / F.lit(1e6)).alias(T),
     )
     rec = with_record_index(lines, ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"])
-    return series.monotonic_audit(rec, rows=200)
+    return series.monotonic_audit(rec)
 
 
 @query(
@@ -320,9 +315,9 @@ def exponential_moving_average(spark, sf):
 
 @query("exponential_moving_average_chunked", _ema_sql(LINES_CTE, "l", "quantity", "0.05::DOUBLE"))
 def exponential_moving_average_chunked(spark, sf):
-    """The same recurrence with state carried over chunks of 100 records."""
+    """The recurrence on the logs of order lines."""
     rec = tables.line_records(spark, sf)
-    return _r(recurrence.exponential_moving_average(rec, "quantity", 0.05, rows=100), "ema")
+    return _r(recurrence.exponential_moving_average(rec, "quantity", 0.05), "ema")
 
 
 _DRIFT = f"""WITH RECURSIVE {LINES_CTE}, s AS MATERIALIZED (SELECT log_id, idx, n, quantity AS x FROM l),
@@ -343,8 +338,8 @@ def drift_flags(spark, sf):
 
 @query("drift_flags_chunked", f"{_DRIFT} SELECT log_id, idx, drift FROM f")
 def drift_flags_chunked(spark, sf):
-    """The same flags with the two sums carried over chunks of 50 records."""
-    return recurrence.drift_flags(tables.line_records(spark, sf), "quantity", rows=50)
+    """The same flags by the default chunks; the tests cut smaller ones."""
+    return recurrence.drift_flags(tables.line_records(spark, sf), "quantity")
 
 
 def _filter_sql(cte, src, value, sections):
@@ -394,10 +389,10 @@ def butterworth_lowpass(spark, sf):
     _filter_sql(LINES_CTE, "l", "quantity", recurrence.butterworth_sections(0.05, 3)),
 )
 def butterworth_lowpass_chunked(spark, sf):
-    """Order 3, state carried over chunks of 150 records both ways."""
+    """Order 3 on the logs of order lines."""
     rec = tables.line_records(spark, sf)
     return _r(
-        recurrence.butterworth_filtfilt(rec, "quantity", 0.05, 3, rows=150), "filtered", places=4
+        recurrence.butterworth_filtfilt(rec, "quantity", 0.05, 3), "filtered", places=4
     )
 
 
@@ -441,7 +436,7 @@ o AS (SELECT log_id, pos, idx, t, v FROM r
     + f" SELECT log_id, pos, idx, {r6('t')} AS t, v AS value FROM o",
 )
 def lttb(spark, sf):
-    return _r(downsample.lttb(tables.event_records(spark, sf), "value", 20, rows=16), T)
+    return _r(downsample.lttb(tables.event_records(spark, sf), "value", 20), T)
 
 
 @query(
@@ -450,8 +445,8 @@ def lttb(spark, sf):
     + f" SELECT log_id, pos, idx, {r6('t')} AS t, v AS value FROM o",
 )
 def lttb_long_log(spark, sf):
-    rec = tables.event_stream_record(spark, sf, SMALL_CHUNK)
-    return _r(downsample.lttb(rec, "value", 40, rows=SMALL_CHUNK), T)
+    rec = tables.event_stream_record(spark, sf)
+    return _r(downsample.lttb(rec, "value", 40), T)
 
 
 @query(

@@ -91,7 +91,7 @@ def channel_has_data(spark, sf):
 )
 def median_large_logs(spark, sf):
     """The rank path of the exact median: every log counts as too large to buffer."""
-    out = stats.exact_median(_line_samples(spark, sf), VALUE, (LOG, CHANNEL), rows=100)
+    out = stats.exact_median(_line_samples(spark, sf), VALUE, (LOG, CHANNEL))
     return out.select(LOG, CHANNEL, rounded(F.col("median")).alias("median"))
 
 

@@ -193,3 +193,10 @@ def test_every_analysis_runs_and_reports(logs, name):
 
 def test_template_names_with_dots(logs):
     assert values(logs({"a": {"a.b": [1, 2]}}), '"a.b" * 2') == [2, 4]
+
+
+def test_fixed_text_rounds_the_binary_value(spark):
+    values = [1.005, 0.125, 0.375, 2.675, -0.125, 1234567.891, 0.0]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.text for r in table.select(units.fixed_text(F.col("v"), 2).alias("text")).collect()]
+    assert got == [f"{v:.2f}" for v in values]
