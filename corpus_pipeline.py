@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.llm import bpe, decontaminate, neardup, substrings, toxicity
-from telemetra.llm.common import drop_staged
+from telemetra.llm.common import drop_staged, stage
 from telemetra.llm.queries import TOKENIZER
 from telemetra.session import scratch_dir
 
@@ -63,7 +63,8 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Removes benchmark passages, or the document where they are half of it."""
     drop_staged(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = decontaminate.mark(docs, benchmark, into="_leak")
+    # staged, so that a task has one Python worker at a time
+    marked = stage(decontaminate.mark(docs, benchmark, into="_leak"), "marked")
     mostly = F.col("_leak.n_hit") >= LEAKED_SHARE * F.col("_leak.n_words")
     kept = marked.filter(~((F.col("_leak.n_hit") > 0) & mostly))
     return _same_columns(decontaminate.remove_spans(kept, mark="_leak"), docs)
@@ -72,7 +73,8 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether decoding gives it back."""
     drop_staged(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), TOKENIZER), TOKENIZER)
+    coded = stage(bpe.encode(docs.select("doc_id", "text"), TOKENIZER), "coded")
+    coded = bpe.decode(coded, TOKENIZER)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -97,8 +99,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = os.path.join(scratch_dir(spark, "pipeline"), name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -50,6 +50,7 @@ def slices(
             high = min(max(high, low + 1), batch.num_rows)
             yield batch.slice(low, high - low)
             low = high
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def _class_table(separators: bytes) -> np.ndarray:
