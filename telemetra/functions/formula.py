@@ -12,7 +12,7 @@ from __future__ import annotations
 import ast
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -144,7 +144,7 @@ def _statistic_of(word: str) -> tuple[str, str] | None:
 def _scan(text: str) -> tuple[str, dict[str, Reference], dict[str, str]]:
     """The text with its references replaced by placeholders, and both tables."""
     if not text.strip():
-        raise FormulaError("Formula cannot be empty")
+        raise FormulaError("the formula is blank")
     references: dict[str, Reference] = {}
     statistics: dict[str, str] = {}
 
@@ -251,15 +251,70 @@ def check(text: str, available: Sequence[str]) -> Formula:
     """Parse and verify all channels and statistics; raises FormulaError."""
     missing = [n for n in _names(_scan(text)[1]) if find_channel(n, available) is None]
     if missing:
-        raise FormulaError(f"Unknown channels: {', '.join(missing)}")
+        raise FormulaError(f"no channel named {', '.join(missing)}")
     formula = parse(text)
     known = {variable_name(c) for c in available}
     for word in formula.statistics.values():
         if _statistic_of(word)[1] not in known:
-            raise FormulaError(f"Unknown statistic: {word}")
+            raise FormulaError(f"no channel for the statistic {word}")
     return formula
 
 
+def findings(
+    channels: DataFrame, formulas: Mapping[str, str], keys: Sequence[str] = (LOG,)
+) -> DataFrame:
+    """What keeps a log from evaluating a formula: keys, formula, code, detail.
+
+    ``formulas`` maps names to texts, ``channels`` lists log and name.  A pair has
+    at most one row, for the first that holds: ``empty``, ``unknown_channels`` (all of
+    them, as written), ``parse_error``, ``unknown_statistic`` (the first).
+    """
+    keys = list(keys)
+    asked = []
+    for label, text in formulas.items():
+        references, statistics, fault = {}, {}, None
+        try:
+            _, references, statistics = _scan(text)
+            parse(text)
+        except FormulaError as err:
+            fault = str(err)
+        wanted = [("channel", n, n.lower()) for n in _names(references)]
+        wanted += [("statistic", w, _statistic_of(w)[1]) for w in statistics.values()]
+        blank = not text.strip()
+        for place, (kind, shown, key) in enumerate(wanted or [("none", None, None)]):
+            cells = {"formula": label, "blank": blank, "fault": fault, "place": place,
+                     "kind": kind, "shown": shown, "key": key}
+            asked.append(F.struct(*[F.lit(v).alias(c) for c, v in cells.items()]))
+    if not asked:
+        none = F.lit(None).cast("string")
+        return channels.select(*keys, *[none.alias(c) for c in ("formula", "code", "detail")]).limit(0)
+    pairs = channels.select(*keys).distinct().select(*keys, F.explode(F.array(*asked)).alias("a"))
+    word = F.regexp_replace("name", r"[^\p{L}\p{N}]", "_")
+    word = F.when(word.rlike(r"^(\p{N}|$)"), F.concat(F.lit("v_"), word)).otherwise(word)
+    known = channels.select(*keys, F.lit("channel").alias("kind"), F.lower("name").alias("key")).unionByName(
+        channels.select(*keys, F.lit("statistic").alias("kind"), word.alias("key"))
+    ).distinct()
+    met = pairs.select(*keys, "a.*").join(known.withColumn("known", F.lit(True)), [*keys, "kind", "key"], "left")
+
+    def missing(kind: str) -> Column:
+        lacks = F.col("known").isNull() & (F.col("kind") == kind)
+        found = F.collect_list(F.when(lacks, F.struct("place", "shown")))  # of one formula
+        return F.transform(F.array_sort(found), lambda m: m["shown"])
+
+    each = met.groupBy(*keys, "formula", "blank", "fault").agg(
+        missing("channel").alias("lost"), missing("statistic").alias("odd")
+    )
+    ways = [
+        (F.col("blank"), "empty", F.lit("")),
+        (F.size("lost") > 0, "unknown_channels", F.array_join("lost", ", ")),
+        (F.col("fault").isNotNull(), "parse_error", F.col("fault")),
+        (F.size("odd") > 0, "unknown_statistic", F.get("odd", F.lit(0))),
+    ]
+    code = F.coalesce(*[F.when(when, F.lit(name)) for when, name, _ in ways])
+    detail = F.coalesce(*[F.when(when, text) for when, _, text in ways])
+    return each.select(*keys, "formula", code.alias("code"), detail.alias("detail")).filter("code IS NOT NULL")
+
+
 def _cell(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

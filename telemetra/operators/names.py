@@ -175,15 +175,26 @@ def channel_list(samples: DataFrame, keys: Sequence[str] = (LOG,)) -> DataFrame:
     return seen.withColumn("channel_idx", F.row_number().over(order) - 1)
 
 
-def resolve_channel(channels: DataFrame, name: str, keys: Sequence[str] = (LOG,)) -> DataFrame:
-    """The first channel of each log with that name, in any case."""
+def resolve_channel(
+    channels: DataFrame, name: str, keys: Sequence[str] = (LOG,), exact: bool = False
+) -> DataFrame:
+    """The first channel of each log with that name, in any case unless ``exact``."""
+    same = F.col("name") == name if exact else F.lower("name") == name.lower()
     return (
-        channels.filter(F.lower("name") == name.lower())
+        channels.filter(same)
         .groupBy(*keys)
         .agg(F.min_by("name", "channel_idx").alias("name"), F.min("channel_idx").alias("channel_idx"))
     )
 
 
+def has_channel(
+    channels: DataFrame, name: str, keys: Sequence[str] = (LOG,), exact: bool = False
+) -> DataFrame:
+    """Whether each log has a channel of that name."""
+    same = F.col("name") == name if exact else F.lower("name") == name.lower()
+    return channels.groupBy(*keys).agg(F.coalesce(F.max(same), F.lit(False)).alias("has_channel"))
+
+
 def channel_by_index(
     samples: DataFrame,
     channels: DataFrame,
@@ -211,19 +222,13 @@ def channel_by_index(
 def spec_dictionary(specs: DataFrame) -> DataFrame:
     """(key, spec) per lower-cased source name; a later spec or channel wins.
 
-    ``specs`` has load_order, id, vendor and the channels array.
+    ``specs`` are documents (load_order, id, vendor, the channels array) or rows of
+    ``spec_channels``.
     """
-    flat = specs.select("load_order", "vendor", F.posexplode("channels").alias("_c", "ch")).select(
-        "load_order", "_c", "vendor", "ch", F.posexplode("ch.source_names").alias("_s", "source")
-    )
-    spec = F.struct(
-        F.col("ch.id").alias("id"), F.col("ch.name").alias("name"),
-        F.col("ch.category").alias("category"), F.col("ch.unit").alias("unit"),
-        F.col("ch.min").alias("min"), F.col("ch.max").alias("max"),
-        F.col("ch.precision").alias("precision"), F.col("vendor"),
-    )
+    flat = spec_channels(specs).select("*", F.posexplode("source_names").alias("_s", "source"))
+    spec = F.struct("id", "name", "category", "unit", "min", "max", "precision", "vendor")
     return flat.groupBy(F.lower("source").alias("key")).agg(
-        F.max_by(spec, F.struct("load_order", "_c", "_s")).alias("spec")
+        F.max_by(spec, F.struct("load_order", "place", "_s")).alias("spec")
     )
 
 
@@ -245,10 +250,12 @@ def display_attributes(channels: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def specs_by_id(specs: DataFrame, spec_id: str) -> DataFrame:
+    """Spec or protocol documents with that id."""
     return specs.filter(F.col("id") == spec_id)
 
 
 def specs_by_vendor(specs: DataFrame, vendor: str) -> DataFrame:
+    """Spec or protocol documents of a vendor, in any case."""
     return specs.filter(F.lower("vendor") == vendor.lower())
 
 
@@ -262,9 +269,39 @@ def specs_by_extension(specs: DataFrame, extension: str) -> DataFrame:
 
 
 def spec_channels(specs: DataFrame) -> DataFrame:
-    return specs.select("load_order", F.col("id").alias("spec_id"), F.explode("channels").alias("ch")).select(
-        "load_order", "spec_id", "ch.*"
-    )
+    """One row per channel: load_order, spec_id, vendor, place and the channel's fields.
+
+    Frames that are rows already are returned as they are.
+    """
+    if "channels" not in specs.columns:
+        return specs
+    return specs.select(
+        "load_order", F.col("id").alias("spec_id"), "vendor",
+        F.posexplode("channels").alias("place", "ch"),
+    ).select("load_order", "spec_id", "vendor", "place", "ch.*")
+
+
+def spec_normalisations(specs: DataFrame, spec_id: str) -> DataFrame:
+    """(key, target) of one spec: its source names, lower-cased, and what they become."""
+    rows = spec_channels(specs)
+    return spec_names(spec_dictionary(rows.filter(F.col("spec_id") == spec_id)))
+
+
+def protocol_messages(protocols: DataFrame) -> DataFrame:
+    """One row per message: load_order, protocol_id, vendor and the message's fields."""
+    if "messages" not in protocols.columns:
+        return protocols
+    return protocols.select(
+        "load_order", F.col("id").alias("protocol_id"), "vendor", F.explode("messages").alias("m")
+    ).select("load_order", "protocol_id", "vendor", "m.*")
+
+
+def protocol_signals(protocols: DataFrame) -> DataFrame:
+    """One row per signal, with the message (message_id, message) that carries it."""
+    return protocol_messages(protocols).select(
+        "load_order", "protocol_id", "vendor", F.col("id").alias("message_id"),
+        F.col("name").alias("message"), F.explode("signals").alias("s"),
+    ).select("load_order", "protocol_id", "vendor", "message_id", "message", "s.*")
 
 
 def channels_by_category(specs: DataFrame, category: str) -> DataFrame:

@@ -21,9 +21,21 @@ def exact_median(
     keys, whose values must not meet in one buffer, are ranked in buckets.
     """
     keys = list(keys)
-    large = settle(
-        df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") > rows).select(*keys)
-    )
+    large = _large_keys(df, value, keys, rows)
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(F.median(value).alias("median"))
+    return _medians(df, large, value, keys, rows)
+
+
+def _large_keys(df: DataFrame, value: str, keys: list[str], rows: int) -> DataFrame:
+    """Keys with more than ``rows`` values."""
+    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    return settle(counts.filter(F.col("_n") > rows).select(*keys))
+
+
+def _medians(
+    df: DataFrame, large: DataFrame, value: str, keys: list[str], rows: int
+) -> DataFrame:
     small = df.join(large, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias("median"))
     return small.unionByName(_ranked_median(df.join(large, keys, "left_semi"), value, keys, rows))
 
@@ -85,15 +97,19 @@ def describe(
     """count, mean, median, sample stdev, min, max, range and cv percent per key."""
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
-    out = present.groupBy(*keys).agg(*_moments(value))
+    large = _large_keys(present, value, keys, rows) if median else None
+    direct = median and large.isEmpty()  # no key needs ranking: one aggregate gives all
+    out = present.groupBy(*keys).agg(
+        *_moments(value), *([F.median(value).alias("median")] if direct else [])
+    )
     out = out.withColumn("range", F.col("max") - F.col("min")).withColumn(
         "cv",
         F.when(
             F.abs("mean") > EPSILON, F.col("stdev") / F.abs("mean") * 100.0
         ).otherwise(F.lit(0.0)),
     )
-    if median:
-        out = out.join(exact_median(present, value, keys, rows), keys)
+    if median and not direct:
+        out = out.join(_medians(present, large, value, keys, rows), keys)
     return out
 
 

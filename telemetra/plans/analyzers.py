@@ -29,13 +29,16 @@ VALUE = "value"
 @dataclass(frozen=True)
 class Outcome:
     """``values`` (log, idx, t, value), ``summary`` (a row per log), ``findings``
-    (log, code, amount)."""
+    (log, code, amount); ``algorithm`` is the analyzer's id, ``parameters`` its
+    settings as used, channel names resolved."""
 
     name: str
     unit: str
     values: DataFrame
     summary: DataFrame
     findings: DataFrame
+    algorithm: str = ""
+    parameters: Mapping[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -419,7 +422,8 @@ class Registry:
                 F.lit(0.0).alias("amount"),
             )
             empty = records.filter(F.lit(False)).select(LOG, IDX, T, F.lit(0.0).alias(VALUE))
-            return Outcome(analyzer.title(settings), analyzer.unit_of(settings), empty, logs.limit(0), findings)
+            return Outcome(analyzer.title(settings), analyzer.unit_of(settings), empty, logs.limit(0),
+                           findings, analyzer.id, settings)
 
         columns = [resolved[c] for c in analyzer.channels]
         present = [F.count(c).alias(f"_has_{i}") for i, c in enumerate(columns)]
@@ -463,5 +467,5 @@ class Registry:
             )
         return Outcome(
             analyzer.title(settings), analyzer.unit_of(settings),
-            values.select(LOG, IDX, T, VALUE), summary, findings,
+            values.select(LOG, IDX, T, VALUE), summary, findings, analyzer.id, dict(resolved),
         )

@@ -170,6 +170,33 @@ def formula_binding(spark, sf):
     return formula.bind(channels, "VIEW - error[-1] * boost")
 
 
+@query(
+    "formula_findings",
+    """WITH c AS (SELECT user_id AS log_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'error') AS e,
+   bool_or(event_type = 'click') AND user_id % 2 = 0 AS c FROM events GROUP BY user_id),
+f AS (SELECT log_id, 'blank' AS formula, 'empty' AS code, '' AS detail FROM c
+UNION ALL SELECT log_id, 'names', 'unknown_channels', 'boost' || CASE WHEN v THEN '' ELSE ', VIEW' END || CASE WHEN e THEN '' ELSE ', Error' END FROM c
+UNION ALL SELECT log_id, 'plain', 'unknown_channels', 'click' FROM c WHERE NOT c
+UNION ALL SELECT log_id, 'power', CASE WHEN c THEN 'parse_error' ELSE 'unknown_channels' END,
+   CASE WHEN c THEN 'Parse error: unknown operator **' ELSE 'click' END FROM c
+UNION ALL SELECT log_id, 'mean', CASE WHEN c THEN 'unknown_statistic' ELSE 'unknown_channels' END,
+   CASE WHEN c THEN '_mean_boost' ELSE 'click' END FROM c)
+SELECT * FROM f""",
+)
+def formula_findings(spark, sf):
+    """Which logs cannot evaluate which of five formulas, and why; odd logs call clicks taps."""
+    from telemetra.operators.names import channel_list
+
+    formulas = {
+        "blank": "  ", "names": "boost * VIEW - Error[-1]", "plain": "click + 1",
+        "power": "click ** 2", "mean": "click - _mean_boost",
+    }
+    channels = channel_list(tables.event_rate_points(spark, sf))
+    tap = (F.col("name") == "click") & (F.col(LOG) % 2 == 1)
+    channels = channels.withColumn("name", F.when(tap, "tap").otherwise(F.col("name")))
+    return formula.findings(channels, formulas)
+
+
 @query(
     "unit_conversion",
     f"""WITH s AS (SELECT event_id, value, CASE CAST(event_id % 9 AS INTEGER) WHEN 0 THEN 'K' WHEN 1 THEN 'kPa' WHEN 2 THEN 'km/h'

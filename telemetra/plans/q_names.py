@@ -86,23 +86,30 @@ def search_channels(spark, sf):
     return names.search_channels(listed, "AFR")
 
 
-def part_specs(spark, sf):
-    """One spec document per brand; its parts are the channels."""
-    part = tables.read_table(spark, sf, "part")
-    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-    channel = F.struct(
-        "p_partkey",
+def _brand_number():
+    return F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+
+
+def part_channels(spark, sf):
+    """The channels of one spec per brand, a row each: its parts."""
+    return tables.read_table(spark, sf, "part").select(
+        _brand_number().alias("load_order"), F.lower("p_brand").alias("spec_id"),
+        F.col("p_brand").alias("vendor"), F.col("p_partkey").alias("place"),
         F.col("p_partkey").cast("string").alias("id"), F.concat("p_type", F.lit(" "), "p_name").alias("name"),
         F.initcap(F.element_at(F.split("p_name", " "), 1)).alias("category"), F.lit("mm").alias("unit"),
         F.lit(0.0).alias("min"), F.col("p_retailprice").alias("max"), (F.col("p_size") % 4).alias("precision"),
         F.array("p_name", F.concat(F.lit("P"), F.col("p_partkey"))).alias("source_names"),
     )
-    return part.groupBy("p_brand").agg(
-        F.min(number).alias("load_order"), F.sort_array(F.collect_list(channel)).alias("channels")
-    ).select(
-        "load_order", F.lower("p_brand").alias("id"), F.col("p_brand").alias("vendor"),
-        F.struct(F.array(F.lit(".CSV"), F.concat(F.lit(".b"), "load_order")).alias("extensions")).alias("file_format"),
-        "channels",
+
+
+def part_specs(spark, sf):
+    """One spec document per brand, without its channels."""
+    brands = tables.read_table(spark, sf, "part").select("p_brand").distinct()
+    extensions = F.array(F.lit(".CSV"), F.concat(F.lit(".b"), _brand_number()))
+    return brands.select(
+        _brand_number().alias("load_order"), F.lower("p_brand").alias("id"),
+        F.col("p_brand").alias("vendor"),
+        F.struct(extensions.alias("extensions")).alias("file_format"),
     )
 
 
@@ -117,7 +124,7 @@ SELECT a.key, p_type || ' ' || p_name AS name, p_brand AS vendor, p_retailprice
 )
 def spec_dictionary(spark, sf):
     """The later spec wins a shared source name."""
-    d = names.spec_dictionary(part_specs(spark, sf))
+    d = names.spec_dictionary(part_channels(spark, sf))
     return d.select("key", "spec.name", "spec.vendor", "spec.max", "spec.precision")
 
 
@@ -139,7 +146,7 @@ def spec_channel_attributes(spark, sf):
         F.lit(None).cast("double").alias("display_min"),
         F.when(known & (F.col("p_partkey") % 3 == 0), F.lit(5.0)).alias("display_max"),
     )
-    out = names.display_attributes(part, names.spec_dictionary(part_specs(spark, sf)))
+    out = names.display_attributes(part, names.spec_dictionary(part_channels(spark, sf)))
     return out.drop("display_min", "display_max")
 
 
@@ -154,7 +161,7 @@ UNION ALL SELECT DISTINCT 'categories', upper(substr(p_name, 1, 1)) || substr(sp
 )
 def spec_lookups(spark, sf):
     """Specs by id, vendor, extension; channels by category; all categories."""
-    specs = part_specs(spark, sf)
+    specs, channels = part_specs(spark, sf), part_channels(spark, sf)
 
     def rows(kind, df, column):
         return df.select(F.lit(kind).alias("lookup"), F.col(column).alias("found"))
@@ -163,8 +170,8 @@ def spec_lookups(spark, sf):
     for part in (
         rows("vendor", names.specs_by_vendor(specs, "BRAND#11"), "id"),
         rows("extension", names.specs_by_extension(specs, "csv"), "id"),
-        rows("category", names.channels_by_category(specs, "red"), "id"),
-        rows("categories", names.categories(specs), "category"),
+        rows("category", names.channels_by_category(channels, "red"), "id"),
+        rows("categories", names.categories(channels), "category"),
     ):
         out = out.unionByName(part)
     return out
@@ -183,6 +190,73 @@ def channel_by_name(spark, sf):
     return names.resolve_channel(channels, "PURCHASE")
 
 
+@query(
+    "channel_exact_name",
+    """WITH c AS (SELECT user_id AS log_id, bool_or(event_type = 'purchase') AS any_case FROM events GROUP BY user_id)
+SELECT log_id, any_case, any_case AND log_id % 2 = 1 AS exact_case,
+  CASE WHEN any_case AND log_id % 2 = 1 THEN 'PURCHASE' END AS name FROM c""",
+)
+def channel_exact_name(spark, sf):
+    """Odd logs spell their channels in capitals; has_channel and lookup in both ways."""
+    name = F.when(F.col(LOG) % 2 == 1, F.upper("name")).otherwise(F.col("name"))
+    channels = names.channel_list(tables.event_rate_points(spark, sf)).withColumn("name", name)
+    loose = names.has_channel(channels, "Purchase").withColumnRenamed("has_channel", "any_case")
+    exact = names.has_channel(channels, "PURCHASE", exact=True).withColumnRenamed("has_channel", "exact_case")
+    found = names.resolve_channel(channels, "PURCHASE", exact=True).select(LOG, "name")
+    return loose.join(exact, LOG).join(found, LOG, "left")
+
+
+def supplier_protocols(spark, sf):
+    """(documents, messages): a bus protocol per nation, its suppliers as messages of two signals."""
+    supplier = tables.read_table(spark, sf, "supplier")
+    shown = F.concat(F.lit("bus-"), "s_nationkey")
+    vendor = F.concat(F.lit("Region "), F.col("s_nationkey") % 5)
+    documents = supplier.select("s_nationkey").distinct().select(
+        F.col("s_nationkey").alias("load_order"), shown.alias("id"), vendor.alias("vendor")
+    )
+
+    def signal(name, start, length):
+        return F.struct(
+            F.lit(name).alias("name"), F.lit(start).alias("start_bit"), F.lit(length).alias("length")
+        )
+
+    messages = supplier.select(
+        F.col("s_nationkey").alias("load_order"), shown.alias("protocol_id"), vendor.alias("vendor"),
+        F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"),
+        F.array(signal("balance", 0, 32), signal("phone", 32, 16)).alias("signals"),
+    )
+    return documents, messages
+
+
+@query(
+    "protocol_lookups",
+    """WITH d AS (SELECT DISTINCT 'bus-' || s_nationkey AS id, s_nationkey % 5 AS r FROM supplier)
+SELECT 'id' AS lookup, id AS found FROM d WHERE id = 'bus-7'
+UNION ALL SELECT 'vendor', id FROM d WHERE r = 3
+UNION ALL SELECT 'message', s_name FROM supplier WHERE s_nationkey = 7
+UNION ALL SELECT 'signal', s_name || '.' || v.name || '@' || v.first_bit FROM supplier, (VALUES ('balance', 0), ('phone', 32)) v(name, first_bit)
+UNION ALL SELECT 'names', key || '=' || arg_max(target, p_partkey) FROM (
+   SELECT lower(p_name) AS key, p_type || ' ' || p_name AS target, p_partkey FROM part WHERE p_brand = 'Brand#13'
+   UNION ALL SELECT 'p' || p_partkey, p_type || ' ' || p_name, p_partkey FROM part WHERE p_brand = 'Brand#13') GROUP BY key""",
+)
+def protocol_lookups(spark, sf):
+    """Protocols by id and vendor, their messages and signals, and one spec's name map."""
+    documents, messages = supplier_protocols(spark, sf)
+    signals = names.protocol_signals(messages)
+    named = names.spec_normalisations(part_channels(spark, sf), "brand#13")
+    out = None
+    for kind, df, found in (
+        ("id", names.specs_by_id(documents, "bus-7"), F.col("id")),
+        ("vendor", names.specs_by_vendor(documents, "REGION 3"), F.col("id")),
+        ("message", names.protocol_messages(messages).filter("protocol_id = 'bus-7'"), F.col("name")),
+        ("signal", signals, F.concat("message", F.lit("."), "name", F.lit("@"), "start_bit")),
+        ("names", named, F.concat("key", F.lit("="), "target")),
+    ):
+        part = df.select(F.lit(kind).alias("lookup"), found.alias("found"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "channel_by_index",
     f"""WITH {_POINTS} SELECT e.user_id AS log_id, e.event_id AS seq, e.event_type AS channel, value

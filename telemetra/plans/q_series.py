@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemetra.frame import IDX, LOG, T, rounded
+from telemetra.frame import IDX, LOG, T, VALUE, rounded
 from telemetra.operators import downsample, nearest, recurrence, series, stats
 from telemetra.plans.catalog import (
     EVENTS_CTE,
@@ -201,9 +201,7 @@ def nearest_record_cursor(spark, sf):
     return out.filter(F.col("near_idx").isNotNull())
 
 
-@query(
-    "merge_rates",
-    """WITH p AS (SELECT user_id AS log_id, event_id AS seq, event_type AS channel, value,
+_MERGED = """WITH p AS (SELECT user_id AS log_id, event_id AS seq, event_type AS channel, value,
     (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS t FROM events),
 ty AS (SELECT DISTINCT event_type AS channel FROM events),
 tl AS (SELECT DISTINCT log_id, t FROM p),
@@ -216,14 +214,39 @@ m AS (SELECT h.log_id, h.t, h.channel, coalesce(h.value, f.fv, 0) AS v
 SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY t) - 1 AS idx, round(t, 6) + 0.0 AS t,
   max(v) FILTER (channel = 'click') AS click, max(v) FILTER (channel = 'error') AS error,
   max(v) FILTER (channel = 'purchase') AS purchase, max(v) FILTER (channel = 'view') AS view, max(v) FILTER (channel = 'signup') AS signup
-FROM m GROUP BY log_id, t""",
-)
+FROM m GROUP BY log_id, t"""
+_RATES = ["click", "error", "purchase", "view", "signup"]
+
+
+@query("merge_rates", _MERGED)
 def merge_rates(spark, sf):
-    points = nearest.plausible_points(
-        tables.event_rate_points(spark, sf).withColumn(T, F.col(T) / F.lit(1000.0))
-    ).withColumn(T, F.col(T) * F.lit(1000.0))
-    out = nearest.merge_rates(points, ["click", "error", "purchase", "view", "signup"])
-    return _r(out.select(LOG, IDX, T, "click", "error", "purchase", "view", "signup"), T)
+    out = nearest.merge_rates(tables.event_rate_points(spark, sf), _RATES)
+    return _r(out.select(LOG, IDX, T, *_RATES), T)
+
+
+@query("merge_rates_capped", f"SELECT * FROM ({_MERGED}) WHERE idx < 20")
+def merge_rates_capped(spark, sf):
+    """The optional cap on the records of a timeline."""
+    out = nearest.merge_rates(tables.event_rate_points(spark, sf), _RATES, max_records=20)
+    return _r(out.select(LOG, IDX, T, *_RATES), T)
+
+
+@query(
+    "plausible_points",
+    """WITH p AS (SELECT user_id AS log_id, event_id AS seq, event_type AS channel,
+    (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 - 5000 AS t,
+    CASE event_id % 5 WHEN 0 THEN value * 5e8 WHEN 1 THEN 'nan'::DOUBLE ELSE value END AS value FROM events)
+SELECT log_id, seq, channel, value FROM p WHERE t >= 0 AND t < 100000 AND NOT isnan(value) AND abs(value) < 1e10""",
+)
+def plausible_points(spark, sf):
+    """Drops points before zero, past 1e5 s, not numbers, or of 1e10 and more."""
+    odd = (
+        F.when(F.col("seq") % 5 == 0, F.col(VALUE) * 5e8)
+        .when(F.col("seq") % 5 == 1, F.lit(float("nan")))
+        .otherwise(F.col(VALUE))
+    )
+    points = tables.event_rate_points(spark, sf).withColumns({VALUE: odd, T: F.col(T) - 5000})
+    return nearest.plausible_points(points).select(LOG, "seq", "channel", VALUE)
 
 
 @query(

@@ -72,10 +72,10 @@ def test_missing_cells_count_as_zero(logs):
 @pytest.mark.parametrize(
     "text,message",
     [
-        ("  ", "empty"), ("A + B", "Unknown channels: A, B"), ("X +", "Parse error"),
-        ("X ** 2", "Parse error"), ("foo(X)", "Unknown channels: foo"), ("sin(X, X)", "Parse error"),
-        ("1e3 + X", "Unknown channels: e3"), ("X + _mean_Nope", "Unknown statistic"),
-        ("X > 1", "Parse error"), ("X if X else 1", "Unknown channels"), ("X.real", "Unknown channels"),
+        ("  ", "blank"), ("A + B", "no channel named A, B"), ("X +", "Parse error"),
+        ("X ** 2", "Parse error"), ("foo(X)", "no channel named foo"), ("sin(X, X)", "Parse error"),
+        ("1e3 + X", "no channel named e3"), ("X + _mean_Nope", "no channel for the statistic"),
+        ("X > 1", "Parse error"), ("X if X else 1", "no channel named"), ("X.real", "no channel named"),
     ],
 )
 def test_validation(text, message):
@@ -200,3 +200,23 @@ def test_fixed_text_rounds_the_binary_value(spark):
     table = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r.text for r in table.select(units.fixed_text(F.col("v"), 2).alias("text")).collect()]
     assert got == [f"{v:.2f}" for v in values]
+
+
+def test_findings_per_log(spark):
+    rows = [("a", "X"), ("a", "Engine Speed"), ("a", "2nd"), ("b", "Y")]
+    channels = spark.createDataFrame(rows, "log_id string, name string")
+    texts = {
+        "good": "x + 1", "mean": "X - _mean_Engine_Speed - _max_v_2nd", "blank": " ",
+        "lost": "X * y + z", "power": "X ** 2", "odd": "X + _min_Nope + _max_Nope", "number": "1 + 1",
+    }
+    got = {(r.log_id, r.formula): (r.code, r.detail) for r in formula.findings(channels, texts).collect()}
+    assert got == {
+        ("a", "blank"): ("empty", ""), ("b", "blank"): ("empty", ""),
+        ("a", "lost"): ("unknown_channels", "y, z"), ("b", "lost"): ("unknown_channels", "X, z"),
+        ("a", "power"): ("parse_error", "Parse error: unknown operator **"),
+        ("a", "odd"): ("unknown_statistic", "_min_Nope"),
+        **{("b", f): ("unknown_channels", "X") for f in ("mean", "power", "odd")},
+        ("b", "good"): ("unknown_channels", "x"),
+    }
+    assert formula.findings(channels, {}).count() == 0
+    assert formula.findings(channels.limit(0), texts).count() == 0
