@@ -16,6 +16,9 @@ covers it also occurs in a document of smaller id.
    smallest document.
 4. Across shards.  An anchor with more strings than a shard takes goes on into the
    next; the sorted windows of its earlier shards are searched by bisection.
+5. Hot anchors.  Anchors of many different strings, found in a sample, are no anchors:
+   their windows are runs of one window each, dealt by the hash of the whole window.
+   Any set of hot anchors gives the same result; the sample bounds only the shards.
 
 Equal strings of a task are one before the shuffle, so a hot passage costs a row
 for each task.  Nothing is paired.  Anchors travel packed, as columns of a block.
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.llm import arrays, suffixes
@@ -43,6 +47,11 @@ GRAM = 16
 SHARD_BYTES = 1 << 20
 #: Anchors after which a task drops equal strings and hands on the rest.
 HELD = 1 << 18
+#: Strings of an anchor above which its windows are dealt one by one; about half a shard.
+HOT_STRINGS = 1 << 13
+#: One of so many pieces of ``PIECE`` bytes is sampled to find them.
+SAMPLE = 64
+PIECE = 1 << 12
 
 RESULT = T.StructType(
     [
@@ -146,13 +155,68 @@ def _routes(gram: np.ndarray, deals: int) -> tuple[np.ndarray, np.ndarray]:
     return (mixed % np.uint64(deals)).astype(np.int32), (mixed >> np.uint64(32)).astype(np.uint32)
 
 
-def _anchors(size: int, deals: int):  # noqa: ANN202
+_SAMPLED = "gram long, span long, _text long, n long"
+_SAMPLED_ARROW = pa.schema([(c, pa.int64()) for c in ("gram", "span", "_text", "n")])
+
+
+def _sampled(size: int, share: int):  # noqa: ANN202
+    """How often each anchor and string stand in the sampled pieces of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrays.slices(batches, "text"):
+            data, at = arrays.flat(part.column("text"))
+            text = part.column("_text").to_numpy(zero_copy_only=False).view(np.uint64)
+            pieces = -(-np.diff(at) // PIECE)
+            row = np.repeat(np.arange(len(pieces)), pieces)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            picked = arrays.mix(text[row] + arrays.mix(nth.astype(np.uint64))) % np.uint64(share) == 0
+            row, nth = row[picked], nth[picked]
+            if not len(row):
+                continue
+            low = at[row] + nth * PIECE
+            # a piece holds the windows that begin in it
+            length = np.minimum(low + PIECE + size - 1, at[row + 1]) - low
+            end = np.r_[0, np.cumsum(length)]
+            units = _UNITS[data[np.repeat(low - end[:-1], length) + np.arange(end[-1])]]
+            first, count, gram = arrays.anchors(units, end, size, min(GRAM, size))
+            if not len(first):
+                continue
+            span = arrays.span_hashes(units, first, first + count + size - 1)
+            owner = text[row[np.searchsorted(end, first, side="right") - 1]]
+            order = np.lexsort((owner, span, gram))
+            keys = [arrays.signed(np.ascontiguousarray(k[order])) for k in (gram, span, owner)]
+            new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+            begin = np.flatnonzero(new)
+            yield _batch(
+                _SAMPLED_ARROW, *[k[begin] for k in keys], np.diff(np.r_[begin, len(order)])
+            )
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted anchors of about ``HOT_STRINGS`` strings or more.
+
+    Equal strings of different texts count once, those of one text each.
+    """
+    texts = docs.select("text", F.xxhash64("text").alias("_text"))
+    found = texts.mapInArrow(_sampled(size, SAMPLE), _SAMPLED)
+    in_text = found.groupBy("gram", "span", "_text").agg(F.sum("n").alias("n"))
+    strings = in_text.groupBy("gram", "span").agg(F.max("n").alias("n"))
+    hot = strings.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") * SAMPLE >= HOT_STRINGS)
+    return np.sort(np.array([r["gram"] for r in hot.select("gram").collect()], np.int64).view(np.uint64))
+
+
+def _anchors(size: int, deals: int, hot: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Anchors()
         for part in arrays.slices(batches, "text"):
             data, at = arrays.flat(part.column("text"))
             units = _UNITS[data]
             first, count, gram = arrays.anchors(units, at, size, min(GRAM, size))
+            single = np.isin(gram, hot)
+            windows, many = first[single], count[single]
+            first, count, gram = first[~single], count[~single], gram[~single]
             text = np.searchsorted(at, first, side="right") - 1
             span = arrays.span_hashes(units, first, first + count + size - 1)
             doc, tie = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_tie"))
@@ -161,6 +225,23 @@ def _anchors(size: int, deals: int):  # noqa: ANN202
             )
             if rows.size > HELD:
                 yield from rows.flush(deals)
+            if not len(windows):
+                continue
+            # windows of hot anchors, each with a second hash of its own as anchor
+            others = arrays.mix(units + np.uint64(1))
+            begins = np.cumsum(many) - many
+            first = np.repeat(windows - begins, many) + np.arange(many.sum())
+            for low in range(0, len(first), HELD):
+                here = first[low : low + HELD]
+                text = np.searchsorted(at, here, side="right") - 1
+                rows.add(
+                    gram=arrays.span_hashes(others, here, here + size),
+                    span=arrays.span_hashes(units, here, here + size),
+                    doc=doc[text], tie=tie[text], pos=here - at[text],
+                    m=np.ones(len(here), np.int64),
+                )
+                if rows.size > HELD:
+                    yield from rows.flush(deals)
         yield from rows.flush(deals)
 
     return run
@@ -269,7 +350,8 @@ def _strings(size: int, deals: int):  # noqa: ANN202
             data, at = arrays.flat(part.column("text"))
             first, _, gram = arrays.anchors(_UNITS[data], at, size, min(GRAM, size))
             low = at[row] + pos
-            deal, short = _routes(gram[np.searchsorted(first, low)], deals)
+            run_of = np.searchsorted(first, low, side="right") - 1
+            deal, short = _routes(gram[run_of], deals)
             length = m + size - 1
             end = np.r_[0, np.cumsum(length)]
             source = np.repeat(low - end[:-1], length) + np.arange(end[-1])
@@ -425,16 +507,24 @@ def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield left
 
 
-def repeats(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of repeated windows of keyed documents: (_doc, _tie, _pos, _code) whose odd codes
-    are repeats, and (_doc, _tie, _spans)."""
+def compared_strings(
+    docs: DataFrame, size: int, hot: np.ndarray
+) -> tuple[DataFrame, DataFrame]:
+    """Runs of keyed documents, and the strings whose anchors must be compared."""
     deals = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("_doc", "_tie", "text")
-    blocks = texts.mapInArrow(_anchors(size, deals), _BLOCK).repartition(deals, "deal")
+    blocks = texts.mapInArrow(_anchors(size, deals, hot), _BLOCK).repartition(deals, "deal")
     # both uses read whole lists and whole rows, so each exchange is made once
     turns = blocks.mapInArrow(_met(deals), _TURN).repartition(deals, "deal")
     lists = turns.mapInArrow(_by_document, _LIST)
-    strings = docs.join(lists, ["_doc", "_tie"]).mapInArrow(_strings(size, deals), _STRING)
+    return lists, docs.join(lists, ["_doc", "_tie"]).mapInArrow(_strings(size, deals), _STRING)
+
+
+def repeats(docs: DataFrame, size: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Runs of repeated windows of keyed documents: (_doc, _tie, _pos, _code) whose odd codes
+    are repeats, and (_doc, _tie, _spans)."""
+    deals = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists, strings = compared_strings(docs, size, hot)
     sharded = strings.repartition(deals, "deal").sortWithinPartitions(
         "deal", "hash", "_doc", "_tie", "pos"
     )
@@ -447,7 +537,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> Da
     if size - min(GRAM, size) + 1 >= 128:
         raise ValueError(f"size must be under {128 + GRAM - 1}")
     rows = keyed(docs.drop(into))
-    lists, compared = repeats(rows, size)
+    lists, compared = repeats(rows, size, hot_anchors(docs, size))
     key = ["_doc", "_tie"]
     joined = rows.join(lists, key, "left").join(compared, key, "left")
 

@@ -215,6 +215,45 @@ def test_shards_hand_windows_on():
         bytedup.SHARD_BYTES = old
 
 
+def hot_texts(n):
+    """Texts around one 16-byte phrase that is the anchor of most windows it stands in."""
+    from telemetra.llm import arrays
+
+    phrases = [b"Posted by %05d:" % k for k in range(4000)]
+    hashes = [arrays.gram_hashes(bytedup._UNITS[np.frombuffer(p, np.uint8)], 16)[0] for p in phrases]
+    phrase = phrases[int(np.argmin(hashes))].decode()
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 34))) for _ in range(n)]
+    rows = [(k, f"{words[k]}{phrase}{words[-k - 1]}") for k in range(n)]
+    rows += [(n + k, f"{words[k][-20:]}{phrase}{words[-k - 1][:20]}") for k in range(0, n, 3)]
+    return rows + [(2 * n, "  ".join(rows[k][1] for k in range(0, n, 7)) * 2)]
+
+
+def test_hot_anchor_is_spread(spark, monkeypatch):
+    """An anchor of many different strings does not meet in one task."""
+    from telemetra.llm.common import keyed
+    from telemetra.session import ship_package
+
+    rows = hot_texts(600)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(bytedup, "HOT_STRINGS", 64)
+    monkeypatch.setattr(bytedup, "SAMPLE", 1)
+    monkeypatch.setattr(bytedup, "HELD", 500)
+    ship_package(spark)
+    hot = bytedup.hot_anchors(table, 50)
+    assert len(hot)
+    _, strings = bytedup.compared_strings(keyed(table), 50, hot)
+    most = strings.groupBy("deal", "hash").count().agg(F.max("count")).first()[0] or 0
+    assert most < 64
+    _, strings = bytedup.compared_strings(keyed(table), 50, hot[:0])
+    assert strings.groupBy("deal", "hash").count().agg(F.max("count")).first()[0] > 600
+    got = {
+        r["doc_id"]: (*list(r["repeats"])[:3], brute.sha(bytes(r["repeats"]["kept"])))
+        for r in bytedup.remove_repeats(table, 50).collect()
+    }
+    assert got == brute.removed_bytes(rows, 50)
+
+
 def test_decontamination(spark, docs):
     items = [(1, passage(10, 14)), (2, "A, b. C!"), (3, None), (None, "中文"), (1, passage(10, 14))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
