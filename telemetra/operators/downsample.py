@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from telemetra.frame import IDX, LOG, T, not_nan
 from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
 from telemetra.operators.series import scale_to_unit
-from telemetra.session import settle
+from telemetra.session import materialise, scratch_dir, settle
 
 CHART_POINTS = 2000
 _SLOTS_PER_TASK = 64
@@ -92,11 +92,16 @@ def lttb(
     ``canonical`` uses the published bucketing.
 
     Spark finds the bucket means and cuts every long bucket down to its hull
-    corners; only the chain over those corners runs once per series.
+    corners; only the chain over those corners is sequential.  A smooth stretch is
+    all corners, so logs over ``rows`` records are chained in parts of about
+    ``rows`` corners (or one bucket), one job after the other for all logs, each
+    handing its last point on.
     """
     keys = list(keys)
+    sizes = records
     if "n" not in records.columns:
-        records = records.join(settle(log_sizes(records, keys)), keys)
+        sizes = settle(log_sizes(records, keys))
+        records = records.join(sizes, keys)
     points = records.select(*keys, IDX, T, F.col(value).alias("v"), "n")
     whole = F.lit(target < 3) | (F.col("n") <= target)
     as_is = points.filter(whole).select(*keys, F.col(IDX).alias("pos"), IDX, T, "v")
@@ -128,7 +133,7 @@ def lttb(
     )
     names = [f.name for f in corner_schema]
 
-    def reduce_slots(table: pa.Table) -> pa.Table:
+    def cut(table: pa.Table, columns: list[str]) -> pa.Table:
         slots, i = table.column("_slot").to_numpy(), table.column(IDX).to_numpy()
         order = np.lexsort((i, slots))
         slots, i = slots[order], i[order]
@@ -139,7 +144,7 @@ def lttb(
             np.arange(a, b) if b - a <= _SMALL_SLOT else a + _corners(t[a:b], v[a:b], i[a:b])
             for a, b in zip(begin, end)
         ]
-        return table.select(names).take(pa.array(order[np.concatenate(kept)]))
+        return table.select(columns).take(pa.array(order[np.concatenate(kept)]))
 
     candidates = slotted.filter(
         (F.col("_slot") >= first_slot)
@@ -149,22 +154,44 @@ def lttb(
     )
     # Short buckets go to the chain whole; long ones are cut to corners first.
     short = F.col("_w") <= _SMALL_SLOT
-    corners = (
-        candidates.filter(~short)
-        .select(*keys, "_slot", IDX, T, "v")
-        .withColumn("_block", F.floor(F.col(IDX) / rows))
-        .repartition(tasks, *keys, "_block")
-        .groupBy(*keys, "_block")
-        .applyInArrow(reduce_slots, corner_schema)
-        .withColumn("_block", F.floor(F.col("_slot") / _SLOTS_PER_TASK))
-        .repartition(tasks, *keys, "_block")
-        .groupBy(*keys, "_block")
-        .applyInArrow(reduce_slots, corner_schema)
-    )
-    ends = slotted.filter((F.col(IDX) == 0) | (F.col(IDX) == F.col("n") - 1)).select(
-        *keys,
-        F.when(F.col(IDX) == 0, F.lit(-1)).otherwise(F.lit(target)).cast("long").alias("_slot"),
-        IDX, T, "v",
+    tail = first_slot + target - 3
+
+    def chained(chosen: Column) -> DataFrame:
+        """Candidates of some logs; the first record stands before them, the last behind."""
+        # slots to a task, so that their records are about ``rows`` even if all are corners
+        per_task = F.greatest(F.lit(1), F.least(F.lit(_SLOTS_PER_TASK), F.floor(rows / F.col("_w"))))
+        mine = candidates.filter(chosen)
+        by_slot = TYPES.StructType([*corner_schema, TYPES.StructField("_group", TYPES.LongType())])
+
+        def reduce_block(table: pa.Table) -> pa.Table:
+            return cut(table, by_slot.names)
+
+        def reduce_slots(table: pa.Table) -> pa.Table:
+            return cut(table, names)
+
+        corners = (
+            mine.filter(~short)
+            .withColumn("_group", F.floor(F.col("_slot") / per_task))
+            .select(*by_slot.names)
+            .withColumn("_block", F.floor(F.col(IDX) / rows))
+            .repartition(tasks, *keys, "_block")
+            .groupBy(*keys, "_block")
+            .applyInArrow(reduce_block, by_slot)
+            .repartition(tasks, *keys, "_group")
+            .groupBy(*keys, "_group")
+            .applyInArrow(reduce_slots, corner_schema)
+        )
+        ends = slotted.filter(chosen & ((F.col(IDX) == 0) | (F.col(IDX) == F.col("n") - 1)))
+        slot = F.when(F.col(IDX) == 0, F.lit(first_slot - 1)).otherwise(F.lit(target))
+        return corners.unionByName(mine.filter(short).select(*names)).unionByName(
+            ends.select(*keys, slot.cast("long").alias("_slot"), IDX, T, "v")
+        )
+
+    # the last bucket looks at the last record
+    means = means.filter(F.col("_slot") <= tail).drop("n").unionByName(
+        slotted.filter(F.col(IDX) == F.col("n") - 1).select(
+            *keys, F.lit(tail + 1).cast("long").alias("_slot"), F.col(T).alias("_mt"), F.col("v").alias("_mv")
+        )
     )
     out_schema = TYPES.StructType(
         [*fields, TYPES.StructField("pos", TYPES.LongType()), *corner_schema.fields[-3:]]
@@ -177,7 +204,8 @@ def lttb(
         order = np.lexsort((i, slots))
         slots, i = slots[order], i[order]
         t, v = (table.column(c).to_numpy()[order] for c in (T, "v"))
-        begin = np.searchsorted(slots, np.arange(target + 1))
+        before, final = int(slots[0]), slots[-1] == target  # the point chosen last is first
+        begin = np.searchsorted(slots, np.arange(before, target + 1))
         centre = dict(
             zip(
                 mean.column("_slot").to_pylist(),
@@ -186,18 +214,21 @@ def lttb(
         )
         chosen = [0]
         last = len(slots) - 1
-        for s in range(first_slot, first_slot + target - 2):
-            lo, hi = begin[s], begin[s + 1]
+        for s in range(before + 1, tail + 1 if final else int(slots[-1]) + 1):
+            lo, hi = begin[s - before], begin[s - before + 1]
             if lo == hi:  # only the last bucket can be empty
                 chosen.append(last)
                 continue
-            tail = s == first_slot + target - 3
-            ct, cv = (t[last], v[last]) if tail else centre[s + 1]
+            ct, cv = centre[s + 1]
             p = chosen[-1]
             area = np.abs((t[p] - ct) * (v[lo:hi] - v[p]) - (t[p] - t[lo:hi]) * (cv - v[p]))
             chosen.append(lo + int(np.where(np.isnan(area), -1.0, area).argmax()))
-        chosen.append(last)
-        columns = {"pos": np.arange(len(chosen)), IDX: i[chosen], T: t[chosen], "v": v[chosen]}
+        if final:
+            chosen.append(last)
+        pos = before - first_slot + 1 + np.arange(len(chosen))
+        if before >= first_slot:  # known from the part before
+            chosen, pos = chosen[1:], pos[1:]
+        columns = {"pos": pos, IDX: i[chosen], T: t[chosen], "v": v[chosen]}
         fields = to_arrow_schema(out_schema)
         known = dict(zip(keys, key))
         return pa.Table.from_arrays(
@@ -210,15 +241,52 @@ def lttb(
             schema=fields,
         )
 
-    picked = (
-        corners.unionByName(candidates.filter(short).select(*keys, "_slot", IDX, T, "v"))
-        .unionByName(ends)
-        .repartition(tasks, *keys)
-        .groupBy(*keys)
-        .cogroup(means.groupBy(*keys))
-        .applyInArrow(chain, out_schema)
+    def walked(candidates: DataFrame, means: DataFrame) -> DataFrame:
+        return (
+            candidates.repartition(tasks, *keys)
+            .groupBy(*keys)
+            .cogroup(means.groupBy(*keys))
+            .applyInArrow(chain, out_schema)
+        )
+
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    if longest <= rows:
+        out = as_is.unionByName(walked(chained(F.lit(True)), means))
+        return out.withColumnRenamed("v", value)
+    means = settle(means)
+    long = F.col("n") > rows
+    out = as_is.unionByName(walked(chained(~long), means))
+    staged = materialise(chained(long), "corners")
+    ahead = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        staged.groupBy(*keys, "_slot")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(ahead), F.lit(0)) / rows))
+        .withColumn("_part", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_part")) - 1)
     )
-    return as_is.unionByName(picked).withColumnRenamed("v", value)
+    parts = settle(parts.select(*keys, "_slot", "_part"))
+    spark = records.sparkSession
+    folder = scratch_dir(spark, "parts")
+    staged.join(parts, [*keys, "_slot"]).write.partitionBy("_part").parquet(folder)
+    staged = spark.read.parquet(folder)
+    done = scratch_dir(spark, "chains")
+    point = F.struct((F.col("pos") + (first_slot - 1)).alias("_slot"), IDX, T, "v")
+    handed = None
+    for part in range((parts.agg(F.max("_part")).first()[0] or 0) + 1):
+        here = staged.filter(F.col("_part") == part).select(*names)
+        if handed is not None:
+            here = here.unionByName(handed)
+        path = f"{done}/{part}"
+        walked(here, means.join(here.select(*keys).distinct(), keys, "left_semi")).write.parquet(path)
+        ended = spark.read.schema(out_schema).parquet(path)
+        handed = (
+            ended.groupBy(*keys)
+            .agg(F.max("pos").alias("_last"), F.max_by(point, "pos").alias("_p"))
+            .filter(F.col("_last") < target - 1)
+            .select(*keys, "_p.*")
+        )
+    chains = spark.read.schema(out_schema).option("recursiveFileLookup", "true").parquet(done)
+    return out.unionByName(chains).withColumnRenamed("v", value)
 
 
 def chart_series(

@@ -305,6 +305,35 @@ def test_lttb_matches_plain_scan(logs, n, target, canonical):
     assert [r.idx for r in got] == want
 
 
+@pytest.mark.parametrize("target, canonical", [(9, False), (9, True), (200, False), (3, False)])
+def test_lttb_chains_a_smooth_log_in_parts(logs, monkeypatch, target, canonical):
+    """Every record of t squared is a corner; no task gets them all."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    n, seen = 2000, []
+
+    def bounded(self, func, schema, old=PandasCogroupedOps.applyInArrow):
+        def counted(key, table, mean):
+            assert table.num_rows <= 150 + n // (target - 2) + 3, table.num_rows
+            return func(key, table, mean)
+
+        seen.append(1)
+        return old(self, counted, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", bounded)
+    v = [(i / 10) ** 2 for i in range(n)]
+    w = [float(np.sin(i)) for i in range(700)]
+    rec = logs({"a": {"x": v}, "b": {"x": w}, "c": {"x": v[:120]}})
+    got = downsample.lttb(rec, "x", target, rows=150, canonical=canonical).collect()
+    for log, x in (("a", v), ("b", w), ("c", v[:120])):
+        found = [r.idx for r in sorted((r for r in got if r.log_id == log), key=lambda r: r.pos)]
+        if len(x) <= target:
+            assert found == list(range(len(x)))
+        else:
+            assert found == plain_lttb(np.arange(len(x)) / 10, np.array(x), target, canonical)
+    assert seen
+
+
 def test_normalise_constant(logs):
     rec = logs({"a": {"x": [4, 4]}, "b": {"x": [0, 2]}})
     got = {(r.log_id, r.idx): r.normal for r in series.normalise(rec, "x").collect()}
