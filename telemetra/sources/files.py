@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from telemetra.session import ship_package
 from telemetra.sources.text import PARSERS, Ingest, number, read_lines
 
 HEAD_BYTES = 256
+#: Files above this are read in splits; Spark's binary source holds a file in one row.
+WHOLE_BYTES = 64 << 20
+PIECE_RECORDS = 1 << 14
 RECORD_BYTES = 24
 OLE_RANGE = (35000.0, 55000.0)
 
@@ -31,12 +35,42 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
     to their parser.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"),  # spelled as the text reader spells it
-        "length",
+    named = F.col("_metadata.file_path").alias("path")  # spelled as the text reader spells it
+    listed = _extension(F.col("path")) == "lg2"  # slot dictionaries are read whole
+    small = F.col("length") <= WHOLE_BYTES
+    dictionaries = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.[lL][gG]2"
+    ).load(path)
+    columns = [named, "length", "content"]
+    heads = files.filter(small).select(columns).unionByName(_large(dictionaries).select(columns))
+    heads = heads.select(
+        "path", "length",
         F.substring("content", 1, HEAD_BYTES).alias("head"),
         _slot_marks(F.col("content")).alias("slot_marks"),
     )
+    large = [
+        (r["path"], r["length"], bytes(_fixed(spark, r["file"], HEAD_BYTES).first()[1]), 0)
+        for r in _large(files).filter(~listed).select(named, F.col("path").alias("file"), "length").collect()
+    ]
+    return heads.unionByName(spark.createDataFrame(large, heads.schema)) if large else heads
+
+
+def _large(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("length") > WHOLE_BYTES)
+
+
+def _fixed(spark: SparkSession, file: str, size: int):  # noqa: ANN202
+    """(number, bytes) of the records of one file, in splits that begin with a record."""
+    kind = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    exact = re.sub(r"([\\*?\[\]{}])", r"\\\1", file)  # no pattern
+    return spark.sparkContext.newAPIHadoopRDD(
+        kind, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={
+            f"{kind}.recordLength": str(size),
+            # a list of paths, in which commas stand behind a backslash
+            "mapreduce.input.fileinputformat.inputdir": re.sub(r"([\\,])", r"\\\1", exact),
+        },
+    )
 
 
 def _slot_marks(content: Column) -> Column:
@@ -187,35 +221,84 @@ def slot_channels(slots: DataFrame) -> DataFrame:
 _RECORD = np.dtype([("ole", "<f8"), ("raw", "<u2", (8,))])
 
 
+def _first_time(content: bytes) -> float | None:
+    """The time of the first of a file's records, None if they are not usable."""
+    rec = np.frombuffer(content[: 2 * RECORD_BYTES], dtype=_RECORD)
+    low, high = OLE_RANGE
+    if not low <= rec["ole"][0] <= high:
+        return None
+    if len(rec) > 1 and abs(rec["ole"][1] - rec["ole"][0]) > 1.0:
+        return None
+    return float(rec["ole"][0])
+
+
 def unpack_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Binary contents (log_id, content) to one row per 24-byte record."""
+    """Binary contents (log_id, content) to one row per 24-byte record.
+
+    Pieces of a file also have ``start``, the number of their first record, and
+    ``first``, the time of the file's first record.
+    """
     for batch in batches:
-        for log_id, content in zip(batch[LOG], batch["content"]):
-            rec = np.frombuffer(content, dtype=_RECORD)
-            if not len(rec) or len(content) % RECORD_BYTES:
-                continue
-            low, high = OLE_RANGE
-            if not low <= rec["ole"][0] <= high:
+        n = len(batch)
+        starts = batch["start"] if "start" in batch else [0] * n
+        firsts = batch["first"] if "first" in batch else [None] * n
+        for log_id, content, start, first in zip(batch[LOG], batch["content"], starts, firsts):
+            if not len(content) or len(content) % RECORD_BYTES:
                 continue
-            if len(rec) > 1 and abs(rec["ole"][1] - rec["ole"][0]) > 1.0:
+            if first is None:
+                first = _first_time(content)
+            if first is None:
                 continue
-            yield pd.DataFrame(
-                {
-                    LOG: log_id,
-                    IDX: np.arange(len(rec), dtype="int64"),
-                    T: (rec["ole"] - rec["ole"][0]) * 24.0 * 60.0 * 60.0,
-                    "raw": list(rec["raw"].astype("int32")),
-                }
-            )
-
-
-def decode_fixed_records(contents: DataFrame, slots: DataFrame) -> Ingest:
-    """Records with scaled cells from (log_id, content) and the slot lists."""
+            whole = np.frombuffer(content, dtype=_RECORD)
+            for low in range(0, len(whole), PIECE_RECORDS):
+                rec = whole[low : low + PIECE_RECORDS]
+                yield pd.DataFrame(
+                    {
+                        LOG: log_id,
+                        IDX: np.arange(len(rec), dtype="int64") + (start + low),
+                        T: (rec["ole"] - first) * 24.0 * 60.0 * 60.0,
+                        "raw": list(rec["raw"].astype("int32")),
+                    }
+                )
+
+
+def record_pieces(spark: SparkSession, file: str, log_id: str) -> DataFrame | None:
+    """(log_id, start, first, content) of a record file by its splits; None if it is not usable."""
+    records = _fixed(spark, file, RECORD_BYTES)
+    first = _first_time(b"".join(bytes(r) for _, r in records.take(2)))
+    if first is None:
+        return None
+    size = PIECE_RECORDS
+
+    def join(part):  # noqa: ANN001, ANN202
+        start, held = 0, []
+        for number, record in part:
+            if len(held) == size:
+                yield log_id, start, first, b"".join(held)
+                held = []
+            if not held:
+                start = number
+            held.append(bytes(record))
+        if held:
+            yield log_id, start, first, b"".join(held)
+
+    return spark.createDataFrame(
+        records.mapPartitions(join), f"{LOG} string, start long, first double, content binary"
+    )
+
+
+def decode_fixed_records(
+    contents: DataFrame, slots: DataFrame, pieces: Sequence[DataFrame] = ()
+) -> Ingest:
+    """Records with scaled cells from (log_id, content), pieces of larger files, and the slot lists."""
     ship_package(contents.sparkSession)
     id_type = contents.schema[LOG].dataType.simpleString()
-    raw = contents.select(LOG, "content").mapInPandas(
-        unpack_records, f"{LOG} {id_type}, {IDX} long, {T} double, raw array<int>"
-    )
+    schema = f"{LOG} {id_type}, {IDX} long, {T} double, raw array<int>"
+    raw = contents.select(LOG, "content").mapInPandas(unpack_records, schema)
+    logs = contents.select(LOG)
+    for part in pieces:
+        raw = raw.unionByName(part.mapInPandas(unpack_records, schema))
+        logs = logs.unionByName(part.filter("start = 0").select(LOG))
     channels = slot_channels(slots)
     scales = channels.groupBy(LOG).agg(
         F.transform(
@@ -226,7 +309,7 @@ def decode_fixed_records(contents: DataFrame, slots: DataFrame) -> Ingest:
         LOG, IDX, T,
         F.transform("_scales", lambda s, i: F.get("raw", i) * s).alias("cells"),
     )
-    logs = contents.select(LOG, F.lit("fixedrecord").alias("format"))
+    logs = logs.withColumn("format", F.lit("fixedrecord"))
     no_meta = F.create_map().cast("map<string,string>")
     return Ingest(logs.withColumn("meta", no_meta), channels, lambda: records)
 
@@ -238,13 +321,17 @@ def parse_fixed_records(spark: SparkSession, path: str) -> Ingest:
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[lL][gG][12]")
         .load(path)
-        .select(F.col("_metadata.file_path").alias("path"), "content")
-        .select(_stem(F.col("path")).alias(LOG), _extension(F.col("path")).alias("_ext"), "content")
     )
-    texts = files.filter(F.col("_ext") == "lg2").select(
-        LOG, F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    stem, ext = _stem(F.col("_metadata.file_path")).alias(LOG), _extension(F.col("path"))
+    texts = files.filter(ext == "lg2").select(
+        stem, F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     )
-    return decode_fixed_records(files.filter(F.col("_ext") == "lg1"), slot_lists(texts))
+    small = files.filter((F.col("length") <= WHOLE_BYTES) & (ext == "lg1")).select(stem, "content")
+    large = _large(files).filter((ext == "lg1") & (F.col("length") % RECORD_BYTES == 0))
+    pieces = [
+        record_pieces(spark, r["path"], r[LOG]) for r in large.select(stem, "path").collect()
+    ]
+    return decode_fixed_records(small, slot_lists(texts), [p for p in pieces if p is not None])
 
 
 def parse_lookup_tables(lines: DataFrame) -> DataFrame:

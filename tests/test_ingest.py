@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,36 @@ def test_folder_ingest(spark, tmp_path):
     assert "CSV" in why["x.hlgzip"] and "CSV" in why["y.daq"]
 
 
+def test_large_record_file_is_read_in_splits(spark, tmp_path, monkeypatch):
+    n = 5120
+    record = np.zeros(n, files._RECORD)
+    record["ole"] = 46022.5 + np.arange(n) / 86400
+    record["raw"] = np.arange(n)[:, None] % 5000 + np.arange(8)
+    late = record.copy()
+    late["ole"][0] = 1.0
+    write(tmp_path, "a b,[1].lg1", record.tobytes())
+    write(tmp_path, "late.lg1", late.tobytes())
+    for name in ("a b,[1].lg2", "late.lg2"):
+        write(tmp_path, name, "[chan1]\n20\n[chan2]\n1\n[chan3]\n200\n[chan4]\n4\n")
+    want = [tuple(r) for r in files.ingest_folder(spark, str(tmp_path))[0].orderBy("idx", "channel").collect()]
+    assert len(want) == 4 * n
+
+    def bounded(batches, old=files.unpack_records):
+        def checked():
+            for batch in batches:
+                assert all(len(c) <= 24000 for c in batch["content"])
+                yield batch
+
+        return old(checked())
+
+    monkeypatch.setattr(files, "unpack_records", bounded)
+    monkeypatch.setattr(files, "WHOLE_BYTES", 24000)
+    monkeypatch.setattr(files, "PIECE_RECORDS", 1000)
+    samples, rejects = files.ingest_folder(spark, str(tmp_path))
+    assert [tuple(r) for r in samples.orderBy("idx", "channel").collect()] == want
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rejects.collect()) == ["late.lg1", "late.lg2"]
+
+
 def test_manifest_skips_loaded(spark, tmp_path):
     a = write(tmp_path, "a.csv", "TIME;a\n0;1\n")
     write(tmp_path, "b.csv", "TIME;a\n0;1\n")
