@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,11 @@ from telemetra.llm import (
     chat,
     decontaminate,
     neardup,
+    periodic,
     quality,
+    ranked,
     sharding,
+    simhash,
     substrings,
     token_store,
     toxicity,
@@ -114,6 +120,52 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _periodic_tails(part: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
+    """Which word stands at each place: tails of one text in ten repeat, by the checksum of its id."""
+    place = np.arange(rows[-1])
+    for i, doc in enumerate(part.column("doc_id").to_pylist()):
+        n = int(rows[i + 1] - rows[i])
+        h = 1 if doc is None else zlib.crc32(str(doc).encode())
+        if h % 10 or not n:
+            continue
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        place[rows[i] + a : rows[i + 1]] = rows[i] + a + np.arange(n - a) % p
+    return place
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = periodic.periodic_runs(docs, order=_periodic_tails)
+    line = F.transform(
+        "periodic.runs",
+        lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")),
+    )
+    best = F.col("periodic.strongest")
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * periodic.strongest.length DIV periodic.strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2(F.encode("periodic.collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked.search(_documents(spark, sf_dir), items, k=20)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_fingerprints(_documents(spark, sf_dir), words=4, distance=4)
+    text = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_near_duplicates": op2_near_duplicates,
@@ -125,6 +177,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_simhash": op13_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Whole-number scores, so that both engines agree to the last digit.
+_RANKED_SQL = r"""
+WITH spoken AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+held AS (SELECT doc_id, term, count(*) AS tf FROM spoken GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, totals GROUP BY term),
+scales AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM lengths, totals),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN scales USING (doc_id)
+  GROUP BY item_id, doc_id),
+placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+    doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_ranked_search": _RANKED_SQL}

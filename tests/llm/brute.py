@@ -1,7 +1,13 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import xxhash
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -96,3 +102,87 @@ def marked(rows, items, n):
                     hit[k : k + size] = [True] * size
         out[doc] = (len(words), sum(hit), sorted(found))
     return out
+
+
+def periodic(words):
+    """All runs (start, length, period) of a list, by every lag; a run has its smallest period."""
+    n, out = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                out.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((low, high - low, q) for (low, high), q in out.items())
+
+
+def periodic_row(doc, text):
+    """The row of op11 without its doc_id."""
+    words = SPACED.findall(text or "")
+    n = len(words)
+    h = 1 if doc is None else zlib.crc32(str(doc).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+    runs = periodic(words)
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    tail = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    listed = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (len(runs), *tail, sha(listed), sha(kept))
+
+
+def ranked(rows, items, k):
+    """[(item, rank, doc, score)] with None ids first."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    docs = [(doc, Counter(term.findall(lower(text)))) for doc, text in rows]
+    docs = [(doc, held, sum(held.values())) for doc, held in docs if held]
+    df = Counter(t for _, held, _ in docs for t in held)
+    n_docs, n_terms = len(docs), sum(n for _, _, n in docs)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * c + 1))) for t, c in df.items()}
+    out = []
+    for item, text in items:
+        found = []
+        for doc, held, n in docs:
+            m = 75 + 25 * n * n_docs // n_terms
+            score = sum(
+                weight[t] * (10**9 * held[t] // (1000 * held[t] + 12 * m))
+                for t in term.findall(lower(text)) if held[t]
+            )
+            if score > 0:
+                found.append((-score, doc is not None, doc or 0, doc))
+        best = sorted(found)[:k]
+        out += [(item, rank, r[3], -r[0]) for rank, r in enumerate(best, 1)]
+    return out
+
+
+def fingerprint(text, words):
+    found = SPACED.findall(lower(text))
+    n = len(found)
+    parts = [found[k : k + words] for k in range(n - words + 1)] if n >= words else [found][: min(n, 1)]
+    hashes = [xxhash.xxh64_intdigest(" ".join(p).encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(marks, distance):
+    """{mark: least mark reached}."""
+    top = {m: m for m in marks}
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    every = sorted(top)
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            if (a ^ b).bit_count() <= distance:
+                low, high = sorted((find(a), find(b)))
+                top[high] = low
+    return {m: find(m) for m in every}
