@@ -6,7 +6,7 @@ import importlib
 
 from telemetra.plans.catalog import ENTRIES, Entry
 
-MODULES = ("q_stats", "q_series", "q_formula", "q_names", "q_ingest", "q_lookup", "q_analyzers")
+MODULES = ("q_stats", "q_series", "q_formula", "q_names", "q_ingest", "q_folder", "q_lookup", "q_analyzers")
 
 
 def entries() -> dict[str, Entry]:

@@ -3,83 +3,31 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
 from telemetra.functions.decode import slot_channel_table
-from telemetra.session import ship_package
+from telemetra.session import settle, ship_package
+from telemetra.sources import store
 from telemetra.sources.text import PARSERS, Ingest, number, read_lines
 
-HEAD_BYTES = 256
-#: Files above this are read in splits; Spark's binary source holds a file in one row.
-WHOLE_BYTES = 64 << 20
-PIECE_RECORDS = 1 << 14
-RECORD_BYTES = 24
-OLE_RANGE = (35000.0, 55000.0)
-
 # Leading bytes of formats that are recognised but not decoded here.
 EXPORT_FIRST = (("HEPS", "hlgzip"), ("EMERALD", "daq"))
 UNDECODED = (("<hCNF", 0, "xrk"), ("MLVLG", 0, "mlg"), ("lf3", 4, "llg"))
 
 
 def file_heads(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, head (first bytes) and body facts of each file.
+    """path, file, length and the facts that routing looks at, for each file below ``path``.
 
     Files whose format the caller knows need no sniffing: pass them straight
     to their parser.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = F.col("_metadata.file_path").alias("path")  # spelled as the text reader spells it
-    listed = _extension(F.col("path")) == "lg2"  # slot dictionaries are read whole
-    small = F.col("length") <= WHOLE_BYTES
-    dictionaries = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.[lL][gG]2"
-    ).load(path)
-    columns = [named, "length", "content"]
-    heads = files.filter(small).select(columns).unionByName(_large(dictionaries).select(columns))
-    heads = heads.select(
-        "path", "length",
-        F.substring("content", 1, HEAD_BYTES).alias("head"),
-        _slot_marks(F.col("content")).alias("slot_marks"),
-    )
-    large = [
-        (r["path"], r["length"], bytes(_fixed(spark, r["file"], HEAD_BYTES).first()[1]), 0)
-        for r in _large(files).filter(~listed).select(named, F.col("path").alias("file"), "length").collect()
-    ]
-    return heads.unionByName(spark.createDataFrame(large, heads.schema)) if large else heads
-
-
-def _large(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("length") > WHOLE_BYTES)
-
-
-def _fixed(spark: SparkSession, file: str, size: int):  # noqa: ANN202
-    """(number, bytes) of the records of one file, in splits that begin with a record."""
-    kind = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    exact = re.sub(r"([\\*?\[\]{}])", r"\\\1", file)  # no pattern
-    return spark.sparkContext.newAPIHadoopRDD(
-        kind, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
-        conf={
-            f"{kind}.recordLength": str(size),
-            # a list of paths, in which commas stand behind a backslash
-            "mapreduce.input.fileinputformat.inputdir": re.sub(r"([\\,])", r"\\\1", exact),
-        },
-    )
-
-
-def _slot_marks(content: Column) -> Column:
-    """How many of [chan1]..[chan8] a small text file mentions; 0 without [chan1]."""
-    body = F.make_valid_utf8(content.cast("string"))
-    found = F.lit(0)
-    for i in range(1, 9):
-        found = found + F.contains(body, F.lit(f"[chan{i}]")).cast("int")
-    return F.when(F.contains(body, F.lit("[chan1]")), found).otherwise(F.lit(0))
+    ship_package(spark)
+    return store.sniffed(store.listed(spark, path))
 
 
 def _starts(head: Column, magic: str, offset: int = 0) -> Column:
@@ -91,23 +39,16 @@ def _extension(path: Column) -> Column:
 
 
 def route(heads: DataFrame) -> DataFrame:
-    """path, format, reject: the first matching rule decides.
+    """The files with format and reject: the first matching rule decides.
 
     Vendor archives are rejected with the advice to export them; recognised
-    binary formats without a decoder are rejected by name; anything that
-    matches no rule is read as a key-value log.
+    binary formats without a decoder are rejected by name; ``.lg1`` and ``.lg2`` files
+    are records and slot dictionaries if they look like it; all else is text, which is
+    a key-value log unless its first lines say otherwise.
     """
-    head, ext = F.col("head"), _extension(F.col("path"))
-    text = F.make_valid_utf8(head.cast("string"))
-    lines = F.split(text, r"\r?\n")
-    first, second = F.get(lines, 0), F.trim(F.coalesce(F.get(lines, 1), F.lit("")))
-    timed = F.startswith(F.lower(first), F.lit("time"))
-    held = F.startswith(first, F.lit("TIME;")) | F.startswith(first, F.lit("TIME\t"))
-    split = F.contains(first, F.lit(",")) | F.contains(first, F.lit(";"))
-    slots = (ext == "lg2") & (F.col("slot_marks") >= 4)
-    fixed = (ext == "lg1") & (F.col("length") >= RECORD_BYTES) & (
-        F.col("length") % RECORD_BYTES == 0
-    )
+    head = F.col("head")
+    paired = _extension(F.col("path")).isin("lg1", "lg2")
+    fixed = paired & (F.col("first_time").isNotNull() | (F.col("slot_marks") >= 4))
 
     kind, why = None, None
     for magic, name in EXPORT_FIRST:
@@ -119,18 +60,8 @@ def route(heads: DataFrame) -> DataFrame:
         hit = _starts(head, magic, offset) & (F.col("length") >= offset + len(magic))
         kind = kind.when(hit, name)
         why = why.when(hit, f"no decoder for .{name} files")
-    kind = (
-        kind.when(slots | fixed, "fixedrecord")
-        .when(held, "holdfill")
-        .when(timed & split, "msclock")
-        .when(
-            F.startswith(F.trim(first), F.lit("TimeStamp:"))
-            & F.startswith(second, F.lit("Customer:")),
-            "calendar",
-        )
-        .otherwise("keyvalue")
-    )
-    return heads.select("path", kind.alias("format"), why.alias("reject"))
+    kind = kind.when(fixed, "fixedrecord").otherwise(F.coalesce("opening", F.lit("keyvalue")))
+    return heads.withColumns({"format": kind, "reject": why})
 
 
 def rejects(routed: DataFrame) -> DataFrame:
@@ -150,34 +81,44 @@ def ingest_folder(
     """(samples, rejects) of all files below a folder that are not in the manifest.
 
     Every file gives samples or a reject with its reason: by its format, or because
-    its records, header or slot dictionary are missing or unusable.
+    its records, header or slot dictionary are missing or unusable.  The folder is
+    listed and sniffed once; then each parser reads the files of its format and no others.
+    The driver holds the names of the files, as for any file source.
     """
     routed = route(file_heads(spark, path))
     if manifest is not None:
         routed = unseen(routed, manifest)
+    routed = settle(routed)
     good = routed.filter(F.col("reject").isNull())
-    lines = read_lines(spark, path)
-    kinds = good.select(F.col("path").alias(LOG), "format")
-    samples = None
+    samples, loaded = None, None
     for kind, parse in PARSERS.items():
-        chosen = kinds.filter(F.col("format") == kind).select(LOG)
-        part = parse(lines.join(chosen, LOG, "left_semi")).samples()
-        samples = part if samples is None else samples.unionByName(part)
-    fixed = parse_fixed_records(spark, path)
-    stems = good.filter(F.col("format") == "fixedrecord").select(
-        _stem(F.col("path")).alias(LOG)
-    ).distinct()
-    samples = samples.unionByName(fixed.samples().join(stems, LOG, "left_semi"))
-    return samples, rejects(routed).unionByName(_fruitless(good, samples))
-
-
-def _fruitless(good: DataFrame, samples: DataFrame) -> DataFrame:
+        names = [r["file"] for r in good.filter(F.col("format") == kind).select("file").collect()]
+        if names:
+            got = parse(read_lines(spark, [store.literally(n) for n in names]))
+            samples, loaded = _also(samples, got.samples()), _also(loaded, got.loaded())
+    fixed = fixed_records(routed)
+    if fixed is not None:
+        samples, loaded = _also(samples, fixed.samples()), _also(loaded, fixed.loaded())
+    if samples is None:
+        samples = spark.createDataFrame([], f"{LOG} string, {IDX} long, {T} double, channel string, value double")
+        loaded = samples.select(LOG)
+    return samples, rejects(routed).unionByName(_fruitless(good, loaded))
+
+
+def _also(frame: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if frame is None else frame.unionByName(more)
+
+
+def _fruitless(good: DataFrame, loaded: DataFrame) -> DataFrame:
     """Routed files without a sample; a slot dictionary counts with its records."""
     paired = F.col("format") == "fixedrecord"
     files = good.withColumn(LOG, F.when(paired, _stem(F.col("path"))).otherwise(F.col("path")))
-    empty = files.join(samples.select(LOG).distinct(), LOG, "left_anti")
+    empty = files.join(loaded.distinct(), LOG, "left_anti")
+    odd = _extension(F.col("path")).isin("lg1", "lg2")
     why = F.when(
         paired, F.lit("no records: the slot dictionary, the record file, its dates or spacing")
+    ).when(
+        odd, F.concat(F.lit("neither whole records nor slots; no samples found as "), F.col("format"))
     ).otherwise(F.concat(F.lit("no samples found as "), F.col("format")))
     return empty.select("path", "format", why.alias("reason"))
 
@@ -186,19 +127,28 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]+$", "")
 
 
-def slot_lists(texts: DataFrame) -> DataFrame:
+def slot_lists(lines: DataFrame) -> DataFrame:
     """(log_id, channel_idx, slot, channel_id) from ``[chanN]`` / id line pairs.
 
-    ``texts`` has log_id and the whole dictionary text, a few hundred bytes.
-    Slots are numbered in slot order.
+    A slot line takes the line after it along, also if that is no id.  Slots are
+    numbered in slot order.  ``lines`` has log_id, line_no, line.
     """
-    lines = F.transform(F.split("text", r"\r?\n"), lambda s: F.trim(s))
-    pairs = texts.select(LOG, F.posexplode(lines).alias("_i", "_line"), lines.alias("_lines"))
-    slot = F.regexp_extract("_line", r"^\[chan\+?(\d+)\]$", 1).try_cast("int")
+    numbered = Window.partitionBy(LOG).orderBy("line_no")
+    slot = F.regexp_extract(F.trim("line"), r"^\[chan\+?(\d+)\]$", 1).try_cast("int")
+    pairs = lines.select(
+        LOG, F.row_number().over(numbered).alias("_i"),
+        F.when(slot <= 255, slot).alias("slot"),
+        F.trim(F.lead("line").over(numbered)).alias("_next"),
+    ).filter(F.col("slot").isNotNull())
+    # of slot lines in a row every second one is the other's next line
+    run = F.col("_i") - F.row_number().over(Window.partitionBy(LOG).orderBy("_i"))
+    place = F.row_number().over(Window.partitionBy(LOG, "_run").orderBy("_i"))
     found = (
-        pairs.withColumn("slot", slot)
-        .withColumn("channel_id", F.get("_lines", F.col("_i") + 1).try_cast("int"))
-        .filter(F.col("slot").between(0, 255) & F.col("channel_id").between(0, 255))
+        pairs.withColumn("_run", run)
+        .withColumn("_place", place)
+        .filter("_place % 2 = 1")
+        .withColumn("channel_id", F.regexp_extract("_next", r"^\+?(\d+)$", 1).try_cast("int"))
+        .filter(F.col("channel_id").between(0, 255))
     )
     order = Window.partitionBy(LOG).orderBy("slot", "_i")
     return found.select(
@@ -218,120 +168,43 @@ def slot_channels(slots: DataFrame) -> DataFrame:
     )
 
 
-_RECORD = np.dtype([("ole", "<f8"), ("raw", "<u2", (8,))])
-
-
-def _first_time(content: bytes) -> float | None:
-    """The time of the first of a file's records, None if they are not usable."""
-    rec = np.frombuffer(content[: 2 * RECORD_BYTES], dtype=_RECORD)
-    low, high = OLE_RANGE
-    if not low <= rec["ole"][0] <= high:
-        return None
-    if len(rec) > 1 and abs(rec["ole"][1] - rec["ole"][0]) > 1.0:
-        return None
-    return float(rec["ole"][0])
-
-
-def unpack_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Binary contents (log_id, content) to one row per 24-byte record.
-
-    Pieces of a file also have ``start``, the number of their first record, and
-    ``first``, the time of the file's first record.
-    """
-    for batch in batches:
-        n = len(batch)
-        starts = batch["start"] if "start" in batch else [0] * n
-        firsts = batch["first"] if "first" in batch else [None] * n
-        for log_id, content, start, first in zip(batch[LOG], batch["content"], starts, firsts):
-            if not len(content) or len(content) % RECORD_BYTES:
-                continue
-            if first is None:
-                first = _first_time(content)
-            if first is None:
-                continue
-            whole = np.frombuffer(content, dtype=_RECORD)
-            for low in range(0, len(whole), PIECE_RECORDS):
-                rec = whole[low : low + PIECE_RECORDS]
-                yield pd.DataFrame(
-                    {
-                        LOG: log_id,
-                        IDX: np.arange(len(rec), dtype="int64") + (start + low),
-                        T: (rec["ole"] - first) * 24.0 * 60.0 * 60.0,
-                        "raw": list(rec["raw"].astype("int32")),
-                    }
-                )
-
-
-def record_pieces(spark: SparkSession, file: str, log_id: str) -> DataFrame | None:
-    """(log_id, start, first, content) of a record file by its splits; None if it is not usable."""
-    records = _fixed(spark, file, RECORD_BYTES)
-    first = _first_time(b"".join(bytes(r) for _, r in records.take(2)))
-    if first is None:
-        return None
-    size = PIECE_RECORDS
-
-    def join(part):  # noqa: ANN001, ANN202
-        start, held = 0, []
-        for number, record in part:
-            if len(held) == size:
-                yield log_id, start, first, b"".join(held)
-                held = []
-            if not held:
-                start = number
-            held.append(bytes(record))
-        if held:
-            yield log_id, start, first, b"".join(held)
-
-    return spark.createDataFrame(
-        records.mapPartitions(join), f"{LOG} string, start long, first double, content binary"
+def fixed_records(routed: DataFrame) -> Ingest | None:
+    """The record files among routed ones with their slot dictionaries; None if there is none."""
+    spark = routed.sparkSession
+    ext = _extension(F.col("path"))
+    stem = _stem(F.col("path")).alias(LOG)
+    files = settle(
+        routed.filter((F.col("format") == "fixedrecord") & (ext == "lg1") & F.col("first_time").isNotNull())
+        .select(stem, "file", "length", "first_time")
     )
+    lists = routed.filter(F.col("reject").isNull() & (ext == "lg2")).select(stem, "file")
+    named = lists.join(files.select(LOG), LOG, "left_semi").select("file").collect()
+    if not named:
+        return None
+    lines = read_lines(spark, [store.literally(r["file"]) for r in named])
+    slots = slot_lists(lines.withColumn(LOG, _stem(F.col(LOG))))
+    return decode_fixed_records(files, slots)
 
 
-def decode_fixed_records(
-    contents: DataFrame, slots: DataFrame, pieces: Sequence[DataFrame] = ()
-) -> Ingest:
-    """Records with scaled cells from (log_id, content), pieces of larger files, and the slot lists."""
-    ship_package(contents.sparkSession)
-    id_type = contents.schema[LOG].dataType.simpleString()
-    schema = f"{LOG} {id_type}, {IDX} long, {T} double, raw array<int>"
-    raw = contents.select(LOG, "content").mapInPandas(unpack_records, schema)
-    logs = contents.select(LOG)
-    for part in pieces:
-        raw = raw.unionByName(part.mapInPandas(unpack_records, schema))
-        logs = logs.unionByName(part.filter("start = 0").select(LOG))
-    channels = slot_channels(slots)
+def decode_fixed_records(files: DataFrame, slots: DataFrame) -> Ingest:
+    """Scaled cells of record files (log_id, file, length, first_time) by the slot lists."""
+    ship_package(files.sparkSession)
+    channels = settle(slot_channels(slots))
     scales = channels.groupBy(LOG).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("channel_idx", "scale"))), lambda c: c["scale"]
         ).alias("_scales")
     )
-    records = raw.join(scales, LOG).select(
+    known = settle(files.join(scales, LOG))  # files without slots are not read
+    records = store.records_of(known.drop("_scales")).join(known.select(LOG, "_scales"), LOG).select(
         LOG, IDX, T,
         F.transform("_scales", lambda s, i: F.get("raw", i) * s).alias("cells"),
     )
-    logs = logs.withColumn("format", F.lit("fixedrecord"))
+    logs = files.select(LOG).withColumn("format", F.lit("fixedrecord"))
     no_meta = F.create_map().cast("map<string,string>")
-    return Ingest(logs.withColumn("meta", no_meta), channels, lambda: records)
-
-
-def parse_fixed_records(spark: SparkSession, path: str) -> Ingest:
-    """``.lg1`` record files with their ``.lg2`` slot dictionaries, joined by stem."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[lL][gG][12]")
-        .load(path)
-    )
-    stem, ext = _stem(F.col("_metadata.file_path")).alias(LOG), _extension(F.col("path"))
-    texts = files.filter(ext == "lg2").select(
-        stem, F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    return Ingest(
+        logs.withColumn("meta", no_meta), channels, lambda: records, known.select(LOG).distinct()
     )
-    small = files.filter((F.col("length") <= WHOLE_BYTES) & (ext == "lg1")).select(stem, "content")
-    large = _large(files).filter((ext == "lg1") & (F.col("length") % RECORD_BYTES == 0))
-    pieces = [
-        record_pieces(spark, r["path"], r[LOG]) for r in large.select(stem, "path").collect()
-    ]
-    return decode_fixed_records(small, slot_lists(texts), [p for p in pieces if p is not None])
 
 
 def parse_lookup_tables(lines: DataFrame) -> DataFrame:

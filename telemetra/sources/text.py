@@ -23,7 +23,7 @@ from telemetra.session import materialise, settle
 CLOCK_ROW = r"^\d{1,2}:\d{2}:\d{2}"
 WEEKDAY_ROW = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) "
 CALENDAR = r"^\w{3} (\w{3}) +(\d{1,2}) (\d{1,2}):(\d{2}):(\d{2}) (\d{4})$"
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 META_LINES = 5
 BLANKS = " \t\r\n\f\v"
 # What Spark reads as a number but a logger does not write: hex, type suffixes.
@@ -38,16 +38,29 @@ class Ingest:
     """
 
     def __init__(
-        self, logs: DataFrame, channels: DataFrame, records: Callable[[], DataFrame]
+        self,
+        logs: DataFrame,
+        channels: DataFrame,
+        records: Callable[[], DataFrame],
+        loaded: DataFrame | None = None,
     ) -> None:
         self.logs = logs
         self.channels = channels
         self._records = records
+        self._loaded = loaded
 
     @cached_property
     def records(self) -> DataFrame:
         return self._records()
 
+    def loaded(self) -> DataFrame:
+        """log_id of the logs that have a sample, from the records as they were parsed."""
+        if self._loaded is not None:
+            return self._loaded
+        width = self.channels.groupBy(LOG).agg(F.min("channel_idx").alias("_least"))
+        cells = self.records.select(LOG, F.size("cells").alias("_n")).groupBy(LOG).agg(F.max("_n").alias("_n"))
+        return cells.join(width, LOG).filter(F.col("_n") > F.col("_least")).select(LOG)
+
     def samples(self) -> DataFrame:
         """Long form with channel names; the channel table is small."""
         cells = self.records.select(
@@ -129,8 +142,7 @@ def calendar_stamp(text: Column) -> Column:
     def part(i: int) -> Column:
         return F.regexp_extract(text, CALENDAR, i)
 
-    place = F.instr(F.lit(MONTHS), part(1))
-    month = F.when((part(1) != "") & (place % 3 == 1), (place + 2) / 3)
+    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(1)), F.lit(0))
     return F.try_make_timestamp_ntz(
         part(6).try_cast("int"), month.cast("int"), part(2).try_cast("int"),
         part(3).try_cast("int"), part(4).try_cast("int"),

@@ -1,5 +1,6 @@
 """Real files through routing, parsers and folder ingest; tables and names."""
 
+import io
 import struct
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions import decode
 from telemetra.operators import binning, lookup, names
-from telemetra.sources import files, text
+from telemetra.sources import files, store, text
 
 KEYVALUE = """%DataLog%
 DataLogVersion : 1.1
@@ -151,34 +152,92 @@ def test_folder_ingest(spark, tmp_path):
     assert "CSV" in why["x.hlgzip"] and "CSV" in why["y.daq"]
 
 
-def test_large_record_file_is_read_in_splits(spark, tmp_path, monkeypatch):
+def test_record_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
     n = 5120
-    record = np.zeros(n, files._RECORD)
+    record = np.zeros(n, store.RECORD)
     record["ole"] = 46022.5 + np.arange(n) / 86400
     record["raw"] = np.arange(n)[:, None] % 5000 + np.arange(8)
     late = record.copy()
     late["ole"][0] = 1.0
-    write(tmp_path, "a b,[1].lg1", record.tobytes())
+    slots = "[chan1]\n20\n[chan2]\n1\n[chan3]\n200\n[chan4]\n4\n"
+    write(tmp_path, "a b,[1]{2}*.lg1", record.tobytes())
     write(tmp_path, "late.lg1", late.tobytes())
-    for name in ("a b,[1].lg2", "late.lg2"):
-        write(tmp_path, name, "[chan1]\n20\n[chan2]\n1\n[chan3]\n200\n[chan4]\n4\n")
-    want = [tuple(r) for r in files.ingest_folder(spark, str(tmp_path))[0].orderBy("idx", "channel").collect()]
-    assert len(want) == 4 * n
-
-    def bounded(batches, old=files.unpack_records):
-        def checked():
-            for batch in batches:
-                assert all(len(c) <= 24000 for c in batch["content"])
-                yield batch
-
-        return old(checked())
-
-    monkeypatch.setattr(files, "unpack_records", bounded)
-    monkeypatch.setattr(files, "WHOLE_BYTES", 24000)
-    monkeypatch.setattr(files, "PIECE_RECORDS", 1000)
+    for k in range(30):
+        write(tmp_path, f"small{k}.LG1", record[: k + 1].tobytes())
+        write(tmp_path, f"small{k}.lg2", slots)
+    for name in ("a b,[1]{2}*.lg2", "late.lg2"):
+        write(tmp_path, name, slots)
+    want = []
+    for stem, size in [("a b,[1]{2}*", n), *((f"small{k}", k + 1) for k in range(30))]:
+        for c, (name, scale) in enumerate([("RPM", 1.0), ("TPS", 0.1), ("Channel 3 (ID 200)", 1.0), ("Lambda", 0.001)]):
+            want += [(stem, i, round(float(i), 3), name, round((i % 5000 + c) * scale, 6)) for i in range(size)]
+    for ranges in (store.RANGE_RECORDS, 1000):
+        monkeypatch.setattr(store, "RANGE_RECORDS", ranges)
+        samples, rejects = files.ingest_folder(spark, str(tmp_path))
+        got = samples.select(F.regexp_extract(F.url_decode("log_id"), "([^/]*)$", 1), "idx", F.round("t", 3), "channel", F.round("value", 6))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sorted(r.path.rsplit("/", 1)[1] for r in rejects.collect()) == ["late.lg1", "late.lg2"]
+
+
+def test_ranges_of_all_files_are_one_plan(spark, tmp_path, monkeypatch):
+    """Tasks follow the bytes, not the files."""
+    monkeypatch.setattr(store, "RANGE_RECORDS", 100)
+    monkeypatch.setattr(store, "TASK_BYTES", 24 * 500)
+    rows = []
+    for k, n in enumerate((1, 7, 5000)):
+        path = write(tmp_path, f"f{k}.lg1", fixed_file(range(n)))
+        rows.append((f"f{k}", path, 24 * n, 46022.5))
+    table = spark.createDataFrame(rows, "log_id string, file string, length long, first_time double")
+    raw = store.records_of(table)
+    assert raw.rdd.getNumPartitions() == 10
+    per_task = raw.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) <= 700
+    assert raw.groupBy("log_id").agg(F.max("idx").alias("m")).orderBy("log_id").select("m").collect() == [(0,), (6,), (4999,)]
+
+
+BIG = b"x" * 200_000
+
+
+@pytest.mark.parametrize(
+    "content,want",
+    [(b"TIME;a\n", "holdfill"), (b"TIME\ta", "holdfill"), (b" TIME;a\n", None), (b"time", None), (b"", None), (b"\n", None),
+     (b"Time " + BIG + b";a\n", "msclock"), (b"Time " + BIG + b"\n0,1\n", None), (b"TIMESTAMP,a", "msclock"),
+     (b"TimeStamp: a\nCustomer: b", "calendar"), (b"  TimeStamp:" + BIG + b"\r\n \t Customer:\n", "calendar"),
+     (b"TimeStamp: a, b\nCustomer: b", "msclock"), (b"TimeStamp: a\nUnit: 1\nCustomer: b", None),
+     (b"\xff\xfeTime,", None), ("\u00a0TimeStamp:\nCustomer:".encode(), "calendar"), (b"TimeStamp: a", None),
+     (b" " * 70_000 + b"TimeStamp:\nCustomer:", "calendar"), (b"TimeStamp: " + b"x" * 65_525 + b"\nCustomer:", "calendar")],
+)
+def test_first_lines_decide_whatever_their_length(content, want):
+    assert store.opening(io.BytesIO(content)) == want
+
+
+def test_slot_marks_over_blocks():
+    names = [f"[chan{i}]".encode() for i in range(1, 9)]
+    pad = b"." * (store.BLOCK - 3)
+    assert store.slot_marks(io.BytesIO(names[0] + pad + names[1] + pad + names[4])) == 3
+    assert store.slot_marks(io.BytesIO(b"".join(names[1:]))) == 0
+    assert store.slot_marks(io.BytesIO(b"".join(names) + b"\xff")) == 0
+    assert store.slot_marks(io.BytesIO(b"".join(names) + "é".encode()[:1])) == 0
+
+
+def test_slot_lists_take_the_next_line_along(spark):
+    lines = ["[chan1]", "[chan2]", "7", "[chan+3]", " 9 ", "[chan4]", "x", "[chan900]", "5", "[chan6]", "+8", "[chan5]", "300", "[chan0]", "1"]
+    table = spark.createDataFrame([("a", i * 10, t) for i, t in enumerate(lines)], "log_id string, line_no long, line string")
+    got = files.slot_lists(table).orderBy("channel_idx").collect()
+    assert [(r.slot, r.channel_id) for r in got] == [(0, 1), (3, 9), (6, 8)]
+
+
+def test_folder_is_read_by_name(spark, tmp_path):
+    """A parser gets its own files only, and files of a known format are not opened by others."""
+    for k in range(3):
+        write(tmp_path, f"h{k}.csv", "TIME;a\n0;1\n")
+    write(tmp_path, "k.csv", "Channel : A\n00:00:01,1\n")
     samples, rejects = files.ingest_folder(spark, str(tmp_path))
-    assert [tuple(r) for r in samples.orderBy("idx", "channel").collect()] == want
-    assert sorted(r.path.rsplit("/", 1)[1] for r in rejects.collect()) == ["late.lg1", "late.lg2"]
+    assert rejects.isEmpty() and samples.count() == 4
+    empty = tmp_path / "none"
+    empty.mkdir()
+    samples, rejects = files.ingest_folder(spark, str(empty))
+    assert samples.isEmpty() and rejects.isEmpty()
 
 
 def test_manifest_skips_loaded(spark, tmp_path):
