@@ -11,8 +11,6 @@ from telemetra.frame import IDX, LOG, T
 from telemetra.operators.layout import CHUNK_ROWS, order_buckets, with_record_index
 from telemetra.session import materialise, settle
 
-_SPREAD = 4096
-
 
 def nearest_record(
     questions: DataFrame,
@@ -26,73 +24,51 @@ def nearest_record(
 ) -> DataFrame:
     """Attach to each question the record of its log whose time is nearest to ``at``.
 
-    Questions before the first or after the last record get that end record; a
-    time that several records share is answered by the first of them.  ``tie``
-    says which side wins at equal distance.
+    Questions before the first or after the last record get that end record, questions
+    without a time the first; of records that share a time the first answers for that time
+    and those before it, the last for those after it.  ``tie`` says which side wins at equal
+    distance.
 
-    Questions and records meet in time buckets of bounded size.  The record
-    before and the record after a question usually lie in its bucket; otherwise
-    they are the end records of the neighbouring buckets, carried in through a
-    table with one row per bucket.
+    Records and questions are laid out as one ordered series, which is shuffled and sorted
+    once; the record before and the one after a question are read off it in one pass.
+    Logs of up to ``rows`` of both are one piece.  Longer ones are cut into buckets of
+    bounded size by what both hold, so neither a long log nor many questions at one time
+    end up in one task; each bucket gets copies of the records next to its edges.
     """
     if tie not in ("earlier", "later"):
         raise ValueError(f"unknown tie rule {tie!r}")
     keys = list(keys)
-    edges = order_buckets(records, F.col(T), keys, rows)
     payload = [c for c in questions.columns if c not in keys]
     cell = F.struct(F.col(T).alias("t"), F.col(IDX).alias("i"), *[F.col(c) for c in columns])
-    facts = edges.assign(
-        records.select(*keys, F.col(T).alias("_x"), F.col(IDX).alias("_i"), cell.alias("_d")),
-        F.col("_x"),
-        "_b",
-    ).withColumn("_kind", F.lit(1))
-    asked = edges.assign(
-        questions.select(*keys, F.col(at).alias("_x"), F.struct(*payload).alias("_q")),
-        F.col("_x"),
-        "_b",
-    ).withColumn("_kind", F.lit(0))
-    # Questions off the log's time range need no neighbours: they are spread
-    # over buckets of their own instead of piling up in the end buckets.
-    ranges = settle(
-        facts.groupBy(*keys).agg(F.min("_d").alias("_head"), F.max("_d").alias("_foot"))
+    facts = records.filter(F.col(T).isNotNull()).select(
+        *keys, F.col(T).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.col(IDX).alias("_i"), cell.alias("_d")
     )
-    asked = asked.join(ranges, keys, "left")
-    off = (F.col("_x") < F.col("_head.t")) | (F.col("_x") > F.col("_foot.t")) | F.col("_head").isNull()
-    spread = -1 - F.pmod(F.xxhash64("_q"), F.lit(_SPREAD))
-    asked = asked.withColumn("_b", F.when(off, spread).otherwise(F.col("_b")))
-
-    ends = facts.groupBy(*keys, "_b").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-    places = edges.every("_b").join(ends, [*keys, "_b"], "left")
-    over = Window.partitionBy(*keys)
-    before = over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    after = over.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = settle(
-        places.select(
-            *keys,
-            "_b",
-            F.last("_last", ignorenulls=True).over(before).alias("_from_left"),
-            F.last("_first", ignorenulls=True).over(after).alias("_from_right"),
-        )
+    asked = questions.select(
+        *keys, F.col(at).cast("double").alias("_x"), F.lit(0).alias("_kind"), F.struct(*payload).alias("_q")
     )
-
-    mixed = facts.unionByName(asked, allowMissingColumns=True)
-    up = Window.partitionBy(*keys, "_b").orderBy("_x", "_kind", "_i")
-    down = Window.partitionBy(*keys, "_b").orderBy(
-        F.col("_x").desc(), F.col("_kind").desc(), F.col("_i").desc()
+    series = facts.unionByName(asked, allowMissingColumns=True)
+    parts = list(keys)
+    sizes = settle(
+        series.groupBy(*keys).agg(F.count("*").alias("_rows"), F.sum("_kind").alias("_facts"))
     )
-    so_far = (Window.unboundedPreceding, 0)
-    met = (
-        mixed.withColumn("_p", F.last("_d", ignorenulls=True).over(up.rowsBetween(*so_far)))
-        .withColumn("_n", F.last("_d", ignorenulls=True).over(down.rowsBetween(*so_far)))
-        .filter(F.col("_kind") == 0)
-        .join(carried, [*keys, "_b"], "left")
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) > rows:
+        series = _bucketed(series, sizes, keys, rows)
+        parts.append("_b")
+    quoted = ", ".join(f"`{k}`" for k in parts)
+    order = "_x, _kind, _i"
+    so_far = Window.partitionBy(*parts).orderBy(*order.split(", ")).rowsBetween(
+        Window.unboundedPreceding, 0
     )
-    prev = F.coalesce("_p", "_from_left", F.when(F.col("_x") > F.col("_foot.t"), F.col("_foot")))
-    nxt = F.coalesce("_n", "_from_right", F.when(F.col("_x") < F.col("_head.t"), F.col("_head")))
-    back, ahead = F.abs(F.col("_x") - prev["t"]), F.abs(nxt["t"] - F.col("_x"))
+    met = series.withColumns(
+        {
+            "_p": F.last("_d", ignorenulls=True).over(so_far),
+            "_n": F.expr(f"lead(_d) IGNORE NULLS OVER (PARTITION BY {quoted} ORDER BY {order})"),
+        }
+    ).filter(F.col("_q").isNotNull())
+    back, ahead = F.abs(F.col("_x") - F.col("_p.t")), F.abs(F.col("_n.t") - F.col("_x"))
     earlier_wins = back <= ahead if tie == "earlier" else back < ahead
-    pick = F.when(nxt.isNull() | (prev.isNotNull() & earlier_wins), prev).otherwise(nxt)
-    return met.withColumn("_hit", pick).select(
+    before = F.col("_n").isNull() | (F.col("_p").isNotNull() & earlier_wins)
+    return met.withColumn("_hit", F.when(before, F.col("_p")).otherwise(F.col("_n"))).select(
         *keys,
         *[F.col(f"_q.{c}").alias(c) for c in payload],
         F.col("_hit.i").alias(f"{prefix}idx"),
@@ -101,6 +77,39 @@ def nearest_record(
     )
 
 
+def _bucketed(series: DataFrame, sizes: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The series with buckets ``_b``, and in each the records next to its edges.
+
+    Rows of one time are cut by a number that puts its questions before its records, as
+    their order does: questions are dealt by hash, records by ``idx``.
+    """
+    dealt = F.pmod(F.xxhash64("_q"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.when(F.col("_kind") == 1, F.col("_i").cast("double")).otherwise(
+        -1.0 - dealt * F.coalesce("_facts", F.lit(0))
+    )
+    tied = series.join(sizes.drop("_rows"), keys, "left").withColumn("_place", place)
+    edges = order_buckets(tied, F.col("_x"), keys, rows, F.col("_place"))
+    cut = edges.assign(tied, F.col("_x"), "_b", F.col("_place")).drop("_place", "_facts")
+    rank = F.when(F.col("_kind") == 1, F.struct("_x", "_i"))
+    ends = cut.groupBy(*keys, "_b").agg(
+        F.min_by("_d", rank).alias("_first"), F.max_by("_d", rank).alias("_last")
+    )
+    over = Window.partitionBy(*keys)
+    before = over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    after = over.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = ends.select(
+        *keys, "_b",
+        F.last("_last", ignorenulls=True).over(before).alias("_left"),
+        F.last("_first", ignorenulls=True).over(after).alias("_right"),
+    )
+    near = near.select(*keys, "_b", F.explode(F.array("_left", "_right")).alias("_d"))
+    near = near.filter(F.col("_d").isNotNull())
+    copies = settle(near).select(
+        *keys, "_b", F.col("_d.t").cast("double").alias("_x"), F.lit(1).alias("_kind"), F.col("_d.i").alias("_i"), "_d"
+    )
+    return cut.unionByName(copies, allowMissingColumns=True)
+
+
 def time_shift(
     records: DataFrame,
     columns: dict[str, str],

@@ -426,3 +426,40 @@ def test_nan_area_never_wins(spark, logs):
     v[[12, 20]] = np.nan
     corners = downsample._corners(np.arange(8.0), v[9:17], np.arange(9, 17))
     assert 3 not in corners and 0 in corners
+
+
+def nearest_plain(times, at, tie):
+    """Index of the nearest of sorted times; an equal time is answered by its first record."""
+    before = [i for i, t in enumerate(times) if t < at]
+    after = [i for i, t in enumerate(times) if t >= at]
+    if not before or not after:
+        return before[-1] if before else after[0]
+    back, ahead = at - times[before[-1]], times[after[0]] - at
+    return before[-1] if back < ahead or (back == ahead and tie == "earlier") else after[0]
+
+
+@pytest.mark.parametrize("tie", ["earlier", "later"])
+def test_nearest_with_many_questions_at_one_time(spark, tie):
+    """A time that many ask for, and one that many records share, are cut; the answers stay."""
+    rng = np.random.default_rng(4)
+    times = np.sort(np.r_[rng.integers(0, 60, 150), [30] * 120, [10.5] * 3]).astype(float)
+    ats = np.r_[rng.integers(-5, 70, 200) / 1.0, [30.0] * 300, [30.2] * 400, [-9.0] * 200].round(2)
+    records = spark.createDataFrame([("a", i, float(t)) for i, t in enumerate(times)], "log_id string, idx long, t double")
+    asked = spark.createDataFrame([("a", k, float(t)) for k, t in enumerate(ats)], "log_id string, qid long, at double")
+    for rows in (40, 1 << 18):
+        got = nearest.nearest_record(asked, records, "at", [], tie, rows=rows)
+        found = {r["qid"]: r["near_idx"] for r in got.collect()}
+        assert found == {k: nearest_plain(times.tolist(), t, tie) for k, t in enumerate(ats)}
+    series = records.selectExpr("log_id", "t AS _x", "1 AS _kind", "idx AS _i", "struct(t, idx AS i) AS _d").unionByName(
+        asked.selectExpr("log_id", "at AS _x", "0 AS _kind", "struct(qid, at) AS _q"), allowMissingColumns=True
+    )
+    sizes = series.groupBy("log_id").agg(F.count("*").alias("_rows"), F.sum("_kind").alias("_facts"))
+    cut = nearest._bucketed(series, sizes, ["log_id"], 40)
+    assert cut.groupBy("_b").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_nearest_is_one_shuffle_and_one_sort(spark, logs):
+    rec = logs({"a": {"x": range(20)}})
+    out = nearest.time_shift(rec, {"y": "x"}, 0.3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
