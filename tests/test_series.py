@@ -306,32 +306,55 @@ def test_lttb_matches_plain_scan(logs, n, target, canonical):
 
 
 @pytest.mark.parametrize("target, canonical", [(9, False), (9, True), (200, False), (3, False)])
-def test_lttb_chains_a_smooth_log_in_parts(logs, monkeypatch, target, canonical):
-    """Every record of t squared is a corner; no task gets them all."""
-    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
-
-    n, seen = 2000, []
-
-    def bounded(self, func, schema, old=PandasCogroupedOps.applyInArrow):
-        def counted(key, table, mean):
-            assert table.num_rows <= 150 + n // (target - 2) + 3, table.num_rows
-            return func(key, table, mean)
+@pytest.mark.parametrize("rows", [150, 20])
+def test_lttb_of_a_smooth_log_by_maps(logs, target, canonical, rows):
+    """Every record of t squared is a corner; maps lead from bucket to bucket, also joined ones."""
+    v = [(i / 10) ** 2 for i in range(2000)]
+    w = [float(np.sin(i)) for i in range(700)]
+    noise = np.random.default_rng(3).integers(0, 5, 1300).astype(float).tolist()
+    data = {"a": v, "b": w, "c": v[:120], "d": noise}
+    got = downsample.lttb(logs({k: {"x": x} for k, x in data.items()}), "x", target, rows=rows, canonical=canonical).collect()
+    for log, x in data.items():
+        found = [(r.pos, r.idx) for r in sorted((r for r in got if r.log_id == log), key=lambda r: r.pos)]
+        want = list(range(len(x))) if len(x) <= target else plain_lttb(np.arange(len(x)) / 10, np.array(x), target, canonical)
+        assert found == list(enumerate(want))
 
-        seen.append(1)
-        return old(self, counted, schema)
 
-    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", bounded)
-    v = [(i / 10) ** 2 for i in range(n)]
-    w = [float(np.sin(i)) for i in range(700)]
-    rec = logs({"a": {"x": v}, "b": {"x": w}, "c": {"x": v[:120]}})
-    got = downsample.lttb(rec, "x", target, rows=150, canonical=canonical).collect()
-    for log, x in (("a", v), ("b", w), ("c", v[:120])):
-        found = [r.idx for r in sorted((r for r in got if r.log_id == log), key=lambda r: r.pos)]
-        if len(x) <= target:
-            assert found == list(range(len(x)))
-        else:
-            assert found == plain_lttb(np.arange(len(x)) / 10, np.array(x), target, canonical)
-    assert seen
+def test_maps_are_joined_in_rounds(spark, monkeypatch):
+    """The chain through 100 buckets takes as many rounds as doubling needs, and equals plain steps."""
+    rng = np.random.default_rng(5)
+    buckets, corners = 100, 7
+    step = rng.integers(0, corners, (buckets, corners))
+    rows = [
+        ("a", s, 0 if s < 0 else 1 + s * corners + a, 1 + (s + 1) * corners + int(step[s + 1, a]))
+        for s in range(-1, buckets - 1) for a in range(1 if s < 0 else corners)
+    ]
+    maps = spark.createDataFrame(rows, "log_id string, _slot long, a long, b long")
+    begin = spark.createDataFrame([("a", -1, 0)], "log_id string, _slot long, idx long")
+    written = []
+    keep = downsample.materialise
+    monkeypatch.setattr(downsample, "materialise", lambda df, label: written.append(label) or keep(df, label))
+    got = {r["_slot"]: r["idx"] for r in downsample._chased(maps, begin, ["log_id"], 10).collect()}
+    want, at = {-1: 0}, 0
+    for s in range(buckets):
+        at = 1 + s * corners + int(step[s, (at - 1) % corners if s else 0])
+        want[s] = at
+    assert got == want and written.count("maps") <= 9 and written.count("chain") <= 9
+    few = {r["_slot"]: r["idx"] for r in downsample._chased(maps, begin, ["log_id"], 10_000).collect()}
+    assert few == want
+
+
+def test_largest_triangle_by_slope():
+    rng = np.random.default_rng(7)
+    for turn in range(400):
+        m = int(rng.integers(1, 60))
+        t = 10 + (np.sort(rng.integers(0, 2 * m, m)) / 1.0 if turn % 2 else np.arange(m) / 10)
+        v = [rng.integers(0, 6, m) / 1.0, t**2, np.sin(t), np.full(m, 3.0)][turn % 4].copy()
+        if turn % 7 == 0:
+            v[rng.integers(0, m, 3)] = np.nan
+        p = np.sort(rng.uniform(0, 10, 9)), rng.normal(size=9)
+        centre = t[-1] + 1.5, float(rng.normal())
+        assert downsample._best_on_hull(p, centre, t, v).tolist() == downsample._best(p, centre, t, v).tolist()
 
 
 def test_normalise_constant(logs):
