@@ -4,16 +4,18 @@ A log is cut into chunks of ``rows`` records.  Pass one turns every chunk that
 is not the last of its log into a small *map* from start state to end state;
 the maps are composed in two levels, so no task ever sees more than one chunk
 or one block of maps; pass two runs every chunk from its true start state.
-Logs that fit one chunk skip pass one altogether.
+Logs that fit one chunk need neither maps nor groups: a task streams sorted rows and
+moves all logs of a batch on together.
 
 Chunk functions are plain numpy over bounded arrays; partitioning, grouping and
-shuffling are Spark's.
+shuffling are Spark's.  A numpy step moves one record of every block of every log at hand,
+so no statement runs for a single record.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,7 @@ from telemetra.operators.stats import baseline
 from telemetra.session import settle
 
 MAPS_PER_BLOCK = 1024
+_NARROW = 512  # records of a block, unless all series are shorter or one is much longer
 
 
 @dataclass(frozen=True)
@@ -148,6 +151,82 @@ def chunk_scan(
     )
 
 
+def scan_logs(
+    records: DataFrame,
+    value: str,
+    out: str,
+    whole: Callable[[np.ndarray, np.ndarray, dict], np.ndarray],
+    keys: Sequence[str],
+    rows: int,
+    chunked: Callable[[DataFrame], DataFrame],
+    side: Sequence[str] = (),
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """keys, idx and ``out``: logs of one chunk by ``whole``, the others by ``chunked``.
+
+    ``whole(x, at, side)`` gets the values of complete logs, their n + 1 offsets and the side
+    columns of each; a task holds the logs of one batch.  ``records`` have their log's size n;
+    ``sizes`` is a smaller table that has it too.
+    """
+    keys = list(keys)
+    longer = F.col("n") >= 2 * rows  # a short remainder belongs to the chunk before it
+    if (records if sizes is None else sizes).filter(longer).isEmpty():
+        return _scan_short(records, value, out, whole, keys, side)
+    short = _scan_short(records.filter(~longer), value, out, whole, keys, side)
+    return short.unionByName(chunked(records.filter(longer)).select(*short.columns))
+
+
+def _scan_short(
+    records: DataFrame, value: str, out: str, whole: Callable, keys: list[str], side: Sequence[str]
+) -> DataFrame:
+    schema = TYPES.StructType(
+        [
+            *[records.schema[k] for k in keys],
+            TYPES.StructField(IDX, TYPES.LongType()),
+            TYPES.StructField(out, TYPES.DoubleType()),
+        ]
+    )
+    fields = to_arrow_schema(schema)
+
+    def solved(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = at[:-1]
+        known = {c: table.column(c).to_numpy()[first] for c in side}
+        y = whole(table.column("_x").to_numpy().astype(float), at, known)
+        columns = [table.column(c) for c in (*keys, IDX)]
+        arrays = [c.cast(f.type) for c, f in zip(columns, fields)]
+        yield from pa.Table.from_arrays([*arrays, pa.array(y)], schema=fields).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = np.flatnonzero(batch.column(IDX).to_numpy() == 0)
+            if not len(begins) or (not held and len(begins) == 1):  # no log ends here for sure
+                held.append(batch)
+                continue
+            cut = int(begins[-1])
+            table = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            yield from solved(table, _log_edges(table))
+            held = [batch.slice(cut)]
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from solved(table, _log_edges(table))
+
+    chosen = records.select(
+        *keys, F.col(IDX).cast("long").alias(IDX), F.col(value).cast("double").alias("_x"), *side
+    )
+    tasks = python_tasks(records.sparkSession)
+    dealt = chosen.repartition(tasks, *keys).sortWithinPartitions(*keys, IDX)
+    return dealt.mapInArrow(run, schema)
+
+
+def _log_edges(table: pa.Table) -> np.ndarray:
+    """The offsets of the logs in sorted rows; each begins with record 0."""
+    begins = np.flatnonzero(table.column(IDX).to_numpy() == 0)
+    return np.r_[begins, table.num_rows]
+
+
 def _rows(key: tuple, columns: dict, schema: TYPES.StructType) -> pa.Table:
     """An Arrow table of ``schema``: the leading group key repeated, then columns."""
     count = len(next(iter(columns.values())))
@@ -243,46 +322,99 @@ def _affine(run: Callable, matrix: np.ndarray) -> Scan:
     return Scan(run, summarise, compose, apply)
 
 
-def _blocked(step: Callable, matrix: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple:
-    """Outputs and end state of an affine recurrence, a numpy step for all blocks at once.
+class Blocks:
+    """Several series, one after the other in a flat array, cut into blocks of one width.
 
-    The values are cut into about sqrt(n) blocks.  ``step(x, s) -> (y, s)`` moves one
-    column of all blocks; a first pass from zero states gives the blocks' maps, whose
-    composition gives the true start of each for the second.
+    The blocks stand side by side, so that a step of a recurrence is one row of all; blocks
+    that end sooner stand last and drop out.
     """
-    width = max(math.isqrt(len(x)), 1)
-    count = len(x) // width
-    column = x[: count * width].reshape(count, width).T
-    moved = np.zeros((len(state), count))
-    for values in column:
-        moved = step(values, moved)[1]
-    power = np.linalg.matrix_power(matrix, width)
-    starts = np.empty_like(moved)
-    for k in range(count):
-        starts[:, k] = state
-        state = power @ state + moved[:, k]
-    y = np.empty((width, count))
-    for j, values in enumerate(column):
-        y[j], starts = step(values, starts)
-    rest = np.empty(len(x) - count * width)
-    end = state[:, None]
-    for j, value in enumerate(x[count * width :]):
-        out, end = step(np.array([value]), end)
-        rest[j] = out[0]
-    return np.concatenate([y.T.ravel(), rest]), end[:, 0]
-
-
-def _ema_scan(alpha: float) -> Scan:
-    matrix = np.array([[1.0 - alpha]])
 
+    def __init__(self, at: np.ndarray):
+        size = np.diff(at)
+        longest = int(size.max(initial=0))
+        self.width = width = max(min(longest, max(math.isqrt(longest), _NARROW)), 1)
+        count = -(-size // width)
+        series = np.repeat(np.arange(len(size)), count)
+        number = np.arange(len(series)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(size[series] - number * width, width)
+        order = np.argsort(-length, kind="stable")
+        self.series, self.number, self.length = series[order], number[order], length[order]
+        self.start = at[:-1][self.series] + self.number * width
+        #: how many blocks have a j-th record
+        self.active = np.searchsorted(-self.length, -np.arange(width), side="left")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        #: the block before and after each in its series, -1 for none
+        self.before = np.where(self.number > 0, place[np.maximum(order - 1, 0)], -1)
+        follows = np.r_[series[1:] == series[:-1], False] if len(series) else np.zeros(0, bool)
+        self.after = np.where(follows[order], place[np.minimum(order + 1, max(len(order) - 1, 0))], -1)
+        self._cell = np.minimum(self.start + np.arange(width)[:, None], max(int(at[-1]) - 1, 0))
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        """Row j has the j-th record of each block; only the first active[j] count."""
+        return x[self._cell]
+
+    def flat(self, rows: np.ndarray, total: int) -> np.ndarray:
+        out = np.empty(total)
+        for j, k in enumerate(self.active):
+            out[self._cell[j, :k]] = rows[j, :k]
+        return out
+
+
+def lockstep(step: Callable, matrix: np.ndarray, x: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple:
+    """Outputs and end states of an affine recurrence over many series at once.
+
+    ``at`` are the series' n + 1 offsets in ``x``, ``start`` a column for each.  ``step(x, s)
+    -> (y, s)`` moves one record of all blocks.  Series of several blocks take two passes:
+    one from zero states gives the blocks' maps, whose composition gives each its start.
+    """
+    blocks = Blocks(at)
+    rows = blocks.rows(np.asarray(x, float))
+    state = np.zeros((len(start), len(blocks.series)))
+    first = np.flatnonzero(blocks.number == 0)
+    state[:, first] = start[:, blocks.series[first]]
+    inner = int(np.searchsorted(-blocks.length, -blocks.width, side="right"))  # full blocks
+    if (blocks.number > 0).any():
+        moved = np.zeros((len(start), inner))
+        for j in range(blocks.width):
+            moved = step(rows[j, :inner], moved)[1]
+        power = np.linalg.matrix_power(matrix, blocks.width)
+        here = first[blocks.after[first] >= 0]
+        while len(here):
+            there = blocks.after[here]
+            state[:, there] = power @ state[:, here] + moved[:, here]
+            here = there[blocks.after[there] >= 0]
+    y = np.empty_like(rows)
+    for j, k in enumerate(blocks.active):
+        y[j, :k], state[:, :k] = step(rows[j, :k], state[:, :k])
+    ends = np.zeros((len(start), len(at) - 1))
+    last = np.flatnonzero(blocks.after < 0)
+    ends[:, blocks.series[last]] = state[:, last]
+    empty = np.diff(at) == 0
+    ends[:, empty] = start[:, empty]
+    return blocks.flat(y, len(x)), ends
+
+
+def _alone(step: Callable, matrix: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple:
+    """The same for one series."""
+    y, end = lockstep(step, matrix, x, np.array([0, len(x)]), np.asarray(state, float)[:, None])
+    return y, end[:, 0]
+
+
+def _ema_step(alpha: float) -> Callable:
     def step(x, s):
         level = alpha * x + (1.0 - alpha) * s[0]
         return level, level[None, :]
 
+    return step
+
+
+def _ema_scan(alpha: float) -> Scan:
+    matrix = np.array([[1.0 - alpha]])
+
     def run(chunk, state):
         x = np.asarray(chunk.values, float)
-        begin = x[:1] if state is None else np.asarray(state, float)
-        y, end = _blocked(step, matrix, x, begin)
+        y, end = _alone(_ema_step(alpha), matrix, x, x[:1] if state is None else state)
         return chunk.idx, y, end
 
     return _affine(run, matrix)
@@ -305,9 +437,14 @@ def exponential_moving_average(
     """keys, idx and the exponentially weighted mean, started at the first value."""
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be above 0 and at most 1")
-    return chunk_scan(
-        _sized(records, keys), _ema_scan(alpha), value, out, keys=keys, rows=rows
-    ).drop("n")
+
+    def whole(x: np.ndarray, at: np.ndarray, side: dict) -> np.ndarray:
+        return lockstep(_ema_step(alpha), np.array([[1.0 - alpha]]), x, at, x[at[:-1]][None, :])[0]
+
+    return scan_logs(
+        _sized(records, keys), value, out, whole, keys, rows,
+        lambda long: chunk_scan(long, _ema_scan(alpha), value, out, keys=keys, rows=rows).drop("n"),
+    )
 
 
 # ---------------------------------------------------------------- Butterworth
@@ -346,7 +483,7 @@ def butterworth_sections(
 def _cascade(sections: list[tuple]) -> tuple[Callable, np.ndarray, np.ndarray]:
     """All sections of a filter as one linear system with two states each.
 
-    Returns the stepping function, the state matrix, and the state that is at
+    The stepping function, the state matrix, and the state that is at
     rest for an input of one.
     """
     rest = np.array([x for _, b1, b2, a1, a2 in sections for x in (b1 - a1 + b2 - a2, b2 - a2)])
@@ -362,11 +499,7 @@ def _cascade(sections: list[tuple]) -> tuple[Callable, np.ndarray, np.ndarray]:
 
     order = 2 * len(sections)
     matrix = step(np.zeros(order), np.eye(order))[1]  # where each unit state goes
-
-    def scan(values, state):
-        return _blocked(step, matrix, np.asarray(values, float), np.asarray(state, float))
-
-    return scan, matrix, rest
+    return step, matrix, rest
 
 
 def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
@@ -376,7 +509,10 @@ def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
     the odd reflection of its end; the lead-in only settles the state, the
     followers become records past the end of the log.
     """
-    scan, matrix, rest = _cascade(sections)
+    step, matrix, rest = _cascade(sections)
+
+    def scan(values, state):
+        return _alone(step, matrix, values, state)
 
     def run(chunk, state):
         x, at = np.asarray(chunk.values, float), chunk.idx
@@ -422,6 +558,16 @@ def butterworth_filtfilt(
     clean = _sized(records, keys).select(
         *keys, IDX, "n", finite_or_zero(F.col(value)).alias("_v")
     )
+    return scan_logs(
+        clean, "_v", out, _zero_phase(sections), keys, rows,
+        lambda long: _filtfilt_chunks(long, sections, out, keys, rows),
+    )
+
+
+def _filtfilt_chunks(
+    clean: DataFrame, sections: list[tuple], out: str, keys: list[str], rows: int
+) -> DataFrame:
+    depth = 6 * len(sections)
     forward = chunk_scan(clean, _filter_scan(sections, True), "_v", "_f", keys=keys, rows=rows)
     extended = F.col("n") + F.least(F.lit(depth).cast("long"), F.col("n") - 1)
     turned = forward.withColumn("_length", extended).withColumn(
@@ -443,72 +589,127 @@ def butterworth_filtfilt(
     )
 
 
+def _zero_phase(sections: list[tuple]) -> Callable:
+    """Both directions over complete logs: led in and followed by reflections, then turned."""
+    step, matrix, rest = _cascade(sections)
+
+    def settled(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return lockstep(step, matrix, x, at, rest[:, None] * x[at[:-1]])[0]
+
+    def whole(x: np.ndarray, at: np.ndarray, side: dict) -> np.ndarray:
+        size = np.diff(at)
+        pad = np.minimum(6 * len(sections), size - 1)
+        # where each extended series is, and for each of its places the record it stands for
+        edge = np.r_[0, np.cumsum(size + 2 * pad)]
+        log = np.repeat(np.arange(len(size)), np.diff(edge))
+        place = np.arange(edge[-1]) - edge[log] - pad[log]
+        first, last = at[log], at[log + 1] - 1
+        mirrored = np.where(place < 0, -place, np.where(place < size[log], place, 2 * (size[log] - 1) - place))
+        value = x[first + mirrored]
+        value = np.where(place < 0, 2.0 * x[first] - value, np.where(place < size[log], value, 2.0 * x[last] - value))
+        forward = settled(value, edge)
+        kept = place >= 0  # the lead-in only settles the state
+        again = np.r_[0, np.cumsum(size + pad)]
+        turn = again[log[kept]] + again[log[kept] + 1] - 1 - np.arange(again[-1])
+        backward = settled(forward[kept][turn], again)[turn]
+        return backward[(place < size[log])[kept]]
+
+    return whole
+
+
 # ---------------------------------------------------------------- drift
 
 
-def _drift_side(steps, low, high, limit):
-    """Map of one clamped sum over a chunk for start states in [low, high].
+def _drift_pieces(steps: np.ndarray, h: float) -> list[list[tuple]]:
+    """Maps of one clamped sum over blocks, one in each column, for starts in [0, h].
+
+    A map is pieces (from, to, kind, number): kind 0 ends at ``number`` whatever the
+    start, kind 1 ends at start + ``number``.  A path first meets the clamp where the running
+    least of its sums takes its start to 0, or starts over where the running greatest takes
+    it past ``h``; starts between two such edges share a path and are moved on by one
+    of them, for all blocks at once.
+    """
+    sums = np.cumsum(steps, axis=0)
+    count = steps.shape[1]
+    edges = [np.zeros((0, 2))]
+    for cut in (-np.minimum.accumulate(sums), h - np.maximum.accumulate(sums)):
+        new = (cut > 0.0) & (cut < h)
+        new[1:] &= cut[1:] != cut[:-1]
+        at, block = np.nonzero(new)
+        edges.append(np.stack([block, cut[at, block]], 1))
+    ends = np.stack([np.repeat(np.arange(count), 2), np.tile([0.0, h], count)], 1)
+    edge = np.unique(np.concatenate([*edges, ends]), axis=0)
+    low, high = edge[:-1], edge[1:]
+    inside = low[:, 0] == high[:, 0]
+    block = low[inside, 0].astype(np.int64)
+    low, high = low[inside, 1], high[inside, 1]
+    # starts that meet neither end
+    live = (low >= -sums.min(0)[block]) & (high <= h - sums.max(0)[block])
+    state = (low + high) / 2.0
+    for row in steps:
+        state = np.fmax(state + row[block], 0.0)
+        state = np.where(state > h, 0.0, state)
+    number = np.where(live, sums[-1][block], state)
+    out: list[list[tuple]] = [[] for _ in range(count)]
+    for b, x, y, kind, v in zip(block.tolist(), low.tolist(), high.tolist(), live.tolist(), number.tolist()):
+        pieces = out[b]
+        if pieces and pieces[-1][2] == float(kind) and pieces[-1][3] == v:
+            pieces[-1] = (pieces[-1][0], y, float(kind), v)
+        else:
+            pieces.append((x, y, float(kind), v))
+    return out
+
+
+def _drift_run(
+    rise: np.ndarray, fall: np.ndarray, at: np.ndarray, start: np.ndarray, h: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Flags and end states of series of steps, exactly as record after record.
 
-    Returns pieces (from, to, kind, number): kind 0 ends at ``number`` whatever
-    the start, kind 1 ends at start + ``number``.
+    Blocks are first run from zero sums; those whose block before ended elsewhere are run
+    again from there until all starts are right.  Clamps and resets make blocks forget
+    their start, so that is mostly once.
     """
-    live = (low, high)  # starts whose path has met neither clamp nor reset
-    offset = 0.0
-    fixed = []  # [from, to, value]: starts that share one path
-    for d in steps:
-        for piece in fixed:
-            v = piece[2] + d
-            v = v if v > 0.0 else 0.0
-            piece[2] = 0.0 if v > limit else v
-        if live is not None:
-            offset += d
-            a, b = live
-            if a + offset <= 0.0:
-                cut = min(b, -offset)
-                fixed.append([a, cut, 0.0])
-                a = cut if cut < b else None
-            if a is not None and b + offset > limit:
-                cut = max(a, limit - offset)
-                fixed.append([cut, b, 0.0])
-                b = cut if cut > a else None
-            live = None if a is None or b is None else (a, b)
-        if len(fixed) > 1:
-            merged = []
-            for piece in sorted(fixed):
-                if merged and merged[-1][2] == piece[2] and merged[-1][1] == piece[0]:
-                    merged[-1][1] = piece[1]
-                else:
-                    merged.append(piece)
-            fixed = merged
-    pieces = [(a, b, 0.0, v) for a, b, v in fixed]
-    if live is not None:
-        pieces.append((live[0], live[1], 1.0, offset))
-    return sorted(pieces)
+    blocks = Blocks(at)
+    up, down = blocks.rows(rise), blocks.rows(fall)
+    flags = np.zeros_like(up)
+    begin = np.zeros((2, len(blocks.series)))
+    first = blocks.number == 0
+    begin[:, first] = start[:, blocks.series[first]]
+    end = np.zeros_like(begin)
+    todo = np.arange(len(blocks.series))
+    while len(todo):
+        a, b = begin[0, todo], begin[1, todo]
+        for j in range(int(blocks.length[todo].max(initial=0))):
+            k = int(np.searchsorted(-blocks.length[todo], -j, side="left"))
+            some = todo[:k]
+            x = np.fmax(a[:k] + up[j, some], 0.0)
+            y = np.fmax(b[:k] + down[j, some], 0.0)
+            over, under = x > h, y > h
+            flags[j, some] = np.where(over, 1.0, np.where(under, -1.0, 0.0))
+            a[:k], b[:k] = np.where(over, 0.0, x), np.where(under, 0.0, y)
+        end[0, todo], end[1, todo] = a, b
+        due = np.flatnonzero(blocks.before >= 0)
+        wrong = (begin[:, due] != end[:, blocks.before[due]]).any(0)
+        todo = due[wrong]
+        begin[:, todo] = end[:, blocks.before[todo]]
+    ends = np.array(start, float)
+    last = np.flatnonzero(blocks.after < 0)
+    ends[:, blocks.series[last]] = end[:, last]
+    return blocks.flat(flags, len(rise)), ends
 
 
 def _drift_scan(k: float, h: float) -> Scan:
-    """CUSUM: two sums clamped at 0 that start over once they pass ``h``.
+    """CUSUM: two sums clamped at 0 that start over once they pass ``h``; what is no number clears both.
 
     A map lists, for each of the two sums, the pieces of its start-to-end
     function: [count, pieces of the upper sum..., pieces of the lower sum...].
     """
 
     def run(chunk, state):
-        up, down = (0.0, 0.0) if state is None else (float(state[0]), float(state[1]))
-        mean = float(chunk.side["baseline_mean"])
-        flags = np.zeros(len(chunk.values))
-        for i, x in enumerate(chunk.values.tolist()):
-            up = max(up + (x - mean) - k, 0.0)
-            down = max(down + (mean - x) - k, 0.0)
-            if up > h:
-                flags[i] = 1.0
-                up = 0.0
-                if down > h:
-                    down = 0.0
-            elif down > h:
-                flags[i] = -1.0
-                down = 0.0
-        return chunk.idx, flags, np.array([up, down])
+        x, mean = np.asarray(chunk.values, float), float(chunk.side["baseline_mean"])
+        start = np.zeros((2, 1)) if state is None else np.asarray(state, float)[:, None]
+        flags, end = _drift_run((x - mean) - k, (mean - x) - k, np.array([0, len(x)]), start, h)
+        return chunk.idx, flags, end[:, 0]
 
     def pack(up, down):
         return np.array([float(len(up)), *(x for p in up + down for x in p)])
@@ -519,12 +720,21 @@ def _drift_scan(k: float, h: float) -> Scan:
         return [tuple(p) for p in body[:n]], [tuple(p) for p in body[n:]]
 
     def summarise(chunk):
-        mean = float(chunk.side["baseline_mean"])
-        top = 0.0 if chunk.is_first else h
-        xs = chunk.values.tolist()
-        up = _drift_side(((x - mean) - k for x in xs), 0.0, top, h)
-        down = _drift_side(((mean - x) - k for x in xs), 0.0, top, h)
-        return pack(up, down)
+        x, mean = np.asarray(chunk.values, float), float(chunk.side["baseline_mean"])
+        width = max(math.isqrt(len(x)), 1)
+        maps = []
+        for steps in ((x - mean) - k, (mean - x) - k):
+            whole = len(x) // width * width
+            parts = _drift_pieces(steps[:whole].reshape(-1, width).T, h)
+            if whole < len(x):
+                parts += _drift_pieces(steps[whole:, None], h)
+            total = parts[0]
+            for part in parts[1:]:
+                total = join(total, part)
+            maps.append(total)
+        if chunk.is_first:
+            maps = [[(0.0, 0.0, 0.0, end_of(m, 0.0))] for m in maps]
+        return pack(*maps)
 
     def end_of(pieces, s):
         # A state on a shared piece edge belongs to the lower piece, except that
@@ -550,7 +760,13 @@ def _drift_scan(k: float, h: float) -> Scan:
                 left, right = max(lo, blo - v), min(hi, bhi - v)
                 if left <= right:
                     out.append((left, right, bkind, bv + v if bkind else bv))
-        return sorted(out)
+        merged = []
+        for piece in sorted(out):
+            if merged and merged[-1][2:] == piece[2:]:
+                merged[-1] = (merged[-1][0], max(piece[1], merged[-1][1]), *piece[2:])
+            else:
+                merged.append(piece)
+        return merged
 
     def compose(a, b):
         (au, ad), (bu, bd) = unpack(a), unpack(b)
@@ -572,12 +788,16 @@ def drift_flags(
     """keys, idx and +1 / -1 / 0: drift above or below the early mean of the log."""
     sized = _sized(records, keys)
     base = settle(baseline(sized, value, baseline_percent, keys).select(*keys, "baseline_mean"))
-    return chunk_scan(
-        sized.join(base, list(keys)),
-        _drift_scan(k, h),
-        value,
-        out,
-        side=["baseline_mean"],
-        keys=keys,
-        rows=rows,
-    ).drop("n")
+
+    def whole(x: np.ndarray, at: np.ndarray, side: dict) -> np.ndarray:
+        mean = np.repeat(side["baseline_mean"], np.diff(at))
+        return _drift_run((x - mean) - k, (mean - x) - k, at, np.zeros((2, len(at) - 1)), h)[0]
+
+    side = ["baseline_mean"]
+    return scan_logs(
+        sized.join(base, list(keys)), value, out, whole, keys, rows,
+        lambda long: chunk_scan(
+            long, _drift_scan(k, h), value, out, side=side, keys=keys, rows=rows
+        ).drop("n"),
+        side, records if "n" in records.columns else sized,
+    )
