@@ -18,9 +18,12 @@ splits on skew.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -224,6 +227,24 @@ def log_sizes(df: DataFrame, keys: Sequence[str] = (LOG,), name: str = "n") -> D
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def halo_chunks(df: DataFrame, before: int, after: int, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with ``_home`` and ``_chunk``: one copy for each chunk whose frames reach them.
+
+    Chunks grow with the reach so that the copied share stays small.
+    """
+    size = max(rows, 8 * (before + after), 1)
+    idx = F.col(IDX)
+    return df.withColumn("_home", F.floor(idx / size)).withColumn(
+        "_chunk",
+        F.explode(
+            F.sequence(
+                F.greatest(F.floor((idx - after) / size), F.lit(0).cast("long")),
+                F.floor((idx + before) / size),
+            )
+        ),
+    )
+
+
 def halo_windows(
     df: DataFrame,
     columns: Mapping[str, Callable[[WindowSpec], Column]],
@@ -237,21 +258,9 @@ def halo_windows(
     Each callable receives a window partitioned by (keys, chunk) and ordered by
     ``idx``; its frame may reach ``before`` rows back and ``after`` rows ahead.
     A row near a chunk edge is copied to the neighbour chunk that needs it and
-    the copies are dropped at the end.  Chunks grow with the reach so that the
-    copied share stays small.
+    the copies are dropped at the end.
     """
-    size = max(rows, 8 * (before + after), 1)
-    idx = F.col(IDX)
-    home = F.floor(idx / size)
-    chunked = df.withColumn("_home", home).withColumn(
-        "_chunk",
-        F.explode(
-            F.sequence(
-                F.greatest(F.floor((idx - after) / size), F.lit(0).cast("long")),
-                F.floor((idx + before) / size),
-            )
-        ),
-    )
+    chunked = halo_chunks(df, before, after, rows)
     w = Window.partitionBy(*keys, "_chunk").orderBy(IDX)
     for name, build in columns.items():
         chunked = chunked.withColumn(name, build(w))
@@ -332,3 +341,50 @@ def running_sum(
         .withColumn(out, F.col("_base") + F.col("_part"))
         .drop("_chunk", "_part", "_base")
     )
+
+
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], columns: Sequence[str]
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows cut where a group ends: (rows of complete groups, their n + 1 offsets).
+
+    A group is a run of rows equal in ``columns``; what is held is the last, incomplete one.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def closed(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.combine_chunks()
+        return table, np.r_[0, 1 + np.flatnonzero(_changes(table, columns)), table.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        here = pa.Table.from_batches([batch])
+        cuts = 1 + np.flatnonzero(_changes(here, columns))
+        if held:
+            ends = pa.concat_tables([pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1)]), here.slice(0, 1)])
+            if _changes(ends, columns)[0]:
+                cuts = np.r_[0, cuts]
+        if len(cuts):
+            cut = int(cuts[-1])
+            done = [*held, batch.slice(0, cut)] if cut else held
+            yield closed(pa.Table.from_batches(done))
+            held = []
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield closed(pa.Table.from_batches(held))
+
+
+def _changes(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """Whether each row but the first differs from the row before."""
+    differs = np.zeros(max(table.num_rows - 1, 0), bool)
+    for c in columns:
+        column = table.column(c)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        a, b = column[1:], column[:-1]
+        unlike = pc.fill_null(pc.not_equal(a, b), False)
+        unlike = pc.or_(unlike, pc.xor(pc.is_null(a), pc.is_null(b)))
+        differs |= unlike.to_numpy(zero_copy_only=False)
+    return differs

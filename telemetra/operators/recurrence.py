@@ -26,7 +26,7 @@ from pyspark.sql import types as TYPES
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from telemetra.frame import IDX, LOG, finite_or_zero
-from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks
+from telemetra.operators.layout import CHUNK_ROWS, log_sizes, python_tasks, whole_groups
 from telemetra.operators.stats import baseline
 from telemetra.session import settle
 
@@ -188,30 +188,12 @@ def _scan_short(
     )
     fields = to_arrow_schema(schema)
 
-    def solved(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = at[:-1]
-        known = {c: table.column(c).to_numpy()[first] for c in side}
-        y = whole(table.column("_x").to_numpy().astype(float), at, known)
-        columns = [table.column(c) for c in (*keys, IDX)]
-        arrays = [c.cast(f.type) for c, f in zip(columns, fields)]
-        yield from pa.Table.from_arrays([*arrays, pa.array(y)], schema=fields).to_batches()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            begins = np.flatnonzero(batch.column(IDX).to_numpy() == 0)
-            if not len(begins) or (not held and len(begins) == 1):  # no log ends here for sure
-                held.append(batch)
-                continue
-            cut = int(begins[-1])
-            table = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            yield from solved(table, _log_edges(table))
-            held = [batch.slice(cut)]
-        if held:
-            table = pa.Table.from_batches(held)
-            yield from solved(table, _log_edges(table))
+        for table, at in whole_groups(batches, keys):
+            known = {c: table.column(c).to_numpy()[at[:-1]] for c in side}
+            y = whole(table.column("_x").to_numpy().astype(float), at, known)
+            columns = [table.column(c).cast(f.type) for c, f in zip((*keys, IDX), fields)]
+            yield from pa.Table.from_arrays([*columns, pa.array(y)], schema=fields).to_batches()
 
     chosen = records.select(
         *keys, F.col(IDX).cast("long").alias(IDX), F.col(value).cast("double").alias("_x"), *side
@@ -221,12 +203,6 @@ def _scan_short(
     return dealt.mapInArrow(run, schema)
 
 
-def _log_edges(table: pa.Table) -> np.ndarray:
-    """The offsets of the logs in sorted rows; each begins with record 0."""
-    begins = np.flatnonzero(table.column(IDX).to_numpy() == 0)
-    return np.r_[begins, table.num_rows]
-
-
 def _rows(key: tuple, columns: dict, schema: TYPES.StructType) -> pa.Table:
     """An Arrow table of ``schema``: the leading group key repeated, then columns."""
     count = len(next(iter(columns.values())))

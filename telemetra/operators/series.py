@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as TYPES
 
 from telemetra.frame import EPSILON, IDX, LOG, T, not_nan
 from telemetra.operators import stats
-from telemetra.operators.layout import CHUNK_ROWS, halo_windows, log_sizes, running_sum
+from telemetra.operators.layout import (
+    CHUNK_ROWS, halo_chunks, halo_windows, log_sizes, python_tasks, running_sum, whole_groups,
+)
 from telemetra.session import settle
 
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -23,9 +28,15 @@ def moving_average(
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Trailing mean of up to ``window`` records; a zero window copies the input."""
+    """Trailing mean of up to ``window`` records; a zero window copies the input.
+
+    Windows over an eighth of a chunk are summed from whole chunks and parts of the two
+    at their ends, so a task holds a chunk whatever the window.
+    """
     if window == 0:
         return records.withColumn(out, F.col(value))
+    if window - 1 > rows // 8:
+        return _long_average(records, value, window, out, list(keys), min(rows, window))
     return halo_windows(
         records,
         {out: lambda w: F.avg(value).over(w.rowsBetween(-(window - 1), 0))},
@@ -35,6 +46,55 @@ def moving_average(
     )
 
 
+def _long_average(
+    records: DataFrame, value: str, window: int, out: str, keys: list[str], rows: int
+) -> DataFrame:
+    """Trailing mean over ``window`` records, at least a chunk of ``rows``.
+
+    The sum is that of the end of the window's first chunk, of the chunks between, and
+    of the beginning of its last.  Nothing is subtracted, so nothing cancels and what is
+    no number stays within its windows.
+    """
+    chunked = records.withColumn("_chunk", F.floor(F.col(IDX) / rows))
+    inside = Window.partitionBy(*keys, "_chunk")
+    up = inside.orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+    down = inside.orderBy(F.col(IDX).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = chunked.withColumns(
+        {
+            f"_{name}{kind}": (F.sum(value) if kind == "s" else F.count(value)).over(frame)
+            for name, frame in (("head", up), ("tail", down))
+            for kind in "sn"
+        }
+    )
+    # the chunks between: one fewer if the window begins late in its first chunk
+    between = (window - 1) // rows
+    totals = chunked.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    middles = {}
+    for k in {between - 1, between}:
+        for kind in "sn":
+            whole = F.sum(f"_{kind}").over(order.rowsBetween(-k, -1)) if k > 0 else F.lit(None)
+            middles[f"_mid{k}{kind}"] = whole.cast("double" if kind == "s" else "long")
+    middle = settle(totals.withColumns(middles).drop("_s", "_n"))
+    begins = F.col(IDX) - (window - 1)
+    first = F.when(begins < 0, F.lit(-1)).otherwise(F.floor(begins / rows))
+    tails = summed.select(*keys, (F.col(IDX) + (window - 1)).alias(IDX), "_tails", "_tailn")
+    met = summed.drop("_tails", "_tailn").join(middle, [*keys, "_chunk"]).join(tails, [*keys, IDX], "left")
+    parts = {}
+    for kind in "sn":
+        late = F.col("_chunk") - first - 1 == between
+        mid = F.when(late | (begins < 0), F.col(f"_mid{between}{kind}")).otherwise(F.col(f"_mid{between - 1}{kind}"))
+        own = F.when(first < F.col("_chunk"), F.col(f"_tail{kind}"))  # else the chunk is the window
+        pieces = [F.col(f"_head{kind}"), F.when(first < F.col("_chunk"), mid), own]
+        parts[kind] = sum((F.coalesce(p, F.lit(0)) for p in pieces[1:]), F.coalesce(pieces[0], F.lit(0)))
+    mean = F.when(parts["n"] > 0, parts["s"] / parts["n"])
+    return met.withColumn(out, mean).select(*records.columns, out)
+
+
+#: Median windows that are gathered as an array of each record.
+SMALL_WINDOW = 63
+
+
 def median_filter(
     records: DataFrame,
     value: str,
@@ -45,11 +105,15 @@ def median_filter(
 ) -> DataFrame:
     """Centred median, cut at the log ends; an even window is widened by one.
 
-    Each record gathers at most ``window`` values, sorted inside the JVM.
+    Small windows are arrays sorted inside the JVM.  Beyond ``SMALL_WINDOW`` the records of
+    a chunk are ranked once, and the middle ranks of all windows are found together bit by
+    bit, so neither time nor memory of a record grows with the window.
     """
     if window == 0:
         return records.withColumn(out, F.col(value))
     half = (window + 1 - window % 2) // 2
+    if 2 * half + 1 > SMALL_WINDOW:
+        return _long_median(records, value, half, out, list(keys), rows)
     gathered = halo_windows(
         records,
         {"_near": lambda w: F.sort_array(F.collect_list(value).over(w.rowsBetween(-half, half)))},
@@ -64,6 +128,63 @@ def median_filter(
     return gathered.withColumn(out, (low + high) / 2.0).drop("_near")
 
 
+def _long_median(
+    records: DataFrame, value: str, half: int, out: str, keys: list[str], rows: int
+) -> DataFrame:
+    columns = [c for c in records.columns if c != out]
+    schema = TYPES.StructType([*[records.schema[c] for c in columns], TYPES.StructField(out, TYPES.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "_chunk"]):
+            home = table.column("_home").to_numpy() == table.column("_chunk").to_numpy()
+            cells = table.column(value).cast(pa.float64())
+            known = ~cells.is_null().to_numpy()
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            place = np.arange(len(owner))
+            low = np.maximum(place - half, at[owner])[home]
+            high = np.minimum(place + half + 1, at[owner + 1])[home]
+            seen = np.r_[0, np.cumsum(known)]  # windows over the cells that are there
+            middle = window_medians(cells.to_numpy()[known], seen[low], seen[high])
+            kept = table.filter(pa.array(home)).select(columns)
+            column = pa.array(middle, mask=seen[low] == seen[high])
+            yield from kept.append_column(out, column).to_batches()
+
+    tasks = python_tasks(records.sparkSession)
+    chunked = halo_chunks(records.select(*columns), half, half, rows)
+    dealt = chunked.repartition(tasks, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", IDX)
+    return dealt.mapInArrow(run, schema)
+
+
+def window_medians(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Medians of the ranges low .. high of x, the mean of both middles for an even number.
+
+    The ranks of x are split by their bits, highest first, zeros before ones in stable
+    order; how many zeros stand before a place tells where a range goes and on which side
+    of it the k-th smallest lies.  All ranges move on together.  What is no number ranks last.
+    """
+    if not len(x):
+        return np.full(len(low), np.nan)
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x))
+    size = high - low
+    asked = np.r_[np.maximum(size - 1, 0) // 2, size // 2]
+    a, b = np.r_[low, low], np.r_[high, high]
+    found = np.zeros(len(asked), np.int64)
+    for bit in range(int(len(x) - 1).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1 == 1
+        zeros = np.r_[0, np.cumsum(~one)]
+        left, right = zeros[a], zeros[b]
+        up = asked >= right - left
+        found |= up.astype(np.int64) << bit
+        asked = np.where(up, asked - (right - left), asked)
+        a = np.where(up, zeros[-1] + a - left, left)
+        b = np.where(up, zeros[-1] + b - right, right)
+        rank = np.concatenate([rank[~one], rank[one]])
+    middle = x[order[np.minimum(found, len(x) - 1)]]
+    return (middle[: len(low)] + middle[len(low) :]) / 2.0
+
+
 def time_derivative(
     records: DataFrame,
     value: str,

@@ -63,6 +63,47 @@ def median_filter_long_log(spark, sf):
     return _r(out.select(LOG, IDX, "median_filter"), "median_filter")
 
 
+_ODD = "CASE WHEN idx % 211 = 7 THEN 'nan'::DOUBLE WHEN idx % 307 = 9 THEN 'inf'::DOUBLE WHEN idx % 13 = 5 THEN NULL ELSE quantity END"
+
+
+@query(
+    "moving_average_long_window",
+    f"""WITH {LINES_CTE}, s AS (SELECT log_id, idx, {_ODD} AS x FROM l),
+m AS (SELECT log_id, idx, avg(x) OVER (PARTITION BY log_id ORDER BY idx ROWS 299 PRECEDING) AS a,
+  avg(CASE WHEN isfinite(x) THEN x END) OVER (PARTITION BY log_id ORDER BY idx ROWS 299 PRECEDING) AS b FROM s)
+SELECT log_id, idx, CASE WHEN isnan(a) THEN 'nan' WHEN isinf(a) THEN 'inf' ELSE 'number' END AS kind, {r6('b')} AS clean FROM m""",
+)
+def moving_average_long_window(spark, sf):
+    """A window of 300 over chunks of 64 records, with cells that are missing or no numbers."""
+    x = F.when(F.col(IDX) % 211 == 7, F.lit(float("nan"))).when(F.col(IDX) % 307 == 9, F.lit(float("inf")))
+    x = x.when(F.col(IDX) % 13 == 5, F.lit(None)).otherwise(F.col("quantity"))
+    rec = tables.line_records(spark, sf).select(LOG, IDX, "n", x.alias("x"))
+    rec = rec.withColumn("clean_x", F.when(~F.isnan("x") & (F.abs("x") != float("inf")), F.col("x")))
+    rec = series.moving_average(rec, "x", 300, "a", rows=64)
+    rec = series.moving_average(rec, "clean_x", 300, "b", rows=64)
+    kind = F.when(F.isnan("a"), "nan").when(F.col("a") == float("inf"), "inf").otherwise("number")
+    return rec.select(LOG, IDX, kind.alias("kind"), rounded(F.col("b")).alias("clean"))
+
+
+def _wide_median(cte, part, half, src="e", value="value"):
+    frame = f"({part}ORDER BY idx ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    return f"WITH {cte} SELECT log_id, idx, {r6(f'median({value}) OVER {frame}')} AS median_filter FROM {src}"
+
+
+@query("median_filter_wide", _wide_median(STREAM_CTE, "", 5000))
+def median_filter_wide(spark, sf):
+    """10,001 records on one log of all events."""
+    out = series.median_filter(tables.event_stream_record(spark, sf), "value", 10001)
+    return _r(out.select(LOG, IDX, "median_filter"), "median_filter")
+
+
+@query("median_filter_wide_chunks", _wide_median(LINES_CTE, "PARTITION BY log_id ", 40, "l", "quantity"))
+def median_filter_wide_chunks(spark, sf):
+    """81 records over chunks of 640."""
+    out = series.median_filter(tables.line_records(spark, sf), "quantity", 81, rows=128)
+    return _r(out.select(LOG, IDX, "median_filter"), "median_filter")
+
+
 _NEAR = """x AS (SELECT log_id, idx, t, value,
   coalesce(lead(value) OVER w, value) AS v1, coalesce(lag(value) OVER w, value) AS v0,
   coalesce(lead(t) OVER w, t) AS t1, coalesce(lag(t) OVER w, t) AS t0,

@@ -486,3 +486,57 @@ def test_nearest_is_one_shuffle_and_one_sort(spark, logs):
     out = nearest.time_shift(rec, {"y": "x"}, 0.3)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_medians_of_ranges():
+    rng = np.random.default_rng(2)
+    for turn in range(200):
+        n = int(rng.integers(1, 60))
+        x = rng.integers(0, 9, n).astype(float) if turn % 2 else rng.normal(size=n)
+        if turn % 5 == 0:
+            x[rng.integers(0, n)] = np.inf
+        low = rng.integers(0, n, 30)
+        high = np.minimum(low + rng.integers(1, 40, 30), n)
+        want = [np.median(x[a:b]) for a, b in zip(low, high)]
+        assert np.array_equal(series.window_medians(x, low, high), want, equal_nan=True)
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 100])
+def test_wide_median_with_gaps(logs, rows):
+    x = [None if i % 7 == 3 else float((i * 37) % 101) for i in range(900)]
+    x[400:640] = [None] * 240
+    rec = logs({"a": {"x": x, "z": range(900)}, "b": {"x": x[:90], "z": range(90)}, "c": {"x": [5.0], "z": [1]}})
+    got = series.median_filter(rec, "x", 99, rows=rows)
+    assert got.columns == [*rec.columns, "median_filter"]
+    found = {(r.log_id, r.idx): (r.z, r.median_filter) for r in got.collect()}
+    for log, cells in (("a", x), ("b", x[:90]), ("c", [5.0])):
+        for i in range(len(cells)):
+            near = [v for v in cells[max(i - 49, 0) : i + 50] if v is not None]
+            assert found[log, i] == ((1 if log == "c" else i), float(np.median(near)) if near else None)
+
+
+@pytest.mark.parametrize("window,rows", [(64, 64), (65, 64), (127, 64), (128, 64), (129, 64), (300, 64), (70, 500), (9, 8), (2000, 64)])
+def test_long_average_meets_the_frame(logs, window, rows):
+    x = [None if i % 11 == 4 else float(i % 17) for i in range(700)]
+    x[200], x[333] = float("nan"), float("inf")
+    rec = logs({"a": {"x": x}, "b": {"x": x[:50]}, "c": {"x": [None]}})
+    whole = series.halo_windows(rec, {"y": lambda w: F.avg("x").over(w.rowsBetween(-(window - 1), 0))}, before=window - 1)
+    want = {(r.log_id, r.idx): r.y for r in whole.collect()}
+    got = {(r.log_id, r.idx): r.y for r in series.moving_average(rec, "x", window, "y", rows=rows).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        same = got[k] is None if v is None else np.isclose(got[k], v, rtol=1e-12, atol=0, equal_nan=True)
+        assert same, (k, v, got[k])
+
+
+def test_groups_are_cut_at_batches():
+    import pyarrow as pa
+
+    from telemetra.operators.layout import whole_groups
+
+    keys = [None, None, 1, 1, 1, 2, 3, 3, None]
+    for size in (1, 2, 4, 9):
+        table = pa.table({"k": pa.array(keys, pa.int64()), "v": pa.array(range(9))})
+        parts = list(whole_groups(iter(table.to_batches(max_chunksize=size)), ["k"]))
+        groups = [t.column("v").to_pylist()[a:b] for t, at in parts for a, b in zip(at[:-1], at[1:])]
+        assert groups == [[0, 1], [2, 3, 4], [5], [6, 7], [8]]
