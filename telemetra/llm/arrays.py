@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 4 << 20
+#: Bits of a unit's place in a slice; no slice has more units, as no text has 2^31 bytes.
+PLACE_BITS = 32
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -195,7 +197,7 @@ def anchors(
     if len(units) < size:
         return none, none, np.zeros(0, np.uint64)
     grams = gram_hashes(units, gram)
-    low = U64((1 << len(grams).bit_length()) - 1)
+    low = U64((1 << PLACE_BITS) - 1)  # the same for every slice, as equal windows must choose alike
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_min(ranked, size - gram + 1)
     spot = np.flatnonzero(starts_of_windows(rows, size, len(units))[: len(least)])

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.llm import arrays, suffixes
-from telemetra.llm.common import keyed, schema_with, span_arrays, span_table, with_column
+from telemetra.llm.common import KEYED, keyed, schema_with, shield, span_arrays, span_table, with_column
 from telemetra.session import ship_package
 
 GRAM = 16
@@ -536,7 +536,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> Da
     ship_package(docs.sparkSession)
     if size - min(GRAM, size) + 1 >= 128:
         raise ValueError(f"size must be under {128 + GRAM - 1}")
-    rows = keyed(docs.drop(into))
+    docs, back = shield(docs.drop(into), *KEYED)
+    rows = keyed(docs)
     lists, compared = repeats(rows, size, hot_anchors(docs, size))
     key = ["_doc", "_tie"]
     joined = rows.join(lists, key, "left").join(compared, key, "left")
@@ -565,4 +566,5 @@ def remove_repeats(docs: DataFrame, size: int = 50, into: str = "repeats") -> Da
             )
             yield with_column(part, into, column)
 
-    return joined.mapInArrow(run, schema_with(joined, into, RESULT)).drop("_doc", "_tie", "_pos", "_code", "_spans")
+    found = joined.mapInArrow(run, schema_with(joined, into, RESULT))
+    return found.drop("_doc", "_tie", "_pos", "_code", "_spans").withColumnsRenamed(back)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import stage
+from telemetra.llm.common import shield, stage
 
 KEY = ("conv_id", "turn")
 RESULT = ("parent_turn", "root_turn", "depth", "n_quotes", "body", "rendered")
@@ -165,6 +165,7 @@ def thread(conversations: DataFrame) -> DataFrame:
     """Every message with parent_turn, root_turn, depth, n_quotes, body and rendered."""
     linked = stage(links(conversations), "links")
     known = linked.join(roots(linked), list(KEY), "left")
+    conversations, back = shield(conversations, "_c", "_t")
     rest = [c for c in conversations.columns if c not in RESULT]
     rows = conversations.select(*rest).withColumn("_c", F.col("conv_id").cast("long"))
     rows = rows.withColumn("_t", F.col("turn").cast("long"))
@@ -178,4 +179,4 @@ def thread(conversations: DataFrame) -> DataFrame:
         F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"),
         body.alias("body"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), body).alias("rendered"),
-    )
+    ).withColumnsRenamed(back)

@@ -41,13 +41,19 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what operators have staged; their results must have been written by now."""
+def staged(spark: SparkSession) -> list[str]:
+    """The folders that operators of this application have written and not deleted yet."""
+    return [path for app, path in _STAGED if app == spark.sparkContext.applicationId]
+
+
+def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete staged folders, by default all; the results that read them must have been written."""
     app = spark.sparkContext.applicationId
-    for entry in [e for e in _STAGED if e[0] == app]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+    for path in staged(spark) if paths is None else paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _STAGED.remove(entry)
+        if (app, path) in _STAGED:
+            _STAGED.remove((app, path))
 
 
 def own_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,6 +77,27 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return rows.join(shared, "_doc", "left").withColumn("_tie", tie.cast("long")).drop("_shared")
 
 
+def shield(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns of those names renamed, and how to rename them back.
+
+    Operators that add columns of their own on the way call it first.
+    """
+    taken = {c.lower() for c in docs.columns} | set(names)
+    away = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            new = f"_own{c}"
+            while new.lower() in taken:
+                new = f"_{new}"
+            taken.add(new.lower())
+            away[c] = new
+    return docs.withColumnsRenamed(away), {new: c for c, new in away.items()}
+
+
+#: Columns that keyed documents and their spans have.
+KEYED = ("_doc", "_tie", "_n", "_shared", "_spans", "_runs", "_pos", "_code")
+
+
 def span_table(verdicts: DataFrame) -> DataFrame:
     """Rows (_doc, _tie, pos, m) of runs of m window starts, as one list for each document."""
     return verdicts.groupBy("_doc", "_tie").agg(

@@ -5,9 +5,10 @@ scanned window by window, hash hits are verified on the words themselves, and
 all words inside verified windows are marked.  A window has ``n`` consecutive
 words; an item with fewer words, but not none, is one window.
 
-The set is broadcast in blocks of at most ``block_windows`` windows.  A larger
-benchmark makes more blocks, each a further pass over the rows without a shuffle,
-so the size of what a task holds is bounded however the benchmark grows.
+The set is broadcast in blocks of about ``block_windows`` pairs of a window and an item.  A
+larger benchmark makes more blocks, each a pass of its own over the rows, written
+before the next, so what a task, a worker and the driver hold is one block however the
+benchmark grows, also if one window is in very many items.  A worker builds a block once.
 
 Null texts have no words.  Items without an id count under the empty id; items
 that share an id count as one.  An empty benchmark marks nothing; an empty table
@@ -17,6 +18,7 @@ others.  ``mark`` keeps all columns and adds (or replaces) one struct column.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.llm import arrays
-from telemetra.llm.common import schema_with, with_column
+from telemetra.llm.common import schema_with, stage, with_column
 from telemetra.session import ship_package
 
 _FLAG_BITS = 20
@@ -160,22 +162,36 @@ def mark(
     """Adds a struct: n_words, n_hit, spans (first word, end, ...), items with occurring windows."""
     spark = docs.sparkSession
     ship_package(spark)
-    known = windows(benchmark, n)
+    known = stage(windows(benchmark, n), "windows")
     total = known.count()
     blocks = max(1, -(-total // block_windows))
-    out = docs
+    out, held = docs, None
     for k in range(blocks):
-        rows = known
-        if blocks > 1:
-            rows = known.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        if held is not None:
+            out = stage(out, "marked")
+            held.unpersist()
+        rows = known.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # one block
         out = out.mapInArrow(_pass(held, text, into, k > 0), schema_with(out, into, MARK))
     return out
 
 
+#: The block that this worker has built last.
+_BUILT: dict[str, _Block | None] = {}
+
+
+def _built(name: str, rows: list[tuple]) -> _Block | None:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = _Block([(i, s, bytes(w)) for i, s, w in rows]) if rows else None
+    return _BUILT[name]
+
+
 def _pass(held, text: str, into: str, old: bool):  # noqa: ANN001, ANN202
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block([(i, s, bytes(w)) for i, s, w in held.value]) if held.value else None
+        block = _built(name, held.value)
         for part in arrays.slices(batches, text):
             yield with_column(part, into, _scan(block, part, text, into, old))
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.llm import arrays
-from telemetra.llm.common import NO_ID, stage
+from telemetra.llm.common import NO_ID, keyed, stage
 from telemetra.llm.components import components
 from telemetra.session import ship_package
 
@@ -131,7 +131,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) ->
     return (equal - chance) / (1 - chance)
 
 
-_SKETCH = "_doc long, n long, a long, b long, registers binary"
+_SKETCH = "_doc long, _tie long, n long, a long, b long, registers binary"
 
 
 def _sketch(words: int):  # noqa: ANN202
@@ -145,10 +145,10 @@ def _sketch(words: int):  # noqa: ANN202
             raw = registers(value, at).reshape(-1).view(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("_doc"), pa.array(n), pa.array(a), pa.array(b),
+                    part.column("_doc"), part.column("_tie"), pa.array(n), pa.array(a), pa.array(b),
                     arrays.binary_array(raw, np.arange(len(n) + 1) * REGISTERS * 2),
                 ],
-                ["_doc", "n", "a", "b", "registers"],
+                ["_doc", "_tie", "n", "a", "b", "registers"],
             )
 
     return run
@@ -247,14 +247,14 @@ def _exact(percent: int, words: int) -> tuple[Callable, Callable]:
 class _Groups:
     """The steps of one run."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int):
+    def __init__(self, texts: DataFrame, words: int, percent: int):
+        """``texts`` has (_doc, _tie, text); the first two tell different texts apart."""
         self.words, self.percent = words, percent
-        texts = docs.select(
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), "text"
-        )
         self.sketches = stage(texts.mapInArrow(_sketch(words), _SKETCH), "sketches")
         sets = self.sketches.filter("n > 0").groupBy("a", "b", "n")
-        classes = sets.agg(F.min("_doc").alias("_doc"), F.first("registers").alias("registers"))
+        least = F.min(F.struct("_doc", "_tie"))
+        classes = sets.agg(least.alias("_key"), F.first("registers").alias("registers"))
+        classes = classes.select("a", "b", "n", "_key._doc", "_key._tie", "registers")
         # the number is fixed when the table is written
         self.classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         members = self._members()
@@ -295,7 +295,8 @@ class _Groups:
                 kept = part.filter(same).select(["cid", "n", "text"])
                 yield kept.rename_columns(["cid", "n", "payload"])
 
-        found = texts.join(wanted, "_doc").mapInArrow(run, "cid long, n long, payload string")
+        found = texts.join(wanted, ["_doc", "_tie"])
+        found = found.mapInArrow(run, "cid long, n long, payload string")
         # rows that repeat a document come more than once
         return found.dropDuplicates(["cid"])
 
@@ -374,17 +375,20 @@ class _Groups:
         return first.filter("held > 1").select("key", "cid", "component", "n", "place")
 
     def result(self) -> DataFrame:
-        """(_doc, a, b, n, component): the least document of each set's group."""
+        """(a, b, n, least, tie): the least document of each set's group."""
         grouped = self.classes.join(self.groups.withColumnRenamed("node", "cid"), "cid", "left")
         grouped = grouped.withColumn("component", F.coalesce("component", "cid"))
-        least = grouped.groupBy("component").agg(F.min("_doc").alias("least"))
-        return grouped.join(least, "component").select("a", "b", "n", "least")
+        least = grouped.groupBy("component").agg(F.min(F.struct("_doc", "_tie")).alias("_key"))
+        return grouped.join(least, "component").select(
+            "a", "b", "n", F.col("_key._doc").alias("least"), F.col("_key._tie").alias("tie")
+        )
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     ship_package(docs.sparkSession)
-    run = _Groups(docs, words, percent)
+    texts = keyed(docs.select("doc_id", "text")).select("_doc", "_tie", "text")
+    run = _Groups(texts, words, percent)
     rows = run.sketches.select("_doc", "n", "a", "b").join(run.result(), ["a", "b", "n"], "left")
     group = F.coalesce("least", "_doc")
     real = lambda c: F.when(c != NO_ID, c)
@@ -394,3 +398,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         real(group).alias("component_id"),
         (group == F.col("_doc")).alias("kept"),
     )
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group, and all of its columns.
+
+    Rows are told apart by id and text: of rows that share an id, those of other groups stay.
+    The row of least id stays, null first, then of least hash of the text; of equal
+    rows any one.  Texts without words are in no group and stay, each row of them.
+    """
+    ship_package(docs.sparkSession)
+    name = lambda c: f"_doc_{c}"  # noqa: E731 - no column of the input can clash
+    rows = keyed(docs.select(*[F.col(f"`{c}`").alias(name(c)) for c in docs.columns]), name("doc_id"), name("text"))
+    run = _Groups(rows.select("_doc", "_tie", F.col(name("text")).alias("text")), words, percent)
+    found = run.sketches.select("_doc", "_tie", "n", "a", "b").join(run.result(), ["a", "b", "n"])
+    first = (F.col("_doc") == F.col("least")) & (F.col("_tie") == F.col("tie"))
+    gone = found.filter(~first).select("_doc", "_tie").distinct()
+    left = rows.join(stage(gone, "gone"), ["_doc", "_tie"], "left_anti")
+    # rows that share id and text are one key
+    again = found.filter(first).groupBy("_doc", "_tie").agg(F.count("*").alias("_n")).filter("_n > 1")
+    again = stage(again.select("_doc", "_tie"), "repeated")
+    once = left.join(again, ["_doc", "_tie"], "left_anti").select(*[name(c) for c in docs.columns])
+    whole = F.first(F.struct(*[name(c) for c in docs.columns])).alias("_row")
+    repeated = left.join(again, ["_doc", "_tie"]).groupBy("_doc", "_tie").agg(whole).select("_row.*")
+    return once.unionByName(repeated).toDF(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemetra.llm import arrays
-from telemetra.llm.common import keyed, schema_with, span_arrays, span_table, with_column
+from telemetra.llm.common import KEYED, keyed, schema_with, shield, span_arrays, span_table, with_column
 from telemetra.session import ship_package
 
 GRAM = 6
@@ -243,7 +243,8 @@ def _some(runs: str, sure: bool) -> Column:
 def remove_repeats(docs: DataFrame, size: int = 20, into: str = "repeats") -> DataFrame:
     """Adds a struct: n_words, n_removed, kept (words left, by single spaces), text (in place)."""
     ship_package(docs.sparkSession)
-    rows = keyed(docs.drop(into))
+    docs, back = shield(docs.drop(into), *KEYED)
+    rows = keyed(docs)
     found = repeats(rows, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, into: str = "repeats") -> Da
             yield with_column(part, into, column)
 
     joined = rows.join(found, ["_doc", "_tie"], "left")
-    return joined.mapInArrow(run, schema_with(joined, into, RESULT)).drop("_doc", "_tie", "_spans")
+    found = joined.mapInArrow(run, schema_with(joined, into, RESULT))
+    return found.drop("_doc", "_tie", "_spans").withColumnsRenamed(back)
 
 
 def _cut(words: arrays.Words, at: np.ndarray, i: int, gone: np.ndarray, whole: bytes) -> str:

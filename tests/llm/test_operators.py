@@ -134,6 +134,31 @@ def test_near_duplicates(spark, docs):
     assert len(with_null) == len(TEXTS)
 
 
+def test_one_row_of_each_group(spark):
+    """Decisions are made by row: shared ids, null ids and equal rows."""
+    a, b, c, d = (passage(k * 60, 50) for k in range(4))
+    rows = [
+        (3, a, 0), (7, b, 1), (7, a + " more", 2),  # rows under 7 are judged apart
+        (9, c, 3), (9, c, 4),  # equal rows: one of them
+        (None, d, 5), (None, d, 6), (None, passage(300, 40), 7), (None, passage(345, 40), 8),
+        (20, d + " and", 9), (30, "", 10), (30, "", 11), (31, None, 12), (5, b, 13),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _doc int").withColumnRenamed("_doc", "_tie")
+    kept = neardup.one_of_each_group(table, 5, 80)
+    assert kept.columns == table.columns
+    left = sorted(r["_tie"] for r in kept.collect())
+    assert left in [sorted([0, 13, x, y, 7, 8, 10, 11, 12]) for x in (3, 4) for y in (5, 6)]
+    assert neardup.one_of_each_group(table.limit(0)).count() == 0
+
+
+def test_many_rows_without_id(spark):
+    rows = [(None, passage(k % 300, 30)) for k in range(0, 900, 3)] + [(1, passage(0, 30))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r["text"] for r in neardup.one_of_each_group(table, 5, 80).collect()]
+    want = brute.near_groups([(t, t) for t in {t for _, t in rows}], 5, 80)
+    assert len(kept) == len({top for _, top in want.values()}) == len({want[t][1] for t in kept})
+
+
 def test_dense_buckets(spark, monkeypatch):
     """The bound on rare shingles loses no link."""
     monkeypatch.setattr(neardup, "DENSE", 0)
@@ -265,6 +290,12 @@ def test_decontamination(spark, docs):
             for r in got.collect()
         }
         assert found == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # blocks are passes of their own
+    # one window in very many items is spread over blocks
+    many = spark.createDataFrame([(k, passage(10, 10)) for k in range(50)], "item_id long, text string")
+    hit = decontaminate.mark(docs.filter("doc_id = 0"), many, block_windows=7).first()["leak"]
+    assert len(hit["items"]) == 50 and hit["n_hit"] == 10
     cut = decontaminate.remove_spans(got)
     again = decontaminate.mark(cut.filter("doc_id = 0"), benchmark.limit(1)).first()
     assert again["leak"]["n_hit"] == 0 and again["leak"]["n_words"] == 60 - 14
@@ -272,6 +303,31 @@ def test_decontamination(spark, docs):
     assert none.agg(F.sum("leak.n_hit")).first()[0] == 0
 
 
+def test_anchors_do_not_depend_on_the_slice():
+    """A text alone and within slices of other lengths has the same anchors."""
+    from telemetra.llm import arrays
+
+    rng = np.random.default_rng(6)
+    text = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    alone = arrays.anchors(text, np.array([0, 400]), 50, 16)
+    for more in (1, 700, 70_000):
+        units = np.r_[text, rng.integers(0, 1 << 62, more).astype(np.uint64)]
+        spot, count, hashes = arrays.anchors(units, np.array([0, 400, len(units)]), 50, 16)
+        mine = spot < 400
+        assert all(np.array_equal(x, y[mine]) for x, y in zip(alone, (spot, count, hashes)))
+
+
+def test_input_columns_with_internal_names(spark):
+    rows = [(1, passage(0, 30), 5, 6, "x", "y"), (2, passage(0, 30), 7, 8, "z", "w")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _spans int, _tie int, _doc string, _code string")
+    for found in (substrings.remove_repeats(table, 20), bytedup.remove_repeats(table, 50)):
+        assert found.columns == [*table.columns, "repeats"]
+        got = {r["doc_id"]: tuple(r)[2:6] for r in found.collect()}
+        assert got == {r[0]: r[2:] for r in rows}
+    talk = spark.createDataFrame([(1, 0, "u", "a", 3, 4)], "conv_id long, turn long, role string, text string, _c int, _t int")
+    assert (chat.thread(talk).first()["_c"], chat.thread(talk).first()["_t"]) == (3, 4)
+
+
 def test_sharding(spark, docs):
     table = sharding.fill(queries.SHARDS)
     share = np.bincount(table)
