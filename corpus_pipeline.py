@@ -2,12 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet below the shared folder and reads it back as the next stage's input.
-All stages but the last return the columns of ``documents``.  Rows without doc_id go
-through like all others.
+All stages but the last return the columns of ``documents``.  Decisions are made by row, so
+rows without doc_id or with a shared one go through like all others.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.llm import bpe, decontaminate, neardup, substrings, toxicity
-from telemetra.llm.common import drop_staged, stage
+from telemetra.llm.common import drop_staged, stage, staged
 from telemetra.llm.queries import TOKENIZER
 from telemetra.session import scratch_dir
 
@@ -31,26 +32,43 @@ def _same_columns(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(like.columns)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT: dict[str, list[str]] = {}  # what the stage before has staged, by application
+
+
+def _tidy(step: Stage) -> Stage:
+    """The stage, which first deletes what the stage before it staged: that one's result is written."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        drop_staged(spark, _LEFT.pop(app, []))
+        before = set(staged(spark))
+        out = step(spark, docs, sf_dir)
+        _LEFT[app] = [path for path in staged(spark) if path not in before]
+        return out
+
+    return run
+
+
+@_tidy
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier finds toxic."""
-    drop_staged(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model, into="_toxic")
     return scored.filter(F.col("_toxic") < TOXIC).select(docs.columns)
 
 
+@_tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate group (5 words, 0.8)."""
-    drop_staged(spark)
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = found.filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each near-duplicate group (5 words, 0.8), that of least id."""
+    return neardup.one_of_each_group(docs, words=5, percent=80)
 
 
+@_tidy
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of repeated 50-word windows; documents left without words go."""
-    drop_staged(spark)
     cut = substrings.remove_repeats(docs, size=50, into="_cut")
     emptied = (F.col("_cut.n_removed") > 0) & (F.col("_cut.n_removed") == F.col("_cut.n_words"))
     kept = cut.filter(~emptied)
@@ -59,9 +77,9 @@ def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _same_columns(kept, docs)
 
 
+@_tidy
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes benchmark passages, or the document where they are half of it."""
-    drop_staged(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # staged, so that a task has one Python worker at a time
     marked = stage(decontaminate.mark(docs, benchmark, into="_leak"), "marked")
@@ -70,9 +88,9 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _same_columns(decontaminate.remove_spans(kept, mark="_leak"), docs)
 
 
+@_tidy
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether decoding gives it back."""
-    drop_staged(spark)
     coded = stage(bpe.encode(docs.select("doc_id", "text"), TOKENIZER), "coded")
     coded = bpe.decode(coded, TOKENIZER)
     return coded.select(
@@ -83,7 +101,6 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic_out),
     ("near_dedup", one_of_each_group),
