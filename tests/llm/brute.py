@@ -186,3 +186,59 @@ def linked(marks, distance):
                 low, high = sorted((find(a), find(b)))
                 top[high] = low
     return {m: find(m) for m in every}
+
+
+def _without(text, spans, gone):
+    """The text without runs of removed words and what separates the words of a run."""
+    out, done, k = [], 0, 0
+    while k < len(spans):
+        if not gone[k]:
+            k += 1
+            continue
+        last = k
+        while last + 1 < len(spans) and gone[last + 1]:
+            last += 1
+        out.append(text[done : spans[k][0]])
+        done = spans[last][1]
+        k = last + 1
+    return "".join([*out, text[done:]])
+
+
+def pipeline(rows, items, toxic, tokenizer):
+    """{doc_id: ids} after all stages; rows of distinct ids, ``toxic`` the ids that go first."""
+    rows = [(d, t) for d, t in rows if d not in toxic]
+    groups = near_groups(rows, 5, 80)
+    rows = [(d, t) for d, t in rows if groups[d][1] == d]
+    seen, cut = set(), []
+    for doc, text in sorted(rows):
+        spans = [m.span() for m in SPACED.finditer(text or "")]
+        words = [text[a:b] for a, b in spans]
+        gone = [False] * len(words)
+        for k in range(len(words) - 49):
+            window = tuple(words[k : k + 50])
+            if window in seen:
+                gone[k : k + 50] = [True] * 50
+            seen.add(window)
+        if not (gone and all(gone)):
+            cut.append((doc, _without(text, spans, gone) if any(gone) else text))
+    leaks = marked(cut, items, 10)
+    windows = {}
+    for _, text in items:
+        words = ALNUM.findall(lower(text))
+        for k in range(max(len(words) - min(10, len(words)) + 1, 0) if words else 0):
+            windows[tuple(words[k : k + min(10, len(words))])] = True
+    out = {}
+    for doc, text in cut:
+        n, hit, _ = leaks[doc]
+        if hit and 2 * hit >= n:
+            continue
+        spans = [m.span() for m in ALNUM.finditer(lower(text))]
+        words = [lower(text)[a:b] for a, b in spans]
+        gone = [False] * len(words)
+        for size in {len(w) for w in windows}:
+            for k in range(len(words) - size + 1):
+                if tuple(words[k : k + size]) in windows:
+                    gone[k : k + size] = [True] * size
+        text = _without(text, spans, gone) if text is not None else ""
+        out[doc] = tokenizer.encode(text, add_special_tokens=False).ids
+    return out

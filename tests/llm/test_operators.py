@@ -431,6 +431,54 @@ def test_pipeline(spark):
     assert out.count() > 100 and out.filter("NOT round_trip").isEmpty()
 
 
+def test_pipeline_against_a_plain_version(spark, tokenizer, tmp_path):
+    """All five stages on documents with planted copies, passages, leaks and toxic rows."""
+    import corpus_pipeline as pipeline
+
+    table = pd.read_parquet(f"{SMALL}/documents.parquet")
+    items = pd.read_parquet(f"{SMALL}/benchmark.parquet")
+    base = table.text.iloc[3]
+    leak = items.text.iloc[0]
+    planted = [
+        base, base + " one more", passage(0, 80) + " " + leak, leak, passage(0, 80) + " other " + passage(200, 60),
+        "new " + passage(200, 60) + " end", "", None, "tiny",
+    ]
+    more = table.iloc[: len(planted)].copy()
+    more["doc_id"] = range(90_000, 90_000 + len(planted))
+    more["text"] = planted
+    pd.concat([table, more]).to_parquet(tmp_path / "documents.parquet", index=False)
+    for name in ("labels", "benchmark"):
+        pd.read_parquet(f"{SMALL}/{name}.parquet").to_parquet(tmp_path / f"{name}.parquet", index=False)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    toxic = {r[0] for r in toxicity.score(docs, model).filter("score >= 0.3").select("doc_id").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute.pipeline(rows, list(zip(items.item_id, items.text)), toxic, tokenizer)
+    got = {r["doc_id"]: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and toxic and len(want) < len(rows) - len(toxic)
+    for doc, ids in want.items():
+        assert np.frombuffer(bytes(got[doc]["ids"]), "<u4").tolist() == ids and got[doc]["round_trip"]
+
+
+def test_registered_queries_against_the_library(spark, tokenizer):
+    """The digests of op1, op3 and op4 on a small table, from the library and plain versions."""
+    table = pd.read_parquet(f"{SMALL}/documents.parquet").sort_values("doc_id")
+    items = pd.read_parquet(f"{SMALL}/benchmark.parquet")
+    start, one, three = 0, {}, {}
+    for doc, text in zip(table.doc_id, table.text):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        raw = np.array([*ids, 0], "<u4").tobytes()
+        one[doc] = (start, len(ids) + 1, zlib.crc32(raw))
+        start += len(ids) + 1
+        three[doc] = (len(ids), brute.sha(raw[:-4]), brute.sha(tokenizer.decode(ids, skip_special_tokens=False)))
+    for name, want in (("op1_token_store", one), ("op3_bpe", three)):
+        assert {r[0]: tuple(r)[1:4] for r in queries.QUERIES[name](spark, SMALL).collect()} == want
+    leaks = brute.marked(list(zip(table.doc_id, table.text)), list(zip(items.item_id, items.text)), 10)
+    want = {d: (n, hit, len(found), brute.sha(",".join(found)), hit > 0) for d, (n, hit, found) in leaks.items()}
+    got = {r[0]: tuple(r)[1:] for r in queries.op4_decontamination(spark, SMALL).collect()}
+    assert got == want and any(r[4] for r in want.values())
+
+
 @pytest.mark.parametrize("name", ["op6_substrings", "op10_suffix_arrays", "op2_near_duplicates"])
 def test_queries_on_the_small_tables(spark, name):
     table = pd.read_parquet(f"{SMALL}/documents.parquet")
