@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,90 +103,236 @@ SLOT_CHANNELS = (
     (47, "Lambda", "λ", 0.01),
 )
 
-# Units by name, first match wins.  A test is <field><how><word>
-# with ~ contains, = equals, ^ starts with, $ ends with; a leading ! denies it;
-# " & " joins tests of one way, " | " separates ways.
+# Units by name.  A rule is a unit and the ways to it; a way is tests that must
+# all hold.  The first rule with such a way wins.
 HOLDFILL_UNITS = (
-    ("°C", "path~temp"),
-    ("kPa", "path~pressure | name=map | path~/map | path~baro | path~boost"),
-    ("RPM", "name$rpm | name~rpmtarget | name~rpmmatch"),
-    ("%", "name~tps | name~throttle | path~throttle | path~dbw & name=target"),
-    ("%", "name~percent | name~duty | path~percent | name~correction"
-          " | path~torqueestimation & !name~torque"),
-    ("°", "name=angle | path~ignition & name~angle"),
-    ("°", "path~vvt & name~angle | path~vvt & name~position | path~cam & name~angle"
-          " | path~cam & name~position"),
-    ("V", "name~volt | name=battery | name~vbat"),
-    ("λ", "name~lambda | name~afr | name=o2"),
-    ("km/h", "name~speed & !name~rpm"),
-    ("", "name~gear & !name~ratio"),
-    ("%", "name~torque & path~reduction"),
-    ("Nm", "name~torque"),
-    ("s", "name~timer"),
-    ("cc/min", "name~flow"),
+    ("°C", (
+        (("path", "contains", "temp"),),
+    )),
+    ("kPa", (
+        (("path", "contains", "pressure"),),
+        (("name", "equals", "map"),),
+        (("path", "contains", "/map"),),
+        (("path", "contains", "baro"),),
+        (("path", "contains", "boost"),),
+    )),
+    ("RPM", (
+        (("name", "ends with", "rpm"),),
+        (("name", "contains", "rpmtarget"),),
+        (("name", "contains", "rpmmatch"),),
+    )),
+    ("%", (
+        (("name", "contains", "tps"),),
+        (("name", "contains", "throttle"),),
+        (("path", "contains", "throttle"),),
+        (("path", "contains", "dbw"), ("name", "equals", "target")),
+    )),
+    ("%", (
+        (("name", "contains", "percent"),),
+        (("name", "contains", "duty"),),
+        (("path", "contains", "percent"),),
+        (("name", "contains", "correction"),),
+        (("path", "contains", "torqueestimation"), ("name", "lacks", "torque")),
+    )),
+    ("°", (
+        (("name", "equals", "angle"),),
+        (("path", "contains", "ignition"), ("name", "contains", "angle")),
+    )),
+    ("°", (
+        (("path", "contains", "vvt"), ("name", "contains", "angle")),
+        (("path", "contains", "vvt"), ("name", "contains", "position")),
+        (("path", "contains", "cam"), ("name", "contains", "angle")),
+        (("path", "contains", "cam"), ("name", "contains", "position")),
+    )),
+    ("V", (
+        (("name", "contains", "volt"),),
+        (("name", "equals", "battery"),),
+        (("name", "contains", "vbat"),),
+    )),
+    ("λ", (
+        (("name", "contains", "lambda"),),
+        (("name", "contains", "afr"),),
+        (("name", "equals", "o2"),),
+    )),
+    ("km/h", (
+        (("name", "contains", "speed"), ("name", "lacks", "rpm")),
+    )),
+    ("", (
+        (("name", "contains", "gear"), ("name", "lacks", "ratio")),
+    )),
+    ("%", (
+        (("name", "contains", "torque"), ("path", "contains", "reduction")),
+    )),
+    ("Nm", (
+        (("name", "contains", "torque"),),
+    )),
+    ("s", (
+        (("name", "contains", "timer"),),
+    )),
+    ("cc/min", (
+        (("name", "contains", "flow"),),
+    )),
 )
 MSCLOCK_UNITS = (
-    ("°C", "name~temp | name~iat | name~ect"),
-    ("psi", "name~pressure | name~map | name~baro | name~boost"),
-    ("rpm", "name~rpm | name~engine speed"),
-    ("%", "name~tps | name~throttle"),
-    ("%", "name~duty | name~correction | name~learning | name~load"),
-    ("°", "name~timing | name~angle | name~knock | name~degrees"),
-    ("V", "name~voltage | name~battery"),
-    ("AFR", "name~afr | name~a/f"),
-    ("mph", "name~speed"),
-    ("g/s", "name~maf | name~mass airflow"),
+    ("°C", (
+        (("name", "contains", "temp"),),
+        (("name", "contains", "iat"),),
+        (("name", "contains", "ect"),),
+    )),
+    ("psi", (
+        (("name", "contains", "pressure"),),
+        (("name", "contains", "map"),),
+        (("name", "contains", "baro"),),
+        (("name", "contains", "boost"),),
+    )),
+    ("rpm", (
+        (("name", "contains", "rpm"),),
+        (("name", "contains", "engine speed"),),
+    )),
+    ("%", (
+        (("name", "contains", "tps"),),
+        (("name", "contains", "throttle"),),
+    )),
+    ("%", (
+        (("name", "contains", "duty"),),
+        (("name", "contains", "correction"),),
+        (("name", "contains", "learning"),),
+        (("name", "contains", "load"),),
+    )),
+    ("°", (
+        (("name", "contains", "timing"),),
+        (("name", "contains", "angle"),),
+        (("name", "contains", "knock"),),
+        (("name", "contains", "degrees"),),
+    )),
+    ("V", (
+        (("name", "contains", "voltage"),),
+        (("name", "contains", "battery"),),
+    )),
+    ("AFR", (
+        (("name", "contains", "afr"),),
+        (("name", "contains", "a/f"),),
+    )),
+    ("mph", (
+        (("name", "contains", "speed"),),
+    )),
+    ("g/s", (
+        (("name", "contains", "maf"),),
+        (("name", "contains", "mass airflow"),),
+    )),
 )
 FRAME_UNITS = (
-    ("rpm", "name~rpm | name=engine speed"),
-    ("°C", "name~temp | name~egt | name=iat | name=ect | name=h2o | name=ambient"),
-    ("λ", "name~lambda | name^lm"),
-    ("AFR", "name~afr | name~a/f | name~air fuel"),
-    ("g", "name~ g | name^g  | name^accel"),
-    ("°/s", "name~yaw | name~pitch | name~roll | name^gyro"),
-    ("°", "name~latitude | name~longitude | name~gps & name~lat | name~gps & name~long"
-          " | name=lat | name=lon"),
-    ("m", "name~altitude | name~distance | name~odometer | name=alt"),
-    ("°", "name~heading | name~course | name~steer"),
-    ("km/h", "name~speed | name~veh spd"),
-    ("bar", "name~brake"),
-    ("bar", "name~press | name~boost | name=map"),
-    ("%", "name~tps | name~throttle | name~duty | name~%"),
-    ("V", "name~voltage | name~batt"),
-    ("mm", "name~susp | name~damper"),
-    ("s", "name~lap time | name~laptime"),
-    ("L/h", "name~fuel flow | name~fuel consumption"),
+    ("rpm", (
+        (("name", "contains", "rpm"),),
+        (("name", "equals", "engine speed"),),
+    )),
+    ("°C", (
+        (("name", "contains", "temp"),),
+        (("name", "contains", "egt"),),
+        (("name", "equals", "iat"),),
+        (("name", "equals", "ect"),),
+        (("name", "equals", "h2o"),),
+        (("name", "equals", "ambient"),),
+    )),
+    ("λ", (
+        (("name", "contains", "lambda"),),
+        (("name", "starts with", "lm"),),
+    )),
+    ("AFR", (
+        (("name", "contains", "afr"),),
+        (("name", "contains", "a/f"),),
+        (("name", "contains", "air fuel"),),
+    )),
+    ("g", (
+        (("name", "contains", " g"),),
+        (("name", "starts with", "g "),),
+        (("name", "starts with", "accel"),),
+    )),
+    ("°/s", (
+        (("name", "contains", "yaw"),),
+        (("name", "contains", "pitch"),),
+        (("name", "contains", "roll"),),
+        (("name", "starts with", "gyro"),),
+    )),
+    ("°", (
+        (("name", "contains", "latitude"),),
+        (("name", "contains", "longitude"),),
+        (("name", "contains", "gps"), ("name", "contains", "lat")),
+        (("name", "contains", "gps"), ("name", "contains", "long")),
+        (("name", "equals", "lat"),),
+        (("name", "equals", "lon"),),
+    )),
+    ("m", (
+        (("name", "contains", "altitude"),),
+        (("name", "contains", "distance"),),
+        (("name", "contains", "odometer"),),
+        (("name", "equals", "alt"),),
+    )),
+    ("°", (
+        (("name", "contains", "heading"),),
+        (("name", "contains", "course"),),
+        (("name", "contains", "steer"),),
+    )),
+    ("km/h", (
+        (("name", "contains", "speed"),),
+        (("name", "contains", "veh spd"),),
+    )),
+    ("bar", (
+        (("name", "contains", "brake"),),
+    )),
+    ("bar", (
+        (("name", "contains", "press"),),
+        (("name", "contains", "boost"),),
+        (("name", "equals", "map"),),
+    )),
+    ("%", (
+        (("name", "contains", "tps"),),
+        (("name", "contains", "throttle"),),
+        (("name", "contains", "duty"),),
+        (("name", "contains", "%"),),
+    )),
+    ("V", (
+        (("name", "contains", "voltage"),),
+        (("name", "contains", "batt"),),
+    )),
+    ("mm", (
+        (("name", "contains", "susp"),),
+        (("name", "contains", "damper"),),
+    )),
+    ("s", (
+        (("name", "contains", "lap time"),),
+        (("name", "contains", "laptime"),),
+    )),
+    ("L/h", (
+        (("name", "contains", "fuel flow"),),
+        (("name", "contains", "fuel consumption"),),
+    )),
 )
 
 
+Way = tuple[tuple[str, str, str], ...]
+_TESTS: dict[str, Callable[[Column, Column], Column]] = {
+    "contains": F.contains,
+    "equals": lambda c, word: c == word,
+    "starts with": F.startswith,
+    "ends with": F.endswith,
+    "lacks": lambda c, word: ~F.contains(c, word),
+}
+
+
 def unit_by_rules(
-    rules: Sequence[tuple[str, str]], name: Column, path: Column | None = None
+    rules: Sequence[tuple[str, tuple[Way, ...]]], name: Column, path: Column | None = None
 ) -> Column:
     """One CASE over the lower-cased name (and path); no match gives ''."""
     fields = {"name": F.lower(name), "path": F.lower(path if path is not None else name)}
-    tests = {"~": F.contains, "^": F.startswith, "$": F.endswith}
-
-    def test(text: str) -> Column:
-        deny = text.startswith("!")
-        field, how, word = re.match(r"!?(\w+)([~=^$])(.*)", text, re.S).groups()
-        c = fields[field]
-        hit = c == word if how == "=" else tests[how](c, F.lit(word))
-        return ~hit if deny else hit
 
-    def way(text: str) -> Column:
-        parts = [test(t) for t in text.split(" & ")]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p
-        return out
+    def holds(way: Way) -> Column:
+        tests = [_TESTS[how](fields[field], F.lit(word)) for field, how, word in way]
+        return functools.reduce(operator.and_, tests)
 
-    chain = None
+    chain = F
     for unit, ways in rules:
-        hits = [way(w) for w in ways.split(" | ")]
-        any_hit = hits[0]
-        for h in hits[1:]:
-            any_hit = any_hit | h
-        chain = F.when(any_hit, unit) if chain is None else chain.when(any_hit, unit)
+        chain = chain.when(functools.reduce(operator.or_, [holds(w) for w in ways]), unit)
     return chain.otherwise("")
 
 

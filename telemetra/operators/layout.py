@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as TYPES
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from telemetra.frame import IDX, LOG
 from telemetra.session import settle, ship_package
@@ -313,6 +315,125 @@ def hold_last(
     return out.drop("_chunk", *[f"_held_{c}" for c in columns], *[f"_carry_{c}" for c in columns])
 
 
+def hold_vectors(
+    df: DataFrame, bucket: str, order: str, cells: str, keys: Sequence[str] = (LOG,), start: float = 0.0
+) -> DataFrame:
+    """Numbers the rows of each key and replaces NULL cells by the last earlier one of their place.
+
+    ``df`` is a written table of rows (keys, bucket, order, cells ...) with as many cells in all
+    rows of a key; buckets grow with ``order``.  What precedes a place's first cell is
+    ``start``.  A batch gives, for each bucket in it, its number of rows and the last cell of
+    each place; these are summed and held on per key and come back as a row before each
+    bucket's rows.  So cells stay vectors, and the rows are shuffled once.
+    """
+    keys = list(keys)
+    tasks = python_tasks(df.sparkSession)
+    long, double = TYPES.LongType(), TYPES.DoubleType()
+    fields = [df.schema[k] for k in keys]
+    tail_schema = TYPES.StructType([
+        *fields, TYPES.StructField(bucket, long), TYPES.StructField("_rows", long),
+        TYPES.StructField(cells, TYPES.ArrayType(double)), TYPES.StructField("_at", TYPES.ArrayType(long)),
+    ])
+    tail_fields = to_arrow_schema(tail_schema)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in (*keys, bucket, order)])
+            at = np.r_[0, 1 + np.flatnonzero(_changes(table, [*keys, bucket])), table.num_rows]
+            line = table.column(order).to_numpy()
+            last, where = [], []
+            for low, high in zip(at[:-1], at[1:]):
+                value, known = _vectors(table.column(cells), low, high)
+                row = np.where(known, np.arange(high - low)[:, None], -1).max(0)
+                place = np.arange(len(row))
+                last.append(pa.array(value[np.maximum(row, 0), place], mask=row < 0))
+                where.append(pa.array(line[low + np.maximum(row, 0)], mask=row < 0))
+            first = table.take(pa.array(at[:-1]))
+            columns = [first.column(c).combine_chunks() for c in (*keys, bucket)]
+            columns += [pa.array(np.diff(at)), _lists(last, pa.float64()), _lists(where, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip(columns, tail_fields)], schema=tail_fields
+            )
+
+    def walk(table):
+        """The rows before each bucket of one key, and the cells held until then."""
+        table = table.sort_by(bucket)
+        at = np.r_[0, 1 + np.flatnonzero(_changes(table, [bucket])), table.num_rows]
+        count = table.column("_rows").to_numpy()
+        base, state, bases, states = 0, None, [], []
+        for low, high in zip(at[:-1], at[1:]):
+            bases.append(base)
+            states.append(state if state is None else list(state))
+            base += int(count[low:high].sum())
+            value, known = _vectors(table.column(cells), low, high)
+            line, _ = _vectors(table.column("_at"), low, high)
+            row = np.where(known, line, -1).argmax(0)
+            place = np.arange(value.shape[1])
+            here = value[row, place].astype(object)
+            here[~known.any(0)] = None
+            state = here if state is None else np.where(known.any(0), here, state)
+        first = table.take(pa.array(at[:-1]))
+        columns = {c: first.column(c) for c in (*keys, bucket)}
+        columns |= {"_rows": bases, cells: states, "_at": [None] * len(bases)}
+        return pa.Table.from_arrays(
+            [pa.chunked_array(columns[f.name].chunks, f.type) if f.name in (*keys, bucket) else pa.array(columns[f.name], f.type)
+             for f in tail_fields], schema=tail_fields,
+        )
+
+    ends = df.select(*keys, bucket, order, cells).mapInArrow(tails, tail_schema)
+    carry = settle(ends.groupBy(*keys).applyInArrow(walk, tail_schema)).drop("_at")
+    every = df.withColumn("_rows", F.lit(None).cast("long")).unionByName(carry, allowMissingColumns=True)
+    rest = [c for c in df.columns if c not in (bucket, order, cells)]
+    schema = TYPES.StructType(
+        [*[df.schema[c] for c in rest], TYPES.StructField(IDX, long), TYPES.StructField(cells, TYPES.ArrayType(double))]
+    )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, bucket]):
+            parts, number = [], []
+            base = table.column("_rows").to_numpy()
+            for low, high in zip(at[:-1], at[1:]):  # the carried row stands first
+                value, known = _vectors(table.column(cells), low + 1, high)
+                row = np.maximum.accumulate(np.where(known, np.arange(len(value))[:, None], -1), axis=0)
+                held = table.column(cells)[int(low)].as_py() or [None] * value.shape[1]
+                before = np.array([start if v is None else v for v in held])
+                parts.append(np.where(row < 0, before, value[np.maximum(row, 0), np.arange(value.shape[1])]))
+                number.append(int(base[low]) + np.arange(high - low - 1))
+            body = np.ones(table.num_rows, bool)
+            body[at[:-1]] = False
+            kept = table.filter(pa.array(body)).select(rest)
+            size = np.concatenate([np.full(len(p), p.shape[1]) for p in parts])
+            flat = pa.array(np.concatenate([p.reshape(-1) for p in parts]), pa.float64())
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), flat)
+            kept = kept.append_column(IDX, pa.array(np.concatenate(number)))
+            yield from kept.append_column(cells, lists).to_batches()
+
+    dealt = every.repartition(tasks, *keys, bucket).sortWithinPartitions(
+        *keys, bucket, F.col("_rows").isNull(), order
+    )
+    return dealt.mapInArrow(fill, schema)
+
+
+def _vectors(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of one length as rows of an array, and which cells are there."""
+    part = column.slice(int(low), int(high - low))
+    if isinstance(part, pa.ChunkedArray):
+        part = part.combine_chunks()
+    flat = pc.list_flatten(part)
+    width = len(flat) // max(int(high - low), 1)
+    known = ~flat.is_null().to_numpy(zero_copy_only=False)
+    shape = (int(high - low), width)
+    return flat.to_numpy(zero_copy_only=False).reshape(shape), known.reshape(shape)
+
+
+def _lists(rows: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    size = [len(r) for r in rows]
+    flat = pa.concat_arrays([r.cast(kind) for r in rows])
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), flat)
+
+
 def running_sum(
     df: DataFrame,
     value: str,

@@ -161,8 +161,9 @@ def scan_logs(
     chunked: Callable[[DataFrame], DataFrame],
     side: Sequence[str] = (),
     sizes: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """keys, idx and ``out``: logs of one chunk by ``whole``, the others by ``chunked``.
+    """keys, idx, ``keep`` and ``out``: logs of one chunk by ``whole``, the others by ``chunked``.
 
     ``whole(x, at, side)`` gets the values of complete logs, their n + 1 offsets and the side
     columns of each; a task holds the logs of one batch.  ``records`` have their log's size n;
@@ -171,18 +172,29 @@ def scan_logs(
     keys = list(keys)
     longer = F.col("n") >= 2 * rows  # a short remainder belongs to the chunk before it
     if (records if sizes is None else sizes).filter(longer).isEmpty():
-        return _scan_short(records, value, out, whole, keys, side)
-    short = _scan_short(records.filter(~longer), value, out, whole, keys, side)
-    return short.unionByName(chunked(records.filter(longer)).select(*short.columns))
+        return _scan_short(records, value, out, whole, keys, side, keep)
+    short = _scan_short(records.filter(~longer), value, out, whole, keys, side, keep)
+    long = records.filter(longer)
+    found = chunked(long)
+    if keep:
+        found = found.join(long.select(*keys, IDX, *keep), [*keys, IDX])
+    return short.unionByName(found.select(*short.columns))
 
 
 def _scan_short(
-    records: DataFrame, value: str, out: str, whole: Callable, keys: list[str], side: Sequence[str]
+    records: DataFrame,
+    value: str,
+    out: str,
+    whole: Callable,
+    keys: list[str],
+    side: Sequence[str],
+    keep: Sequence[str],
 ) -> DataFrame:
     schema = TYPES.StructType(
         [
             *[records.schema[k] for k in keys],
             TYPES.StructField(IDX, TYPES.LongType()),
+            *[records.schema[k] for k in keep],
             TYPES.StructField(out, TYPES.DoubleType()),
         ]
     )
@@ -192,11 +204,12 @@ def _scan_short(
         for table, at in whole_groups(batches, keys):
             known = {c: table.column(c).to_numpy()[at[:-1]] for c in side}
             y = whole(table.column("_x").to_numpy().astype(float), at, known)
-            columns = [table.column(c).cast(f.type) for c, f in zip((*keys, IDX), fields)]
+            columns = [table.column(c).cast(f.type) for c, f in zip((*keys, IDX, *keep), fields)]
             yield from pa.Table.from_arrays([*columns, pa.array(y)], schema=fields).to_batches()
 
     chosen = records.select(
-        *keys, F.col(IDX).cast("long").alias(IDX), F.col(value).cast("double").alias("_x"), *side
+        *keys, F.col(IDX).cast("long").alias(IDX), F.col(value).cast("double").alias("_x"), *side,
+        *keep,
     )
     tasks = python_tasks(records.sparkSession)
     dealt = chosen.repartition(tasks, *keys).sortWithinPartitions(*keys, IDX)
@@ -409,8 +422,9 @@ def exponential_moving_average(
     out: str = "ema",
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """keys, idx and the exponentially weighted mean, started at the first value."""
+    """keys, idx, ``keep`` and the exponentially weighted mean, started at the first value."""
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be above 0 and at most 1")
 
@@ -420,6 +434,7 @@ def exponential_moving_average(
     return scan_logs(
         _sized(records, keys), value, out, whole, keys, rows,
         lambda long: chunk_scan(long, _ema_scan(alpha), value, out, keys=keys, rows=rows).drop("n"),
+        keep=keep,
     )
 
 
@@ -516,8 +531,9 @@ def butterworth_filtfilt(
     textbook: bool = False,
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Zero-phase Butterworth filter: keys, idx and the filtered value.
+    """Zero-phase Butterworth filter: keys, idx, ``keep`` and the filtered value.
 
     The series, extended at both ends by odd reflection, is scanned forward and
     then backward, each time from a settled start state.  Non-finite input
@@ -532,11 +548,12 @@ def butterworth_filtfilt(
     depth = 6 * len(sections)
     rows = max(rows, depth + 1)  # an end and its reflection lie in one chunk
     clean = _sized(records, keys).select(
-        *keys, IDX, "n", finite_or_zero(F.col(value)).alias("_v")
+        *keys, IDX, "n", finite_or_zero(F.col(value)).alias("_v"), *keep
     )
     return scan_logs(
         clean, "_v", out, _zero_phase(sections), keys, rows,
         lambda long: _filtfilt_chunks(long, sections, out, keys, rows),
+        keep=keep,
     )
 
 
@@ -760,8 +777,9 @@ def drift_flags(
     out: str = "drift",
     keys: Sequence[str] = (LOG,),
     rows: int = CHUNK_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """keys, idx and +1 / -1 / 0: drift above or below the early mean of the log."""
+    """keys, idx, ``keep`` and +1 / -1 / 0: drift above or below the early mean of the log."""
     sized = _sized(records, keys)
     base = settle(baseline(sized, value, baseline_percent, keys).select(*keys, "baseline_mean"))
 
@@ -775,5 +793,5 @@ def drift_flags(
         lambda long: chunk_scan(
             long, _drift_scan(k, h), value, out, side=side, keys=keys, rows=rows
         ).drop("n"),
-        side, records if "n" in records.columns else sized,
+        side, records if "n" in records.columns else sized, keep,
     )

@@ -15,31 +15,36 @@ from telemetra.session import settle
 def exact_median(
     df: DataFrame, value: str, keys: Sequence[str] = (LOG,), rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Mean of the one or two middle values per key.
+    """Mean of the one or two middle values per key; NULL if a key has none.
 
-    A key with at most ``rows`` values is aggregated directly.  The few larger
-    keys, whose values must not meet in one buffer, are ranked in buckets.
+    Values of a key with at most ``rows`` of them are sorted where they meet.  The few
+    larger keys, whose values must not meet in one task, are ranked in buckets.
     """
     keys = list(keys)
-    large = _large_keys(df, value, keys, rows)
-    if large.isEmpty():
-        return df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return _medians(df, large, value, keys, rows)
-
-
-def _large_keys(df: DataFrame, value: str, keys: list[str], rows: int) -> DataFrame:
-    """Keys with more than ``rows`` values."""
-    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    return settle(counts.filter(F.col("_n") > rows).select(*keys))
+    counts = settle(df.groupBy(*keys).agg(F.count(value).alias("_n")))
+    found = _medians(df.filter(F.col(value).isNotNull()), counts, value, keys, rows)
+    return counts.select(*keys).join(found, keys, "left")
 
 
 def _medians(
-    df: DataFrame, large: DataFrame, value: str, keys: list[str], rows: int
+    df: DataFrame, counts: DataFrame, value: str, keys: list[str], rows: int
 ) -> DataFrame:
-    small = df.join(large, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias("median"))
+    """Medians of values whose numbers ``_n`` by key are known and read back."""
+    large = counts.filter(F.col("_n") > rows).select(*keys)
+    if large.isEmpty():
+        return _sorted_median(df, counts, value, keys)
+    small = _sorted_median(df.join(large, keys, "left_anti"), counts, value, keys)
     return small.unionByName(_ranked_median(df.join(large, keys, "left_semi"), value, keys, rows))
 
 
+def _sorted_median(df: DataFrame, counts: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    placed = df.select(*keys, F.col(value).cast("double").alias("_v")).withColumn(
+        "_p", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
+    )
+    middle = (2 * F.col("_p")).between(F.col("_n"), F.col("_n") + 2)
+    return placed.join(counts, keys).filter(middle).groupBy(*keys).agg(F.avg("_v").alias("median"))
+
+
 def _ranked_median(df: DataFrame, value: str, keys: list[str], rows: int) -> DataFrame:
     """Median by rank: values are counted (map-side combined), the distinct ones
     put into order-preserving buckets, and only buckets with a middle rank sorted.
@@ -97,20 +102,18 @@ def describe(
     """count, mean, median, sample stdev, min, max, range and cv percent per key."""
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
-    large = _large_keys(present, value, keys, rows) if median else None
-    direct = median and large.isEmpty()  # no key needs ranking: one aggregate gives all
-    out = present.groupBy(*keys).agg(
-        *_moments(value), *([F.median(value).alias("median")] if direct else [])
-    )
-    out = out.withColumn("range", F.col("max") - F.col("min")).withColumn(
+    out = present.groupBy(*keys).agg(*_moments(value))
+    if median:  # the moments say how many values there are, and so which are in the middle
+        out = settle(out)
+        counts = out.select(*keys, F.col("count").alias("_n"))
+        out = out.join(_medians(present, counts, value, keys, rows), keys)
+    out = out.withColumn("range", F.col("max") - F.col("min"))
+    return out.withColumn(
         "cv",
         F.when(
             F.abs("mean") > EPSILON, F.col("stdev") / F.abs("mean") * 100.0
         ).otherwise(F.lit(0.0)),
     )
-    if median and not direct:
-        out = out.join(_medians(present, large, value, keys, rows), keys)
-    return out
 
 
 def channel_statistics(

@@ -89,13 +89,6 @@ def _r(*pairs: tuple[str, Column, Column]) -> list[tuple[str, Column, Column]]:
     return list(pairs)
 
 
-def _with_value(derived: DataFrame, records: DataFrame, column: str) -> DataFrame:
-    """Join a (log, idx, column) series back to its times."""
-    return records.select(LOG, IDX, T).join(
-        derived.select(LOG, IDX, F.col(column).alias(VALUE)), [LOG, IDX]
-    )
-
-
 def _moving_average(job):
     out = series.moving_average(job.records, job["channel"], job["window_size"], VALUE, rows=job.rows)
     return out, _none(job.records), _r()
@@ -103,9 +96,9 @@ def _moving_average(job):
 
 def _ema(job):
     got = recurrence.exponential_moving_average(
-        job.records, job["channel"], job["alpha"], VALUE, rows=job.rows
+        job.records, job["channel"], job["alpha"], VALUE, rows=job.rows, keep=(T,)
     )
-    return _with_value(got, job.records, VALUE), _none(job.records), _r()
+    return got, _none(job.records), _r()
 
 
 def _median(job):
@@ -121,12 +114,12 @@ def _butterworth(high):
     def run(job):
         got = recurrence.butterworth_filtfilt(
             job.records, job["channel"], job["cutoff_normalized"], job["order"], high, VALUE,
-            rows=job.rows,
+            rows=job.rows, keep=(T,),
         )
         step = F.max(F.when(F.col(IDX) == 1, F.col(T))) - F.max(F.when(F.col(IDX) == 0, F.col(T)))
         hertz = F.lit(float(job["cutoff_normalized"])) / F.greatest(step, F.lit(0.001))
         summary = job.records.filter(F.col(IDX) < 2).groupBy(LOG).agg(hertz.alias("cutoff_hz"))
-        return _with_value(got, job.records, VALUE), summary, _r(
+        return got, summary, _r(
             ("high_order", F.lit(not high and job["order"] > 4), F.lit(float(job["order"])))
         )
 
@@ -159,7 +152,8 @@ def _rate(job):
 
 def _drift(job):
     got = recurrence.drift_flags(
-        job.records, job["channel"], job["k"], job["h"], job["baseline_pct"], VALUE, rows=job.rows
+        job.records, job["channel"], job["k"], job["h"], job["baseline_pct"], VALUE, rows=job.rows,
+        keep=(T,),
     )
     base = stats.baseline(job.records, job["channel"], job["baseline_pct"])
     counts = got.groupBy(LOG).agg(
@@ -169,7 +163,7 @@ def _drift(job):
     )
     s = counts.join(base, LOG)
     least = F.floor(F.col("n") / 20)
-    return _with_value(got, job.records, VALUE), s, _r(
+    return got, s, _r(
         ("positive_drift", F.col("high") > least, 100.0 * F.col("high") / F.col("n")),
         ("negative_drift", F.col("low") > least, 100.0 * F.col("low") / F.col("n")),
     )

@@ -220,6 +220,13 @@ def time_shift_long_log(spark, sf):
     return out.select(LOG, IDX, "shifted")
 
 
+@query("time_shift_in_buckets", _STREAM_ASOF)
+def time_shift_in_buckets(spark, sf):
+    """The way of long logs: buckets of about 700 records and questions."""
+    rec = tables.event_stream_record(spark, sf)
+    return nearest.time_shift(rec, {"shifted": "value"}, 600.0, rows=700).select(LOG, IDX, "shifted")
+
+
 @query(
     "nearest_record_cursor",
     _nearest_sql(
@@ -379,9 +386,9 @@ def exponential_moving_average(spark, sf):
 
 @query("exponential_moving_average_chunked", _ema_sql(LINES_CTE, "l", "quantity", "0.05::DOUBLE"))
 def exponential_moving_average_chunked(spark, sf):
-    """The recurrence on the logs of order lines."""
+    """Logs of order lines in chunks of 128 records."""
     rec = tables.line_records(spark, sf)
-    return _r(recurrence.exponential_moving_average(rec, "quantity", 0.05), "ema")
+    return _r(recurrence.exponential_moving_average(rec, "quantity", 0.05, rows=128), "ema")
 
 
 _DRIFT = f"""WITH RECURSIVE {LINES_CTE}, s AS MATERIALIZED (SELECT log_id, idx, n, quantity AS x FROM l),
@@ -402,8 +409,8 @@ def drift_flags(spark, sf):
 
 @query("drift_flags_chunked", f"{_DRIFT} SELECT log_id, idx, drift FROM f")
 def drift_flags_chunked(spark, sf):
-    """The same flags by the default chunks; the tests cut smaller ones."""
-    return recurrence.drift_flags(tables.line_records(spark, sf), "quantity")
+    """The same flags by chunks of 128 records."""
+    return recurrence.drift_flags(tables.line_records(spark, sf), "quantity", rows=128)
 
 
 def _filter_sql(cte, src, value, sections):
@@ -453,10 +460,10 @@ def butterworth_lowpass(spark, sf):
     _filter_sql(LINES_CTE, "l", "quantity", recurrence.butterworth_sections(0.05, 3)),
 )
 def butterworth_lowpass_chunked(spark, sf):
-    """Order 3 on the logs of order lines."""
+    """Order 3 on the logs of order lines, in chunks of 128 records."""
     rec = tables.line_records(spark, sf)
     return _r(
-        recurrence.butterworth_filtfilt(rec, "quantity", 0.05, 3), "filtered", places=4
+        recurrence.butterworth_filtfilt(rec, "quantity", 0.05, 3, rows=128), "filtered", places=4
     )
 
 
@@ -488,7 +495,8 @@ r AS (SELECT log_id, CAST(0 AS BIGINT) AS pos, idx, t, v FROM s WHERE idx = 0
   UNION ALL
   SELECT c.log_id, r.pos + 1, c.idx, c.t, c.v FROM r JOIN c ON c.log_id = r.log_id AND c.slot = r.pos + 1
   QUALIFY row_number() OVER (PARTITION BY c.log_id
-    ORDER BY abs((r.t - c.mt) * (c.v - r.v) - (r.t - c.t) * (c.mv - r.v)) DESC, c.idx) = 1),
+    ORDER BY coalesce(CASE WHEN isnan((r.t - c.mt) * (c.v - r.v) - (r.t - c.t) * (c.mv - r.v)) THEN -1
+      ELSE abs((r.t - c.mt) * (c.v - r.v) - (r.t - c.t) * (c.mv - r.v)) END, -1) DESC, c.idx) = 1),
 o AS (SELECT log_id, pos, idx, t, v FROM r
   UNION ALL SELECT log_id, {target - 1}, idx, t, v FROM z
   UNION ALL SELECT log_id, idx, idx, t, v FROM s0 WHERE n <= {target})"""
@@ -513,6 +521,29 @@ def lttb_long_log(spark, sf):
     return _r(downsample.lttb(rec, "value", 40), T)
 
 
+@query(
+    "lttb_by_maps",
+    _lttb_sql(STREAM_CTE, "e", "value", 60)
+    + f" SELECT log_id, pos, idx, {r6('t')} AS t, v AS value FROM o",
+)
+def lttb_by_maps(spark, sf):
+    """The way of long logs: all events as one log over chunks of 512 records."""
+    rec = tables.event_stream_record(spark, sf)
+    return _r(downsample.lttb(rec, "value", 60, rows=512), T)
+
+
+_GAPPED = "CASE WHEN idx % 9 = 4 THEN 'nan'::DOUBLE WHEN idx % 31 = 8 THEN NULL ELSE value END"
+
+
+@query("lttb_gaps", _lttb_sql(EVENTS_CTE, "e", _GAPPED, 20) + " SELECT log_id, pos, idx FROM o")
+def lttb_gaps(spark, sf):
+    """Values that are missing or no numbers never win; where no area is one, the first record does."""
+    idx = F.col(IDX)
+    x = F.when(idx % 9 == 4, F.lit(float("nan"))).when(idx % 31 == 8, F.lit(None)).otherwise(F.col("value"))
+    rec = tables.event_records(spark, sf).withColumn("x", x)
+    return downsample.lttb(rec, "x", 20).select(LOG, "pos", IDX)
+
+
 @query(
     "chart_series",
     _lttb_sql(LINES_CTE.replace("AS idx,", "AS idx, 0.01 * (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) - 1) AS t,"), "l", "extendedprice", 50)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemetra.frame import CHANNEL, IDX, LOG, VALUE, rounded, to_samples
+from telemetra.frame import CHANNEL, IDX, LOG, T, VALUE, rounded, to_samples
 from telemetra.operators import binning, stats
 from telemetra.plans.catalog import EVENTS_CTE, LINES_CTE, ORDERS_CTE, STREAM_CTE, query, r6
 from telemetra.sources import tables
@@ -90,8 +90,8 @@ def channel_has_data(spark, sf):
     f"WITH {_LINE_LONG} SELECT log_id, channel, {r6('median(value)')} AS median FROM s GROUP BY log_id, channel",
 )
 def median_large_logs(spark, sf):
-    """The rank path of the exact median: every log counts as too large to buffer."""
-    out = stats.exact_median(_line_samples(spark, sf), VALUE, (LOG, CHANNEL))
+    """The rank path of the exact median: logs of over 100 values count as too large for a task."""
+    out = stats.exact_median(_line_samples(spark, sf), VALUE, (LOG, CHANNEL), rows=100)
     return out.select(LOG, CHANNEL, rounded(F.col("median")).alias("median"))
 
 
@@ -320,6 +320,71 @@ def density_grid(spark, sf):
     return binning.density_grid(ev, "value", "k").withColumn("heat", rounded(F.col("heat")))
 
 
+def _gaps_sql(columns, rows, rule, extra):
+    """Cells of order lines where x or y is now and then missing or not a number."""
+
+    def place(axis, bins):
+        share = f"(({axis} - {axis}_min) / {axis}_range)"
+        if rule == "floor":
+            unit = f"least(greatest(CAST({share} AS REAL), CAST(0 AS REAL)), CAST(1 AS REAL))"
+            cell = f"floor({unit} * CAST({bins} AS REAL))"
+        else:
+            cell = f"greatest(round({share} * {bins - 1}), 0)"
+        return f"CASE WHEN isnan({axis}) THEN 0 ELSE least(CAST({cell} AS INTEGER), {bins - 1}) END AS {axis}_bin"
+
+    return f"""WITH {LINES_CTE},
+g AS (SELECT log_id, CASE WHEN idx % 7 = 3 THEN NULL WHEN idx % 11 = 5 THEN 'nan'::DOUBLE ELSE quantity END AS x,
+  CASE WHEN idx % 13 = 4 THEN NULL WHEN idx % 17 = 6 THEN 'nan'::DOUBLE ELSE discount END AS y,
+  CASE WHEN idx % 5 = 2 THEN NULL ELSE extendedprice END AS z FROM l),
+r AS (SELECT log_id, min(x) FILTER (NOT isnan(x)) AS x_min, min(y) FILTER (NOT isnan(y)) AS y_min,
+  max(x) FILTER (NOT isnan(x)) - min(x) FILTER (NOT isnan(x)) AS x_range,
+  max(y) FILTER (NOT isnan(y)) - min(y) FILTER (NOT isnan(y)) AS y_range FROM g GROUP BY log_id),
+d AS (SELECT log_id, z, {place('x', columns)}, {place('y', rows)} FROM g JOIN r USING (log_id)
+  WHERE x IS NOT NULL AND y IS NOT NULL) {extra}"""
+
+
+def _gaps(spark, sf):
+    nan, none, idx = F.lit(float("nan")), F.lit(None), F.col(IDX)
+    return tables.line_records(spark, sf).select(
+        LOG, IDX, T,
+        F.when(idx % 7 == 3, none).when(idx % 11 == 5, nan).otherwise(F.col("quantity")).alias("x"),
+        F.when(idx % 13 == 4, none).when(idx % 17 == 6, nan).otherwise(F.col("discount")).alias("y"),
+        F.when(idx % 5 == 2, none).otherwise(F.col("extendedprice")).alias("z"),
+    )
+
+
+_MEAN_CELLS = f"SELECT log_id, y_bin, x_bin, count(*) AS hits, {r6('avg(z)')} AS value FROM d GROUP BY log_id, y_bin, x_bin"
+
+
+@query("hist2d_gaps", _gaps_sql(16, 12, "floor", _MEAN_CELLS))
+def hist2d_gaps(spark, sf):
+    """A sample without x or y is in no cell; one that is not a number falls into cell 0."""
+    cells = binning.hist2d(_gaps(spark, sf), "x", "y", "z", 16, 12)
+    return cells.withColumn("value", rounded(F.col("value")))
+
+
+@query("hist2d_rounded_gaps", _gaps_sql(32, 16, "round", _MEAN_CELLS))
+def hist2d_rounded_gaps(spark, sf):
+    """The same by nearest grid line."""
+    cells = binning.hist2d(_gaps(spark, sf), "x", "y", "z", 32, 16, rule="round")
+    return cells.withColumn("value", rounded(F.col("value")))
+
+
+@query(
+    "density_grid_gaps",
+    _gaps_sql(
+        64, 64, "round",
+        f""", c AS (SELECT log_id, y_bin, x_bin, count(*) AS hits FROM d GROUP BY log_id, y_bin, x_bin),
+m AS (SELECT *, max(hits) OVER (PARTITION BY log_id) AS max_hits FROM c)
+SELECT log_id, y_bin, x_bin, hits, max_hits,
+  {r6('CASE WHEN max_hits > 1 THEN ln(hits) / ln(max_hits) ELSE 1 END')} AS heat FROM m""",
+    ),
+)
+def density_grid_gaps(spark, sf):
+    out = binning.density_grid(_gaps(spark, sf), "x", "y", binning.DENSITY_BINS_PRINT)
+    return out.withColumn("heat", rounded(F.col("heat")))
+
+
 @query(
     "density_grid_print",
     _hist_sql(

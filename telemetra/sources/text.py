@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import CHANNEL, IDX, LOG, T, VALUE
 from telemetra.functions import decode
-from telemetra.operators.layout import CHUNK_ROWS, hold_last, index_in_buckets
+from telemetra.operators.layout import hold_vectors, index_in_buckets
 from telemetra.session import materialise, settle
 
 # The shapes that mark data rows.
@@ -189,6 +189,17 @@ def _meta_map(pairs: DataFrame) -> DataFrame:
 LINES_PER_BUCKET = 22  # bits of line_no inside one bucket
 
 
+def _staged(parsed: DataFrame) -> DataFrame:
+    """The parsed rows as a written table, with buckets of lines."""
+    return materialise(
+        parsed.select(
+            LOG, "line_no", "_t", "cells", "_width",
+            F.shiftright("line_no", LINES_PER_BUCKET).alias("_bucket"),
+        ),
+        "parsed",
+    )
+
+
 def _finish(parsed: DataFrame, rebase: bool, ragged: bool) -> DataFrame:
     """Parsed rows (log_id, line_no, _t, cells, _width) to records.
 
@@ -197,13 +208,7 @@ def _finish(parsed: DataFrame, rebase: bool, ragged: bool) -> DataFrame:
     counts from the first row with a time and a cell; after that ``ragged``
     formats drop rows with fewer cells than channels.
     """
-    staged = materialise(
-        parsed.select(
-            LOG, "line_no", "_t", "cells", "_width",
-            F.shiftright("line_no", LINES_PER_BUCKET).alias("_bucket"),
-        ),
-        "parsed",
-    )
+    staged = _staged(parsed)
     readable = staged.filter(F.col("_t").isNotNull())
     if ragged:
         readable = readable.filter(F.exists("cells", lambda v: v.isNotNull()))
@@ -299,7 +304,7 @@ def parse_keyvalue(lines: DataFrame, compat: bool = True) -> Ingest:
     return Ingest(_logs(lines, "keyvalue", meta), channels, lambda: _finish(parsed, True, True))
 
 
-def parse_holdfill(lines: DataFrame, rows: int = CHUNK_ROWS) -> Ingest:
+def parse_holdfill(lines: DataFrame) -> Ingest:
     """``TIME;path/a;path/b`` rows in seconds with sparse cells.
 
     An empty, unreadable or missing cell repeats the channel's last value, or 0
@@ -326,13 +331,9 @@ def parse_holdfill(lines: DataFrame, rows: int = CHUNK_ROWS) -> Ingest:
     )
 
     def records() -> DataFrame:
-        numbered = _finish(parsed.filter(F.col("_width") > 0), False, False)
-        long = numbered.select(LOG, IDX, T, F.posexplode("cells").alias("channel_idx", VALUE))
-        held = hold_last(long, [VALUE], [LOG, "channel_idx"], rows, start=0.0)
-        cells = F.sort_array(F.collect_list(F.struct("channel_idx", VALUE)))
-        return held.groupBy(LOG, IDX, T).agg(
-            F.transform(cells, lambda c: c[VALUE]).alias("cells")
-        )
+        staged = _staged(parsed.filter(F.col("_width") > 0)).filter(F.col("_t").isNotNull())
+        held = hold_vectors(staged.drop("_width"), "_bucket", "line_no", "cells")
+        return held.select(LOG, IDX, F.col("_t").alias(T), "cells")
 
     return Ingest(_logs(lines, "holdfill"), channels, records)
 

@@ -114,7 +114,7 @@ def test_split_file_keeps_order(spark, tmp_path):
     path = write(tmp_path, "big.csv", body)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        got = text.parse_holdfill(text.read_lines(spark, path), rows=500)
+        got = text.parse_holdfill(text.read_lines(spark, path))
         assert text.read_lines(spark, path).rdd.getNumPartitions() > 5
         out = got.records.orderBy("idx").collect()
     finally:
