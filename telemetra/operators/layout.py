@@ -210,10 +210,13 @@ def with_record_index(
     """Add the dense record number ``idx`` per log.
 
     ``order[0]`` must be numeric (a time or a counter); the rest break ties,
-    and a numeric ``order[1]`` also lets many equal ``order[0]`` be cut.  Reads
-    ``df`` up to five times, all but one for a column or two, so ``df`` should
-    be a table scan or a materialised frame.
+    and a numeric ``order[1]`` also lets many equal ``order[0]`` be cut.  If no log has over
+    ``rows`` records, each is one sorted window; else ``df`` is read up to five times, all but
+    one for a column or two.  So ``df`` should be a table scan or a materialised frame.
     """
+    longest = log_sizes(df, keys, "_n").agg(F.max("_n")).first()[0] or 0
+    if longest <= rows:
+        return _indexed_whole(df, order, list(keys), total, hold)
     types = dict(df.dtypes)
     numeric = len(order) > 1 and types[order[1]] in ("int", "bigint", "double", "float")
     tie = F.col(order[1]) if numeric else None
@@ -225,6 +228,19 @@ def with_record_index(
     return out.drop("_bucket")
 
 
+def _indexed_whole(
+    df: DataFrame, order: Sequence[str], keys: list[str], total: str | None, hold: Sequence[str]
+) -> DataFrame:
+    log = Window.partitionBy(*keys)
+    inside = log.orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    columns = {IDX: (F.row_number().over(inside) - 1).cast("long")}
+    columns |= {c: F.last(c, ignorenulls=True).over(so_far) for c in hold}
+    if total:
+        columns[total] = F.count(F.lit(1)).over(log)
+    return df.withColumns(columns)
+
+
 def log_sizes(df: DataFrame, keys: Sequence[str] = (LOG,), name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 

@@ -230,6 +230,11 @@ def _record_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(body).unionByName(_whole(lists, F.lit(SLOT_TEXT.encode())))
 
 
+def record_folder(spark: SparkSession, sf: str) -> str:
+    """The folder with a record file and a slot dictionary of each log, written once."""
+    return _written(spark, sf, "records", _record_rows)
+
+
 @query(
     "ingest_fixed_records",
     f"""WITH {EVENTS_CTE}, g AS (SELECT CAST(log_id AS VARCHAR) AS log_id, idx, 45292.0 + t / 86400.0 / 100.0 AS ole, k FROM e),
@@ -239,7 +244,7 @@ FROM b, {_SLOT_CHANNELS}""",
 )
 def ingest_fixed_records(spark, sf):
     """One record file and one slot dictionary for each log."""
-    folder = _written(spark, sf, "records", _record_rows)
+    folder = record_folder(spark, sf)
     got = files.fixed_records(files.route(files.file_heads(spark, folder)))
     names = got.channels.select(LOG, F.col("name").alias(CHANNEL), "unit")
     out = got.samples().join(names, [LOG, CHANNEL])
