@@ -214,8 +214,7 @@ def with_record_index(
     ``rows`` records, each is one sorted window; else ``df`` is read up to five times, all but
     one for a column or two.  So ``df`` should be a table scan or a materialised frame.
     """
-    longest = log_sizes(df, keys, "_n").agg(F.max("_n")).first()[0] or 0
-    if longest <= rows:
+    if fits_chunk(df, keys, rows):
         return _indexed_whole(df, order, list(keys), total, hold)
     types = dict(df.dtypes)
     numeric = len(order) > 1 and types[order[1]] in ("int", "bigint", "double", "float")
@@ -228,6 +227,11 @@ def with_record_index(
     return out.drop("_bucket")
 
 
+def fits_chunk(df: DataFrame, keys: Sequence[str] = (LOG,), rows: int = CHUNK_ROWS) -> bool:
+    """Whether no key has over ``rows`` rows, by one map-side combined count."""
+    return (log_sizes(df, keys, "_n").agg(F.max("_n")).first()[0] or 0) <= rows
+
+
 def _indexed_whole(
     df: DataFrame, order: Sequence[str], keys: list[str], total: str | None, hold: Sequence[str]
 ) -> DataFrame:

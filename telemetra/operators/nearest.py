@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
-from telemetra.operators.layout import CHUNK_ROWS, order_buckets, with_record_index
+from telemetra.operators.layout import CHUNK_ROWS, fits_chunk, order_buckets, with_record_index
 from telemetra.session import materialise, settle
 
 
@@ -152,19 +152,36 @@ def merge_rates(
             for c in channels
         ]
     )
-    wide = materialise(wide, "timeline")  # read four times from here on
+    wide = materialise(wide, "timeline")  # counted first, then read once or four times
+    if fits_chunk(wide, keys, rows):
+        log = Window.partitionBy(*keys)
+        inside = log.orderBy(T)
+        so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+        whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        last = {c: F.last(c, ignorenulls=True).over(so_far) for c in channels}
+        first = {c: F.first(c, ignorenulls=True).over(whole) for c in channels}
+        filled = wide.withColumns(
+            {
+                IDX: (F.row_number().over(inside) - 1).cast("long"),
+                "_t0": F.min(T).over(log),
+                **{c: F.coalesce(last[c], first[c], F.lit(0.0)) for c in channels},
+            }
+        )
+        if max_records is not None:
+            filled = filled.filter(F.col(IDX) < max_records)
+        return filled.withColumn(T, (F.col(T) - F.col("_t0")).cast("double")).drop("_t0")
     held = with_record_index(wide, [T], keys, rows, hold=channels)
     if max_records is not None:
         held = held.filter(F.col(IDX) < max_records)
     # The first sample overall also stands in for earlier times.
-    first = wide.groupBy(*keys).agg(
+    firsts = wide.groupBy(*keys).agg(
         F.min(T).alias("_t0"),
         *[
             F.min_by(c, F.when(F.col(c).isNotNull(), F.col(T))).alias(f"_first_{c}")
             for c in channels
         ],
     )
-    filled = held.join(settle(first), keys).withColumns(
+    filled = held.join(settle(firsts), keys).withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_first_{c}"), F.lit(0.0)) for c in channels}
     )
     return filled.withColumn(T, (F.col(T) - F.col("_t0")).cast("double")).drop(

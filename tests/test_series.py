@@ -540,3 +540,21 @@ def test_groups_are_cut_at_batches():
         parts = list(whole_groups(iter(table.to_batches(max_chunksize=size)), ["k"]))
         groups = [t.column("v").to_pylist()[a:b] for t, at in parts for a, b in zip(at[:-1], at[1:])]
         assert groups == [[0, 1], [2, 3, 4], [5], [6, 7], [8]]
+
+
+def test_merged_rates_of_short_and_long_logs(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for log in ("a", "b"):
+        for c, step in (("x", 3), ("y", 7), ("z", 11)):
+            for i in range(0, 200, step):
+                if not (log == "b" and c == "z"):
+                    rows.append((log, c, 5.0 + i / 10, float(rng.integers(0, 9)), i))
+    points = spark.createDataFrame(rows, "log_id string, channel string, t double, value double, seq long").repartition(4)
+    for cap in (None, 20):
+        one, many = (
+            sorted(map(tuple, nearest.merge_rates(points, ["x", "y", "z"], rows=r, max_records=cap).select("log_id", "idx", "t", "x", "y", "z").collect()))
+            for r in (1 << 18, 13)
+        )
+        assert one == many and len(one) == (40 if cap else len(one)) and one[0][2] == 0.0
+        assert all(r[5] == 0.0 for r in one if r[0] == "b")
