@@ -4,8 +4,8 @@ A log is cut into chunks of ``rows`` records.  Pass one turns every chunk that
 is not the last of its log into a small *map* from start state to end state;
 the maps are composed in two levels, so no task ever sees more than one chunk
 or one block of maps; pass two runs every chunk from its true start state.
-Logs that fit one chunk need neither maps nor groups: a task streams sorted rows and
-moves all logs of a batch on together.
+A task streams sorted rows and moves all chunks of a batch on together, so many short chunks
+cost no call each.  Logs that fit one chunk need no maps.
 
 Chunk functions are plain numpy over bounded arrays; partitioning, grouping and
 shuffling are Spark's.  A numpy step moves one record of every block of every log at hand,
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TYPES
@@ -38,33 +39,36 @@ _NARROW = 512  # records of a block, unless all series are shorter or one is muc
 class Scan:
     """What a chunked scan needs to know about one recurrence.
 
-    ``run(chunk, state) -> (positions, outputs, state)`` with ``state`` None in
-    the first chunk of a log; ``summarise(chunk)`` gives a chunk's map as a flat
-    list; ``compose(a, b)`` is "a, then b"; ``apply(map, state)`` moves a state.
+    ``run(chunks, states) -> (offsets, positions, outputs)`` moves all chunks at hand on together, from a
+    column of ``states`` for each; that of a log's first chunk is not looked at.  ``summarise(chunks)``
+    gives the map of each chunk as a flat array; ``compose(a, b)`` is "a, then b"; ``apply(map, state)``
+    moves a state, None before the first chunk.  A state has ``order`` numbers.
     """
 
     run: Callable
     summarise: Callable
     compose: Callable
     apply: Callable
+    order: int
 
 
 @dataclass(frozen=True)
-class Chunk:
-    """Rows of one chunk in order, and where the chunk lies in its log."""
+class Chunks:
+    """Rows of complete chunks in order, and where each chunk lies in its log."""
 
     idx: np.ndarray
     values: np.ndarray
-    size: int  # records in the log
-    side: dict  # side columns of the first row
+    at: np.ndarray  # the chunks' n + 1 offsets
+    size: np.ndarray  # records in the log of each
+    side: dict  # side columns of each chunk's first row
 
     @property
-    def is_first(self) -> bool:
-        return self.idx[0] == 0
+    def is_first(self) -> np.ndarray:
+        return self.idx[self.at[:-1]] == 0
 
     @property
-    def is_last(self) -> bool:
-        return self.idx[-1] == self.size - 1
+    def is_last(self) -> np.ndarray:
+        return self.idx[self.at[1:] - 1] == self.size - 1
 
 
 def _chunk_of(size: Column, rows: int) -> Column:
@@ -89,66 +93,82 @@ def chunk_scan(
     """
     keys = list(keys)
     key_fields = [records.schema[k] for k in keys]
+    vector, long = TYPES.ArrayType(TYPES.DoubleType()), TYPES.LongType()
+    group = [*key_fields, TYPES.StructField("_chunk", long)]
     maps_schema = TYPES.StructType(
-        [
-            *key_fields,
-            TYPES.StructField("_chunk", TYPES.LongType()),
-            TYPES.StructField("_map", TYPES.ArrayType(TYPES.DoubleType())),
-        ]
+        [*group, TYPES.StructField("_map", vector), TYPES.StructField("_followed", TYPES.BooleanType())]
     )
     out_schema = TYPES.StructType(
         [
             *key_fields,
-            TYPES.StructField(IDX, TYPES.LongType()),
-            TYPES.StructField("n", TYPES.LongType()),
+            TYPES.StructField(IDX, long),
+            TYPES.StructField("n", long),
             TYPES.StructField(out, TYPES.DoubleType()),
         ]
     )
-    # Pass one shuffles only rows of logs with several chunks.
+    maps_fields, out_fields = to_arrow_schema(maps_schema), to_arrow_schema(out_schema)
+    tasks = python_tasks(records.sparkSession)
     chunked = records.select(
         *keys,
         F.col(IDX).cast("long").alias(IDX),
-        F.col(value).alias("_x"),
+        F.col(value).cast("double").alias("_x"),
         *side,
         F.col(size).cast("long").alias("_size"),
         _chunk_of(F.col(size), rows).alias("_chunk"),
-    ).repartition(python_tasks(records.sparkSession), *keys, "_chunk")
-
-    def chunk_from(table: pa.Table) -> Chunk:
-        idx = table.column(IDX).to_numpy()
-        order = np.argsort(idx, kind="stable")
-        return Chunk(
-            idx[order],
-            table.column("_x").to_numpy()[order],
-            table.column("_size")[0].as_py(),
-            {c: table.column(c)[0].as_py() for c in side},
+    )
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", IDX)
+
+    def chunks_from(table: pa.Table, at: np.ndarray) -> Chunks:
+        first = at[:-1]
+        return Chunks(
+            table.column(IDX).to_numpy(),
+            table.column("_x").to_numpy(),
+            at,
+            table.column("_size").to_numpy()[first],
+            {c: table.column(c).to_numpy()[first] for c in side},
         )
 
-    def to_map(key, table):
-        return _rows(key, {"_map": [scan.summarise(chunk_from(table))]}, maps_schema)
+    def to_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "_chunk"]):
+            chunks = chunks_from(table, at)
+            first = table.take(pa.array(at[:-1]))
+            number = first.column("_chunk").to_numpy()
+            count = np.maximum(chunks.size // rows, 1) - 1  # maps of the log
+            found = {
+                "_map": pa.array(scan.summarise(chunks), pa.list_(pa.float64())),
+                "_followed": pa.array((number // MAPS_PER_BLOCK + 1) * MAPS_PER_BLOCK < count),
+            }
+            yield from _table(first, found, maps_fields).to_batches()
 
+    # Pass one shuffles only rows of logs with several chunks.
     more = (F.col("_chunk") + 2) * rows <= F.col("_size")  # another chunk follows
-    maps = (
-        chunked.filter(more)
-        .groupBy(*keys, "_chunk")
-        .applyInArrow(to_map, maps_schema)
-        .withColumn("_block", F.floor(F.col("_chunk") / MAPS_PER_BLOCK))
-    )
-    states = _start_states(maps, scan, keys, key_fields)
-
-    def emit(key, table, start):
-        if not table.num_rows:
-            return _rows(key, {IDX: [], "n": [], out: []}, out_schema)
-        chunk = chunk_from(table)
-        state = np.array(start.column("_state")[0].as_py()) if start.num_rows else None
-        at, y, _ = scan.run(chunk, state)
-        return _rows(key, {IDX: at, "n": np.full(len(at), chunk.size), out: y}, out_schema)
-
-    return (
-        chunked.groupBy(*keys, "_chunk")
-        .cogroup(states.groupBy(*keys, "_chunk"))
-        .applyInArrow(emit, out_schema)
-    )
+    maps = settle(dealt(chunked.filter(more)).mapInArrow(to_maps, maps_schema))
+    states = _start_states(maps, scan, keys, group).withColumn(IDX, F.lit(-1).cast("long"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "_chunk"]):
+            body = table.column(IDX).to_numpy() >= 0
+            given = np.flatnonzero(~body[at[:-1]])  # a chunk's start state stands before its rows
+            states = np.zeros((scan.order, len(at) - 1))
+            if len(given):
+                held = table.column("_state").take(pa.array(at[given])).combine_chunks()
+                states[:, given] = pc.list_flatten(held).to_numpy().reshape(len(given), -1).T
+            kept = table.filter(pa.array(body)).combine_chunks()
+            at = np.r_[0, np.cumsum(body)][at]
+            some = np.flatnonzero(np.diff(at))  # a state without rows gives none
+            states, at = states[:, some], np.r_[at[some], at[-1]]
+            if not len(some):
+                continue
+            edge, idx, y = scan.run(chunks := chunks_from(kept, at), states)
+            length = np.diff(edge)
+            first = kept.take(pa.array(np.repeat(at[:-1], length)))
+            found = {IDX: pa.array(idx), "n": pa.array(np.repeat(chunks.size, length)), out: pa.array(y)}
+            yield from _table(first, found, out_fields).to_batches()
+
+    every = chunked.withColumn("_state", F.lit(None).cast(vector)).unionByName(states, allowMissingColumns=True)
+    return dealt(every).mapInArrow(emit, out_schema)
 
 
 def scan_logs(
@@ -216,89 +236,103 @@ def _scan_short(
     return dealt.mapInArrow(run, schema)
 
 
-def _rows(key: tuple, columns: dict, schema: TYPES.StructType) -> pa.Table:
-    """An Arrow table of ``schema``: the leading group key repeated, then columns."""
-    count = len(next(iter(columns.values())))
-    arrays, fields = [], to_arrow_schema(schema)
-    for i, f in enumerate(fields):
-        if f.name in columns:
-            arrays.append(pa.array(columns[f.name], type=f.type))
-        else:
-            arrays.append(pa.repeat(key[i].cast(f.type), count))
-    return pa.Table.from_arrays(arrays, schema=fields)
-
-
-def _start_states(maps: DataFrame, scan: Scan, keys: list[str], key_fields: list) -> DataFrame:
-    """Start state of every chunk after the first: keys, _chunk, _state."""
-    vector = TYPES.ArrayType(TYPES.DoubleType())
-    long = TYPES.LongType()
+def _table(rows: pa.Table, columns: dict, fields: pa.Schema) -> pa.Table:
+    """A table of ``fields``: the new columns, and the others as ``rows`` have them."""
+    taken = [columns[f.name] if f.name in columns else rows.column(f.name) for f in fields]
+    return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(taken, fields)], schema=fields)
 
-    def schema(number: str, content: str) -> TYPES.StructType:
-        return TYPES.StructType(
-            [*key_fields, TYPES.StructField(number, long), TYPES.StructField(content, vector)]
-        )
 
-    block_schema = schema("_block", "_map")
-    entry_schema = schema("_block", "_entry")
-    state_schema = schema("_chunk", "_state")
-
-    def in_order(table: pa.Table, by: str, what: str) -> list:
-        table = table.sort_by(by)
-        return list(
-            zip(
-                table.column(by).to_pylist(),
-                (np.array(v, dtype=float) for v in table.column(what).to_pylist()),
-            )
-        )
+def _start_states(maps: DataFrame, scan: Scan, keys: list[str], group: list) -> DataFrame:
+    """Start state of every chunk after the first: keys, _chunk, _state.
 
-    def fold(key, table):
-        total = None
-        for _, m in in_order(table, "_chunk", "_map"):
-            total = m if total is None else scan.compose(total, m)
-        return _rows(key, {"_map": [total]}, block_schema)
-
-    def entries(key, table):
-        state, blocks, found = None, [], []
-        for block, m in in_order(table, "_block", "_map"):
-            blocks.append(block)
-            found.append(state)
-            state = scan.apply(m, state)
-        return _rows(key, {"_block": blocks, "_entry": found}, entry_schema)
-
-    def walk(key, table, entry):
-        begin = entry.column("_entry")[0].as_py() if entry.num_rows else None
-        state = None if begin is None else np.array(begin, dtype=float)
-        chunks, found = [], []
-        for chunk, m in in_order(table, "_chunk", "_map") if table.num_rows else ():
-            state = scan.apply(m, state)
-            chunks.append(chunk + 1)
-            found.append(state)
-        return _rows(key[: len(keys)], {"_chunk": chunks, "_state": found}, state_schema)
-
-    blocks = maps.groupBy(*keys, "_block").applyInArrow(fold, block_schema)
-    entry = blocks.groupBy(*keys).applyInArrow(entries, entry_schema)
-    return (
-        maps.groupBy(*keys, "_block")
-        .cogroup(entry.groupBy(*keys, "_block"))
-        .applyInArrow(walk, state_schema)
+    Blocks of maps are composed where another block follows, a log's blocks walked for the
+    state each begins with, and every block's maps walked from there.
+    """
+    vector = TYPES.ArrayType(TYPES.DoubleType())
+    *key_fields, _ = group
+    block_schema = TYPES.StructType(
+        [*key_fields, TYPES.StructField("_block", TYPES.LongType()), TYPES.StructField("_map", vector)]
     )
+    state_schema = TYPES.StructType([*group, TYPES.StructField("_state", vector)])
+    block_fields, state_fields = to_arrow_schema(block_schema), to_arrow_schema(state_schema)
+    tasks = python_tasks(maps.sparkSession)
+
+    def vectors(column: pa.ChunkedArray) -> list[np.ndarray]:
+        lists = column.combine_chunks()
+        flat = pc.list_flatten(lists).to_numpy()
+        return np.split(flat, np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+
+    def in_order(df: DataFrame, by: list[str], number: str) -> DataFrame:
+        return df.repartition(tasks, *by).sortWithinPartitions(*by, number)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "_block"]):
+            m, totals = vectors(table.column("_map")), []
+            for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
+                total = m[low]
+                for k in range(low + 1, high):
+                    total = scan.compose(total, m[k])
+                totals.append(total)
+            first = table.take(pa.array(at[:-1]))
+            yield from _table(first, {"_map": pa.array(totals, pa.list_(pa.float64()))}, block_fields).to_batches()
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, keys):
+            m, found = vectors(table.column("_map")), []
+            for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
+                state = None
+                for k in range(low, high):
+                    state = scan.apply(m[k], state)
+                    found.append(state)
+            new = {"_map": pa.array(found, pa.list_(pa.float64())), "_block": pc.add(table.column("_block"), 1)}
+            yield from _table(table, new, block_fields).to_batches()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "_block"]):
+            m, number = vectors(table.column("_map")), table.column("_chunk").to_numpy()
+            found = []
+            for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
+                state = None
+                for k in range(low, high):  # the state a block begins with stands first
+                    state = m[k] if number[k] < 0 else scan.apply(m[k], state)
+                    found.append(state)
+            real = pa.array(number >= 0)
+            new = {"_state": pa.array(found, pa.list_(pa.float64())).filter(real), "_chunk": pa.array(number + 1).filter(real)}
+            yield from _table(table.filter(real), new, state_fields).to_batches()
+
+    by_block = [*keys, "_block"]
+    maps = maps.withColumn("_block", F.floor(F.col("_chunk") / MAPS_PER_BLOCK))
+    blocks = in_order(maps.filter("_followed"), by_block, "_chunk").mapInArrow(fold, block_schema)
+    entry = in_order(blocks, keys, "_block").mapInArrow(entries, block_schema)
+    begun = maps.drop("_followed").unionByName(entry.withColumn("_chunk", F.lit(-1).cast("long")))
+    return in_order(begun, by_block, "_chunk").mapInArrow(walk, state_schema)
 
 
 # ---------------------------------------------------------------- affine maps
 
 
-def _affine(run: Callable, matrix: np.ndarray) -> Scan:
-    """A scan whose state moves as s -> A s + b; a map is [A row by row, b]."""
+def _affine(moved: Callable, matrix: np.ndarray) -> Scan:
+    """A scan whose state moves as s -> A s + b; a map is [A row by row, b].
+
+    ``moved(chunks, states) -> (offsets, positions, outputs, end states)``.
+    """
     order = len(matrix)
 
     def split(m):
         return m[: order * order].reshape(order, order), m[order * order :]
 
-    def summarise(chunk):
-        if chunk.is_first:
-            return [*np.zeros(order * order), *run(chunk, None)[2]]
-        end = run(chunk, np.zeros(order))[2]
-        return [*np.linalg.matrix_power(matrix, len(chunk.values)).ravel(), *end]
+    def run(chunks, states):
+        return moved(chunks, states)[:3]
+
+    def summarise(chunks):
+        ends = moved(chunks, np.zeros((order, len(chunks.size))))[3]
+        length = np.diff(chunks.at)
+        powers = {n: np.linalg.matrix_power(matrix, n).ravel() for n in set(length.tolist())}
+        none = np.zeros(order * order)  # the first chunk starts on its own
+        return [
+            np.concatenate([none if first else powers[n], end])
+            for n, first, end in zip(length.tolist(), chunks.is_first.tolist(), ends.T)
+        ]
 
     def compose(a, b):
         (a1, b1), (a2, b2) = split(a), split(b)
@@ -308,7 +342,7 @@ def _affine(run: Callable, matrix: np.ndarray) -> Scan:
         a, b = split(m)
         return b if state is None else a @ state + b
 
-    return Scan(run, summarise, compose, apply)
+    return Scan(run, summarise, compose, apply, order)
 
 
 class Blocks:
@@ -384,12 +418,6 @@ def lockstep(step: Callable, matrix: np.ndarray, x: np.ndarray, at: np.ndarray,
     return blocks.flat(y, len(x)), ends
 
 
-def _alone(step: Callable, matrix: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple:
-    """The same for one series."""
-    y, end = lockstep(step, matrix, x, np.array([0, len(x)]), np.asarray(state, float)[:, None])
-    return y, end[:, 0]
-
-
 def _ema_step(alpha: float) -> Callable:
     def step(x, s):
         level = alpha * x + (1.0 - alpha) * s[0]
@@ -401,12 +429,12 @@ def _ema_step(alpha: float) -> Callable:
 def _ema_scan(alpha: float) -> Scan:
     matrix = np.array([[1.0 - alpha]])
 
-    def run(chunk, state):
-        x = np.asarray(chunk.values, float)
-        y, end = _alone(_ema_step(alpha), matrix, x, x[:1] if state is None else state)
-        return chunk.idx, y, end
+    def moved(chunks, states):
+        start = np.where(chunks.is_first, chunks.values[chunks.at[:-1]], states)
+        y, ends = lockstep(_ema_step(alpha), matrix, chunks.values, chunks.at, start)
+        return chunks.at, chunks.idx, y, ends
 
-    return _affine(run, matrix)
+    return _affine(moved, matrix)
 
 
 def _sized(records: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -493,6 +521,22 @@ def _cascade(sections: list[tuple]) -> tuple[Callable, np.ndarray, np.ndarray]:
     return step, matrix, rest
 
 
+def _reflected(x: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple:
+    """Series led in and followed by so many records of the odd reflection of their ends.
+
+    The values, the extended series' offsets, and for each place its series and where it is in it.
+    """
+    size = np.diff(at)
+    edge = np.r_[0, np.cumsum(size + before + after)]
+    log = np.repeat(np.arange(len(size)), np.diff(edge))
+    place = np.arange(edge[-1]) - edge[log] - before[log]
+    first, last = at[log], at[log + 1] - 1
+    mirrored = np.where(place < 0, -place, np.where(place < size[log], place, 2 * (size[log] - 1) - place))
+    value = x[first + mirrored]
+    value = np.where(place < 0, 2.0 * x[first] - value, np.where(place < size[log], value, 2.0 * x[last] - value))
+    return value, edge, log, place
+
+
 def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
     """One direction of a zero-phase filter.
 
@@ -502,23 +546,21 @@ def _filter_scan(sections: list[tuple], reflect: bool) -> Scan:
     """
     step, matrix, rest = _cascade(sections)
 
-    def scan(values, state):
-        return _alone(step, matrix, values, state)
-
-    def run(chunk, state):
-        x, at = np.asarray(chunk.values, float), chunk.idx
-        pad = min(6 * len(sections), chunk.size - 1) if reflect else 0
-        if state is None:
-            lead = 2.0 * x[0] - x[pad:0:-1]
-            head = lead[0] if len(lead) else x[0]
-            _, state = scan(lead, rest * head)
-        if pad and chunk.is_last:
-            x = np.concatenate([x, 2.0 * x[-1] - x[-2 : -2 - pad : -1]])
-            at = np.concatenate([at, chunk.size + np.arange(pad)])
-        y, state = scan(x, state)
-        return at, y, state
+    def moved(chunks, states):
+        first, size = chunks.is_first, np.diff(chunks.at)
+        pad = np.minimum(6 * len(sections), chunks.size - 1) if reflect else np.zeros_like(size)
+        value, edge, log, place = _reflected(
+            chunks.values, chunks.at, np.where(first, pad, 0), np.where(chunks.is_last, pad, 0)
+        )
+        start = np.where(first, rest[:, None] * value[edge[:-1]], states)
+        y, ends = lockstep(step, matrix, value, edge, start)
+        kept = place >= 0
+        log, place = log[kept], place[kept]
+        inside = np.minimum(place, size[log] - 1)
+        idx = chunks.idx[chunks.at[log] + inside] + (place - inside)
+        return np.r_[0, np.cumsum(np.bincount(log, minlength=len(size)))], idx, y[kept], ends
 
-    return _affine(run, matrix)
+    return _affine(moved, matrix)
 
 
 def butterworth_filtfilt(
@@ -592,14 +634,7 @@ def _zero_phase(sections: list[tuple]) -> Callable:
     def whole(x: np.ndarray, at: np.ndarray, side: dict) -> np.ndarray:
         size = np.diff(at)
         pad = np.minimum(6 * len(sections), size - 1)
-        # where each extended series is, and for each of its places the record it stands for
-        edge = np.r_[0, np.cumsum(size + 2 * pad)]
-        log = np.repeat(np.arange(len(size)), np.diff(edge))
-        place = np.arange(edge[-1]) - edge[log] - pad[log]
-        first, last = at[log], at[log + 1] - 1
-        mirrored = np.where(place < 0, -place, np.where(place < size[log], place, 2 * (size[log] - 1) - place))
-        value = x[first + mirrored]
-        value = np.where(place < 0, 2.0 * x[first] - value, np.where(place < size[log], value, 2.0 * x[last] - value))
+        value, edge, log, place = _reflected(x, at, pad, pad)
         forward = settled(value, edge)
         kept = place >= 0  # the lead-in only settles the state
         again = np.r_[0, np.cumsum(size + pad)]
@@ -698,11 +733,13 @@ def _drift_scan(k: float, h: float) -> Scan:
     function: [count, pieces of the upper sum..., pieces of the lower sum...].
     """
 
-    def run(chunk, state):
-        x, mean = np.asarray(chunk.values, float), float(chunk.side["baseline_mean"])
-        start = np.zeros((2, 1)) if state is None else np.asarray(state, float)[:, None]
-        flags, end = _drift_run((x - mean) - k, (mean - x) - k, np.array([0, len(x)]), start, h)
-        return chunk.idx, flags, end[:, 0]
+    def steps(chunks):
+        mean = np.repeat(chunks.side["baseline_mean"].astype(float), np.diff(chunks.at))
+        return (chunks.values - mean) - k, (mean - chunks.values) - k
+
+    def run(chunks, states):
+        rise, fall = steps(chunks)
+        return chunks.at, chunks.idx, _drift_run(rise, fall, chunks.at, states, h)[0]
 
     def pack(up, down):
         return np.array([float(len(up)), *(x for p in up + down for x in p)])
@@ -712,22 +749,22 @@ def _drift_scan(k: float, h: float) -> Scan:
         n = int(m[0])
         return [tuple(p) for p in body[:n]], [tuple(p) for p in body[n:]]
 
-    def summarise(chunk):
-        x, mean = np.asarray(chunk.values, float), float(chunk.side["baseline_mean"])
-        width = max(math.isqrt(len(x)), 1)
-        maps = []
-        for steps in ((x - mean) - k, (mean - x) - k):
-            whole = len(x) // width * width
-            parts = _drift_pieces(steps[:whole].reshape(-1, width).T, h)
-            if whole < len(x):
-                parts += _drift_pieces(steps[whole:, None], h)
-            total = parts[0]
-            for part in parts[1:]:
-                total = join(total, part)
-            maps.append(total)
-        if chunk.is_first:
-            maps = [[(0.0, 0.0, 0.0, end_of(m, 0.0))] for m in maps]
-        return pack(*maps)
+    def summarise(chunks):
+        length = np.diff(chunks.at)
+        found = [[None, None] for _ in length]
+        for n in set(length.tolist()):
+            same = np.flatnonzero(length == n)
+            cell = chunks.at[same] + np.arange(n)[:, None]  # a column for each chunk
+            width = min(n, max(math.isqrt(n), _NARROW))
+            for side, x in enumerate(steps(chunks)):
+                parts = [_drift_pieces(x[cell[low : low + width]], h) for low in range(0, n, width)]
+                for c, total, *rest in zip(same.tolist(), *parts):
+                    for part in rest:
+                        total = join(total, part)
+                    found[c][side] = total
+        for c in np.flatnonzero(chunks.is_first).tolist():
+            found[c] = [[(0.0, 0.0, 0.0, end_of(m, 0.0))] for m in found[c]]
+        return [pack(*maps) for maps in found]
 
     def end_of(pieces, s):
         # A state on a shared piece edge belongs to the lower piece, except that
@@ -765,7 +802,7 @@ def _drift_scan(k: float, h: float) -> Scan:
         (au, ad), (bu, bd) = unpack(a), unpack(b)
         return pack(join(au, bu), join(ad, bd))
 
-    return Scan(run, summarise, compose, apply)
+    return Scan(run, summarise, compose, apply, 2)
 
 
 def drift_flags(

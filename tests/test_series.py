@@ -92,6 +92,25 @@ def test_chunk_size_does_not_matter(logs, rows):
         assert worst < 1e-9, (name, worst)
 
 
+def test_chunks_of_many_logs_move_together(spark, monkeypatch):
+    """No Python call for a single chunk; blocks of maps; logs without an id."""
+    monkeypatch.setattr(recurrence, "MAPS_PER_BLOCK", 3)
+    rows = [(log, i, float(v)) for log, seed in ((None, 1), (1, 2), (2, 3)) for i, v in enumerate(wave(150 + seed, seed))]
+    rec = spark.createDataFrame(rows, "log_id long, idx long, x double").repartition(4)
+    sized = rec.join(rec.groupBy("log_id").count().withColumnRenamed("count", "n").withColumnRenamed("log_id", "l"),
+                     F.col("log_id").eqNullSafe(F.col("l"))).drop("l")
+    for build in (
+        lambda rows: recurrence.exponential_moving_average(sized, "x", 0.1, "y", rows=rows),
+        lambda rows: recurrence.butterworth_filtfilt(sized, "x", 0.1, 3, out="y", rows=rows),
+        lambda rows: recurrence.drift_flags(sized, "x", 0.5, 3.0, out="y", rows=rows),
+    ):
+        cut, whole = build(13), build(1 << 18)
+        assert "GroupsInArrow" not in cut._jdf.queryExecution().toString()
+        a, b = ({(r.log_id, r.idx): r.y for r in found.collect()} for found in (cut, whole))
+        assert a.keys() == b.keys() and len(a) >= 305
+        assert max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
 def plain_drift(x, k, h):
     base = np.mean(x[: max(int(len(x) * 0.1), 10)])
     up = down = 0.0
