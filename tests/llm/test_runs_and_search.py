@@ -217,6 +217,15 @@ def test_simhash_of_odd_rows(spark, docs):
     assert simhash.near_fingerprints(docs.limit(0)).count() == 0
 
 
+def test_simhash_groups_with_rows_without_id(spark):
+    """The least doc_id of a group is an id, if any row has one; the least long is an id too."""
+    low = -(1 << 63)
+    rows = [(None, "a b c d e"), (7, "A b c d e"), (5, "a b c d e"), (low, "p q r s t"), (3, "p q r s t"), (None, None)]
+    found = simhash.near_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in found.collect())
+    assert got == sorted([("None", "5"), ("7", "5"), ("5", "5"), (str(low), str(low)), ("3", str(low)), ("None", "None")])
+
+
 def test_op13_on_the_small_table(spark, small):
     got = {r[0]: (r[1], r[2]) for r in queries.op13_simhash(spark, SMALL).collect()}
     marks = {doc: brute.fingerprint(text, 4) for doc, text in small}
