@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import CHANNEL, EPSILON, IDX, LOG, T, VALUE, is_finite, not_nan
 from telemetra.operators.layout import CHUNK_ROWS, order_buckets
-from telemetra.session import settle
+from telemetra.session import materialise, settle
 
 
 def exact_median(
@@ -46,11 +46,12 @@ def _sorted_median(df: DataFrame, counts: DataFrame, value: str, keys: list[str]
 
 
 def _ranked_median(df: DataFrame, value: str, keys: list[str], rows: int) -> DataFrame:
-    """Median by rank: values are counted (map-side combined), the distinct ones
+    """Median by rank: values are counted once (map-side combined), the distinct ones
     put into order-preserving buckets, and only buckets with a middle rank sorted.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
+    counts = materialise(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m")),
+        "counted",
     )
     edges = order_buckets(counts, F.col(value), keys, rows)
     bucketed = edges.assign(counts, F.col(value), "_b")
