@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
 from telemetra.functions.decode import slot_channel_table
-from telemetra.session import settle, ship_package
+from telemetra.session import materialise, settle, ship_package
 from telemetra.sources import store
 from telemetra.sources.text import PARSERS, Ingest, number, read_lines
 
@@ -27,7 +27,21 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
     to their parser.
     """
     ship_package(spark)
-    return store.sniffed(store.listed(spark, path))
+    return settle(store.sniffed(store.listed(spark, path)))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """Numbered lines of listed text files (path, file, length), written once for all passes of a parser.
+
+    Small files are read whole in tasks; large and compressed ones, whose names the driver
+    holds, by Spark's text reader.
+    """
+    spark = files.sparkSession
+    lines = store.whole_lines(files.filter(store.is_small()))
+    names = [r["file"] for r in files.filter(~store.is_small()).select("file").collect()]
+    if names:
+        lines = lines.unionByName(read_lines(spark, [store.literally(n) for n in names]))
+    return materialise(lines, "lines")
 
 
 def _starts(head: Column, magic: str, offset: int = 0) -> Column:
@@ -82,19 +96,17 @@ def ingest_folder(
 
     Every file gives samples or a reject with its reason: by its format, or because
     its records, header or slot dictionary are missing or unusable.  The folder is
-    listed and sniffed once; then each parser reads the files of its format and no others.
-    The driver holds the names of the files, as for any file source.
+    listed and sniffed once; then each parser reads the files of its format and no others, once.
     """
     routed = route(file_heads(spark, path))
     if manifest is not None:
-        routed = unseen(routed, manifest)
-    routed = settle(routed)
+        routed = settle(unseen(routed, manifest))
     good = routed.filter(F.col("reject").isNull())
+    found = {r["format"] for r in good.select("format").distinct().collect()}
     samples, loaded = None, None
     for kind, parse in PARSERS.items():
-        names = [r["file"] for r in good.filter(F.col("format") == kind).select("file").collect()]
-        if names:
-            got = parse(read_lines(spark, [store.literally(n) for n in names]))
+        if kind in found:
+            got = parse(lines_of(good.filter(F.col("format") == kind)))
             samples, loaded = _also(samples, got.samples()), _also(loaded, got.loaded())
     fixed = fixed_records(routed)
     if fixed is not None:
@@ -170,19 +182,18 @@ def slot_channels(slots: DataFrame) -> DataFrame:
 
 def fixed_records(routed: DataFrame) -> Ingest | None:
     """The record files among routed ones with their slot dictionaries; None if there is none."""
-    spark = routed.sparkSession
+    ship_package(routed.sparkSession)
     ext = _extension(F.col("path"))
     stem = _stem(F.col("path")).alias(LOG)
     files = settle(
         routed.filter((F.col("format") == "fixedrecord") & (ext == "lg1") & F.col("first_time").isNotNull())
         .select(stem, "file", "length", "first_time")
     )
-    lists = routed.filter(F.col("reject").isNull() & (ext == "lg2")).select(stem, "file")
-    named = lists.join(files.select(LOG), LOG, "left_semi").select("file").collect()
-    if not named:
+    lists = routed.filter(F.col("reject").isNull() & (ext == "lg2")).select(stem, "path", "file", "length")
+    named = settle(lists.join(files.select(LOG), LOG, "left_semi").select("path", "file", "length"))
+    if named.isEmpty():
         return None
-    lines = read_lines(spark, [store.literally(r["file"]) for r in named])
-    slots = slot_lists(lines.withColumn(LOG, _stem(F.col(LOG))))
+    slots = slot_lists(lines_of(named).withColumn(LOG, _stem(F.col(LOG))))
     return decode_fixed_records(files, slots)
 
 

@@ -16,7 +16,7 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.frame import IDX, LOG, T
@@ -28,6 +28,10 @@ RECORD_BYTES = 24
 RANGE_RECORDS = 1 << 18
 TASK_BYTES = 64 << 20
 PIECE_RECORDS = 1 << 14
+#: Bytes of text files, and of one of them, that a task holds.
+TEXT_BYTES = 4 << 20
+#: Names that the text reader decompresses.
+_PACKED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|passthrough)$"
 OLE_RANGE = (35000.0, 55000.0)
 SLOTS = 8
 RECORD = np.dtype([("ole", "<f8"), ("raw", "<u2", (8,))])
@@ -58,9 +62,49 @@ def open_file(file: str) -> BinaryIO:
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """path (as the text reader spells it), file (as it is) and length of all files below; none is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
+    names = files.select(
         F.col("_metadata.file_path").alias("path"), F.col("path").alias("file"), "length"
     )
+    # a scan counts every file as some megabytes; nothing of them is read here
+    return names.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def is_small(length: str = "length", file: str = "file") -> Column:
+    """Whether a text file is read whole in a task."""
+    return (F.col(length) <= TEXT_BYTES) & ~F.lower(file).rlike(_PACKED)
+
+
+def whole_lines(files: DataFrame) -> DataFrame:
+    """Numbered lines (log_id, line_no, line) of small files (path, file), as the text reader gives them.
+
+    A task opens many files and holds one of them and a block of lines, so that a file costs
+    neither a listing nor a part of a task of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, numbers, lines, held = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [LOG, "line_no", "line"])
+
+        for batch in batches:
+            for row in batch.select(["path", "file"]).to_pylist():
+                with open_file(row["file"]) as f:
+                    data = f.read()
+                some = data.removeprefix(codecs.BOM_UTF8).splitlines()  # bytes end lines at \n, \r and \r\n only
+                paths += [row["path"]] * len(some)
+                numbers += range(len(some))
+                lines += some
+                held += len(data)
+                if held > TEXT_BYTES:
+                    yield block()
+                    paths, numbers, lines, held = [], [], [], 0
+        yield block()
+
+    dealt = files.select("path", "file").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = dealt.mapInArrow(run, f"{LOG} string, line_no long, line binary")
+    return found.withColumn("line", F.make_valid_utf8(F.col("line").cast("string")))
 
 
 def literally(file: str) -> str:

@@ -240,6 +240,25 @@ def test_folder_is_read_by_name(spark, tmp_path):
     assert samples.isEmpty() and rejects.isEmpty()
 
 
+def test_lines_of_small_files_are_those_of_the_text_reader(spark, tmp_path):
+    """Many files are a few tasks, whatever ends their lines."""
+    contents = [
+        b"", b"\n", b"a", b"a\n", b"a\r\nb\rc\n\nd", b"\xef\xbb\xbfh\nx\xefy\x0bz\x0c\x1c\xc2\x85\xe2\x80\xa8w\n", b"\xff\xfe\xc3(\n\xe2\x82",
+        b"a\n\xef\xbb\xbfb\r\r\n", b"x" * 100000 + b"\n\x00",
+    ]
+    for k in range(90):
+        (tmp_path / f"log [{k}] %.csv").write_bytes(contents[k % len(contents)])
+    heads = files.file_heads(spark, str(tmp_path))
+    lines = store.whole_lines(heads)
+    assert lines.rdd.getNumPartitions() == 2
+    names = [store.literally(r["file"]) for r in heads.collect()]
+    want, got = (
+        sorted((r.log_id, n, r.line) for n, r in enumerate(t.orderBy("log_id", "line_no").collect()))
+        for t in (text.read_lines(spark, names), files.lines_of(heads))
+    )
+    assert got == want and len(got) >= 90
+
+
 def test_manifest_skips_loaded(spark, tmp_path):
     a = write(tmp_path, "a.csv", "TIME;a\n0;1\n")
     write(tmp_path, "b.csv", "TIME;a\n0;1\n")
