@@ -163,7 +163,9 @@ def _spanned(rows: DataFrame, distance: int) -> DataFrame:
                 slot, key, mark = slot[edge[-1] :], key[edge[-1] :], mark[edge[-1] :]
         yield _linked(mark, np.array([0, len(mark)]), distance)
 
-    dealt = rows.repartition("slot", "key").sortWithinPartitions("slot", "key")
+    # by a hash, not by the columns: Spark drops a repartition by the keys of the join before it, and
+    # as nothing after it asks for whole buckets, adaptive execution may read that join's shuffle in pieces
+    dealt = rows.repartition(F.xxhash64("slot", "key")).sortWithinPartitions("slot", "key")
     return dealt.mapInArrow(run, "x long, y long")
 
 

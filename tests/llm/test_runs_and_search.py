@@ -201,6 +201,38 @@ def test_links_of_marks(spark, monkeypatch, distance, crowd):
     assert len(set(got.values())) == len(groups)
 
 
+def test_buckets_stay_whole_in_adaptive_joins(spark):
+    """A join planned by sorting and turned to a broadcast as it runs reads its shuffle by mappers."""
+    from telemetra.llm.common import stage
+
+    rng = np.random.default_rng(8)
+    marks, want = [], set()
+    for k in range(300):  # two marks four bits from a third, equal to it in one of five blocks only
+        first = int(rng.integers(0, 1 << 63))
+        bits = [rng.choice(12, 2, replace=False) + e for i, e in enumerate((0, 13, 26, 38, 51)) if i != k % 5]
+        three = [first] + [first ^ sum(1 << int(b[j]) for b in bits) for j in (0, 1)]
+        three = [m - (1 << 64) if m >> 63 else m for m in three]
+        marks += three
+        want |= {frozenset((three[0], m)) for m in three[1:]}
+    nodes = spark.createDataFrame([(m,) for m in marks], "mark long").repartition(8)
+    nodes = stage(nodes, "marks")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "40000",  # the buckets' keys, not the nodes'
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {frozenset(r) for r in simhash.linked_nodes(nodes, 4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(want) == 600
+    assert got == want
+
+
 def test_simhash_of_odd_rows(spark, docs):
     rows = [r for r in ODD if r[0] != 9]
     table = docs.filter("doc_id IS NULL OR doc_id <> 9")
